@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import decontaminate, line_dedup, mixing, quality_rules
+from marketloom.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": line_dedup.query,
+    "op5_ngram_join": ngram_join.query,
     "op6_quality_rules": quality_rules.query,
     "op9_decontaminate": decontaminate.query,
     "op10_mix_sources": mixing.query,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
+    "op5_ngram_join": ngram_join.SQL,
     "op6_quality_rules": quality_rules.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op10_mix_sources": mixing.SQL,
