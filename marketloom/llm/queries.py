@@ -6,20 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, quality_rules, warc
+from marketloom.llm import chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, quality_cnn, quality_rules, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": token_counts.query,
     "op2_warc": warc.query,
     "op3_line_dedup": line_dedup.query,
     "op4_chat_format": chat_format.query,
     "op5_ngram_join": ngram_join.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_quality_cnn": quality_cnn.query,
     "op8_language_id": language_id.query,
     "op9_decontaminate": decontaminate.query,
     "op10_mix_sources": mixing.query,
 }
 
-#: Language identification learns a model and has no SQL; it is tested on held-out rows.
+#: Token counts, the classifier and language identification have no SQL: the first is tested
+#: against brute force, the other two on held-out rows.
 SQL: dict[str, str] = {
     "op2_warc": warc.SQL,
     "op3_line_dedup": line_dedup.SQL,
