@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketloom.plans import indicators, signals  # noqa: F401
+from marketloom.plans import indicators, signals, stats  # noqa: F401
 from marketloom.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

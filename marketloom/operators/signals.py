@@ -54,12 +54,12 @@ def _signal(node: str, when: Column, direction: Column, score: Column, confidenc
         F.struct(
             F.lit(node).alias("node_id"),
             direction.alias("direction"),
-            F.round(F.abs(score), 4).alias("score"),
-            F.round(confidence, 3).alias("confidence"),
+            F.abs(score).alias("score"),
+            confidence.alias("confidence"),
             F.lit(HORIZON[node]).alias("horizon_days"),
-            F.round(expected, 5).alias("expected_return"),
-            F.round(vol, 5).alias("expected_volatility"),
-            F.round(down * vol, 5).alias("downside"),
+            expected.alias("expected_return"),
+            vol.alias("expected_volatility"),
+            (down * vol).alias("downside"),
         ),
     )
 
@@ -129,6 +129,15 @@ def price_signals(bars: DataFrame) -> DataFrame:
     return x.select(F.col("d").alias("as_of"), "symbol", F.inline(F.filter(rules, lambda s: s.isNotNull())))
 
 
+#: The digits that signals are shown with; fusion works on unrounded ones.
+DIGITS = {"score": 4, "confidence": 3, "expected_return": 5, "expected_volatility": 5, "downside": 5}
+
+
+def shown(signals: DataFrame) -> DataFrame:
+    """Signals rounded for output."""
+    return signals.withColumns({c: F.round(c, n) for c, n in DIGITS.items()})
+
+
 def top_k(signals: DataFrame, k: int) -> DataFrame:
     """The k strongest of each date and node, ties by symbol: ``rank`` added."""
     w = Window.partitionBy("as_of", "node_id").orderBy(F.desc("score"), "symbol")

@@ -56,15 +56,15 @@ sig AS (SELECT d AS as_of, symbol, node_id, direction, round(abs(score), 4) AS s
 
 
 def _node(name: str):
-    return lambda spark, d: signals.price_signals(fx.bars(spark, d)).where(F.col("node_id") == name)
+    return lambda spark, d: signals.shown(signals.price_signals(fx.bars(spark, d)).where(F.col("node_id") == name))
 
 
 for number, name in ((1, "momentum"), (2, "reversal"), (3, "sector_rotation"), (5, "gap"), (6, "vol_contraction")):
     register(f"sg{number}_{name}", _node(name), f"WITH {SIGNALS} SELECT * FROM sig WHERE node_id = '{name}'")
-register("k5_all_price_signals", lambda spark, d: signals.price_signals(fx.bars(spark, d)), f"WITH {SIGNALS} SELECT * FROM sig")
+register("k5_all_price_signals", lambda spark, d: signals.shown(signals.price_signals(fx.bars(spark, d))), f"WITH {SIGNALS} SELECT * FROM sig")
 register(
     "k1_top_signals",
-    lambda spark, d: signals.top_k(signals.price_signals(fx.bars(spark, d)), 2),
+    lambda spark, d: signals.top_k(signals.shown(signals.price_signals(fx.bars(spark, d))), 2),
     f"WITH {SIGNALS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, node_id ORDER BY score DESC, symbol) AS rank FROM sig) WHERE rank <= 2",
 )
 
@@ -114,7 +114,7 @@ def _fused(spark, d):
 FUSED_COLS = ["price_value", "context_value", "raw", "conflict", "production", "coverage", "gross", "final"]
 FUSED = f"""{SIGNALS}, {BR}, {REGIME},
 grid AS (SELECT d AS as_of, symbol, row_number() OVER {W} AS n_bars FROM bars WHERE symbol <> 'ALL'),
-ev AS (SELECT as_of, symbol, node_id, direction, score, confidence, horizon_days, expected_return FROM sig
+ev AS (SELECT d AS as_of, symbol, node_id, direction, abs(score) AS score, confidence, h AS horizon_days, er AS expected_return FROM raw
   UNION ALL SELECT as_of, symbol, 'macro_regime', CASE WHEN m >= 0 THEN 'long' ELSE 'avoid' END, abs(m), 1.0, 21, 0.0
   FROM (SELECT g.as_of, g.symbol, CASE regime WHEN 'risk_on' THEN 0.65 WHEN 'neutral' THEN 0.1 WHEN 'risk_off' THEN -0.5 ELSE -1.0 END AS m FROM grid g JOIN rg ON rg.d = g.as_of)),
 ev2 AS (SELECT *, CASE WHEN node_id IN ('sector_rotation', 'macro_regime') THEN 'context' ELSE 'price' END AS family,
@@ -133,6 +133,6 @@ fy AS (SELECT *, CASE WHEN raw > 0 THEN raw * conflict ELSE raw END AS productio
 fused AS (SELECT *, CASE WHEN raw > 0 AND hz IS NOT NULL THEN production - 0.0016 / greatest(abs(gross), 0.005) * 0.01 END AS final FROM fy)"""
 register(
     "e2_fusion",
-    lambda spark, d: rounded(_fused(spark, d), *FUSED_COLS),
-    f"WITH {FUSED} SELECT as_of, symbol, {', '.join(f'round({c}, 6) AS {c}' for c in FUSED_COLS)}, round(hz)::INT AS horizon_days FROM fused",
+    lambda spark, d: rounded(_fused(spark, d), *FUSED_COLS, digits=9),
+    f"WITH {FUSED} SELECT as_of, symbol, {', '.join(f'round({c}, 9) AS {c}' for c in FUSED_COLS)}, round(hz)::INT AS horizon_days FROM fused",
 )
