@@ -6,15 +6,21 @@
 2. A second scan emits the first shingles of every set (the prefix that any set of
    similarity MIN_PERCENT must meet) with set size and position. Those rows are the index
    lists, sorted by shingle in a shuffle and read as a stream: a list of one set is dropped,
-   the others name their first set as leader. A list whose counter is far over the mean is
-   salted, and the leaders of its parts meet in a second, small step. So a list of any
-   length gives as many pairs as it has sets.
-3. Each set is compared with its leaders, exactly. Linked sets form components.
-4. Only lists that still hold sets of different components are joined with themselves.
-   Blocks of set sizes are skipped by the join key, positions by the bound on what can
-   follow, pairs of one component altogether. For the rest, answers are derived from a
-   leader both were compared with: its overlaps bound the pair's overlap from below and
-   above, and only pairs between the bounds are compared by their texts.
+   the others, in order of set size, name a leader for every block of similar sizes. A list
+   whose counter is far over the mean is salted, and the heads of its parts meet in a
+   second, small step. So a list of any length gives as many rows as it has sets.
+3. Each set is compared, exactly, with the leader it meets most often. Linked sets form
+   components.
+4. Lists that still hold sets of different components draw other leaders in rounds, for as
+   long as that links a good share of what is compared: a large group of near copies, not
+   all similar to one of them, comes together in a few rounds of linear size.
+5. What lists still hold sets of different components ask: a set asks the components, no
+   smaller than its own, that stand in its lists. Blocks of set sizes are skipped by the
+   join key, positions by the bound on what can follow, pairs of one component altogether.
+   Small components are expanded; a leader that both sets were compared with bounds their
+   overlap from below and above, and only pairs between the bounds are compared by their
+   texts. Large components are asked in blocks: over a block's index lists the overlaps of
+   an asker follow from those of a similar asker before it (``answers``).
 
 Every pair of similar sets is thus compared, derived, or already connected, so components
 are exact, and no group is ever collected or expanded into its pairs.
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm import textbatch as tb
@@ -39,6 +45,14 @@ ORDER_BUCKETS = 1 << 16
 _SHIFT = np.uint64(48)
 #: A counter over so many times the mean has its lists salted, a salt for each such multiple.
 HOT_MEANS = 4
+#: Ids of texts to fetch are broadcast up to so many (16 bytes each), else joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: In a round, a set is compared with so many leaders of other components.
+ROUND_LEADERS = 4
+#: Rounds go on while at least one in so many of their pairs is a link.
+ROUND_YIELD = 10
+#: Components of more sets than SMALL are asked in blocks of about BLOCK_SETS sets.
+SMALL, BLOCK_SETS = 4, 512
 _NO_ID = -(1 << 63)
 
 
@@ -116,54 +130,71 @@ def _prefix_rows(docs: DataFrame, counts: np.ndarray, words: int, percent: int)
     return docs.mapInArrow(run, "token long, salt int, cid long, size int, pos int")
 
 
-def _lists(prefixes: DataFrame) -> DataFrame:
-    """The index lists of two sets or more (or of salted tokens), with each list's leader."""
+def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
+    """The index lists of two sets or more (or of salted tokens). A list stands in order of
+    set size, cut into blocks of similar sizes; a block's first set leads it, and is itself
+    led by the set before it, the last of the block below."""
+    ratio = np.log(100.0 / percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None  # the first row of the open list, not yet given
-        token = salt = leader = None  # the open list
+        tail: np.ndarray | None = None  # the last row before this batch
+        lead: np.ndarray | None = None  # the row that leads the open block
         for batch in batches:
-            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "salt", "cid", "size", "pos")], axis=1)
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "salt", "size", "cid", "pos")], axis=1)
+            if tail is not None:
+                x = np.concatenate((tail[None], x))
             if not len(x):
                 continue
             fresh = np.ones(len(x), bool)  # not the row before once more
-            fresh[1:] = (x[1:, :3] != x[:-1, :3]).any(axis=1)
+            fresh[1:] = (x[1:, :4] != x[:-1, :4]).any(axis=1)
             x = x[fresh]
-            if held is not None:
-                x = np.concatenate((held, x)) if (held[0, :3] != x[0, :3]).any() else x
-            start = np.ones(len(x), bool)
-            start[1:] = (x[1:, :2] != x[:-1, :2]).any(axis=1)
-            open_before = held is None and token is not None and (x[0, 0], x[0, 1]) == (token, salt)
-            first = np.maximum.accumulate(np.where(start, np.arange(len(x)), 0))
-            lead = x[first, 2]
-            if open_before:
-                start[0] = False
-                lead = np.where(first == 0, leader, lead)
-            ends = np.append(start[1:], True)
-            alone = start & ends & (x[:, 1] < 0)
-            last = alone.copy()
-            last[:-1] = False
-            held = x[-1:] if last[-1] else None
-            token, salt, leader = int(x[-1, 0]), int(x[-1, 1]), int(lead[-1])
+            first = np.ones(len(x), bool)  # of a list
+            first[1:] = (x[1:, :2] != x[:-1, :2]).any(axis=1)
+            block = np.floor(np.log(np.maximum(x[:, 2], 1)) / ratio + 1e-9).astype(np.int64)
+            start = first.copy()  # of a block
+            start[1:] |= block[1:] != block[:-1]
+            by = np.maximum.accumulate(np.where(start, np.arange(len(x)), 0))
+            leads = x[by][:, [3, 2, 4]]
+            if tail is not None and lead is not None:
+                leads[by == 0] = lead  # the block that was open
+            last_lead = leads[-1].copy()
+            inner = start & ~first
+            leads[inner] = x[np.flatnonzero(inner) - 1][:, [3, 2, 4]]
+            alone = first & np.append(first[1:], True) & (x[:, 1] < 0)
             give = ~alone
-            if open_before:  # a copy of the set that ended the batch before
-                give[0] &= not (x[0, 2] == prev_cid)
-            prev_cid = x[-1, 2]
+            if tail is not None:
+                # The row carried over is given now only if it was held back before.
+                if held is None:
+                    give[0] = False
+                elif len(x) > 1 and first[1]:
+                    give[0] = False
+            # The last row stays back while it may be its list's only one.
+            held = x[-1] if first[-1] and x[-1, 1] < 0 and not (held is None and tail is not None and len(x) == 1) else None
+            if held is not None:
+                give[-1] = False
+            tail, lead = x[-1], last_lead
             if give.any():
-                y, l = x[give], lead[give]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(y[:, 0]), pa.array(y[:, 1], pa.int32()), pa.array(y[:, 2]), pa.array(y[:, 3], pa.int32()), pa.array(y[:, 4], pa.int32()), pa.array(l)],
-                    ["token", "salt", "cid", "size", "pos", "leader"],
-                )
+                y, l = x[give], leads[give]
+                cols = [(y[:, 0], pa.int64()), (y[:, 1], pa.int32()), (y[:, 3], pa.int64()), (y[:, 2], pa.int32()), (y[:, 4], pa.int32()), (l[:, 0], pa.int64()), (l[:, 1], pa.int32()), (l[:, 2], pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["token", "salt", "cid", "size", "pos", "leader", "lead_size", "lead_pos"])
 
-    dealt = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "cid")
-    return dealt.mapInArrow(run, "token long, salt int, cid long, size int, pos int, leader long")
+    dealt = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "cid")
+    return dealt.mapInArrow(run, "token long, salt int, cid long, size int, pos int, leader long, lead_size int, lead_pos int")
+
+
+def _texts(sigs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, text) of the classes ``sigs``. The texts are read again where they are; they are
+    shuffled only if the ids are too many to broadcast."""
+    needed = write_through(sigs.distinct().join(classes.select("sig", "rep"), "sig"), "join-needed")
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    return write_through(docs.join(needed.withColumnRenamed("rep", "id"), "id").select("sig", "text"), "join-texts")
 
 
 def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """Exact overlaps of pairs (a, b) of classes: (a, b, o, na, nb)."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes.select("sig", "rep"), "sig")
-    texts = write_through(docs.join(needed.withColumnRenamed("rep", "id"), "id").select("sig", "text"), "join-texts")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("sig")), docs, classes)
     a = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("sig").alias("b"), F.col("text").alias("tb"))
 
@@ -220,25 +251,149 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(tops.select("node", F.col("node").alias("comp")))
 
 
-def _open_pairs(lists: DataFrame, comps: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of different components that the lists can't rule out."""
-    named = lists.join(comps, lists.cid == comps.node, "left").select("token", "cid", "size", "pos", F.coalesce("comp", "cid").alias("comp"))
-    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    # Sizes of similar sets are in the same block or the next.
+def _fits(na: str, nb: str, pa: str, pb: str, percent: int) -> str:
+    """SQL: whether sets of na and nb elements can be similar if the first element they share
+    stands at pa and pb."""
+    return f"least({na}, {nb}) * 100L >= greatest({na}, {nb}) * {percent}L and least({na} - {pa}, {nb} - {pb}) * {100 + percent}L >= ({na} + {nb}) * {percent}L"
+
+
+def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each set with the leader that it meets in most lists; and, of salted
+    lists, the head of each part with the head of the first part."""
+    led = lists.where("cid <> leader").where(_fits("size", "lead_size", "pos", "lead_pos", percent))
+    most = led.groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("k")).groupBy("cid").agg(F.max_by("leader", F.struct("k", "leader")).alias("b"))
+    heads = lists.where("salt >= 0 and cid = leader").select("token", "cid").distinct()
+    tops = heads.join(heads.groupBy("token").agg(F.min("cid").alias("b")), "token")
+    return most.select(F.col("cid").alias("a"), "b").unionAll(tops.select(F.col("cid").alias("a"), "b")).where("a <> b").distinct()
+
+
+def _sized(comps: DataFrame) -> DataFrame:
+    """(node, comp, members): components with the number of their sets."""
+    return write_through(comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp"), "join-components")
+
+
+def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """(token, cid, size, pos, comp, members) of the lists with sets of different components."""
+    named = lists.join(comps, lists.cid == comps.node, "left").select("token", "cid", "size", "pos", F.coalesce("comp", "cid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
+    open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return write_through(named.join(open_, "token", "left_semi").distinct(), "join-mixed")
+
+
+def _round_pairs(mixed: DataFrame, done: DataFrame, number: int, percent: int) -> DataFrame:
+    """Pairs (a, b): each set with a few sets that lead its lists in this round, of other
+    components. A list's leader is drawn by hash, another one in each list and round."""
+    draw = F.xxhash64("token", "cid", F.lit(number))
+    led = mixed.groupBy("token").agg(F.max_by(F.struct("cid", "size", "pos", "comp"), F.struct(draw, "cid")).alias("l"))
+    led = led.select("token", F.col("l.cid").alias("b"), F.col("l.size").alias("nb"), F.col("l.pos").alias("pb"), F.col("l.comp").alias("cb"))
+    pairs = mixed.join(led, "token").where("comp <> cb").where(_fits("size", "nb", "pos", "pb", percent)).groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("k"))
+    fresh = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    # A set has no more leaders than its prefix has elements, so the ranking is of small groups.
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))
+    return fresh.withColumn("r", rank).where(F.col("r") <= ROUND_LEADERS).select("a", "b")
+
+
+def _asks(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, holder, members): sets and the components, no smaller than their own, that may hold
+    a set similar to them. A list is taken by component, not by set."""
+    # Sizes of similar sets are in the same block or the next; other blocks are skipped.
     block = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent + 0.01))).cast("int")
-    rows = named.join(mixed, "token", "left_semi").distinct().withColumn("g", block)
-    x = rows.select("token", F.explode(F.array(F.col("g"), F.col("g") + 1)).alias("g"), F.col("cid").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    y = rows.select("token", "g", F.col("cid").alias("b"), F.col("size").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    held = mixed.withColumn("g", block).groupBy("token", "g", F.col("comp").alias("holder"), F.col("members").alias("mh")).agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("pos").alias("ph"))
+    x = mixed.select("token", F.explode(F.array(block - 1, block, block + 1)).alias("g"), F.col("cid").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), "comp", "members")
     fits = F.expr(
-        "ca <> cb and (na < nb or na = nb and a < b)"
-        f" and na * 100L >= nb * {percent}L"
-        f" and least(na - pa, nb - pb) * {100 + percent}L >= (na + nb) * {percent}L"
+        "comp <> holder and (members < mh or members = mh and comp < holder)"
+        f" and hi * 100L >= na * {percent}L and na * 100L >= lo * {percent}L"
+        f" and least(na - pa, hi - ph) * {100 + percent}L >= (na + lo) * {percent}L"
     )
-    pairs = x.join(y, ["token", "g"]).where(fits).select("a", "b", "na", "nb").distinct()
+    return write_through(x.join(held, ["token", "g"]).where(fits).select("a", "na", "holder", F.col("mh").alias("members")).distinct(), "join-asks")
+
+
+def _pairs_of(asks: DataFrame, sized: DataFrame, lists: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) of asks of small components, without those compared before."""
+    sizes = lists.select(F.col("cid").alias("b"), F.col("size").alias("nb")).distinct()
+    some = asks.join(sized.select(F.col("comp").alias("holder"), F.col("node").alias("b")), "holder", "left").select("a", "na", F.coalesce("b", "holder").alias("b"))
+    pairs = some.join(sizes, "b").where("a <> b").select("a", "b", "na", "nb").distinct()
     tried = done.select("a", "b").unionAll(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
+def answers(members: list[np.ndarray], askers: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """(asker, member) for every asker that a member is similar to, with one such member.
+
+    The members' index lists stand in order of set size, so an asker's lists are entered and
+    left at the positions of the sizes it can be similar to. Askers that are much alike stand
+    together: the overlaps of one follow from those of the one before by the lists of the
+    elements in which they differ.
+    """
+    by_size = sorted(range(len(members)), key=lambda k: len(members[k]))
+    n = np.array([len(members[k]) for k in by_size])
+    tokens, inverse = np.unique(np.concatenate([members[k] for k in by_size]), return_inverse=True)
+    index = np.sort(inverse.astype(np.int64) * len(n) + np.repeat(np.arange(len(n)), n))
+
+    def overlaps(s: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+        at = at[tokens[at] == s] * len(n)
+        begin, end = np.searchsorted(index, at + lo), np.searchsorted(index, at + hi)
+        many = end - begin
+        rows = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.bincount(index[rows] % len(n), minlength=len(n))
+
+    before: tuple | None = None
+    for k in sorted((k for k in range(len(askers)) if len(askers[k])), key=lambda k: askers[k][:2].tolist()):
+        s = askers[k]
+        lo = int(np.searchsorted(n * 100, len(s) * percent, side="left"))
+        hi = int(np.searchsorted(n * percent, len(s) * 100, side="right"))
+        if lo >= hi:
+            continue
+        count = None
+        if before is not None and before[1] <= lo and before[2] >= hi:
+            gone, come = np.setdiff1d(before[0], s, assume_unique=True), np.setdiff1d(s, before[0], assume_unique=True)
+            if len(gone) + len(come) < len(s):
+                lo, hi = before[1], before[2]
+                count = before[3] + overlaps(come, lo, hi) - overlaps(gone, lo, hi)
+        if count is None:
+            count = overlaps(s, lo, hi)
+        before = (s, lo, hi, count)
+        similar = np.flatnonzero(count * (100 + percent) >= (n + len(s)) * percent)
+        similar = similar[(similar >= lo) & (similar < hi)]
+        if len(similar):
+            yield k, by_size[int(similar[0])]
+
+
+def _ask_blocks(asks: DataFrame, sized: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b), one at most for each asker and block, of asks of large components.
+
+    A component's sets are dealt into blocks by hash, its askers too; a task sees one block
+    of each, so that neither a component nor its askers are ever in one place.
+    """
+    holders = asks.groupBy("holder").agg(F.max("members").alias("m"), F.count(F.lit(1)).alias("z"))
+    holders = holders.select("holder", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("mbs"), F.ceil(F.col("z") / BLOCK_SETS).cast("int").alias("zbs"))
+
+    def every(c: str):
+        return F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+
+    def dealt(c: str, n: str):
+        return F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+
+    members = sized.join(holders, sized.comp == holders.holder).select("holder", F.col("node").alias("sig"), dealt("node", "mbs").alias("mb"), every("zbs").alias("zb"))
+    askers = asks.join(holders, "holder").select("holder", F.col("a").alias("sig"), dealt("a", "zbs").alias("zb"), every("mbs").alias("mb"))
+    texts = _texts(members.select("sig").unionAll(askers.select("sig")), docs, classes)
+    left, right = members.join(texts, "sig"), askers.join(texts, "sig")
+    right = right.select(*(F.col(c).alias(f"{c}_z") for c in ("holder", "mb", "zb", "sig", "text")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a: list[int] = []
+        b: list[int] = []
+        if left.num_rows and right.num_rows:
+            sets = [tb.shingle_sets(*tb.flat(x), words) for x in (left.column("text"), right.column("text_z"))]
+            for z, m in answers(*sets, percent):
+                a.append(right.column("sig_z")[z].as_py())
+                b.append(left.column("sig")[m].as_py())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    key = ["holder", "mb", "zb"]
+    return left.groupBy(*key).cogroup(right.groupBy(*(f"{c}_z" for c in key))).applyInArrow(run, "a long, b long")
+
+
 def _derived(pairs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """``pairs`` with ``sure``: true or false where a leader's overlaps decide, else null."""
     by = done.select(F.col("a").alias("k"), F.col("b").alias("leader"), "o", F.col("nb").alias("nl"))
@@ -268,16 +423,30 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERC
     first = write_through(_sets_pass(rows, words), "join-sets")
     sets = first.where("block is null").select("id", "n", "sig")
     classes = sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    lists = write_through(_lists(_prefix_rows(rows, _order(first), words, percent)), "join-lists")
-    parts = lists.where("salt >= 0").select("token", "leader").distinct()
-    tops = parts.join(parts.groupBy("token").agg(F.min("leader").alias("top")), "token")
-    pairs = lists.select(F.col("cid").alias("a"), F.col("leader").alias("b")).unionAll(tops.select(F.col("leader").alias("a"), F.col("top").alias("b"))).where("a <> b").distinct()
+    lists = write_through(_lists(_prefix_rows(rows, _order(first), words, percent), percent), "join-lists")
+    pairs = _leader_pairs(lists, percent)
     done = _compare(write_through(pairs, "join-pairs"), rows, classes, words)
     link = F.expr(f"o * {100 + percent} >= (na + nb) * {percent}")
     links = done.where(link).select("a", "b")
-    more = write_through(_derived(_open_pairs(lists, components(links), done, percent), done, percent), "join-open")
+    sized, number = _sized(components(links)), 0
+    mixed = _mixed(lists, sized)
+    while True:
+        number += 1
+        tried = write_through(_round_pairs(mixed, done, number, percent), "join-round")
+        if not (asked := tried.count()):
+            break
+        more = _compare(tried, rows, classes, words)
+        found = more.where(link).select("a", "b")
+        done, links = done.unionAll(more), links.unionAll(found)
+        sized = _sized(components(links))
+        mixed = _mixed(mixed.drop("comp", "members"), sized)
+        if found.count() * ROUND_YIELD < asked:
+            break
+    asks = _asks(mixed, percent)
+    more = write_through(_derived(_pairs_of(asks.where(f"members <= {SMALL}"), sized, lists, done), done, percent), "join-open")
     rest = _compare(more.where("sure is null").select("a", "b"), rows, classes, words)
     links = links.unionAll(more.where("sure").select("a", "b")).unionAll(rest.where(link).select("a", "b"))
+    links = links.unionAll(_ask_blocks(asks.where(f"members > {SMALL}"), sized, rows, classes, words, percent))
     comps = components(links)
     named = classes.join(comps, classes.sig == comps.node, "left").select("sig", "rep", "n_copies", F.coalesce("comp", "sig").alias("comp"))
     low = sets.where(f"n > 0 and id <> {_NO_ID}").groupBy("sig").agg(F.min("id").alias("low"))
