@@ -75,7 +75,7 @@ HB = "CASE WHEN horizon_days <= 10 THEN 'short' WHEN horizon_days <= 30 THEN 'me
 def _analogs(spark, d):
     t = fx.trades(spark, d)
     q = t.select(stats.score_bucket(F.col("score")).alias("bucket"), "regime", stats.horizon_bucket(F.col("horizon_days")).alias("horizon"), F.trunc("entry_date", "month").alias("as_of")).distinct()
-    return rounded(stats.analog_intervals(t, q), "mean", "p_positive", digits=9)
+    return rounded(stats.analog_intervals(t, q), "mean", "p_positive", digits=12)
 
 
 register(
@@ -83,7 +83,7 @@ register(
     _analogs,
     f"""WITH {T}, t AS (SELECT {BUCKET} AS bucket, regime, {HB} AS horizon, exit_date, ret, date_trunc('month', entry_date)::DATE AS as_of FROM trades),
 q AS (SELECT DISTINCT bucket, regime, horizon, as_of FROM t), dd AS (SELECT bucket, regime, horizon, exit_date, count(*) AS n, sum(ret) AS s, sum((ret > 0)::INT) AS w FROM t GROUP BY ALL)
-SELECT bucket, regime, horizon, q.as_of, sum(n)::BIGINT AS n, round(sum(s) / sum(n), 9) AS mean, round(sum(w) / sum(n), 9) AS p_positive, CASE WHEN sum(n) >= 150 THEN 'high' ELSE 'medium' END AS confidence
+SELECT bucket, regime, horizon, q.as_of, sum(n)::BIGINT AS n, round(sum(s) / sum(n), 12) AS mean, round(sum(w) / sum(n), 12) AS p_positive, CASE WHEN sum(n) >= 150 THEN 'high' ELSE 'medium' END AS confidence
 FROM q JOIN dd USING (bucket, regime, horizon) WHERE dd.exit_date < q.as_of GROUP BY ALL HAVING sum(n) >= 25""",
 )
 AS_OF = "2024-01-12 12:00:00"

@@ -90,7 +90,7 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "view", "cancelled").when(F.col("event_type") == "purchase", "filled").otherwise("placed")
     return e.select(
         F.col("event_id").alias("id"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("Brand#"), (1 + F.col("user_id") % 25).cast("string")).alias("symbol"),
         side.alias("side"),
         status.alias("status"),

@@ -50,7 +50,7 @@ def _plain(v):
     if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and np.isnan(v):
         return None
     if isinstance(v, (float, np.floating)) or type(v).__name__ == "Decimal":
-        return round(float(v), 9) + 0.0
+        return round(float(v), 12) + 0.0
     if isinstance(v, (list, tuple, np.ndarray)):
         return tuple(_plain(x) for x in v)
     if isinstance(v, (bool, np.bool_)):
