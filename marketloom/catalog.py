@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketloom.plans import evaluation, indicators, ledger, signals, stats  # noqa: F401
+from marketloom.plans import evaluation, indicators, ledger, signals, stats, streams  # noqa: F401
 from marketloom.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -84,8 +84,12 @@ TRADES_SQL = """trades AS (SELECT l_orderkey * 10 + l_linenumber AS id, p_brand
 
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders from the event stream: ``id, ts, symbol, side, status, mode, notional``."""
-    e = table(spark, sf_dir, "events")
+    """Orders from the event table: ``id, ts, symbol, side, status, mode, notional``."""
+    return orders_of(table(spark, sf_dir, "events"))
+
+
+def orders_of(e: DataFrame) -> DataFrame:
+    """Orders from events, a table or a stream."""
     side = F.when(F.col("event_type") == "purchase", "buy").when(F.col("event_type") == "signup", "sell").otherwise(F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell"))
     status = F.when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "view", "cancelled").when(F.col("event_type") == "purchase", "filled").otherwise("placed")
     return e.select(
@@ -122,7 +126,11 @@ EQUITY_SQL = """equity AS (SELECT 'paper' AS source, d, 10000 + sum(s) OVER (ORD
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines from documents and labels: one every 17 minutes; null label: unclassified."""
-    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return news_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def news_of(d: DataFrame, l: DataFrame) -> DataFrame:
+    """Headlines from documents (a table or a stream) and labels (a table)."""
     return d.join(l, "doc_id", "left").select(
         "doc_id",
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id") * 17)).alias("published_at"),
