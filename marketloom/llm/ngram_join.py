@@ -6,6 +6,7 @@
 2. A second scan emits the first shingles of every set (the prefix that any set of
    similarity MIN_PERCENT must meet) with set size and position. Those rows are the index
    lists, sorted by shingle in a shuffle and read as a stream: a list of one set is dropped,
+   and so is a row whose size and position rule out all others of its list;
    the others, in order of set size, name a leader for every block of similar sizes. A list
    whose counter is far over the mean is salted, and the heads of its parts meet in a
    second, small step. So a list of any length gives as many rows as it has sets.
@@ -45,7 +46,8 @@ ORDER_BUCKETS = 1 << 16
 _SHIFT = np.uint64(48)
 #: A counter over so many times the mean has its lists salted, a salt for each such multiple.
 HOT_MEANS = 4
-#: Ids of texts to fetch are broadcast up to so many (16 bytes each), else joined by a shuffle.
+#: Ids, pairs and component labels are broadcast up to so many rows (24 bytes each at most);
+#: beyond that the same joins shuffle.
 BROADCAST_ROWS = 500_000
 #: In a round, a set is compared with so many leaders of other components.
 ROUND_LEADERS = 4
@@ -130,6 +132,23 @@ def _prefix_rows(docs: DataFrame, counts: np.ndarray, words: int, percent: int)
     return docs.mapInArrow(run, "token long, salt int, cid long, size int, pos int")
 
 
+def _has_partner(x: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
+    """Whether another row of the list has a size that the row's size and position allow.
+
+    Rows are (token, salt, size, cid, pos) in order. The lists at both ends of a batch may go
+    on outside of it, and salted ones elsewhere: their rows all stay.
+    """
+    number = np.cumsum(first) - 1
+    n, left = x[:, 2], x[:, 2] - x[:, 4]
+    low = -(-n * percent // 100)
+    high = np.minimum(n * 100 // percent, (left * (100 + percent) - n * percent) // percent)
+    span = np.int64(1) << 31
+    key = number * span + n
+    others = np.searchsorted(key, number * span + high, side="right") - np.searchsorted(key, number * span + low, side="left")
+    others -= (n >= low) & (n <= high)
+    return (others > 0) | (x[:, 1] >= 0) | (number == 0) | (number == number[-1])
+
+
 def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
     """The index lists of two sets or more (or of salted tokens). A list stands in order of
     set size, cut into blocks of similar sizes; a block's first set leads it, and is itself
@@ -162,7 +181,7 @@ def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
             inner = start & ~first
             leads[inner] = x[np.flatnonzero(inner) - 1][:, [3, 2, 4]]
             alone = first & np.append(first[1:], True) & (x[:, 1] < 0)
-            give = ~alone
+            give = ~alone & _has_partner(x, first, percent)
             if tail is not None:
                 # The row carried over is given now only if it was held back before.
                 if held is None:
@@ -195,6 +214,8 @@ def _texts(sigs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """Exact overlaps of pairs (a, b) of classes: (a, b, o, na, nb)."""
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("sig")), docs, classes)
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
     a = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("sig").alias("b"), F.col("text").alias("tb"))
 
@@ -218,7 +239,7 @@ def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
                 cols = np.array(rows, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[:, k]) for k in range(5)], ["a", "b", "o", "na", "nb"])
 
-    return write_through(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, o long, na long, nb long"), "join-overlaps")
+    return write_through(a.join(pairs, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, o long, na long, nb long"), "join-overlaps")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -274,9 +295,10 @@ def _sized(comps: DataFrame) -> DataFrame:
 
 def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """(token, cid, size, pos, comp, members) of the lists with sets of different components."""
-    named = lists.join(comps, lists.cid == comps.node, "left").select("token", "cid", "size", "pos", F.coalesce("comp", "cid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
+    small = F.broadcast(comps) if comps.count() <= BROADCAST_ROWS else comps
+    named = lists.join(small, lists.cid == comps.node, "left").select("token", "cid", "size", "pos", F.coalesce("comp", "cid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
     open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return write_through(named.join(open_, "token", "left_semi").distinct(), "join-mixed")
+    return write_through(named.join(open_, "token", "left_semi"), "join-mixed")
 
 
 def _round_pairs(mixed: DataFrame, done: DataFrame, number: int, percent: int) -> DataFrame:
@@ -397,7 +419,9 @@ def _ask_blocks(asks: DataFrame, sized: DataFrame, docs: DataFrame, classes: Dat
 def _derived(pairs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """``pairs`` with ``sure``: true or false where a leader's overlaps decide, else null."""
     by = done.select(F.col("a").alias("k"), F.col("b").alias("leader"), "o", F.col("nb").alias("nl"))
-    p = pairs.join(by.select(F.col("k").alias("a"), "leader", F.col("o").alias("oa"), "nl"), "a").join(by.select(F.col("k").alias("b"), "leader", F.col("o").alias("ob")), ["b", "leader"])
+    # Of a's leaders the nearest one: a row for each pair, whatever the number of leaders.
+    near = by.groupBy("k").agg(F.max_by(F.struct("leader", "o", "nl"), F.struct("o", "leader")).alias("l")).select(F.col("k").alias("a"), "l.leader", F.col("l.o").alias("oa"), "l.nl")
+    p = pairs.join(near, "a").join(by.select(F.col("k").alias("b"), "leader", F.col("o").alias("ob")), ["b", "leader"])
     need = (F.col("na") + F.col("nb")) * percent
     low = (F.col("oa") + F.col("ob") - F.col("nl")) * (100 + percent) >= need
     high = (F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))) * (100 + percent) >= need
