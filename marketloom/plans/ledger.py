@@ -159,7 +159,7 @@ def _candidates(spark, d):
     return x.select(F.col("d").alias("cycle"), "symbol", F.col("atr_pct").alias("atr"), F.round(F.col("volume") % 97 / 97, 9).alias("score"), F.lit(0.6).alias("coverage"))
 
 
-CAND = f"{B}, {TR}, {ATR}, cand AS (SELECT d AS cycle, symbol, atr_pct AS atr, round(volume % 97 / 97, 9) AS score, 0.6 AS coverage FROM atr WHERE atr_pct > 0 AND symbol <> 'ALL')"
+CAND = f"{B}, {TR}, {ATR}, cand AS (SELECT d AS cycle, symbol, atr_pct AS atr, round(volume % 97 / 97, 9) AS score, 0.6::DOUBLE AS coverage FROM atr WHERE atr_pct > 0 AND symbol <> 'ALL')"
 SIZED = f"{CAND}, s0 AS (SELECT *, least(10000 * 0.01 / atr, 10000 * 0.08) * least(1, 0.5 + score) * (0.5 + 0.5 * coverage) AS notional FROM cand), sized AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY score DESC, symbol) AS rank FROM s0 WHERE notional >= 5) WHERE rank <= 4)"
 register(
     "p1_vol_target",
@@ -191,7 +191,7 @@ register(
     "w20_streaks",
     _streaks,
     f"""WITH {B}, x AS (SELECT symbol, d, coalesce(round(close / lag(close) OVER (PARTITION BY symbol ORDER BY d) - 1, 9) < 0, false) AS f FROM bars),
-y AS (SELECT *, sum((NOT f)::INT) OVER (PARTITION BY symbol ORDER BY d) AS i FROM x) SELECT symbol, d, sum(f::INT) OVER (PARTITION BY symbol, i ORDER BY d) AS streak FROM y""",
+y AS (SELECT *, sum((NOT f)::INT) OVER (PARTITION BY symbol ORDER BY d) AS i FROM x) SELECT symbol, d, (sum(f::INT) OVER (PARTITION BY symbol, i ORDER BY d))::BIGINT AS streak FROM y""",
 )
 
 

@@ -99,7 +99,7 @@ def _regimes(spark, d):
 register(
     "e1_regime",
     lambda spark, d: rounded(_regimes(spark, d).select("d", "trend", "breadth", "credit", "regime", "deployment"), "breadth", "credit"),
-    f"WITH {B}, {BR}, {REGIME} SELECT d, trend, round(breadth, 6) AS breadth, round(credit, 6) AS credit, regime, CASE regime WHEN 'risk_on' THEN 1.0 WHEN 'neutral' THEN 0.6 WHEN 'risk_off' THEN 0.25 ELSE 0.0 END AS deployment FROM rg",
+    f"WITH {B}, {BR}, {REGIME} SELECT d, trend, round(breadth, 6) AS breadth, round(credit, 6) AS credit, regime, CASE regime WHEN 'risk_on' THEN 1.0 WHEN 'neutral' THEN 0.6 WHEN 'risk_off' THEN 0.25 ELSE 0.0 END::DOUBLE AS deployment FROM rg",
 )
 
 
