@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.scratch import table
+from marketloom.llm.scratch import table, write_through
 
 #: The white space that is stripped: space and U+0009 to U+000D.
 STRIP = " \t\n\x0b\x0c\r"
@@ -52,6 +52,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
         .select("d", "r", "p", F.unhex(F.md5("k")).alias("h"))
     )
     common = lines.select("h", "d").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
+    # Written, its size is known: Spark then broadcasts it if it is small, and else shuffles
+    # both sides as they are, so that it can split the rows of a very common line.
+    common = write_through(common, "common-lines")
     gone = lines.select("r", "p", "h").join(common, "h", "left_semi").groupBy("r").agg(F.array_sort(F.collect_set("p")).alias("__gone"))
     parts = F.split(text, "\n", -1)
     out = (
