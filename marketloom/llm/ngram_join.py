@@ -214,10 +214,12 @@ def _texts(sigs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """Exact overlaps of pairs (a, b) of classes: (a, b, o, na, nb)."""
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("sig")), docs, classes)
+    second = pairs.select("b").distinct()
     if pairs.count() <= BROADCAST_ROWS:
-        pairs = F.broadcast(pairs)
+        pairs, second = F.broadcast(pairs), F.broadcast(second)
     a = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("sig").alias("b"), F.col("text").alias("tb"))
+    # Many sets share a leader: only the texts that are second of a pair go to that side.
+    b = texts.select(F.col("sig").alias("b"), F.col("text").alias("tb")).join(second, "b", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}
