@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.decontaminate import decontaminate
 from marketloom.llm.line_dedup import dedup_lines
 from marketloom.llm.mixing import mix_sources
-from marketloom.llm.ngram_join import join_components
+from marketloom.llm.ngram_join import join_components, row_key
 from marketloom.llm.quality_rules import quality_rules
 from marketloom.llm.scratch import table, write_through
 
@@ -37,12 +37,18 @@ def apply_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def apply_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id. Of repeated rows of one id
-    the row with the smallest text stays. Rows without an id can't be named and stay."""
+    """One row of each component: that with the smallest id, of rows that share this id one
+    text, and of repeated rows one. Rows without an id stay only where no other row of their
+    component does. Of rows without shingles one of each id stays, and all without an id."""
     docs = docs.select(*COLUMNS)
-    first = join_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(first, "doc_id", "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang")))
-    return one.where("__k = 1").select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    found = join_components(docs, keyed=True)
+    # Rows without an id come last.
+    best = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("r")).select("r.row_key")
+    bare = found.where("component is null and doc_id is not null").groupBy("doc_id").agg(F.min("row_key").alias("row_key")).select("row_key")
+    rows = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    one = rows.join(best.unionByName(bare), "row_key", "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy("row_key").orderBy("source", "lang", "n_chars")))
+    nameless = found.where("component is null and doc_id is null").select("row_key").distinct()
+    return one.where("__k = 1").select(*COLUMNS).unionByName(rows.join(nameless, "row_key", "left_semi").select(*COLUMNS))
 
 
 def apply_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm import textbatch as tb
@@ -70,7 +70,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets_pass(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of documents (id, n, sig) and rows of counters (block, counts)."""
+    """Rows of documents (id, key, n, sig) and rows of counters (block, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ORDER_BUCKETS, np.int64)
@@ -80,17 +80,17 @@ def _sets_pass(docs: DataFrame, words: int) -> DataFrame:
                 counts += np.bincount(np.concatenate(sets) >> _SHIFT if sets else [], minlength=ORDER_BUCKETS).astype(np.int64)
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))],
-                    ["id", "n", "sig", "block", "counts"],
+                    [batch.column("id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))],
+                    ["id", "key", "n", "sig", "block", "counts"],
                 )
         if counts.any():
             parts = counts.reshape(16, -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(16, pa.int64()), pa.nulls(16, pa.int32()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array(parts.tolist(), pa.list_(pa.int64()))],
-                ["id", "n", "sig", "block", "counts"],
+                [pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int32()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array(parts.tolist(), pa.list_(pa.int64()))],
+                ["id", "key", "n", "sig", "block", "counts"],
             )
 
-    return docs.mapInArrow(run, "id long, n int, sig long, block int, counts array<long>")
+    return docs.mapInArrow(run, "id long, key long, n int, sig long, block int, counts array<long>")
 
 
 def _order(first: DataFrame) -> np.ndarray:
@@ -202,13 +202,26 @@ def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "token long, salt int, cid long, size int, pos int, leader long, lead_size int, lead_pos int")
 
 
+def row_key(id_col: Column, text: Column) -> Column:
+    """What tells rows apart: a 64-bit hash of id and text. Rows of one key are repeated rows."""
+    return F.xxhash64(F.coalesce(id_col.cast("long"), F.lit(_NO_ID)), text)
+
+
 def _texts(sigs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, text) of the classes ``sigs``. The texts are read again where they are; they are
-    shuffled only if the ids are too many to broadcast."""
+    """(sig, text), a row for each of the classes ``sigs``. The texts are read again where they
+    are, by the key of a row that has the set; they are shuffled only if the keys are too many
+    to broadcast. Of repeated rows the one with the lowest tag stays."""
     needed = write_through(sigs.distinct().join(classes.select("sig", "rep"), "sig"), "join-needed")
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
-    return write_through(docs.join(needed.withColumnRenamed("rep", "id"), "id").select("sig", "text"), "join-texts")
+    tag = F.monotonically_increasing_id()  # fixed once written
+    texts = write_through(docs.select("key", "text").join(needed.withColumnRenamed("rep", "key"), "key").select("sig", "text", tag.alias("tag")), "join-texts")
+    again = write_through(texts.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("tag").alias("low")).where("k > 1").select("sig", "low"), "join-repeated")
+    if not (many := again.count()):
+        return texts.select("sig", "text")
+    if many <= BROADCAST_ROWS:
+        again = F.broadcast(again)
+    return texts.join(again, "sig", "left").where("low is null or low = tag").select("sig", "text")
 
 
 def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -431,8 +444,10 @@ def _derived(pairs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sure, ["a", "b"], "left")
 
 
-def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: ``doc_id, n_shingles, component_id, n_copies``.
+def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERCENT, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """A row for each row of ``docs``: ``doc_id, n_shingles, component_id, n_copies``; with
+    ``keyed`` also ``row_key`` and ``component``, a number that a component has even without ids
+    (null for a row without shingles).
 
     Texts link when 100 x intersection >= percent x union of their shingle sets;
     ``component_id`` is the smallest id reachable by links, ``n_copies`` the number of rows
@@ -446,9 +461,10 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERC
     * Sets and shingles are told apart by 64-bit hashes.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("key", row_key(F.col("id"), F.col("text")))
     first = write_through(_sets_pass(rows, words), "join-sets")
-    sets = first.where("block is null").select("id", "n", "sig")
-    classes = sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
+    sets = first.where("block is null").select("id", "key", "n", "sig")
+    classes = sets.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
     lists = write_through(_lists(_prefix_rows(rows, _order(first), words, percent), percent), "join-lists")
     pairs = _leader_pairs(lists, percent)
     done = _compare(write_through(pairs, "join-pairs"), rows, classes, words)
@@ -477,13 +493,15 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERC
     named = classes.join(comps, classes.sig == comps.node, "left").select("sig", "rep", "n_copies", F.coalesce("comp", "sig").alias("comp"))
     low = sets.where(f"n > 0 and id <> {_NO_ID}").groupBy("sig").agg(F.min("id").alias("low"))
     tops = named.join(low, "sig", "left").groupBy("comp").agg(F.min("low").alias("component_id"))
-    known = named.join(tops, "comp").select("sig", "n_copies", "component_id")
+    known = named.join(tops, "comp").select("sig", "n_copies", "component_id", "comp")
+    more = [F.col("key").alias("row_key"), F.col("comp").alias("component")] if keyed else []
     own = F.when(F.col("id") != _NO_ID, F.col("id"))
     return sets.join(known, (sets.sig == known.sig) & (sets.n > 0), "left").select(
         own.alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+        *more,
     )
 
 

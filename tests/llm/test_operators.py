@@ -218,6 +218,28 @@ def test_ngram_join_equals_brute_force(seed, spark):
     assert [got[k] for k in range(len(texts))] == plain_components(texts)
 
 
+@pytest.mark.parametrize("no_id", [True, False])
+def test_ngram_join_compares_rows_by_their_own_texts(no_id, spark):
+    """Groups of near copies of which all rows share one id (or have none), and repeated rows."""
+    texts = []
+    for group in range(8):
+        base = words(7000 + group, 60)
+        texts += [" ".join(base), " ".join([*base[:-1], f"n{group}"]), " ".join(base[:40] + words(7100 + group, 20))]
+    texts += [texts[0]] * 5
+    rows = [(None if no_id else 9, t, "en", "s", len(t)) for t in texts] + [(100 + k, t + " end", "en", "s", len(t)) for k, t in enumerate(texts)]
+    every = [r[1] for r in rows]
+    out = ngram_join.join_components(spark.createDataFrame(rows, DOCS).repartition(3), keyed=True).collect()
+    plain = plain_components(every)
+    got = {}
+    for r in out:
+        got.setdefault(r.component, set()).add((r.doc_id, r.n_shingles, r.component_id))
+    want = {}
+    for r, (n, c) in zip(rows, plain, strict=True):
+        ids = [x[0] for x, (_, y) in zip(rows, plain, strict=True) if y == c and x[0] is not None]
+        want.setdefault(c, set()).add((r[0], n, min(ids) if ids else None))
+    assert sorted(map(sorted, (map(str, g) for g in got.values()))) == sorted(map(sorted, (map(str, g) for g in want.values())))
+
+
 def test_answers_equal_brute_force():
     r = np.random.default_rng(3)
     base = np.unique(r.integers(0, 2**63, 80).astype(np.uint64))

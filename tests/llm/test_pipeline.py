@@ -29,3 +29,10 @@ def test_join_stage_keeps_one_of_each_group(spark, data):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(5, text, None, None, 1), (4, text + " end", None, None, 1), (9, "different words stand in this text", None, None, 1), (9, "different words stand in this text", None, None, 1)]
     assert sorted(r.doc_id for r in cp.apply_ngram_join(spark, spark.createDataFrame(rows, DOCS), data).collect()) == [4, 9]
+
+
+def test_join_stage_tells_rows_of_one_id_apart(spark, data):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(4, a, None, None, 1), (9, a + " end", None, None, 1), (9, b, None, None, 1), (None, b, None, None, 1), (None, "c " + b[:90], None, None, 1), (None, "c " + b[:90], None, None, 1)]
+    out = cp.apply_ngram_join(spark, spark.createDataFrame(rows, DOCS), data).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "c " + b[:90]), (4, a), (9, b)]
