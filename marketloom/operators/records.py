@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.columns import full
 from marketloom.operators import indicators as ind
+from marketloom.operators.joins import next_after
 
 #: What counts as secret in free text, in the order of replacement.
 SECRET_PATTERNS = (
@@ -54,17 +55,21 @@ def assign_sector(stocks: DataFrame, sectors: DataFrame, last: int = 126, least:
 
 def first_exit(entries: DataFrame, bars: DataFrame, horizon: int = 20, stop: float = 0.036) -> DataFrame:
     """Each entry (symbol, d, close) with its first bar at or under the stop, or at least
-    1.5 horizons old. An exit by time is the first bar after that age; bars and entries meet
-    by symbol and by month-long buckets of days, so no history is paired with all of another.
+    1.5 horizons old. An exit by time is the first bar of that age or more, however much
+    later, found by one as-of step. Stops inside that age are found by symbol and buckets of
+    days, so no history is paired with all of another.
     """
     limit = int(horizon * 1.5)
     span = limit * 2
     day = F.datediff("d", F.lit("1970-01-01").cast("date"))
-    e = entries.select("symbol", F.col("d").alias("entry_d"), F.col("close").alias("entry"), F.explode(F.array(F.floor(day / span), F.floor(day / span) + 1)).alias("b"))
+    once = entries.select("symbol", F.col("d").alias("entry_d"), F.col("close").alias("entry")).distinct()
+    e = once.withColumn("b", F.explode(F.array(F.floor(F.datediff("entry_d", F.lit("1970-01-01").cast("date")) / span), F.floor(F.datediff("entry_d", F.lit("1970-01-01").cast("date")) / span) + 1)))
     h = bars.select("symbol", "d", "close", F.floor(day / span).alias("b"))
-    age = F.datediff("d", "entry_d")
-    hit = e.join(h, ["symbol", "b"]).where((F.col("d") > F.col("entry_d")) & ((F.col("close") <= F.col("entry") * (1 - stop)) | (age >= limit)))
-    g = hit.groupBy("symbol", "entry_d", "entry").agg(F.min("d").alias("exit_d"), F.min_by("close", "d").alias("exit"))
+    hit = e.join(h, ["symbol", "b"]).where((F.col("d") > F.col("entry_d")) & (F.col("close") <= F.col("entry") * (1 - stop)) & (F.datediff("d", "entry_d") < limit))
+    stopped = hit.groupBy("symbol", "entry_d", "entry").agg(F.min("d").alias("stop_d"), F.min_by("close", "d").alias("stop_close"))
+    due = next_after(once.withColumn("d", F.date_add("entry_d", limit - 1)), bars.select("symbol", "d", F.col("d").alias("time_d"), F.col("close").alias("time_close")), ["time_d", "time_close"], ["symbol"], "d").drop("d")
+    both = due.join(stopped, ["symbol", "entry_d", "entry"], "left")
+    g = both.select("symbol", "entry_d", "entry", F.coalesce("stop_d", "time_d").alias("exit_d"), F.when(F.col("stop_d").isNotNull(), F.col("stop_close")).otherwise(F.col("time_close")).alias("exit")).where("exit_d is not null")
     reason = F.when(F.col("exit") <= F.col("entry") * (1 - stop), "stop_loss").otherwise("time_stop")
     return g.withColumn("reason", reason).withColumn("ret", F.col("exit") / F.col("entry") - 1)
 

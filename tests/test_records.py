@@ -53,6 +53,14 @@ def test_exits_by_stop_and_by_time(spark):
     assert out[9].reason == "time_stop" and out[9].exit == 101.0
 
 
+def test_time_exit_after_a_long_gap(spark):
+    """Entries at all places of a bucket leave at the first bar after a gap of any length."""
+    bars = spark.createDataFrame(days(*((k, 100) for k in range(60)), (400, 99)), "symbol string, d date, close double")
+    out = {r.entry_d: r for r in records.first_exit(bars, bars).collect()}
+    assert len(out) == 60 and {(r.exit_d - e).days for e, r in out.items() if (e - dt.date(2020, 1, 1)).days < 30} == {30}
+    assert all(r.exit == 99.0 and r.reason == "time_stop" for e, r in out.items() if (e - dt.date(2020, 1, 1)).days >= 30)
+
+
 def test_as_of_joins_take_the_edge(spark):
     schema = "symbol string, d date, v double"
     history = spark.createDataFrame(days((0, 1), (2, 2), (4, 3)), schema)
