@@ -10,7 +10,10 @@
    the others, in order of set size, name a leader for every block of similar sizes. A list
    whose counter is far over the mean is salted, and the heads of its parts meet in a
    second, small step. So a list of any length gives as many rows as it has sets.
-3. Each set is compared, exactly, with the leader it meets most often. Linked sets form
+3. Each set is proposed to the leader it meets most often. A proposal is settled in three
+   steps, the cheap ones first (``_settle``): what two prefixes share and how much can follow
+   behind them bounds the overlap from above; overlaps with a leader that both were compared
+   with bound it from both sides; the texts of what is left are compared. Linked sets form
    components.
 4. Lists that still hold sets of different components draw other leaders in rounds, for as
    long as that links a good share of what is compared: a large group of near copies, not
@@ -18,13 +21,13 @@
 5. What lists still hold sets of different components ask: a set asks the components, no
    smaller than its own, that stand in its lists. Blocks of set sizes are skipped by the
    join key, positions by the bound on what can follow, pairs of one component altogether.
-   Small components are expanded; a leader that both sets were compared with bounds their
-   overlap from below and above, and only pairs between the bounds are compared by their
-   texts. Large components are asked in blocks: over a block's index lists the overlaps of
-   an asker follow from those of a similar asker before it (``answers``).
+   Small components are expanded and their pairs settled as before. Large components are
+   asked in blocks: over a block's index lists the overlaps of an asker follow from those of
+   a similar asker before it (``answers``).
 
 Every pair of similar sets is thus compared, derived, or already connected, so components
-are exact, and no group is ever collected or expanded into its pairs.
+are complete, and no group is ever collected or expanded into its pairs. Sets and shingles
+are told apart by 64-bit hashes: "the same" below always means the same hash.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm import textbatch as tb
-from marketloom.llm.scratch import table, write_through
+from marketloom.llm.scratch import Steps, table, write_through
 
 WORDS = 5
 MIN_PERCENT = 75
@@ -46,16 +49,18 @@ ORDER_BUCKETS = 1 << 16
 _SHIFT = np.uint64(48)
 #: A counter over so many times the mean has its lists salted, a salt for each such multiple.
 HOT_MEANS = 4
-#: Ids, pairs and component labels are broadcast up to so many rows (24 bytes each at most);
-#: beyond that the same joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Keys, pairs and component labels are broadcast up to so many rows of two or three numbers
+#: (about 100 bytes each as Spark holds them); beyond that the same joins shuffle.
+BROADCAST_ROWS = 200_000
+#: Beyond that number of keys, the scan for texts is thinned by a bit array of this size
+#: before its rows are shuffled.
+FILTER_BITS = 1 << 26
 #: In a round, a set is compared with so many leaders of other components.
 ROUND_LEADERS = 4
 #: Rounds go on while at least one in so many of their pairs is a link.
 ROUND_YIELD = 10
 #: Components of more sets than SMALL are asked in blocks of about BLOCK_SETS sets.
 SMALL, BLOCK_SETS = 4, 512
-_NO_ID = -(1 << 63)
 
 
 def signature(s: np.ndarray) -> int:
@@ -69,12 +74,18 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _suffix(n: str, percent: int) -> str:
+    """SQL: so many elements of a set of n follow its prefix."""
+    return f"({n} * {percent}L + 99) div 100 - 1"
+
+
 def _sets_pass(docs: DataFrame, words: int) -> DataFrame:
     """Rows of documents (id, key, n, sig) and rows of counters (block, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ORDER_BUCKETS, np.int64)
         for whole in batches:
+            id_type = whole.schema.field("id").type
             for batch in tb.slices(whole, "text"):
                 sets = tb.shingle_sets(*tb.flat(batch.column("text")), words)
                 counts += np.bincount(np.concatenate(sets) >> _SHIFT if sets else [], minlength=ORDER_BUCKETS).astype(np.int64)
@@ -86,11 +97,11 @@ def _sets_pass(docs: DataFrame, words: int) -> DataFrame:
         if counts.any():
             parts = counts.reshape(16, -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int32()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array(parts.tolist(), pa.list_(pa.int64()))],
+                [pa.nulls(16, id_type), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int32()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array(parts.tolist(), pa.list_(pa.int64()))],
                 ["id", "key", "n", "sig", "block", "counts"],
             )
 
-    return docs.mapInArrow(run, "id long, key long, n int, sig long, block int, counts array<long>")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key long, n int, sig long, block int, counts array<long>")
 
 
 def _order(first: DataFrame) -> np.ndarray:
@@ -114,7 +125,7 @@ def _prefix_rows(docs: DataFrame, counts: np.ndarray, words: int, percent: int)
         for whole in batches:
             for batch in tb.slices(whole, "text"):
                 out: list[tuple] = []
-                for key, s in zip(batch.column("id").to_pylist(), tb.shingle_sets(*tb.flat(batch.column("text")), words), strict=True):
+                for s in tb.shingle_sets(*tb.flat(batch.column("text")), words):
                     if not len(s) or (sig := signature(s)) in seen:
                         continue
                     seen.add(sig)
@@ -122,7 +133,7 @@ def _prefix_rows(docs: DataFrame, counts: np.ndarray, words: int, percent: int)
                     bucket = (s >> _SHIFT).astype(np.int64)
                     order = np.lexsort((s, counts[bucket]))[:p]
                     hot = salts[bucket[order]]
-                    draw = tb.mix(np.array([(key ^ sig) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] >> np.uint64(16)
+                    draw = tb.mix(np.array([sig & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] >> np.uint64(16)
                     salt = np.where(hot > 0, np.int64(draw) % (hot + 1), -1)
                     out.append((s[order].view(np.int64), salt, np.full(p, sig), np.full(p, len(s)), np.arange(p)))
                 if out:
@@ -132,8 +143,9 @@ def _prefix_rows(docs: DataFrame, counts: np.ndarray, words: int, percent: int)
     return docs.mapInArrow(run, "token long, salt int, cid long, size int, pos int")
 
 
-def _has_partner(x: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
-    """Whether another row of the list has a size that the row's size and position allow.
+def _has_partner(x: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether another row of the list has a size that the row's size allows; and one that its
+    size and position allow, if nothing shared stands before.
 
     Rows are (token, salt, size, cid, pos) in order. The lists at both ends of a batch may go
     on outside of it, and salted ones elsewhere: their rows all stay.
@@ -141,18 +153,24 @@ def _has_partner(x: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
     number = np.cumsum(first) - 1
     n, left = x[:, 2], x[:, 2] - x[:, 4]
     low = -(-n * percent // 100)
-    high = np.minimum(n * 100 // percent, (left * (100 + percent) - n * percent) // percent)
+    whole = n * 100 // percent
     span = np.int64(1) << 31
     key = number * span + n
-    others = np.searchsorted(key, number * span + high, side="right") - np.searchsorted(key, number * span + low, side="left")
-    others -= (n >= low) & (n <= high)
-    return (others > 0) | (x[:, 1] >= 0) | (number == 0) | (number == number[-1])
+    stays = (x[:, 1] >= 0) | (number == 0) | (number == number[-1])
+
+    def within(high: np.ndarray) -> np.ndarray:
+        others = np.searchsorted(key, number * span + high, side="right") - np.searchsorted(key, number * span + low, side="left")
+        return others - ((n >= low) & (n <= high)) > 0
+
+    by_size = within(whole) | stays
+    return by_size, by_size & (within(np.minimum(whole, (left * (100 + percent) - n * percent) // percent)) | stays)
 
 
 def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
     """The index lists of two sets or more (or of salted tokens). A list stands in order of
     set size, cut into blocks of similar sizes; a block's first set leads it, and is itself
-    led by the set before it, the last of the block below."""
+    led by the set before it, the last of the block below. Rows that are not ``starts`` can't
+    be the first that two similar sets share; they only count for what their prefixes share."""
     ratio = np.log(100.0 / percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +199,8 @@ def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
             inner = start & ~first
             leads[inner] = x[np.flatnonzero(inner) - 1][:, [3, 2, 4]]
             alone = first & np.append(first[1:], True) & (x[:, 1] < 0)
-            give = ~alone & _has_partner(x, first, percent)
+            by_size, starts = _has_partner(x, first, percent)
+            give = ~alone & by_size
             if tail is not None:
                 # The row carried over is given now only if it was held back before.
                 if held is None:
@@ -194,29 +213,48 @@ def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
                 give[-1] = False
             tail, lead = x[-1], last_lead
             if give.any():
-                y, l = x[give], leads[give]
-                cols = [(y[:, 0], pa.int64()), (y[:, 1], pa.int32()), (y[:, 3], pa.int64()), (y[:, 2], pa.int32()), (y[:, 4], pa.int32()), (l[:, 0], pa.int64()), (l[:, 1], pa.int32()), (l[:, 2], pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["token", "salt", "cid", "size", "pos", "leader", "lead_size", "lead_pos"])
+                y, l, may = x[give], leads[give], starts[give]
+                cols = [(y[:, 0], pa.int64()), (y[:, 1], pa.int32()), (y[:, 3], pa.int64()), (y[:, 2], pa.int32()), (y[:, 4], pa.int32()), (l[:, 0], pa.int64()), (l[:, 1], pa.int32()), (l[:, 2], pa.int32()), (may, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["token", "salt", "cid", "size", "pos", "leader", "lead_size", "lead_pos", "starts"])
 
     dealt = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "cid")
-    return dealt.mapInArrow(run, "token long, salt int, cid long, size int, pos int, leader long, lead_size int, lead_pos int")
+    return dealt.mapInArrow(run, "token long, salt int, cid long, size int, pos int, leader long, lead_size int, lead_pos int, starts boolean")
 
 
 def row_key(id_col: Column, text: Column) -> Column:
     """What tells rows apart: a 64-bit hash of id and text. Rows of one key are repeated rows."""
-    return F.xxhash64(F.coalesce(id_col.cast("long"), F.lit(_NO_ID)), text)
+    return F.xxhash64(id_col.isNull(), id_col, text)
+
 
+def _thinned(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows whose key isn't among ``keys``: by FILTER_BITS bits,
+    whatever the number of keys, so that the rest of the texts needn't be shuffled."""
+    at = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    found = keys.select(at.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
-def _texts(sigs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column("h").to_numpy()
+            yield b.filter(pa.array((sent.value[h >> 6] >> (h & 63)) & 1 == 1)).drop_columns(["h"])
+
+    return docs.select("key", "text", at.alias("h")).mapInArrow(run, "key long, text string")
+
+
+def _texts(steps: Steps, sigs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(sig, text), a row for each of the classes ``sigs``. The texts are read again where they
-    are, by the key of a row that has the set; they are shuffled only if the keys are too many
-    to broadcast. Of repeated rows the one with the lowest tag stays."""
-    needed = write_through(sigs.distinct().join(classes.select("sig", "rep"), "sig"), "join-needed")
+    are, by the key of a row that has the set; few keys are broadcast, many thin the scan and
+    are joined by a shuffle. Of repeated rows the one with the lowest tag stays."""
+    needed = steps.write(sigs.distinct().join(classes.select("sig", "rep"), "sig"), "join-needed").withColumnRenamed("rep", "key")
     if needed.count() <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
+        rows = docs.select("key", "text").join(F.broadcast(needed), "key")
+    else:
+        rows = _thinned(docs, needed).join(needed, "key")
     tag = F.monotonically_increasing_id()  # fixed once written
-    texts = write_through(docs.select("key", "text").join(needed.withColumnRenamed("rep", "key"), "key").select("sig", "text", tag.alias("tag")), "join-texts")
-    again = write_through(texts.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("tag").alias("low")).where("k > 1").select("sig", "low"), "join-repeated")
+    texts = steps.write(rows.select("sig", "text", tag.alias("tag")), "join-texts")
+    again = steps.write(texts.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("tag").alias("low")).where("k > 1").select("sig", "low"), "join-repeated")
     if not (many := again.count()):
         return texts.select("sig", "text")
     if many <= BROADCAST_ROWS:
@@ -224,9 +262,10 @@ def _texts(sigs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return texts.join(again, "sig", "left").where("low is null or low = tag").select("sig", "text")
 
 
-def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+def _compare(steps: Steps, pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """Exact overlaps of pairs (a, b) of classes: (a, b, o, na, nb)."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("sig")), docs, classes)
+    texts = _texts(steps, pairs.select(F.explode(F.array("a", "b")).alias("sig")), docs, classes)
+    pairs = pairs.select("a", "b")
     second = pairs.select("b").distinct()
     if pairs.count() <= BROADCAST_ROWS:
         pairs, second = F.broadcast(pairs), F.broadcast(second)
@@ -254,10 +293,53 @@ def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
                 cols = np.array(rows, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[:, k]) for k in range(5)], ["a", "b", "o", "na", "nb"])
 
-    return write_through(a.join(pairs, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, o long, na long, nb long"), "join-overlaps")
+    return steps.write(a.join(pairs, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, o long, na long, nb long"), "join-overlaps")
+
+
+def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): the pairs (a, b) that what their prefixes share lets be similar.
 
+    Shared elements of one order: with k in both prefixes, the last at ia and jb, the others
+    follow the prefix of the set whose prefix ends first, and stand behind ia and jb.
+    """
+    first, second = (prefixes.select(F.col("cid").alias(s), F.col("size").alias(f"n{s}"), F.col("tokens").alias(f"t{s}"), F.col("pos").alias(f"p{s}")) for s in "ab")
+    pairs = pairs.select("a", "b")
+    if pairs.count() <= BROADCAST_ROWS:
+        second = second.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        pairs = F.broadcast(pairs)
+    x = first.join(pairs, "a").join(second, "b").withColumn("both", F.array_intersect("ta", "tb")).where("size(both) > 0")
+    last = F.element_at("both", -1)
+    x = x.withColumn("ia", F.element_at("pa", F.array_position("ta", last).cast("int"))).withColumn("jb", F.element_at("pb", F.array_position("tb", last).cast("int")))
+    most = f"size(both) + greatest(least({_suffix('na', percent)}, nb - jb - 1), least({_suffix('nb', percent)}, na - ia - 1))"
+    return x.where(F.expr(f"({most}) * {100 + percent}L >= (na + nb) * {percent}L")).select("a", "b", F.col("na").cast("long").alias("na"), F.col("nb").cast("long").alias("nb"))
+
+
+def _prefix_arrays(lists: DataFrame) -> DataFrame:
+    """(cid, size, tokens, pos): by set the elements of its prefix that stand in lists, in
+    order. No longer than the set's prefix."""
+    rows = lists.groupBy("cid", "size").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("r"))
+    return rows.select("cid", "size", F.col("r.token").alias("tokens"), F.col("r.pos").alias("pos"))
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-def components(links: DataFrame) -> DataFrame:
+
+def _settle(steps: Steps, pairs: DataFrame, prefixes: DataFrame, done: DataFrame | None, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Links (a, b) among ``pairs``; ``done`` with the overlaps that were counted; and how many
+    pairs were left to be derived or counted."""
+    open_ = steps.write(_promising(pairs, prefixes, percent), "join-open")
+    asked = open_.count()
+    if done is not None:
+        open_ = steps.write(_derived(open_, done, percent), "join-derived")
+    else:
+        open_ = open_.withColumn("sure", F.lit(None).cast("boolean"))
+    more = _compare(steps, open_.where("sure is null"), docs, classes, words)
+    links = open_.where("sure").select("a", "b").unionAll(more.where(F.expr(f"o * {100 + percent} >= (na + nb) * {percent}")).select("a", "b"))
+    return links, more if done is None else done.unionAll(more), asked
+
+
+def components(steps: Steps, links: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``links`` (a, b): comp is the component's smallest node.
 
     Large-star and small-star rounds: each hangs every node's neighbours under the smallest
@@ -276,13 +358,14 @@ def components(links: DataFrame) -> DataFrame:
             return hung.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         return hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    edges, seen = write_through(links.where("a <> b").select("a", "b").distinct(), "join-links"), None
+    edges, seen = steps.write(links.where("a <> b").select("a", "b").distinct(), "join-links"), None
     while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
             break
         seen = now
-        edges = write_through(star(star(edges, True), False), "join-links")
+        before, edges = edges, steps.write(star(star(edges, True), False), "join-links")
+        steps.drop(before)
     tops = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(tops.select("node", F.col("node").alias("comp")))
 
@@ -296,61 +379,65 @@ def _fits(na: str, nb: str, pa: str, pb: str, percent: int) -> str:
 def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b): each set with the leader that it meets in most lists; and, of salted
     lists, the head of each part with the head of the first part."""
-    led = lists.where("cid <> leader").where(_fits("size", "lead_size", "pos", "lead_pos", percent))
+    led = lists.where("starts and cid <> leader").where(_fits("size", "lead_size", "pos", "lead_pos", percent))
     most = led.groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("k")).groupBy("cid").agg(F.max_by("leader", F.struct("k", "leader")).alias("b"))
     heads = lists.where("salt >= 0 and cid = leader").select("token", "cid").distinct()
     tops = heads.join(heads.groupBy("token").agg(F.min("cid").alias("b")), "token")
     return most.select(F.col("cid").alias("a"), "b").unionAll(tops.select(F.col("cid").alias("a"), "b")).where("a <> b").distinct()
 
 
-def _sized(comps: DataFrame) -> DataFrame:
+def _sized(steps: Steps, comps: DataFrame) -> DataFrame:
     """(node, comp, members): components with the number of their sets."""
-    return write_through(comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp"), "join-components")
+    return steps.write(comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp"), "join-components")
+
+
+def _by_part(lists: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``tokens``, a row for each salted part of the token's list: hot lists are then joined
+    part by part."""
+    return lists.select("token", "salt").distinct().join(tokens, "token")
 
 
-def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """(token, cid, size, pos, comp, members) of the lists with sets of different components."""
+def _mixed(steps: Steps, lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """(token, salt, cid, size, pos, comp, members) of the lists with sets of different
+    components."""
     small = F.broadcast(comps) if comps.count() <= BROADCAST_ROWS else comps
-    named = lists.join(small, lists.cid == comps.node, "left").select("token", "cid", "size", "pos", F.coalesce("comp", "cid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
+    named = lists.join(small, lists.cid == comps.node, "left").select("token", "salt", "cid", "size", "pos", F.coalesce("comp", "cid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
     open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return write_through(named.join(open_, "token", "left_semi"), "join-mixed")
+    return steps.write(named.join(_by_part(lists, open_), ["token", "salt"], "left_semi"), "join-mixed")
 
 
-def _round_pairs(mixed: DataFrame, done: DataFrame, number: int, percent: int) -> DataFrame:
+def _round_pairs(mixed: DataFrame, tried: DataFrame, number: int, percent: int) -> DataFrame:
     """Pairs (a, b): each set with a few sets that lead its lists in this round, of other
     components. A list's leader is drawn by hash, another one in each list and round."""
     draw = F.xxhash64("token", "cid", F.lit(number))
     led = mixed.groupBy("token").agg(F.max_by(F.struct("cid", "size", "pos", "comp"), F.struct(draw, "cid")).alias("l"))
     led = led.select("token", F.col("l.cid").alias("b"), F.col("l.size").alias("nb"), F.col("l.pos").alias("pb"), F.col("l.comp").alias("cb"))
-    pairs = mixed.join(led, "token").where("comp <> cb").where(_fits("size", "nb", "pos", "pb", percent)).groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("k"))
-    fresh = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    pairs = mixed.join(_by_part(mixed, led), ["token", "salt"]).where("comp <> cb").where(_fits("size", "nb", "pos", "pb", percent)).groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("k"))
+    fresh = pairs.join(_unordered(tried), ["a", "b"], "left_anti")
     # A set has no more leaders than its prefix has elements, so the ranking is of small groups.
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))
     return fresh.withColumn("r", rank).where(F.col("r") <= ROUND_LEADERS).select("a", "b")
 
 
-def _asks(mixed: DataFrame, percent: int) -> DataFrame:
+def _asks(steps: Steps, mixed: DataFrame, percent: int) -> DataFrame:
     """(a, holder, members): sets and the components, no smaller than their own, that may hold
     a set similar to them. A list is taken by component, not by set."""
     # Sizes of similar sets are in the same block or the next; other blocks are skipped.
     block = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent + 0.01))).cast("int")
     held = mixed.withColumn("g", block).groupBy("token", "g", F.col("comp").alias("holder"), F.col("members").alias("mh")).agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("pos").alias("ph"))
-    x = mixed.select("token", F.explode(F.array(block - 1, block, block + 1)).alias("g"), F.col("cid").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), "comp", "members")
+    x = mixed.select("token", "salt", F.explode(F.array(block - 1, block, block + 1)).alias("g"), F.col("cid").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), "comp", "members")
     fits = F.expr(
         "comp <> holder and (members < mh or members = mh and comp < holder)"
         f" and hi * 100L >= na * {percent}L and na * 100L >= lo * {percent}L"
         f" and least(na - pa, hi - ph) * {100 + percent}L >= (na + lo) * {percent}L"
     )
-    return write_through(x.join(held, ["token", "g"]).where(fits).select("a", "na", "holder", F.col("mh").alias("members")).distinct(), "join-asks")
+    return steps.write(x.join(_by_part(mixed, held), ["token", "salt", "g"]).where(fits).select("a", "holder", F.col("mh").alias("members")).distinct(), "join-asks")
 
 
-def _pairs_of(asks: DataFrame, sized: DataFrame, lists: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) of asks of small components, without those compared before."""
-    sizes = lists.select(F.col("cid").alias("b"), F.col("size").alias("nb")).distinct()
-    some = asks.join(sized.select(F.col("comp").alias("holder"), F.col("node").alias("b")), "holder", "left").select("a", "na", F.coalesce("b", "holder").alias("b"))
-    pairs = some.join(sizes, "b").where("a <> b").select("a", "b", "na", "nb").distinct()
-    tried = done.select("a", "b").unionAll(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(tried, ["a", "b"], "left_anti")
+def _pairs_of(asks: DataFrame, sized: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b) of asks of small components, without those tried before."""
+    some = asks.join(sized.select(F.col("comp").alias("holder"), F.col("node").alias("b")), "holder", "left").select("a", F.coalesce("b", "holder").alias("b"))
+    return some.where("a <> b").distinct().join(_unordered(tried), ["a", "b"], "left_anti")
 
 
 def answers(members: list[np.ndarray], askers: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -396,7 +483,7 @@ def answers(members: list[np.ndarray], askers: list[np.ndarray], percent: int) -
             yield k, by_size[int(similar[0])]
 
 
-def _ask_blocks(asks: DataFrame, sized: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _ask_blocks(steps: Steps, asks: DataFrame, sized: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b), one at most for each asker and block, of asks of large components.
 
     A component's sets are dealt into blocks by hash, its askers too; a task sees one block
@@ -413,7 +500,7 @@ def _ask_blocks(asks: DataFrame, sized: DataFrame, docs: DataFrame, classes: Dat
 
     members = sized.join(holders, sized.comp == holders.holder).select("holder", F.col("node").alias("sig"), dealt("node", "mbs").alias("mb"), every("zbs").alias("zb"))
     askers = asks.join(holders, "holder").select("holder", F.col("a").alias("sig"), dealt("a", "zbs").alias("zb"), every("mbs").alias("mb"))
-    texts = _texts(members.select("sig").unionAll(askers.select("sig")), docs, classes)
+    texts = _texts(steps, members.select("sig").unionAll(askers.select("sig")), docs, classes)
     left, right = members.join(texts, "sig"), askers.join(texts, "sig")
     right = right.select(*(F.col(c).alias(f"{c}_z") for c in ("holder", "mb", "zb", "sig", "text")))
 
@@ -456,50 +543,52 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERC
     * A null or empty text, or one of white space, has no shingles and links with nothing.
     * A text of fewer than ``words`` words is one shingle, its whole sequence.
     * Repeated rows have equal sets and so one component. Rows that share an id but not the
-      text are compared by their own texts. A null id never is a component's id unless no
-      member has another. Other columns are left out. Empty tables give empty tables.
+      text are compared by their own texts. Ids can be of any type that has an order. A null
+      id never is a component's id unless no member has another. Other columns are left out.
+      Empty tables give empty tables.
     * Sets and shingles are told apart by 64-bit hashes.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    steps = Steps()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("key", row_key(F.col("id"), F.col("text")))
     first = write_through(_sets_pass(rows, words), "join-sets")
     sets = first.where("block is null").select("id", "key", "n", "sig")
     classes = sets.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    lists = write_through(_lists(_prefix_rows(rows, _order(first), words, percent), percent), "join-lists")
-    pairs = _leader_pairs(lists, percent)
-    done = _compare(write_through(pairs, "join-pairs"), rows, classes, words)
-    link = F.expr(f"o * {100 + percent} >= (na + nb) * {percent}")
-    links = done.where(link).select("a", "b")
-    sized, number = _sized(components(links)), 0
-    mixed = _mixed(lists, sized)
+    lists = steps.write(_lists(_prefix_rows(rows, _order(first), words, percent), percent), "join-lists")
+    prefixes = steps.write(_prefix_arrays(lists), "join-prefixes")
+    starts = lists.where("starts")
+    tried = steps.write(_leader_pairs(lists, percent), "join-pairs")
+    links, done, _ = _settle(steps, tried, prefixes, None, rows, classes, words, percent)
+    sized, number = _sized(steps, components(steps, links)), 0
+    mixed = _mixed(steps, starts, sized)
     while True:
         number += 1
-        tried = write_through(_round_pairs(mixed, done, number, percent), "join-round")
-        if not (asked := tried.count()):
+        pairs = steps.write(_round_pairs(mixed, tried, number, percent), "join-round")
+        found, done, asked = _settle(steps, pairs, prefixes, done, rows, classes, words, percent)
+        tried, links = tried.unionAll(pairs), links.unionAll(found)
+        # The more a round links of what is worth a look, the better another one.
+        if not asked or not (linked := found.count()):
             break
-        more = _compare(tried, rows, classes, words)
-        found = more.where(link).select("a", "b")
-        done, links = done.unionAll(more), links.unionAll(found)
-        sized = _sized(components(links))
-        mixed = _mixed(mixed.drop("comp", "members"), sized)
-        if found.count() * ROUND_YIELD < asked:
+        sized = _sized(steps, components(steps, links))
+        before, mixed = mixed, _mixed(steps, mixed.drop("comp", "members"), sized)
+        steps.drop(before)
+        if linked * ROUND_YIELD < asked:
             break
-    asks = _asks(mixed, percent)
-    more = write_through(_derived(_pairs_of(asks.where(f"members <= {SMALL}"), sized, lists, done), done, percent), "join-open")
-    rest = _compare(more.where("sure is null").select("a", "b"), rows, classes, words)
-    links = links.unionAll(more.where("sure").select("a", "b")).unionAll(rest.where(link).select("a", "b"))
-    links = links.unionAll(_ask_blocks(asks.where(f"members > {SMALL}"), sized, rows, classes, words, percent))
-    comps = components(links)
-    named = classes.join(comps, classes.sig == comps.node, "left").select("sig", "rep", "n_copies", F.coalesce("comp", "sig").alias("comp"))
-    low = sets.where(f"n > 0 and id <> {_NO_ID}").groupBy("sig").agg(F.min("id").alias("low"))
+    asks = _asks(steps, mixed, percent)
+    pairs = steps.write(_pairs_of(asks.where(f"members <= {SMALL}"), sized, tried), "join-last")
+    found, _, _ = _settle(steps, pairs, prefixes, done, rows, classes, words, percent)
+    links = links.unionAll(found).unionAll(_ask_blocks(steps, asks.where(f"members > {SMALL}"), sized, rows, classes, words, percent))
+    comps = write_through(components(steps, links), "join-found")
+    steps.drop_all()
+    named = classes.join(comps, classes.sig == comps.node, "left").select("sig", "n_copies", F.coalesce("comp", "sig").alias("comp"))
+    low = sets.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("low"))
     tops = named.join(low, "sig", "left").groupBy("comp").agg(F.min("low").alias("component_id"))
     known = named.join(tops, "comp").select("sig", "n_copies", "component_id", "comp")
     more = [F.col("key").alias("row_key"), F.col("comp").alias("component")] if keyed else []
-    own = F.when(F.col("id") != _NO_ID, F.col("id"))
     return sets.join(known, (sets.sig == known.sig) & (sets.n > 0), "left").select(
-        own.alias("doc_id"),
+        F.col("id").alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         *more,
     )

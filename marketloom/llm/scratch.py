@@ -25,12 +25,44 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def write_through(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def write_through(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+    return _write(df, label)[0]
+
+
+class Steps:
+    """The step tables of one job. A table is dropped when all that was made of it is written."""
+
+    def __init__(self) -> None:
+        self._tables: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        self._tables.append(_write(df, label))
+        return self._tables[-1][0]
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove the table behind ``df``."""
+        for table, path in [t for t in self._tables if t[0] is df]:
+            remove(table.sparkSession, path)
+        self._tables = [t for t in self._tables if t[0] is not df]
+
+    def drop_all(self) -> None:
+        for table, path in self._tables:
+            remove(table.sparkSession, path)
+        self._tables = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -240,6 +240,40 @@ def test_ngram_join_compares_rows_by_their_own_texts(no_id, spark):
     assert sorted(map(sorted, (map(str, g) for g in got.values()))) == sorted(map(sorted, (map(str, g) for g in want.values())))
 
 
+@pytest.mark.parametrize("hot,blocks", [(0, 4), (1, 8)])
+def test_ngram_join_equals_brute_force_past_its_bounds(hot, blocks, spark, monkeypatch):
+    """Salted lists, thinned scans, shuffled joins, rounds and blocks; ids that are strings."""
+    monkeypatch.setattr(ngram_join, "HOT_MEANS", hot)
+    monkeypatch.setattr(ngram_join, "SMALL", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", blocks)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 5)
+    reached = set()
+    for name in ("_thinned", "_round_pairs", "_ask_blocks", "_derived"):
+        plain = getattr(ngram_join, name)
+        monkeypatch.setattr(ngram_join, name, lambda *a, _f=plain, _n=name: reached.add(_n) or _f(*a))
+    kept = []
+    lists = ngram_join._lists
+    monkeypatch.setattr(ngram_join, "_lists", lambda *a: kept.append(lists(*a)) or kept[-1])
+    r = random.Random(blocks)
+    texts = []
+    for group in range(4):
+        base = words(blocks * 100 + group, 80)
+        for _ in range(40):
+            x = list(base)
+            for _ in range(r.choice([1, 2, 3, 5])):
+                x[r.randrange(len(x))] = f"n{r.randrange(10**6)}"
+            if r.random() < 0.5:
+                base = x
+            texts.append(" ".join(x))
+    passage = words(98, 70)
+    texts += [" ".join(passage + words(2000 + k, 30)) for k in range(40)]
+    docs = make(spark, texts).withColumn("doc_id", F.format_string("%05d", "doc_id"))
+    got = {int(x.doc_id): (x.n_shingles, int(x.component_id)) for x in ngram_join.join_components(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_components(texts)
+    assert reached == {"_thinned", "_round_pairs", "_ask_blocks", "_derived"}
+    assert kept[0].where("salt >= 0").count() > 0
+
+
 def test_answers_equal_brute_force():
     r = np.random.default_rng(3)
     base = np.unique(r.integers(0, 2**63, 80).astype(np.uint64))
