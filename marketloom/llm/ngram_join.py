@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm import textbatch as tb
-from marketloom.llm.scratch import Steps, table, write_through
+from marketloom.llm.scratch import Steps, packed, table, write_through
 
 WORDS = 5
 MIN_PERCENT = 75
@@ -57,8 +57,9 @@ BROADCAST_ROWS = 200_000
 FILTER_BITS = 1 << 26
 #: In a round, a set is compared with so many leaders of other components.
 ROUND_LEADERS = 4
-#: Rounds go on while at least one in so many of their pairs is a link.
-ROUND_YIELD = 10
+#: Rounds go on while at least one in so many of their pairs is a link, and there is a link
+#: for so many of the sets that stand in lists.
+ROUND_YIELD, ROUND_SHARE = 4, 50
 #: Components of more sets than SMALL are asked in blocks of about BLOCK_SETS sets.
 SMALL, BLOCK_SETS = 4, 512
 
@@ -113,11 +114,15 @@ def _order(first: DataFrame) -> np.ndarray:
     return counts
 
 
+def _salts(counts: np.ndarray) -> np.ndarray:
+    """By bucket: a hot one's lists are dealt into so many parts besides the first."""
+    return (counts // max(1, int(HOT_MEANS * counts.mean()))).astype(np.int64)
+
+
 def _prefix_rows(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
     """(token, salt, cid, size, pos): the prefixes of all sets. salt is -1 for tokens that
     aren't hot. A task gives a set once, however many copies it meets."""
-    salts = (counts // max(1, int(HOT_MEANS * counts.mean()))).astype(np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast((counts, salts))
+    sent = docs.sparkSession.sparkContext.broadcast((counts, _salts(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, salts = sent.value
@@ -226,6 +231,10 @@ def row_key(id_col: Column, text: Column) -> Column:
     return F.xxhash64(id_col.isNull(), id_col, text)
 
 
+def _empty(like: DataFrame, schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame([], schema)
+
+
 def _thinned(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` without most of the rows whose key isn't among ``keys``: by FILTER_BITS bits,
     whatever the number of keys, so that the rest of the texts needn't be shuffled."""
@@ -243,31 +252,34 @@ def _thinned(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.select("key", "text", at.alias("h")).mapInArrow(run, "key long, text string")
 
 
-def _texts(steps: Steps, sigs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, text), a row for each of the classes ``sigs``. The texts are read again where they
+def _texts(steps: Steps, sigs: DataFrame, most: int, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, text), a row for each of the classes ``sigs``, ``most`` at most. The texts are read again where they
     are, by the key of a row that has the set; few keys are broadcast, many thin the scan and
     are joined by a shuffle. Of repeated rows the one with the lowest tag stays."""
-    needed = steps.write(sigs.distinct().join(classes.select("sig", "rep"), "sig"), "join-needed").withColumnRenamed("rep", "key")
-    if needed.count() <= BROADCAST_ROWS:
+    few = sigs.distinct()
+    needed, wanted = steps.write_narrow(classes.select("sig", F.col("rep").alias("key")).join(F.broadcast(few) if most <= BROADCAST_ROWS else few, "sig"), "join-needed")
+    if wanted <= BROADCAST_ROWS:
         rows = docs.select("key", "text").join(F.broadcast(needed), "key")
     else:
         rows = _thinned(docs, needed).join(needed, "key")
     tag = F.monotonically_increasing_id()  # fixed once written
     texts = steps.write(rows.select("sig", "text", tag.alias("tag")), "join-texts")
-    again = steps.write(texts.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("tag").alias("low")).where("k > 1").select("sig", "low"), "join-repeated")
-    if not (many := again.count()):
+    if texts.count() == wanted:
         return texts.select("sig", "text")
-    if many <= BROADCAST_ROWS:
+    again = steps.write(texts.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("tag").alias("low")).where("k > 1").select("sig", "low"), "join-repeated")
+    if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
     return texts.join(again, "sig", "left").where("low is null or low = tag").select("sig", "text")
 
 
 def _compare(steps: Steps, pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """Exact overlaps of pairs (a, b) of classes: (a, b, o, na, nb)."""
-    texts = _texts(steps, pairs.select(F.explode(F.array("a", "b")).alias("sig")), docs, classes)
+    if not (many := pairs.count()):
+        return _empty(docs, "a long, b long, o long, na long, nb long")
+    texts = _texts(steps, pairs.select(F.explode(F.array("a", "b")).alias("sig")), 2 * many, docs, classes)
     pairs = pairs.select("a", "b")
     second = pairs.select("b").distinct()
-    if pairs.count() <= BROADCAST_ROWS:
+    if many <= BROADCAST_ROWS:
         pairs, second = F.broadcast(pairs), F.broadcast(second)
     a = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
     # Many sets share a leader: only the texts that are second of a pair go to that side.
@@ -293,7 +305,7 @@ def _compare(steps: Steps, pairs: DataFrame, docs: DataFrame, classes: DataFrame
                 cols = np.array(rows, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[:, k]) for k in range(5)], ["a", "b", "o", "na", "nb"])
 
-    return steps.write(a.join(pairs, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, o long, na long, nb long"), "join-overlaps")
+    return steps.write_narrow(a.join(pairs, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, o long, na long, nb long"), "join-overlaps")[0]
 
 
 def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -328,12 +340,13 @@ def _unordered(pairs: DataFrame) -> DataFrame:
 def _settle(steps: Steps, pairs: DataFrame, prefixes: DataFrame, done: DataFrame | None, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
     """Links (a, b) among ``pairs``; ``done`` with the overlaps that were counted; and how many
     pairs were left to be derived or counted."""
-    open_ = steps.write(_promising(pairs, prefixes, percent), "join-open")
-    asked = open_.count()
-    if done is not None:
-        open_ = steps.write(_derived(open_, done, percent), "join-derived")
-    else:
+    open_, asked = steps.write_narrow(_promising(pairs, prefixes, percent), "join-promising")
+    if done is None:
         open_ = open_.withColumn("sure", F.lit(None).cast("boolean"))
+    elif asked:
+        open_, _ = steps.write_narrow(_derived(open_, packed(done, done.count()), percent), "join-derived")
+    else:
+        return _empty(docs, "a long, b long"), done, 0
     more = _compare(steps, open_.where("sure is null"), docs, classes, words)
     links = open_.where("sure").select("a", "b").unionAll(more.where(F.expr(f"o * {100 + percent} >= (na + nb) * {percent}")).select("a", "b"))
     return links, more if done is None else done.unionAll(more), asked
@@ -343,9 +356,11 @@ def components(steps: Steps, links: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``links`` (a, b): comp is the component's smallest node.
 
     Large-star and small-star rounds: each hangs every node's neighbours under the smallest
-    of them until nothing changes. A round is two aggregations of the links, written to the
-    shared folder.
+    of them until every node hangs under one that hangs under none. A round is two
+    aggregations of the links, written to the shared folder.
     """
+    edges, many = steps.write_narrow(packed(links, links.count()).where("a <> b").select("a", "b").distinct(), "join-links")
+    near = F.broadcast if many <= BROADCAST_ROWS else lambda df: df
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -353,18 +368,19 @@ def components(steps: Steps, links: DataFrame) -> DataFrame:
         else:
             both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        hung = both.join(low, "a")
+        hung = both.join(near(low), "a")
         if large:
             return hung.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         return hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    edges, seen = steps.write(links.where("a <> b").select("a", "b").distinct(), "join-links"), None
-    while True:
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
+    while many:
+        above = edges.select(F.col("b").alias("a")).distinct()
+        loose = edges.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a").unionAll(edges.join(near(above), "a", "left_semi").select("a"))
+        if loose.isEmpty():
             break
-        seen = now
-        before, edges = edges, steps.write(star(star(edges, True), False), "join-links")
+        # Stars never make more edges than there are.
+        before = edges
+        edges, many = steps.write_narrow(star(star(edges, True), False), "join-links")
         steps.drop(before)
     tops = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(tops.select("node", F.col("node").alias("comp")))
@@ -388,38 +404,47 @@ def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 def _sized(steps: Steps, comps: DataFrame) -> DataFrame:
     """(node, comp, members): components with the number of their sets."""
-    return steps.write(comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp"), "join-components")
+    comps = packed(comps, comps.count())
+    return steps.write_narrow(comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp"), "join-components")[0]
+
+
+def _hot(spark: SparkSession, counts: np.ndarray) -> DataFrame:
+    """(bucket, salts) of the hot buckets: ORDER_BUCKETS / HOT_MEANS rows at most."""
+    salts = _salts(counts)
+    hot = np.flatnonzero(salts)
+    return spark.createDataFrame(pa.table({"bucket": pa.array(hot, pa.int32()), "salts": pa.array(salts[hot], pa.int32())}), "bucket int, salts int")
 
 
-def _by_part(lists: DataFrame, tokens: DataFrame) -> DataFrame:
+def _by_part(tokens: DataFrame, hot: DataFrame) -> DataFrame:
     """``tokens``, a row for each salted part of the token's list: hot lists are then joined
     part by part."""
-    return lists.select("token", "salt").distinct().join(tokens, "token")
+    x = tokens.withColumn("bucket", F.shiftrightunsigned("token", 48).cast("int")).join(F.broadcast(hot), "bucket", "left")
+    return x.withColumn("salt", F.explode(F.when(F.col("salts") > 0, F.sequence(F.lit(0), "salts")).otherwise(F.array(F.lit(-1))))).drop("bucket", "salts")
 
 
-def _mixed(steps: Steps, lists: DataFrame, comps: DataFrame) -> DataFrame:
+def _mixed(steps: Steps, lists: DataFrame, comps: DataFrame, hot: DataFrame) -> DataFrame:
     """(token, salt, cid, size, pos, comp, members) of the lists with sets of different
     components."""
     small = F.broadcast(comps) if comps.count() <= BROADCAST_ROWS else comps
     named = lists.join(small, lists.cid == comps.node, "left").select("token", "salt", "cid", "size", "pos", F.coalesce("comp", "cid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
     open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return steps.write(named.join(_by_part(lists, open_), ["token", "salt"], "left_semi"), "join-mixed")
+    return steps.write(named.join(_by_part(open_, hot), ["token", "salt"], "left_semi"), "join-mixed")
 
 
-def _round_pairs(mixed: DataFrame, tried: DataFrame, number: int, percent: int) -> DataFrame:
+def _round_pairs(mixed: DataFrame, tried: DataFrame, number: int, percent: int, hot: DataFrame) -> DataFrame:
     """Pairs (a, b): each set with a few sets that lead its lists in this round, of other
     components. A list's leader is drawn by hash, another one in each list and round."""
     draw = F.xxhash64("token", "cid", F.lit(number))
     led = mixed.groupBy("token").agg(F.max_by(F.struct("cid", "size", "pos", "comp"), F.struct(draw, "cid")).alias("l"))
     led = led.select("token", F.col("l.cid").alias("b"), F.col("l.size").alias("nb"), F.col("l.pos").alias("pb"), F.col("l.comp").alias("cb"))
-    pairs = mixed.join(_by_part(mixed, led), ["token", "salt"]).where("comp <> cb").where(_fits("size", "nb", "pos", "pb", percent)).groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("k"))
+    pairs = mixed.join(_by_part(led, hot), ["token", "salt"]).where("comp <> cb").where(_fits("size", "nb", "pos", "pb", percent)).groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("k"))
     fresh = pairs.join(_unordered(tried), ["a", "b"], "left_anti")
     # A set has no more leaders than its prefix has elements, so the ranking is of small groups.
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))
     return fresh.withColumn("r", rank).where(F.col("r") <= ROUND_LEADERS).select("a", "b")
 
 
-def _asks(steps: Steps, mixed: DataFrame, percent: int) -> DataFrame:
+def _asks(steps: Steps, mixed: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
     """(a, holder, members): sets and the components, no smaller than their own, that may hold
     a set similar to them. A list is taken by component, not by set."""
     # Sizes of similar sets are in the same block or the next; other blocks are skipped.
@@ -431,7 +456,7 @@ def _asks(steps: Steps, mixed: DataFrame, percent: int) -> DataFrame:
         f" and hi * 100L >= na * {percent}L and na * 100L >= lo * {percent}L"
         f" and least(na - pa, hi - ph) * {100 + percent}L >= (na + lo) * {percent}L"
     )
-    return steps.write(x.join(_by_part(mixed, held), ["token", "salt", "g"]).where(fits).select("a", "holder", F.col("mh").alias("members")).distinct(), "join-asks")
+    return steps.write(x.join(_by_part(held, hot), ["token", "salt", "g"]).where(fits).select("a", "holder", F.col("mh").alias("members")).distinct(), "join-asks")
 
 
 def _pairs_of(asks: DataFrame, sized: DataFrame, tried: DataFrame) -> DataFrame:
@@ -492,15 +517,16 @@ def _ask_blocks(steps: Steps, asks: DataFrame, sized: DataFrame, docs: DataFrame
     holders = asks.groupBy("holder").agg(F.max("members").alias("m"), F.count(F.lit(1)).alias("z"))
     holders = holders.select("holder", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("mbs"), F.ceil(F.col("z") / BLOCK_SETS).cast("int").alias("zbs"))
 
-    def every(c: str):
+    def each(c: str):
         return F.explode(F.sequence(F.lit(0), F.col(c) - 1))
 
     def dealt(c: str, n: str):
         return F.pmod(F.xxhash64(c), F.col(n)).cast("int")
 
-    members = sized.join(holders, sized.comp == holders.holder).select("holder", F.col("node").alias("sig"), dealt("node", "mbs").alias("mb"), every("zbs").alias("zb"))
-    askers = asks.join(holders, "holder").select("holder", F.col("a").alias("sig"), dealt("a", "zbs").alias("zb"), every("mbs").alias("mb"))
-    texts = _texts(steps, members.select("sig").unionAll(askers.select("sig")), docs, classes)
+    members = sized.join(holders, sized.comp == holders.holder).select("holder", F.col("node").alias("sig"), dealt("node", "mbs").alias("mb"), each("zbs").alias("zb"))
+    askers = asks.join(holders, "holder").select("holder", F.col("a").alias("sig"), dealt("a", "zbs").alias("zb"), each("mbs").alias("mb"))
+    every = steps.write(members.select("sig").unionAll(askers.select("sig")).distinct(), "join-blocks")
+    texts = _texts(steps, every, every.count(), docs, classes)
     left, right = members.join(texts, "sig"), askers.join(texts, "sig")
     right = right.select(*(F.col(c).alias(f"{c}_z") for c in ("holder", "mb", "zb", "sig", "text")))
 
@@ -553,31 +579,35 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERC
     rows = rows.withColumn("key", row_key(F.col("id"), F.col("text")))
     first = write_through(_sets_pass(rows, words), "join-sets")
     sets = first.where("block is null").select("id", "key", "n", "sig")
-    classes = sets.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    lists = steps.write(_lists(_prefix_rows(rows, _order(first), words, percent), percent), "join-lists")
+    classes = write_through(sets.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "join-classes")
+    counts = _order(first)
+    hot = _hot(docs.sparkSession, counts)
+    lists = steps.write(_lists(_prefix_rows(rows, counts, words, percent), percent), "join-lists")
     prefixes = steps.write(_prefix_arrays(lists), "join-prefixes")
-    starts = lists.where("starts")
-    tried = steps.write(_leader_pairs(lists, percent), "join-pairs")
+    starts, listed = lists.where("starts"), prefixes.count()
+    tried, _ = steps.write_narrow(_leader_pairs(lists, percent), "join-pairs")
     links, done, _ = _settle(steps, tried, prefixes, None, rows, classes, words, percent)
     sized, number = _sized(steps, components(steps, links)), 0
-    mixed = _mixed(steps, starts, sized)
+    mixed = _mixed(steps, starts, sized, hot)
     while True:
         number += 1
-        pairs = steps.write(_round_pairs(mixed, tried, number, percent), "join-round")
+        pairs, _ = steps.write_narrow(_round_pairs(mixed, tried, number, percent, hot), "join-round")
         found, done, asked = _settle(steps, pairs, prefixes, done, rows, classes, words, percent)
         tried, links = tried.unionAll(pairs), links.unionAll(found)
-        # The more a round links of what is worth a look, the better another one.
         if not asked or not (linked := found.count()):
             break
         sized = _sized(steps, components(steps, links))
-        before, mixed = mixed, _mixed(steps, mixed.drop("comp", "members"), sized)
+        before, mixed = mixed, _mixed(steps, mixed.drop("comp", "members"), sized, hot)
         steps.drop(before)
-        if linked * ROUND_YIELD < asked:
+        # Another round pays if this one linked a good share of what it looked at, and of all.
+        if linked * ROUND_YIELD < asked or linked * ROUND_SHARE < listed:
             break
-    asks = _asks(steps, mixed, percent)
-    pairs = steps.write(_pairs_of(asks.where(f"members <= {SMALL}"), sized, tried), "join-last")
+    asks = _asks(steps, mixed, percent, hot)
+    pairs, _ = steps.write_narrow(_pairs_of(asks.where(f"members <= {SMALL}"), sized, tried), "join-last")
     found, _, _ = _settle(steps, pairs, prefixes, done, rows, classes, words, percent)
-    links = links.unionAll(found).unionAll(_ask_blocks(steps, asks.where(f"members > {SMALL}"), sized, rows, classes, words, percent))
+    links = links.unionAll(found)
+    if (large := asks.where(f"members > {SMALL}")).count():
+        links = links.unionAll(_ask_blocks(steps, large, sized, rows, classes, words, percent))
     comps = write_through(components(steps, links), "join-found")
     steps.drop_all()
     named = classes.join(comps, classes.sig == comps.node, "left").select("sig", "n_copies", F.coalesce("comp", "sig").alias("comp"))

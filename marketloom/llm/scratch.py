@@ -25,6 +25,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Step tables of narrow rows are read in partitions of about so many rows.
+STEP_ROWS = 50_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has ``rows`` narrow rows, in as few partitions as they need. One partition
+    is enough for few rows, and what follows then needs no shuffle."""
+    return df.coalesce(rows // STEP_ROWS + 1)
+
+
 def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, label)
@@ -44,9 +54,17 @@ class Steps:
         self._tables: list[tuple[DataFrame, str]] = []
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
+        """As ``write_through``."""
         self._tables.append(_write(df, label))
         return self._tables[-1][0]
 
+    def write_narrow(self, df: DataFrame, label: str) -> tuple[DataFrame, int]:
+        """A table of narrow rows, ``packed``, and its number of rows."""
+        out, path = _write(df, label)
+        rows = out.count()
+        self._tables.append((packed(out, rows), path))
+        return self._tables[-1][0], rows
+
     def drop(self, df: DataFrame) -> None:
         """Remove the table behind ``df``."""
         for table, path in [t for t in self._tables if t[0] is df]:
