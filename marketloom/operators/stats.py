@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.columns import ROUND_TRIP, horizon_bucket, score_bucket
+from marketloom.functions.columns import ROUND_TRIP, horizon_bucket, normal_cdf, score_bucket
 
 #: Trades that weight learning starts from, and how strongly it shrinks.
 MIN_TRADES, MIN_CELL = 50, 30
@@ -65,8 +65,9 @@ def equity_metrics(curve: DataFrame) -> DataFrame:
     """By (source, segment): return, CAGR, volatility, Sharpe, Sortino, drawdown, Calmar.
 
     Segments: all sessions, the first 70 per cent, the rest. Sessions are numbered inside a
-    source; a segment of fewer than three points gives no row. Sortino divides by the
-    deviation of negative returns alone.
+    source; a segment of fewer than three points gives no row; sessions are returns, one less
+    than points. Sharpe is 0 without any deviation. Sortino divides by the deviation of
+    negative returns alone.
     """
     w = Window.partitionBy("source").orderBy("d")
     size = Window.partitionBy("source")
@@ -83,8 +84,8 @@ def equity_metrics(curve: DataFrame) -> DataFrame:
     g = g.where("sessions >= 3").withColumn("total_return", F.col("last") / F.col("first") - 1)
     g = g.withColumn("cagr", F.when(F.col("total_return") > -1, F.pow(1 + F.col("total_return"), 252.0 / (F.col("sessions") - 1)) - 1))
     return g.select(
-        "source", "segment", "sessions", "total_return", "cagr", (F.col("sd") * 252**0.5).alias("volatility"),
-        F.when(F.col("sd") > 0, F.col("mean") / F.col("sd") * 252**0.5).alias("sharpe"), F.when(F.col("down") > 0, F.col("mean") / F.col("down") * 252**0.5).alias("sortino"),
+        "source", "segment", (F.col("sessions") - 1).alias("sessions"), "total_return", "cagr", (F.col("sd") * 252**0.5).alias("volatility"),
+        F.when(F.col("sd") > 0, F.col("mean") / F.col("sd") * 252**0.5).otherwise(0.0).alias("sharpe"), F.when(F.col("down") > 0, F.col("mean") / F.col("down") * 252**0.5).alias("sortino"),
         "max_drawdown", F.when(F.col("max_drawdown") > 0, F.col("cagr") / F.col("max_drawdown")).alias("calmar"),
     )
 
@@ -95,33 +96,63 @@ def buy_and_hold(bars: DataFrame) -> DataFrame:
     return g.select("symbol", "sessions", (F.col("last") / F.col("first") - 1 - ROUND_TRIP).alias("net_return"))
 
 
+def analog_quantiles(trades: DataFrame, queries: DataFrame, cell: list[str], shares: tuple[float, ...] = (0.10, 0.90)) -> DataFrame:
+    """Lower-index order statistics of the returns of a cell that were closed before ``as_of``.
+
+    Returns are counted by (cell, exit date, rounded return). A query needs the return whose
+    running count, in order of return, passes n x share: counts by (query, return) are summed
+    once and run up in a window, so a cell of any size is a row for each of its returns.
+    """
+    t = trades.select(*cell, "at", F.round("ret", 6).alias("ret")).groupBy(*cell, "ret", "at").agg(F.count(F.lit(1)).alias("c"))
+    x = queries.select(*cell, "as_of").distinct().join(t, cell).where("at < as_of").groupBy(*cell, "as_of", "ret").agg(F.sum("c").alias("c"))
+    by = Window.partitionBy(*cell, "as_of")
+    x = x.withColumn("n", F.sum("c").over(by)).withColumn("run", F.sum("c").over(by.orderBy("ret").rowsBetween(Window.unboundedPreceding, 0)))
+    return x.groupBy(*cell, "as_of").agg(*(F.min(F.when(F.col("run") > F.floor(F.col("n") * s), F.col("ret"))).alias(f"q{int(s * 100)}") for s in shares))
+
+
 def analog_intervals(trades: DataFrame, queries: DataFrame, min_n: int = 25) -> DataFrame:
-    """What comparable past trades returned, for each query row (``as_of``, bucket columns).
+    """What comparable past trades returned, for each query row (``as_of``, bucket columns,
+    ``expected``): the blended expectation, an 80 per cent interval, the share of gains.
 
     Only trades that were closed before ``as_of`` count. Per cell they are numbered by exit
     date, so what a query sees is a prefix of the cell; its mean and win share are running
-    sums at that prefix, taken by one as-of step instead of a join of all pairs.
+    sums at that prefix, taken by one as-of step instead of a join of all pairs. With fewer
+    than ``min_n`` trades the prior stands: half the expectation, a width of three times it,
+    and a normal share.
     """
     cell = ["bucket", "regime", "horizon"]
     t = trades.select(score_bucket(F.col("score")).alias("bucket"), "regime", horizon_bucket(F.col("horizon_days")).alias("horizon"), F.col("exit_date").alias("at"), "ret")
-    days = t.groupBy(*cell, "at").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("s"), F.sum((F.col("ret") > 0).cast("long")).alias("w"), F.sum(F.col("ret") * F.col("ret")).alias("s2"))
-    a = days.select(*cell, "at", F.lit(1).alias("side"), "n", "s", "w", "s2")
-    b = queries.select(*cell, F.col("as_of").alias("at"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("w"), F.lit(0.0).alias("s2"))
+    days = t.groupBy(*cell, "at").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("s"), F.sum((F.col("ret") > 0).cast("long")).alias("w"))
+    a = days.select(*cell, "at", F.lit(1).alias("side"), "n", "s", "w")
+    b = queries.select(*cell, F.col("as_of").alias("at"), "expected", F.lit(0).alias("side"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("w"))
     w = Window.partitionBy(*cell).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    run = a.unionByName(b).select(*cell, "at", "side", *(F.sum(c).over(w).alias(c) for c in ("n", "s", "w", "s2"))).where("side = 0")
-    return run.where(F.col("n") >= min_n).select(
-        *cell, F.col("at").alias("as_of"), "n", (F.col("s") / F.col("n")).alias("mean"), (F.col("w") / F.col("n")).alias("p_positive"),
-        F.when(F.col("n") >= 150, "high").otherwise("medium").alias("confidence"),
+    run = a.unionByName(b, allowMissingColumns=True).select(*cell, "at", "side", "expected", *(F.sum(c).over(w).alias(c) for c in ("n", "s", "w"))).where("side = 0").withColumnRenamed("at", "as_of")
+    spread = analog_quantiles(t, run.where(F.col("n") >= min_n), cell)
+    x = run.join(spread, [*cell, "as_of"], "left")
+    known, e = F.col("n") >= min_n, F.col("expected")
+    mean, half, sigma = F.col("s") / F.col("n"), e * 0.5, F.greatest(F.lit(0.02), F.abs(e) * 3)
+    return x.select(
+        *cell, "as_of", "n", F.when(known, 0.5 * e + 0.5 * mean).otherwise(half).alias("expected"), F.when(known, F.col("q10")).otherwise(F.greatest(F.lit(-0.95), half - 2 * sigma)).alias("ci_low"),
+        F.when(known, F.col("q90")).otherwise(half + 2 * sigma).alias("ci_high"), F.when(known, F.col("w") / F.col("n")).otherwise(normal_cdf(half / sigma)).alias("p_positive"),
+        F.when(~known, "low").when(F.col("n") >= 150, "high").otherwise("medium").alias("confidence"),
     )
 
 
-def decayed_news(news: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """By symbol over the last ``days``: score weighted by age (48 h), confidence and source."""
-    t = F.lit(as_of).cast("timestamp")
-    age = (F.unix_micros(t) - F.unix_micros("published_at")) / 3.6e9
-    x = news.where((F.col("published_at") <= t) & (F.col("published_at") >= t - F.make_dt_interval(days=F.lit(days)))).where("stance is not null")
-    x = x.withColumn("w", F.exp(-age / 48) * F.col("confidence") * F.coalesce("reliability", F.lit(0.5)))
-    return x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("stance") * F.col("w")) / F.sum("w")).alias("score"), F.sum("w").alias("weight"))
+def decayed_news(news: DataFrame, days: int = 7) -> DataFrame:
+    """By symbol at the end of each day that has headlines in its last ``days``: score weighted
+    by age (48 h), confidence and source, and the headlines by catalyst.
+
+    Headlines of a day are summed first, decayed to its end; a day's score is then a sum of
+    ``days`` such sums, each decayed by whole days: the work is a day's rows, not a window's.
+    """
+    day = F.to_date("published_at")
+    end = F.unix_micros(F.date_add(day, 1).cast("timestamp"))
+    w = F.exp(-(end - F.unix_micros("published_at")) / 3.6e9 / 48) * F.col("confidence") * F.coalesce("reliability", F.lit(0.5))
+    one = news.where("stance is not null").withColumn("w", w).groupBy("symbol", day.alias("d"), "catalyst").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("stance") * F.col("w")).alias("s"))
+    later = one.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).withColumn("fade", F.exp(-F.col("k") / 2.0))
+    g = later.groupBy("symbol", F.date_add("d", F.col("k")).alias("d"), "catalyst").agg(F.sum("n").alias("n"), F.sum(F.col("w") * F.col("fade")).alias("w"), F.sum(F.col("s") * F.col("fade")).alias("s"))
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("catalyst", "n"))))
+    return g.groupBy("symbol", "d").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("w")).alias("score"), F.sum("w").alias("weight"), counts.alias("catalysts"))
 
 
 def deterministic_facts(facts: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ SELECT q.cik, q.tag, q.filed, f.period_end, round(f.value, 2) AS value FROM q AS
 
 def _news_window(spark, d):
     days = fx.order_events(spark, d).select("symbol", F.date_trunc("day", "ts").alias("as_of")).distinct()
-    pairs = joins.within_days(days, fx.news(spark, d).select("symbol", "published_at", "doc_id", "stance"), 2, "symbol", "as_of", "published_at")
+    pairs = joins.within_days(days, fx.news(spark, d).select("symbol", "published_at", "doc_id", "stance"), 14, "symbol", "as_of", "published_at")
     return rounded(pairs.groupBy("symbol", "as_of").agg(F.count(F.lit(1)).alias("n"), F.avg("stance").alias("stance")), "stance")
 
 
@@ -62,7 +62,7 @@ register(
     "j4_news_before",
     _news_window,
     f"""WITH {OE}, {NEWS}, q AS (SELECT DISTINCT symbol, date_trunc('day', ts)::TIMESTAMP AS as_of FROM oe)
-SELECT q.symbol, as_of, count(*) AS n, round(avg(stance), 6) AS stance FROM q JOIN news n ON q.symbol = n.symbol AND published_at <= as_of AND published_at >= as_of - INTERVAL 2 DAY GROUP BY ALL""",
+SELECT q.symbol, as_of, count(*) AS n, round(avg(stance), 6) AS stance FROM q JOIN news n ON q.symbol = n.symbol AND published_at <= as_of AND published_at >= as_of - INTERVAL 14 DAY GROUP BY ALL""",
 )
 register(
     "j12_cooldown_repeats",

@@ -41,9 +41,9 @@ SELECT symbol, d, sector, c AS correlation FROM (SELECT *, row_number() OVER (PA
 )
 register(
     "w12_assign_sector",
-    lambda spark, d: rec.assign_sector(*_both(spark, d), least=20),
+    lambda spark, d: rec.assign_sector(*_both(spark, d)),
     f"""WITH {STOCKS}, {SECTORS}, {RR}, s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS k FROM s) WHERE k <= 126), t1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY d DESC) AS k FROM t) WHERE k <= 126),
-g AS (SELECT symbol, sector, count(*) AS n, round(corr(r, x), 6) AS c FROM s1 JOIN t1 ON s1.d = t1.d GROUP BY 1, 2 HAVING count(*) >= 20)
+g AS (SELECT symbol, sector, count(*) AS n, round(corr(r, x), 6) AS c FROM s1 JOIN t1 ON s1.d = t1.d GROUP BY 1, 2 HAVING count(*) >= 60)
 SELECT symbol, sector, n, c AS correlation FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY c DESC, sector) AS k FROM g WHERE c IS NOT NULL AND NOT isnan(c)) WHERE k = 1""",
 )
 
@@ -57,7 +57,7 @@ register(
     "j13_first_exit",
     _exits,
     f"""WITH {SECTORS}, h AS (SELECT e.symbol, e.d AS entry_d, e.close AS entry, min(b.d) AS exit_d, arg_min(b.close, b.d) AS exit FROM sectors e JOIN sectors b ON e.symbol = b.symbol AND b.d > e.d
-  AND (b.close <= e.close * (1 - 0.036) OR datediff('day', e.d, b.d) >= 30) AND datediff('day', e.d, b.d) <= 120 AND floor(epoch(b.d) / 86400 / 60) <= floor(epoch(e.d) / 86400 / 60) + 1 GROUP BY 1, 2, 3)
+  AND (b.close <= e.close * (1 - 0.036) OR datediff('day', e.d, b.d) >= 30) GROUP BY 1, 2, 3)
 SELECT symbol, entry_d, round(entry, 6) AS entry, exit_d, round(exit, 6) AS exit, CASE WHEN exit <= entry * (1 - 0.036) THEN 'stop_loss' ELSE 'time_stop' END AS reason, round(exit / entry - 1, 6) AS ret FROM h""",
 )
 register(
@@ -131,16 +131,21 @@ def _positions(spark, d, where):
 
 
 def _mismatch(spark, d):
+    """Positions of all fills against those of the fills that are booked as final."""
     from marketloom.operators.joins import mismatches
 
-    return mismatches(_positions(spark, d, "seq % 10 < 6"), _positions(spark, d, "seq % 10 < 7 and account % 10 > 0"), ["account", "symbol"], "qty")
+    ours = _positions(spark, d, "true")
+    booked = fx.table(spark, d, "lineitem").where("l_linestatus = 'F'").join(fx.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    theirs = booked.groupBy(F.col("l_suppkey").alias("account"), F.col("p_brand").alias("symbol")).agg(F.sum(signed).alias("qty"))
+    return mismatches(ours, theirs, ["account", "symbol"], "qty")
 
 
 POS = "SELECT account, symbol, sum(CASE WHEN side = 'sell' THEN -qty ELSE qty END) AS qty FROM fills WHERE {w} GROUP BY 1, 2"
 register(
     "j8_position_mismatch",
     _mismatch,
-    f"""WITH {FILLS}, a AS ({POS.format(w='seq % 10 < 6')}), b AS ({POS.format(w='seq % 10 < 7 AND account % 10 > 0')}), j AS (SELECT coalesce(a.account, b.account) AS account, coalesce(a.symbol, b.symbol) AS symbol, a.qty AS ours, b.qty AS theirs FROM a FULL JOIN b ON a.account = b.account AND a.symbol = b.symbol)
+    f"""WITH {FILLS}, a AS ({POS.format(w='true')}), b AS (SELECT l_suppkey AS account, p_brand AS symbol, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS qty FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F' GROUP BY 1, 2), j AS (SELECT coalesce(a.account, b.account) AS account, coalesce(a.symbol, b.symbol) AS symbol, a.qty AS ours, b.qty AS theirs FROM a FULL JOIN b ON a.account = b.account AND a.symbol = b.symbol)
 SELECT *, CASE WHEN theirs IS NULL THEN 'only_ours' WHEN ours IS NULL THEN 'only_theirs' ELSE 'quantity' END AS kind FROM j WHERE theirs IS NULL OR ours IS NULL OR abs(ours - theirs) > 1e-9""",
 )
 STATUS = "CASE node WHEN 'A' THEN 'experimental' WHEN 'N' THEN 'experimental' WHEN 'R' THEN 'probation' ELSE 'production' END"

@@ -60,7 +60,7 @@ s AS (SELECT *, unnest(['overall', CASE WHEN i <= floor(n * 0.7) THEN 'in_sample
 r AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, 1 - equity / max(equity) OVER w AS dd FROM s WINDOW w AS (PARTITION BY source, segment ORDER BY d)),
 g AS (SELECT source, segment, count(*) AS sessions, arg_max(equity, d) / arg_min(equity, d) - 1 AS total_return, avg(r) AS mean, stddev_samp(r) AS sd, sqrt(avg(r * r) FILTER (WHERE r < 0)) AS down, max(dd) AS max_drawdown FROM r GROUP BY 1, 2),
 h AS (SELECT *, CASE WHEN total_return > -1 THEN pow(1 + total_return, 252.0 / (sessions - 1)) - 1 END AS cagr FROM g WHERE sessions >= 3)
-SELECT source, segment, sessions, round(total_return, 6) AS total_return, round(cagr, 6) AS cagr, round(sd * sqrt(252), 6) AS volatility, round(CASE WHEN sd > 0 THEN mean / sd * sqrt(252) END, 6) AS sharpe,
+SELECT source, segment, sessions - 1 AS sessions, round(total_return, 6) AS total_return, round(cagr, 6) AS cagr, round(sd * sqrt(252), 6) AS volatility, round(CASE WHEN sd > 0 THEN mean / sd * sqrt(252) ELSE 0 END, 6) AS sharpe,
   round(CASE WHEN down > 0 THEN mean / down * sqrt(252) END, 6) AS sortino, round(max_drawdown, 6) AS max_drawdown, round(CASE WHEN max_drawdown > 0 THEN cagr / max_drawdown END, 6) AS calmar FROM h""",
 )
 register(
@@ -75,24 +75,36 @@ HB = "CASE WHEN horizon_days <= 10 THEN 'short' WHEN horizon_days <= 30 THEN 'me
 def _analogs(spark, d):
     t = fx.trades(spark, d)
     q = t.select(stats.score_bucket(F.col("score")).alias("bucket"), "regime", stats.horizon_bucket(F.col("horizon_days")).alias("horizon"), F.trunc("entry_date", "month").alias("as_of")).distinct()
-    return rounded(stats.analog_intervals(t, q), "mean", "p_positive", digits=12)
+    q = q.withColumn("expected", F.dayofyear("as_of") / 5000 - 0.02)
+    return rounded(stats.analog_intervals(t, q).withColumn("expected", F.col("expected") + 1e-9), "expected", "ci_low", "ci_high", "p_positive", digits=6)
 
 
 register(
     "a9_analog_intervals",
     _analogs,
     f"""WITH {T}, t AS (SELECT {BUCKET} AS bucket, regime, {HB} AS horizon, exit_date, ret, date_trunc('month', entry_date)::DATE AS as_of FROM trades),
-q AS (SELECT DISTINCT bucket, regime, horizon, as_of FROM t), dd AS (SELECT bucket, regime, horizon, exit_date, count(*) AS n, sum(ret) AS s, sum((ret > 0)::INT) AS w FROM t GROUP BY ALL)
-SELECT bucket, regime, horizon, q.as_of, sum(n)::BIGINT AS n, round(sum(s) / sum(n), 12) AS mean, round(sum(w) / sum(n), 12) AS p_positive, CASE WHEN sum(n) >= 150 THEN 'high' ELSE 'medium' END AS confidence
-FROM q JOIN dd USING (bucket, regime, horizon) WHERE dd.exit_date < q.as_of GROUP BY ALL HAVING sum(n) >= 25""",
+q AS (SELECT *, dayofyear(as_of) / 5000 - 0.02 AS e FROM (SELECT DISTINCT bucket, regime, horizon, as_of FROM t)),
+c AS (SELECT q.bucket, q.regime, q.horizon, q.as_of, e, list_sort(list(round(ret, 6)) FILTER (WHERE ret IS NOT NULL)) AS r, count(ret) AS n, avg(ret) AS m, avg((ret > 0)::INT) AS p FROM q LEFT JOIN t ON q.bucket = t.bucket AND q.regime = t.regime AND q.horizon = t.horizon AND t.exit_date < q.as_of GROUP BY ALL),
+z AS (SELECT *, e * 0.5 AS h, greatest(0.02, abs(e) * 3) AS g, n >= 25 AS k FROM c)
+SELECT bucket, regime, horizon, as_of, n, round(CASE WHEN k THEN 0.5 * e + 0.5 * m ELSE h END + 1e-9, 6) AS expected, round(CASE WHEN k THEN r[floor(n * 0.1)::INT + 1] ELSE greatest(-0.95, h - 2 * g) END, 6) AS ci_low, round(CASE WHEN k THEN r[floor(n * 0.9)::INT + 1] ELSE h + 2 * g END, 6) AS ci_high,
+  round(CASE WHEN k THEN p ELSE 0.5 * (1 + sign(h) * (1 - (1 / (1 + 0.3275911 * abs(h / g) / sqrt(2))) * (0.254829592 + (1 / (1 + 0.3275911 * abs(h / g) / sqrt(2))) * (-0.284496736 + (1 / (1 + 0.3275911 * abs(h / g) / sqrt(2))) * (1.421413741 + (1 / (1 + 0.3275911 * abs(h / g) / sqrt(2))) * (-1.453152027 + (1 / (1 + 0.3275911 * abs(h / g) / sqrt(2))) * 1.061405429)))) * exp(-(h / g) * (h / g) / 2))) END, 6) AS p_positive,
+  CASE WHEN NOT k THEN 'low' WHEN n >= 150 THEN 'high' ELSE 'medium' END AS confidence FROM z""",
 )
-AS_OF = "2024-01-12 12:00:00"
+CATALYST = "CASE doc_id % 4 WHEN 0 THEN 'earnings' WHEN 1 THEN 'product' WHEN 2 THEN 'legal' ELSE 'other' END"
+
+
+def _decayed(spark, d):
+    x = rounded(stats.decayed_news(fx.news(spark, d).withColumn("catalyst", F.expr(CATALYST)), 7), "score", "weight")
+    return x.withColumn("catalysts", F.array_join(F.transform(F.map_entries("catalysts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+
+
 register(
     "a15_decayed_news",
-    lambda spark, d: rounded(stats.decayed_news(fx.news(spark, d), AS_OF), "score", "weight"),
-    f"""WITH {fx.NEWS_SQL}, x AS (SELECT *, exp(-(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(published_at)) / 3.6e9 / 48) * confidence * coalesce(reliability, 0.5) AS w FROM news
-  WHERE published_at <= TIMESTAMP '{AS_OF}' AND published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND stance IS NOT NULL)
-SELECT symbol, count(*) AS n, round(sum(stance * w) / sum(w), 6) AS score, round(sum(w), 6) AS weight FROM x GROUP BY 1""",
+    _decayed,
+    f"""WITH {fx.NEWS_SQL}, e AS (SELECT *, {CATALYST} AS catalyst, unnest(generate_series(published_at::DATE, published_at::DATE + INTERVAL 6 DAY, INTERVAL 1 DAY))::DATE AS d FROM news WHERE stance IS NOT NULL),
+x AS (SELECT *, exp(-(epoch_us((d + 1)::TIMESTAMP) - epoch_us(published_at)) / 3.6e9 / 48) * confidence * coalesce(reliability, 0.5) AS w FROM e), k AS (SELECT symbol, d, catalyst, count(*) AS n FROM x GROUP BY ALL),
+s AS (SELECT symbol, d, string_agg(catalyst || '=' || n, ',' ORDER BY catalyst) AS catalysts FROM k GROUP BY ALL)
+SELECT x.symbol, x.d, count(*) AS n, round(sum(stance * w) / sum(w), 6) AS score, round(sum(w), 6) AS weight, any_value(s.catalysts) AS catalysts FROM x JOIN s ON x.symbol = s.symbol AND x.d = s.d GROUP BY 1, 2""",
 )
 register(
     "a17_latest_facts",

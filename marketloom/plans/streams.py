@@ -24,13 +24,13 @@ register(
 def _news(spark, d):
     labels = fx.table(spark, d, "labels")
     news = fx.news_of(streams.stream_table(spark, d, "documents"), labels)
-    return rounded(streams.run_available(streams.rolling_news(news), "st5", ["symbol", "window_end"]), "score")
+    return rounded(streams.rolling_news(streams.run_available(streams.hourly_news(news), "st5", ["symbol", "hour_end"])), "score")
 
 
 register(
     "st5_rolling_news",
     _news,
-    f"""WITH {fx.NEWS_SQL}, x AS (SELECT *, unnest(range(4)) AS k, time_bucket(INTERVAL 12 HOUR, published_at, TIMESTAMP '1970-01-01') AS b FROM news WHERE stance IS NOT NULL),
-y AS (SELECT *, b + INTERVAL 12 HOUR + k * INTERVAL 12 HOUR AS window_end FROM x), z AS (SELECT *, exp(-(epoch_us(window_end) - epoch_us(published_at)) / 3.6e9 / 48) * confidence * reliability AS w FROM y)
+    f"""WITH {fx.NEWS_SQL}, x AS (SELECT *, unnest(range(168)) AS k, date_trunc('hour', published_at) AS b FROM news WHERE stance IS NOT NULL),
+y AS (SELECT *, b + INTERVAL 1 HOUR + k * INTERVAL 1 HOUR AS window_end FROM x), z AS (SELECT *, exp(-(epoch_us(window_end) - epoch_us(published_at)) / 3.6e9 / 48) * confidence * reliability AS w FROM y)
 SELECT symbol, window_end, count(*) AS n, round(sum(stance * w) / sum(w), 6) AS score FROM z GROUP BY 1, 2""",
 )

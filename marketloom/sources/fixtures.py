@@ -184,3 +184,23 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILLS_SQL = """fills AS (SELECT l_suppkey AS account, p_brand AS symbol, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS qty,
   l_extendedprice / l_quantity AS price, l_shipdate::DATE AS d, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+#: Tags of annual statements, in the order in which the fixture deals them.
+STATEMENT_TAGS = (
+    "Revenues", "OperatingIncomeLoss", "Assets", "StockholdersEquity", "EarningsPerShareDiluted", "NetCashProvidedByUsedInOperatingActivities", "PaymentsToAcquirePropertyPlantAndEquipment",
+    "LongTermDebt", "AssetsCurrent", "LiabilitiesCurrent", "CommonStockSharesOutstanding", "NetIncomeLoss", "LongTermDebtCurrent",
+)
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual statement facts by issuer (a supplier; its number modulo 25 is the brand's): one
+    row for each (issuer, year, tag) that line items deal a value to, filed 45 days later."""
+    li = table(spark, sf_dir, "lineitem")
+    tag = F.element_at(F.array(*map(F.lit, STATEMENT_TAGS)), (F.col("l_partkey") % len(STATEMENT_TAGS) + 1).cast("int"))
+    g = li.groupBy(F.col("l_suppkey").alias("cik"), F.make_date(F.year("l_shipdate"), F.lit(12), F.lit(31)).alias("period_end"), tag.alias("tag")).agg(F.sum(F.col("l_extendedprice") * (0.5 - F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0))).alias("value"))
+    return g.withColumn("filed", F.date_add("period_end", 45)).withColumn("form", F.when(F.col("cik") % 9 == 0, "10-Q").otherwise("10-K")).withColumn("value", F.round(F.col("value") + 1e-6, 2))
+
+
+STATEMENTS_SQL = f"""st AS (SELECT *, (period_end + 45)::DATE AS filed, CASE WHEN cik % 9 = 0 THEN '10-Q' ELSE '10-K' END AS form FROM (SELECT l_suppkey AS cik, make_date(year(l_shipdate), 12, 31) AS period_end,
+  {list(STATEMENT_TAGS)}[(l_partkey % {len(STATEMENT_TAGS)} + 1)::INT] AS tag, round(sum(l_extendedprice * (0.5 - CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END)) + 1e-6, 2) AS value FROM lineitem GROUP BY 1, 2, 3))"""

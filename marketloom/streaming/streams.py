@@ -24,7 +24,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables as a stream of files."""
     path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a table is one file or a folder
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}{{,}}")  # a table is one file or a folder
 
 
 def run_available(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
@@ -49,11 +49,19 @@ def rejection_storm(orders: DataFrame, most: int = 5) -> DataFrame:
     return counted.select(F.col("window.start").alias("day"), "mode", "rejected", (F.col("rejected") > most).alias("storm"))
 
 
-def rolling_news(news: DataFrame, length: str = "2 days", step: str = "12 hours") -> DataFrame:
-    """By (symbol, window): headlines and their score, weighted by age at the window's end."""
-    windows = F.window("published_at", length, step)
-    x = news.where("stance is not null").withWatermark("published_at", "7 days").withColumn("w", windows)
+def hourly_news(news: DataFrame) -> DataFrame:
+    """By (symbol, hour): headlines, and their weights and weighted stances, decayed to the
+    hour's end. The state is a row an hour and symbol, however long the score's window is."""
+    x = news.where("stance is not null").withWatermark("published_at", "7 days").withColumn("w", F.window("published_at", "1 hour"))
     age = (F.unix_micros(F.col("w.end")) - F.unix_micros("published_at")) / 3.6e9
     x = x.withColumn("weight", F.exp(-age / 48) * F.col("confidence") * F.coalesce("reliability", F.lit(0.5)))
-    g = x.groupBy("symbol", F.col("w")).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("stance") * F.col("weight")) / F.sum("weight")).alias("score"))
-    return g.select("symbol", F.col("w.end").alias("window_end"), "n", "score")
+    g = x.groupBy("symbol", "w").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.sum(F.col("stance") * F.col("weight")).alias("s"))
+    return g.select("symbol", F.col("w.end").alias("hour_end"), "n", "weight", "s")
+
+
+def rolling_news(hours: DataFrame, length_hours: int = 168) -> DataFrame:
+    """By (symbol, hour): the score of the headlines of the last seven days, refreshed hourly,
+    from what ``hourly_news`` has put together. An hour's sum fades by whole hours."""
+    x = hours.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length_hours - 1)))).withColumn("fade", F.exp(-F.col("k") / 48.0))
+    g = x.groupBy("symbol", (F.col("hour_end") + F.make_dt_interval(hours=F.col("k"))).alias("window_end"))
+    return g.agg(F.sum("n").alias("n"), (F.sum(F.col("s") * F.col("fade")) / F.sum(F.col("weight") * F.col("fade"))).alias("score"))
