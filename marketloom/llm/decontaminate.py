@@ -25,8 +25,8 @@ from marketloom.llm import textbatch as tb
 from marketloom.llm.scratch import table
 
 WINDOW = 10
-#: Bytes of benchmark text whose phrases go to the tasks together.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text whose phrases go to the tasks together (some 240 MB on the driver).
+BLOCK_BYTES = 2 << 20
 SAMPLE = 8
 
 _NOT_WORD = np.ones(256, bool)
@@ -226,7 +226,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     bench = benchmark.select(F.col(item_col).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    hide = "__text_in"
+    hide = tb.free("__text_in", keep)
     out = docs.select(*keep, F.col(text_col).alias(hide))
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "item_ids": F.array().cast("array<string>"), "spans": F.array().cast(_SPANS), "clean_text": F.lit(None).cast("string")})
     for k in range(blocks):

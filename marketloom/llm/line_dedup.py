@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm import textbatch as tb
 from marketloom.llm.scratch import table, write_through
 
 #: The white space that is stripped: space and U+0009 to U+000D.
@@ -57,24 +58,25 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     common = write_through(common, "common-lines")
     gone = lines.select("r", "p", "h").join(common, "h", "left_semi").groupBy("r").agg(F.array_sort(F.collect_set("p")).alias("__gone"))
     parts = F.split(text, "\n", -1)
+    key, left, every = (tb.free(c, docs.columns) for c in ("__r", "__gone", "__lines"))
     out = (
-        docs.withColumn("__r", row)
-        .join(gone.withColumnRenamed("r", "__r"), "__r", "left")
-        .withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
-        .withColumn("__lines", parts)
+        docs.withColumn(key, row)
+        .join(gone.select(F.col("r").alias(key), F.col("__gone").alias(left)), key, "left")
+        .withColumn(left, F.coalesce(left, F.array().cast("array<int>")))
+        .withColumn(every, parts)
     )
     # Run k lies between the dropped positions k - 1 and k.
     runs = F.expr(
-        "transform(sequence(0, size(__gone)), k -> slice(__lines,"
-        " if(k = 0, 0, __gone[k - 1] + 1) + 1,"
-        " if(k = size(__gone), size(__lines), __gone[k]) - if(k = 0, 0, __gone[k - 1] + 1)))"
+        f"transform(sequence(0, size({left})), k -> slice({every},"
+        f" if(k = 0, 0, {left}[k - 1] + 1) + 1,"
+        f" if(k = size({left}), size({every}), {left}[k]) - if(k = 0, 0, {left}[k - 1] + 1)))"
     )
-    kept = F.when(F.size("__gone") == 0, text).otherwise(F.array_join(F.flatten(runs), "\n"))
+    kept = F.when(F.size(left) == 0, text).otherwise(F.array_join(F.flatten(runs), "\n"))
     return (
         out.withColumn(text_col, kept)
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("n_dropped", F.size("__gone").cast("long"))
-        .drop("__r", "__gone", "__lines")
+        .withColumn("n_lines", F.size(every).cast("long"))
+        .withColumn("n_dropped", F.size(left).cast("long"))
+        .drop(key, left, every)
     )
 
 

@@ -140,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_bytes
     truth: list[int] = []
     for value in (0, 1):
         ids = labels.where(F.col(label_col) == value).select(F.col(id_col).alias("i")).join(named.select("i"), "i", "left_semi").distinct().orderBy(F.xxhash64("i"), "i").limit(rows)
-        for r in named.join(F.broadcast(ids), "i").orderBy("i", "t").collect():  # rows x max_bytes at most, but for repeated ids
+        one = named.join(F.broadcast(ids), "i").groupBy("i").agg(F.min("t").alias("t"))  # of repeated ids one text
+        for r in one.orderBy("i").collect():  # rows x max_bytes at most
             texts.append(r.t.encode())
             truth.append(value)
     if len(set(truth)) == 2:
@@ -159,7 +160,7 @@ def classify(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text_c
       An empty table stays empty. A very long text is scored over all its chunks.
     """
     keep = [c for c in (carry if carry is not None else docs.columns) if c.lower() not in ADDED]
-    hide = "__text_in"
+    hide = tb.free("__text_in", keep)
     frame = docs.select(*keep, F.col(text_col).cast("string").alias(hide))
     sent = docs.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([frame.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])

@@ -89,7 +89,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", carry: list[str] | No
       empty table. A very long text is worked on alone; memory is in proportion to it.
     """
     keep = [c for c in (carry if carry is not None else docs.columns) if c.lower() not in ADDED]
-    hide = "__text_in"
+    hide = tb.free("__text_in", keep)
     frame = docs.select(*keep, F.col(text_col).alias(hide))
     schema = T.StructType([frame.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in COUNTS])
 

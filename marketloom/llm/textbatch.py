@@ -44,6 +44,14 @@ _STEP = U(0xD1342543DE82EF95)
 _LANES = mix(np.arange(1, 65, dtype=U) * U(0xD6E8FEB86659FD93)) | U(1)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column in ``taken`` has it."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and its document offsets (null: no bytes)."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

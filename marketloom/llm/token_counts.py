@@ -1,6 +1,6 @@
 """Token counts under a unigram model, by dynamic programming shared over a trie.
 
-The pre-tokens of a slice of documents are made distinct and sorted, which lays out their
+The pre-tokens of a slice of documents that the task has not met yet are made distinct and sorted, which lays out their
 trie level by level: a node is a distinct prefix. One forward pass goes down the levels for
 all nodes of a level at once. A node keeps the best score of any segmentation of its prefix,
 and the vocabulary pieces still open there, each with the level at which it began; children
@@ -31,6 +31,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A score is kept above the number of tokens: score * 2**TOKEN_BITS - tokens.
 TOKEN_BITS = 24
+#: Where so few prefixes are left, or beyond so many bytes, each word goes on by itself.
+FEW, DEEP = 4, 1 << 20
+#: Bytes of pre-tokens whose counts a task keeps.
+KNOWN_BYTES = 32 << 20
 
 
 class Vocabulary:
@@ -54,6 +58,26 @@ class Vocabulary:
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.scores = score
+        self._links: dict[int, int] | None = None
+
+    def tail(self, word: bytes, at: int, pieces: list[tuple[int, int, int]]) -> int:
+        """Tokens of a word whose pieces open at byte ``at`` are (score, -tokens, state) where
+        they began. One word alone, in plain numbers of any size."""
+        if self._links is None:
+            self._links = dict(zip(self.keys.tolist(), self.next.tolist(), strict=True))
+            self._gain = {k: (g + 1) >> TOKEN_BITS for k, g in enumerate(self.gain.tolist()) if g > np.iinfo(np.int64).min}
+        links, gain, best = self._links, self._gain, (0, 0)
+        for byte in word[at:]:
+            best, open_ = None, []
+            for score, less, state in pieces:
+                to = links.get(state << 8 | byte)
+                if to is None:
+                    continue
+                open_.append((score, less, to))
+                if to in gain and (best is None or (score + gain[to], less - 1) > best):
+                    best = (score + gain[to], less - 1)
+            pieces = [*open_, (*best, 0)]
+        return -best[1]
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """Next states, or -1."""
@@ -107,6 +131,12 @@ def count_tokens(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
         state = np.concatenate((went, np.zeros(len(up), np.int64)))
         order = np.argsort(node, kind="stable")
         node, base, state = node[order], base[order], state[order]
+        if len(alive) <= FEW or level >= DEEP:
+            for k, p in zip(alive.tolist(), parent.tolist(), strict=True):
+                lo, hi = np.searchsorted(node, p, side="left"), np.searchsorted(node, p, side="right")
+                less = (-base[lo:hi]) & ((1 << TOKEN_BITS) - 1)
+                out[k] = vocabulary.tail(words[k], level, list(zip(((base[lo:hi] + less) >> TOKEN_BITS).tolist(), (-less).tolist(), state[lo:hi].tolist(), strict=True)))
+            break
     return out
 
 
@@ -116,14 +146,13 @@ ADDED = ["n_pretokens", "n_tokens"]
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns of ``docs`` (or ``carry`` of them) with ``n_pretokens`` and ``n_tokens``.
 
-    * A null or empty text has 0 of both. A pre-token of any length is counted whole; one of
-      2**24 bytes or more is beyond the exact range.
+    * A null or empty text has 0 of both. A pre-token of any length is counted whole.
     * Rows are counted alone; repeated rows agree. Columns named like an added one give way.
       An empty table stays empty. A very long text is a slice of its own.
     """
-    pieces = load(vocabulary)  # on the driver; a file of fixed size
+    pieces = Vocabulary(load(vocabulary))  # on the driver; a file of fixed size
     keep = [c for c in (carry if carry is not None else docs.columns) if c.lower() not in ADDED]
-    hide = "__text_in"
+    hide = tb.free("__text_in", keep)
     frame = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(hide))
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
     schema = T.StructType([frame.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in ADDED])
@@ -131,15 +160,20 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, vocab = regex.compile(PATTERN).findall, Vocabulary(sent.value)
+        split, vocab = regex.compile(PATTERN).findall, sent.value
+        known: dict[str, int] = {}
+        held = 0
         for whole in batches:
             for batch in tb.slices(whole, hide):
                 ids: dict[str, int] = {}
                 docs_ids = [np.array([ids.setdefault(w, len(ids)) for w in split(t)], np.int64) for t in batch.column(hide).to_pylist()]
-                words = [w.encode() for w in ids]
-                order = sorted(range(len(words)), key=words.__getitem__)
-                counts = np.zeros(len(words), np.int64)
-                counts[order] = count_tokens([words[k] for k in order], vocab)
+                fresh = sorted((w.encode(), w) for w in ids if w not in known)
+                for (_, w), n in zip(fresh, count_tokens([b for b, _ in fresh], vocab).tolist(), strict=True):
+                    known[w] = n
+                counts = np.array([known[w] for w in ids], np.int64)
+                held += sum(len(b) for b, _ in fresh)
+                if held > KNOWN_BYTES:
+                    known, held = {}, 0
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in keep), pa.array([len(x) for x in docs_ids], pa.int64()), pa.array([int(counts[x].sum()) for x in docs_ids], pa.int64())],
                     [*keep, *ADDED],

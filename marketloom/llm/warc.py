@@ -15,6 +15,7 @@ Folders are opened through pyarrow's file systems, so any shared store that has
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +36,8 @@ MIN_REVISIT_BYTES = 1000
 FILE_BYTES = 128 << 20
 MANIFEST = "_manifest.json"
 _HEAD = 4096
+_BLANKS = {" ": "%20", "\t": "%09"}
+_EDGE = re.compile(r"^(?:%20|%09)+|(?:%20|%09)+$")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _COLUMNS = {"record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest"}
 
@@ -53,7 +56,7 @@ def record(row: dict) -> bytes:
     if row["page_id"] is not None:
         heads.append(f"WARC-Record-ID: <urn:page:{row['page_id']}>")
     if row["target_uri"] is not None:
-        heads.append("WARC-Target-URI: " + row["target_uri"].replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        heads.append("WARC-Target-URI: " + escape_uri(row["target_uri"]))
     heads.append(f"WARC-Payload-Digest: sha1:{row['payload_digest']}")
     if row["record_type"] == "revisit":
         heads += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{row['refers_to']}>"]
@@ -61,12 +64,29 @@ def record(row: dict) -> bytes:
     return ("WARC/1.1\r\n" + "\r\n".join(heads) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def member(data: bytes) -> bytes:
-    """A gzip member with the skip lengths of both forms in its extra field."""
+def escape_uri(uri: str) -> str:
+    """The URI on one header line: no line ends, no blanks at its edges."""
+    uri = uri.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    bare = uri.strip(" \t")
+    at = uri.index(bare)
+    return "".join(_BLANKS[c] for c in uri[:at]) + bare + "".join(_BLANKS[c] for c in uri[at + len(bare) :])
+
+
+def unescape_uri(uri: str) -> str:
+    """The URI as it was before ``escape_uri``."""
+    uri = _EDGE.sub(lambda m: m[0].replace("%20", " ").replace("%09", "\t"), uri)
+    return uri.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
+def member(data: bytes, most: int = 0xFFFFFFFF) -> bytes:
+    """A gzip member with the skip lengths of both forms in its extra field. A member too long
+    for the field (``most`` bytes) has none: it is skipped by inflating it."""
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = packer.compress(data) + packer.flush()
     whole = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, whole & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    if max(whole, len(data)) > most:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    extra = b"sl" + struct.pack("<HII", 8, whole, len(data))
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -87,7 +107,7 @@ def _number(urn: str | None) -> int | None:
 def parse_head(head: bytes) -> dict[str, str]:
     """WARC header lines by name."""
     pairs = (line.split(b":", 1) for line in head.split(b"\r\n")[1:] if b":" in line)
-    return {k.decode().strip(): v.decode("utf-8", "replace").strip() for k, v in pairs}
+    return {k.decode().strip(): v.strip(b" \t").decode("utf-8", "replace") for k, v in pairs}
 
 
 def records(f: pa.NativeFile, wanted: dict[str, set], payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -118,6 +138,11 @@ def records(f: pa.NativeFile, wanted: dict[str, set], payloads: bool = True) ->
         head, _, block = text.partition(b"\r\n\r\n")
         headers = parse_head(head)
         ok = all(headers.get(k) in v for k, v in wanted.items())
+        while ok and b"\r\n\r\n" not in block and not inflate.eof:  # to the end of the HTTP header
+            more = inflate.unconsumed_tail or f.read(_HEAD)
+            if not more:
+                raise ValueError(f"the record at byte {at} is cut off")
+            block += inflate.decompress(more, _HEAD)
         if ok and payloads:
             parts, tail = [block], inflate.unconsumed_tail
             while not inflate.eof:
@@ -156,7 +181,7 @@ class WarcReader(DataSourceReader):
                 if name == "payload_digest":
                     values = {f"sha1:{v}" for v in values}
                 elif name == "target_uri":
-                    values = {v.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") for v in values}
+                    values = {escape_uri(v) for v in values}
                 header = _COLUMNS[name]
                 self.wanted[header] = self.wanted[header] & values if header in self.wanted else values
             else:
@@ -181,7 +206,7 @@ class WarcReader(DataSourceReader):
                 kind = h["WARC-Type"]
                 uri = h.get("WARC-Target-URI")
                 yield (
-                    kind, _number(h.get("WARC-Record-ID")), uri and uri.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
+                    kind, _number(h.get("WARC-Record-ID")), uri and unescape_uri(uri),
                     h["WARC-Payload-Digest"].removeprefix("sha1:"), int(parse_head(http)["Content-Length"]),
                     _number(h.get("WARC-Refers-To")), payload if kind == "response" and self.payloads else None,
                 )

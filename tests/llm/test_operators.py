@@ -74,15 +74,17 @@ def test_empty_table(name, spark):
     assert OPERATORS[name](odd_docs(spark).limit(0)).count() == 0
 
 
-CLASHING = ["n_words", "score", "kept", "bits", "n_lines", "n_tokens", "spans", "size", "sig", "id", "__text_in", "block"]
+CLASHING = ["n_words", "score", "kept", "bits", "n_lines", "n_tokens", "spans", "size", "sig", "id", "__text_in", "block", "__r", "__gone", "__lines"]
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_clashing_columns(name, spark):
-    docs = odd_docs(spark).withColumns({c: F.lit("mine") for c in CLASHING if c != "__text_in"})
+    docs = odd_docs(spark).withColumns({c: F.lit("mine") for c in CLASHING})
     out = OPERATORS[name](docs)
     assert len(set(out.columns)) == len(out.columns)
     assert out.count() == docs.count()
+    for c in ("__r", "__gone", "__lines", "__text_in"):
+        assert c not in out.columns or {r[0] for r in out.select(c).distinct().collect()} == {"mine"}
 
 
 def test_token_counts_equal_plain_viterbi():
@@ -100,6 +102,26 @@ def test_token_counts_equal_plain_viterbi():
     assert token_counts.count_tokens(ordered, vocab).tolist() == [plain(w) for w in ordered]
 
 
+@pytest.mark.parametrize("deep", [1, 5, 1 << 20])
+def test_token_counts_of_whole_texts_equal_plain(deep, spark, monkeypatch):
+    """The operator, slices, kept counts and single tails against a plain count of each text."""
+    import regex
+
+    vocab = token_counts.Vocabulary(token_counts.load())
+    monkeypatch.setattr(token_counts, "DEEP", deep)
+    r = random.Random(deep)
+    texts = [" ".join(words(k, 40, 300)) + r.choice(["", "é" * 50, "a" * 900, "\n\n  x"]) for k in range(30)] + [None, ""]
+
+    def plain(w: bytes) -> int:
+        best = [(0, 0)] + [(0, 0)] * len(w)
+        for j in range(1, len(w) + 1):
+            best[j] = max((best[i][0] + vocab.scores[w[i:j]], best[i][1] - 1) for i in range(max(0, j - 130), j) if w[i:j] in vocab.scores)
+        return -best[-1][1]
+
+    want = {k: sum(plain(w.encode()) for w in regex.findall(token_counts.PATTERN, t or "")) for k, t in enumerate(texts)}
+    assert {x.doc_id: x.n_tokens for x in token_counts.token_counts(make(spark, texts)).collect()} == want
+
+
 def test_token_counts_add_up(spark):
     out = {r.doc_id: r for r in token_counts.token_counts(make(spark, ["the cat", None, "the cat the cat"])).collect()}
     assert (out[1].n_pretokens, out[1].n_tokens) == (0, 0)
@@ -128,6 +150,37 @@ def test_warc_copies_and_predicates(spark, tmp_path):
     assert reader.wanted == {"WARC-Type": {"response"}, "WARC-Payload-Digest": {"sha1:a", "sha1:b"}}
 
 
+def test_warc_long_and_blank_edged_uris(spark, tmp_path):
+    """Headers of every length round the read size, with payloads off; blanks at the edges."""
+    uris = ["http://x/" + "u" * n for n in range(3660, 3780, 7)] + [" http://x ", "\thttp://%20 ", "  ", "a\n "]
+    pages = spark.createDataFrame([(k, u, "b" * 123_456) for k, u in enumerate(uris)] + [(k + 1000, u, None) for k, u in enumerate(uris)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(pages, path)
+    out = {r.page_id: r for r in warc.read_warc(spark, path, payload=False).collect()}
+    assert all(out[k].target_uri == u and out[k].payload_bytes == 123_456 and out[k + 1000].payload_bytes == 0 for k, u in enumerate(uris))
+    assert {r.page_id % 1000 for r in warc.read_warc(spark, path).where(F.col("target_uri") == " http://x ").collect()} == {uris.index(" http://x ")}
+
+
+def test_warc_members_too_long_for_the_field():
+    rows = [{"record_type": "response", "page_id": k, "target_uri": None, "payload_digest": "d", "payload_bytes": n, "refers_to": None, "payload": b"z" * n} for k, n in enumerate((9_000, 10))]
+    data = b"".join(warc.member(warc.record(r), most=100) for r in rows)
+    assert [h["WARC-Record-ID"] for h, _ in warc.records(_Sized(data), {})] == ["<urn:page:0>", "<urn:page:1>"]
+    assert [h["WARC-Record-ID"] for h, _ in warc.records(_Sized(data), {"WARC-Record-ID": {"<urn:page:1>"}})] == ["<urn:page:1>"]
+
+
+class _Sized:
+    def __init__(self, data):
+        import io
+
+        self._f, self._n = io.BytesIO(data), len(data)
+
+    def size(self):
+        return self._n
+
+    def __getattr__(self, name):
+        return getattr(self._f, name)
+
+
 def test_warc_empty_and_without_skip_lengths(spark, tmp_path):
     import gzip
 
