@@ -30,8 +30,8 @@ CONFLICT_PENALTY = 0.5
 MIN_FINAL = 0.15
 
 
-def vol_context(bench: DataFrame) -> DataFrame:
-    """By date, from one series of bars: implied-volatility stand-ins ``v9, v21, v63, v126``
+def vol_context(bench: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """By symbol and date, with ``carry``: implied-volatility stand-ins ``v9, v21, v63, v126``
     (per cent a year, 60 at most), their slopes, the five-session change, and ``vvix``."""
     x = bench.withColumn("__r", ind.ret(1))
     sd = {n: full(F.stddev_samp, F.col("__r"), n) for n in (9, 21, 63, 126)}
@@ -42,7 +42,7 @@ def vol_context(bench: DataFrame) -> DataFrame:
         (F.col("v9") / F.col("v63") - 1).alias("slope_9d_3m"),
         (F.col("v21") / F.col("v63") - 1).alias("slope_1m_3m"),
         (F.col("v63") / F.col("v126") - 1).alias("slope_3m_6m"),
-        (F.col("v21") / F.lag("v21", 5).over(ind.by_date()) - 1).alias("vix_change_5d"),
+        (F.col("v21") / F.lag("v21", 5).over(ind.by_date()) - 1).alias("vix_change_5d"), *carry,
     )
 
 
@@ -73,12 +73,16 @@ def classify(days: DataFrame) -> DataFrame:
 def regimes(bars: DataFrame, stocks: DataFrame, risky: str, safe: str) -> DataFrame:
     """``classify`` over every benchmark session. ``bars`` has the benchmark and two reference
     symbols whose 21-session returns stand for credit; ``stocks`` gives breadth."""
-    bench = ind.sma(bars.where(F.col("symbol") == BENCHMARK), (50, 200)).select("d", "sma50", "sma200")
-    vols = vol_context(bars.where(F.col("symbol") == BENCHMARK))
-    refs = bars.where(F.col("symbol").isin(risky, safe)).withColumn("__r", ind.ret(21))
-    credit = refs.groupBy("d").agg((F.max(F.when(F.col("symbol") == risky, F.col("__r"))) - F.max(F.when(F.col("symbol") == safe, F.col("__r")))).alias("credit"))
-    days = vols.join(bench, "d").join(credit, "d", "left").join(ind.breadth(stocks).select("d", "breadth"), "d", "left")
-    return classify(days)
+    # One pass: every symbol's windows, then the wanted ones of each date side by side.
+    x = ind.sma(bars.where(F.col("symbol").isin(BENCHMARK, risky, safe)), (50, 200)).withColumn("__r21", ind.ret(21))
+    x = vol_context(x, ("sma50", "sma200", "__r21"))
+    own = [c for c in x.columns if c not in ("d", "symbol", "__r21")]
+
+    def of(symbol: str, c: str) -> Column:
+        return F.max(F.when(F.col("symbol") == symbol, F.col(c)))
+
+    days = x.groupBy("d").agg(F.max(F.col("symbol") == BENCHMARK).alias("__open"), *(of(BENCHMARK, c).alias(c) for c in own), (of(risky, "__r21") - of(safe, "__r21")).alias("credit"))
+    return classify(days.where("__open").drop("__open").join(ind.breadth(stocks).select("d", "breadth"), "d", "left"))
 
 
 def macro_signals(regime: DataFrame, grid: DataFrame) -> DataFrame:

@@ -41,10 +41,11 @@ def panel(bars: DataFrame) -> DataFrame:
 
 
 def with_benchmark(x: DataFrame) -> DataFrame:
-    """The panel with the benchmark's returns of the same date. The benchmark has a row for
-    each session, which bounds what is broadcast."""
-    bench = x.where(F.col("symbol") == BENCHMARK).select("d", F.col("r63").alias("b63"), F.col("r21").alias("b21"))
-    return x.join(F.broadcast(bench), "d", "left")
+    """The panel with the benchmark's returns of the same date, by the exchange on the date that
+    the ranking of a date needs anyway: the panel is made once."""
+    w = Window.partitionBy("d")
+    own = F.col("symbol") == BENCHMARK
+    return x.withColumns({"b63": F.max(F.when(own, F.col("r63"))).over(w), "b21": F.max(F.when(own, F.col("r21"))).over(w)})
 
 
 def _signal(node: str, when: Column, direction: Column, score: Column, confidence: Column, expected: Column, down: float = -2.0) -> Column:

@@ -104,10 +104,11 @@ register(
 
 
 def _fused(spark, d):
-    bars = fx.bars(spark, d)
+    # Read for the grid, the signals and the regimes: written once.
+    bars = fx.stored(fx.bars(spark, d), "bars")
     grid = bars.where(F.col("symbol") != fx.BENCHMARK).select(F.col("d").alias("as_of"), "symbol", F.row_number().over(ind.by_date()).alias("n_bars"))
     s = signals.price_signals(bars)
-    every = s.unionByName(fusion.macro_signals(_regimes(spark, d), grid.select("as_of", "symbol")), allowMissingColumns=True)
+    every = s.unionByName(fusion.macro_signals(fusion.regimes(bars, fx.bars(spark, d, "p_brand", False), RISKY, SAFE), grid.select("as_of", "symbol")), allowMissingColumns=True)
     return fusion.fuse(every, grid)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from marketloom.functions.columns import rounded
 from marketloom.registry import register
 from marketloom.sources import fixtures as fx
@@ -34,3 +36,64 @@ register(
 y AS (SELECT *, b + INTERVAL 1 HOUR + k * INTERVAL 1 HOUR AS window_end FROM x), z AS (SELECT *, exp(-(epoch_us(window_end) - epoch_us(published_at)) / 3.6e9 / 48) * confidence * reliability AS w FROM y)
 SELECT symbol, window_end, count(*) AS n, round(sum(stance * w) / sum(w), 6) AS score FROM z GROUP BY 1, 2""",
 )
+
+
+OE = fx.ORDER_EVENTS_SQL
+
+
+def _orders(spark, d):
+    return fx.orders_of(streams.stream_table(spark, d, "events"))
+
+
+def _marks(spark, d):
+    e = streams.stream_table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("equity"))
+    return streams.append_available(streams.throttled_marks(e), "st1")
+
+
+register(
+    "st1_throttled_marks",
+    _marks,
+    """WITH RECURSIVE e AS (SELECT event_type AS source, ts, value AS equity, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) AS k FROM events),
+r(source, k, ts, equity, last, kept) AS (SELECT source, k, ts, equity, epoch_us(ts), true FROM e WHERE k = 1
+  UNION ALL SELECT e.source, e.k, e.ts, e.equity, CASE WHEN epoch_us(e.ts) - r.last >= 300000000 THEN epoch_us(e.ts) ELSE r.last END, epoch_us(e.ts) - r.last >= 300000000 FROM r JOIN e ON e.source = r.source AND e.k = r.k + 1)
+SELECT source, ts, equity FROM r WHERE kept""",
+)
+register("st2_fresh_orders", lambda spark, d: streams.append_available(streams.fresh_orders(_orders(spark, d)).select("symbol", "side", "mode", F.col("ts").alias("ts")), "st2").select("symbol", "side", "mode").distinct(), f"WITH {OE} SELECT DISTINCT symbol, side, mode FROM oe WHERE status NOT IN ('rejected', 'cancelled')")
+register(
+    "st3_latest_bars",
+    lambda spark, d: rounded(streams.run_available(streams.latest_bars(_orders(spark, d)), "st3", ["symbol", "day"]), "close", digits=4),
+    f"WITH {OE} SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS day, round(arg_max(notional, (ts, id)), 4) AS close, max(ts) AS \"at\", count(*) AS ticks FROM oe GROUP BY 1, 2",
+)
+
+
+def _unique(spark, d):
+    news = fx.news_of(streams.stream_table(spark, d, "documents"), fx.table(spark, d, "labels")).where("body is not null")
+    return streams.append_available(streams.unique_news(news.withColumn("content_hash", F.sha2("body", 256)), "3650 days").select("content_hash", "published_at"), "st4").select("content_hash")
+
+
+register("st4_unique_news", _unique, f"WITH {fx.NEWS_SQL} SELECT DISTINCT sha256(body) AS content_hash FROM news WHERE body IS NOT NULL")
+register(
+    "st6_scan_sessions",
+    lambda spark, d: streams.append_available(streams.scan_sessions(_orders(spark, d).where("status = 'filled'")), "st6"),
+    f"""WITH {OE}, x AS (SELECT mode, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM oe WHERE status = 'filled' WINDOW w AS (PARTITION BY mode ORDER BY ts)),
+y AS (SELECT *, sum(fresh) OVER (PARTITION BY mode ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x), z AS (SELECT mode, min(ts) AS began, max(ts) + INTERVAL 30 MINUTE AS stale_at, count(*) AS scans FROM y GROUP BY mode, s)
+SELECT * FROM z WHERE stale_at < (SELECT max(ts) FROM oe WHERE status = 'filled') - INTERVAL 1 DAY""",
+)
+register(
+    "st8_matched_orders",
+    lambda spark, d: streams.append_available(streams.matched_orders(_orders(spark, d), _orders(spark, d)), "st8").where("fill_id is not null"),
+    f"WITH {OE} SELECT o.id, o.symbol, o.mode, o.ts, f.id AS fill_id, f.ts AS filled_at FROM oe o JOIN oe f ON o.status = 'placed' AND f.status = 'filled' AND f.symbol = o.symbol AND f.mode = o.mode AND f.ts >= o.ts AND f.ts <= o.ts + INTERVAL 6 HOUR",
+)
+
+
+def _quotes(spark, d):
+    q = streams.run_available(streams.latest_quotes(_orders(spark, d)), "st9", ["symbol"])
+    now = q.agg(F.max("at").alias("now"))
+    return rounded(q.join(F.broadcast(now)).withColumn("live", F.unix_micros("now") - F.unix_micros("at") <= 30_000_000).drop("now"), "price", digits=4)
+
+
+register(
+    "st9_latest_quotes",
+    _quotes,
+    f"WITH {OE}, q AS (SELECT symbol, arg_max(notional, (ts, id)) AS p, max(ts) AS t FROM oe GROUP BY 1) SELECT symbol, round(p, 4) AS price, t AS \"at\", epoch_us((SELECT max(ts) FROM oe)) - epoch_us(t) <= 30000000 AS live FROM q",
+)

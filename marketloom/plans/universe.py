@@ -9,7 +9,7 @@ from marketloom.functions.columns import rounded
 from marketloom.operators import universe as uni
 from marketloom.registry import register
 from marketloom.sources import fixtures as fx
-from marketloom.streaming.streams import shared_path
+from marketloom.sources.fixtures import shared_path
 
 BRAND = fx.bars_sql("p_brand", benchmark=False)
 PAIR = fx.bars_sql("p_brand || '/' || p_type", benchmark=False)

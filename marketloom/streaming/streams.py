@@ -7,18 +7,11 @@ so late rows inside the watermark correct what was written before.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.operators.joins import last_write
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from marketloom.sources.fixtures import shared_path
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +58,78 @@ def rolling_news(hours: DataFrame, length_hours: int = 168) -> DataFrame:
     x = hours.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length_hours - 1)))).withColumn("fade", F.exp(-F.col("k") / 48.0))
     g = x.groupBy("symbol", (F.col("hour_end") + F.make_dt_interval(hours=F.col("k"))).alias("window_end"))
     return g.agg(F.sum("n").alias("n"), (F.sum(F.col("s") * F.col("fade")) / F.sum(F.col("weight") * F.col("fade"))).alias("score"))
+
+
+MARK = "source string, ts timestamp, equity double"
+
+
+def throttled_marks(marks: DataFrame, minutes: int = 5) -> DataFrame:
+    """Marks (source, ts, equity), one kept for each source per ``minutes`` since the last one
+    that was kept. The state is one timestamp a source. A mark older than the last kept one
+    comes too late and is not kept; a batch's marks are taken in order of time."""
+    gap = minutes * 60
+
+    def keep(key, pdfs, state):
+        import pandas as pd
+
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(pdfs)).sort_values(["ts", "equity"])
+        out = []
+        for ts, equity in zip(rows["ts"], rows["equity"], strict=True):
+            if last is None or ts.timestamp() - last >= gap:
+                last = ts.timestamp()
+                out.append((key[0], ts, equity))
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame(out, columns=["source", "ts", "equity"])
+
+    return marks.select("source", "ts", "equity").groupBy("source").applyInPandasWithState(keep, MARK, "last double", "append", "NoTimeout")
+
+
+def fresh_orders(orders: DataFrame, minutes: int = 60) -> DataFrame:
+    """Live orders, the first of each (symbol, side, mode) inside ``minutes``: repeats inside the
+    watermark are dropped with state that expires."""
+    alive = orders.where(~F.col("status").isin("rejected", "cancelled"))
+    return alive.withWatermark("ts", f"{minutes} minutes").dropDuplicatesWithinWatermark(["symbol", "side", "mode"])
+
+
+def unique_news(news: DataFrame, retention: str = "30 days") -> DataFrame:
+    """Headlines once by content within the retention."""
+    return news.withWatermark("published_at", retention).dropDuplicatesWithinWatermark(["content_hash"])
+
+
+def latest_bars(ticks: DataFrame) -> DataFrame:
+    """By (symbol, day): the last tick, updated by late ones inside the watermark."""
+    g = ticks.withWatermark("ts", "3 days").groupBy("symbol", F.window("ts", "1 day"))
+    return g.agg(F.max_by("notional", F.struct("ts", "id")).alias("close"), F.max("ts").alias("at"), F.count(F.lit(1)).alias("ticks")).select("symbol", F.col("window.start").alias("day"), "close", "at", "ticks")
+
+
+def scan_sessions(scans: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """By mode: stretches of completed scans without a gap; a stretch's end is when the
+    heartbeat went stale."""
+    g = scans.withWatermark("ts", "1 day").groupBy("mode", F.session_window("ts", gap))
+    return g.agg(F.count(F.lit(1)).alias("scans")).select("mode", F.col("session_window.start").alias("began"), F.col("session_window.end").alias("stale_at"), "scans")
+
+
+def matched_orders(orders: DataFrame, fills: DataFrame, hours: int = 6) -> DataFrame:
+    """Placed orders with the fills of the same symbol and mode in the ``hours`` after: a join
+    of two streams, bounded in time on both sides; orders without a fill come out with nulls
+    once the watermark has passed them."""
+    o = orders.where("status = 'placed'").select("id", "symbol", "mode", "ts").withWatermark("ts", "1 hour")
+    f = fills.where("status = 'filled'").select(F.col("id").alias("fill_id"), F.col("symbol").alias("fs"), F.col("mode").alias("fm"), F.col("ts").alias("filled_at")).withWatermark("filled_at", "1 hour")
+    near = F.expr(f"symbol = fs and mode = fm and filled_at >= ts and filled_at <= ts + interval {hours} hours")
+    return o.join(f, near, "left_outer").select("id", "symbol", "mode", "ts", "fill_id", "filled_at")
+
+
+def latest_quotes(quotes: DataFrame) -> DataFrame:
+    """By symbol: the last quote; what reads it drops quotes older than their time to live."""
+    return quotes.groupBy("symbol").agg(F.max_by("notional", F.struct("ts", "id")).alias("price"), F.max("ts").alias("at"))
+
+
+def append_available(stream: DataFrame, label: str) -> DataFrame:
+    """Run an appending stream over what is there; everything that came out."""
+    spark = stream.sparkSession
+    path = shared_path(spark, label)
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
