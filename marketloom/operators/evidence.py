@@ -39,7 +39,7 @@ def earnings_drift(decisions: DataFrame, reports: DataFrame, bars: DataFrame) ->
     of the 14 days before whose surprise and first reaction are large enough. Without any
     report the state is unavailable, with none that is enough verified_neutral.
 
-    A reaction is known only once the bar after the report is at or before the decision.
+    Reports of one date go by id, then surprise. A reaction is known only once the bar after the report is at or before the decision.
     """
     r = latest_at(reports, bars.withColumn("before", F.col("close")), ["before"], ["symbol"], "d")
     r = next_after(r, bars.select("symbol", "d", F.col("close").alias("after"), F.col("d").alias("after_d")), ["after", "after_d"], ["symbol"], "d")
@@ -47,7 +47,7 @@ def earnings_drift(decisions: DataFrame, reports: DataFrame, bars: DataFrame) ->
     x = within_days(decisions, r, EVENT_DAYS, "symbol", "as_of", "reported").where("after_d <= as_of")
     hit = (F.col("surprise") >= SURPRISE_MIN) & (F.col("reaction") > REACTION_MIN)
     score = F.least(F.lit(1.0), 0.6 * F.col("surprise") / 0.15 + 0.4 * F.least("reaction", F.lit(0.08)) / 0.08)
-    g = x.groupBy("symbol", "as_of").agg(F.count(F.lit(1)).alias("reports"), F.min_by(F.when(hit, score), F.when(hit, F.struct("reported", "report_id"))).alias("score"))
+    g = x.groupBy("symbol", "as_of").agg(F.count(F.lit(1)).alias("reports"), F.min_by(F.when(hit, score), F.when(hit, F.struct("reported", "report_id", "surprise"))).alias("score"))
     state = F.when(F.col("reports").isNull(), "unavailable").when(F.col("score").isNull(), "verified_neutral").otherwise("running")
     return decisions.join(g, ["symbol", "as_of"], "left").select("symbol", "as_of", "reports", "score", state.alias("state"))
 

@@ -166,8 +166,8 @@ def replay(signals: DataFrame, bars: DataFrame, horizon: int = 20, stop: float =
 
 
 def limit_price(side: Column, price: Column, bps: float = 10.0) -> Column:
-    """A little over the price for buys, under it for sells; to the cent."""
-    return F.round(price * F.when(side == "buy", 1 + bps / 10_000).otherwise(1 - bps / 10_000), 2)
+    """A little over the price for buys, under it for sells; to the cent (halves go up)."""
+    return F.round(price * F.when(side == "buy", 1 + bps / 10_000).otherwise(1 - bps / 10_000) + 1e-9, 2)
 
 
 def quantity(notional: Column, limit: Column, option: Column) -> Column:

@@ -34,7 +34,7 @@ register(
     f"""WITH {DEC}, {BRAND}, r0 AS (SELECT symbol, entry_date AS d, ret AS surprise, id FROM trades WHERE score > 0.6),
 r1 AS (SELECT r0.*, b.close AS before FROM r0 ASOF LEFT JOIN bars b ON r0.symbol = b.symbol AND r0.d >= b.d), r2 AS (SELECT r1.*, b.close AS after, b.d AS after_d FROM r1 ASOF LEFT JOIN bars b ON r1.symbol = b.symbol AND r1.d < b.d),
 x AS (SELECT dec.*, r2.d, id, surprise, after / before - 1 AS re FROM dec JOIN r2 ON dec.symbol = r2.symbol AND r2.d <= as_of AND r2.d >= as_of - 14 AND after_d <= as_of),
-g AS (SELECT symbol, as_of, count(*) AS reports, arg_min(least(1, 0.6 * surprise / 0.15 + 0.4 * least(re, 0.08) / 0.08), (d, id)) FILTER (WHERE surprise >= 0.04 AND re > 0.005) AS score FROM x GROUP BY 1, 2)
+g AS (SELECT symbol, as_of, count(*) AS reports, arg_min(least(1, 0.6 * surprise / 0.15 + 0.4 * least(re, 0.08) / 0.08), (d, id, surprise)) FILTER (WHERE surprise >= 0.04 AND re > 0.005) AS score FROM x GROUP BY 1, 2)
 SELECT symbol, as_of, reports, round(score, 6) AS score, CASE WHEN reports IS NULL THEN 'unavailable' WHEN score IS NULL THEN 'verified_neutral' ELSE 'running' END AS state FROM dec LEFT JOIN g USING (symbol, as_of)""",
 )
 
@@ -181,14 +181,14 @@ register(
 )
 register(
     "e6_mandate",
-    lambda spark, d: rounded(fx.trades(spark, d).select("id", evi.mandate_contribution(F.when(F.col("id") % 3 == 0, "favor").when(F.col("id") % 3 == 1, "avoid"), F.when(F.col("id") % 5 == 0, "avoid"), F.col("score"), F.col("ret") * 8 - 0.2, F.col("score") + 0.3, F.col("ret")).alias("contribution")), "contribution"),
-    f"""WITH {T} SELECT id, round(CASE WHEN abs(ret * 8 - 0.2) >= 0.1 AND score + 0.3 >= 0.5 AND ret > 0 THEN CASE WHEN id % 5 = 0 THEN -1 WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN -1 ELSE 0 END * score * 0.15 ELSE 0 END, 6) AS contribution FROM trades""",
+    lambda spark, d: rounded(fx.trades(spark, d).select("id", evi.mandate_contribution(F.when(F.col("id") % 3 == 0, "favor").when(F.col("id") % 3 == 1, "avoid"), F.when(F.col("id") % 5 == 0, "avoid"), F.col("score"), F.col("ret") * 8 - 0.2, F.col("score") + 0.3, F.col("ret")).alias("contribution")).withColumn("contribution", F.col("contribution") + 1e-10), "contribution"),
+    f"""WITH {T} SELECT id, round(CASE WHEN abs(ret * 8 - 0.2) >= 0.1 AND score + 0.3 >= 0.5 AND ret > 0 THEN CASE WHEN id % 5 = 0 THEN -1 WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN -1 ELSE 0 END * score * 0.15 ELSE 0 END + 1e-10, 6) AS contribution FROM trades""",
 )
 register(
     "e10_blend",
-    lambda spark, d: rounded(fx.trades(spark, d).select("id", evi.blend(F.col("score"), F.when(F.col("id") % 4 > 0, F.col("ret") * 5), F.col("id") % 10 / 10, F.col("id") % 3 > 0, F.lit(0.25)).alias("blended")), "blended"),
+    lambda spark, d: rounded(fx.trades(spark, d).select("id", evi.blend(F.col("score"), F.when(F.col("id") % 4 > 0, F.col("ret") * 5), F.col("id") % 10 / 10, F.col("id") % 3 > 0, F.lit(0.25)).alias("blended")).withColumn("blended", F.col("blended") + 1e-9), "blended"),
     f"""WITH {T}, x AS (SELECT id, score, CASE WHEN id % 4 > 0 THEN ret * 5 END AS l, CASE WHEN id % 3 > 0 AND id % 10 > 0 AND id % 4 > 0 THEN least(greatest(least(id % 10 / 10, 0.4), 0.05), 0.25) ELSE 0 END AS b FROM trades)
-SELECT id, round(score * (1 - b) + coalesce(l, 0) * b, 6) AS blended FROM x""",
+SELECT id, round(score * (1 - b) + coalesce(l, 0) * b + 1e-9, 6) AS blended FROM x""",
 )
 
 

@@ -124,7 +124,7 @@ SELECT symbol, signal_d, entry_d, round(entry, 6) AS entry, exit_d, round(ex * 0
 register(
     "sc13_prices_and_quantities",
     lambda spark, d: fx.order_events(spark, d).select("id", pf.limit_price(F.col("side"), F.col("notional")).alias("limit"), F.when(F.col("notional") >= 1, pf.quantity(F.col("notional") * 10_000, F.round("notional", 2), F.col("id") % 4 == 0)).alias("qty")),
-    f"WITH {OE} SELECT id, round(notional * CASE WHEN side = 'buy' THEN 1.001 ELSE 0.999 END, 2) AS \"limit\", CASE WHEN notional >= 1 THEN CASE WHEN id % 4 = 0 THEN floor(notional * 10000 / (round(notional, 2) * 100)) ELSE round(notional * 10000 / round(notional, 2), 6) END END::DOUBLE AS qty FROM oe",
+    f"WITH {OE} SELECT id, round(notional * CASE WHEN side = 'buy' THEN 1.001 ELSE 0.999 END + 1e-9, 2) AS \"limit\", CASE WHEN notional >= 1 THEN CASE WHEN id % 4 = 0 THEN floor(notional * 10000 / (round(notional, 2) * 100)) ELSE round(notional * 10000 / round(notional, 2), 6) END END::DOUBLE AS qty FROM oe",
 )
 KIND = "CASE id % 3 WHEN 0 THEN 'approval' WHEN 1 THEN 'suggestion' ELSE 'question' END"
 NOW = "2024-01-20 00:00:00"

@@ -64,7 +64,7 @@ def bars_sql(key: str = "p_type", name: str = "bars", benchmark: bool = True) ->
     symbols = f"[{key}, '{BENCHMARK}']" if benchmark else f"[{key}]"
     return f"""{name} AS (SELECT symbol, d, greatest(least(o, high), low) AS open, high, low, close, volume FROM (
   SELECT symbol, d, 10 * ln(1 + min(u)) AS low, 10 * ln(1 + max(u)) AS high, 10 * ln(1 + sum(ep) / sum(q)) AS close,
-         10 * ln(1 + arg_min(u, ok * 10 + ln)) AS o, sum(q) AS volume
+         10 * ln(1 + arg_min(u, ok * 100 + ln)) AS o, sum(q) AS volume
   FROM (SELECT unnest({symbols}) AS symbol, l_shipdate::DATE AS d, l_extendedprice / l_quantity AS u, l_extendedprice AS ep, l_quantity AS q,
                l_orderkey AS ok, l_linenumber AS ln FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY symbol, d))"""
 
@@ -77,7 +77,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         li.join(o, li.l_orderkey == o.o_orderkey)
         .join(p, li.l_partkey == p.p_partkey)
         .select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+            (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"),
             F.col("p_brand").alias("symbol"),
             F.to_date("o_orderdate").alias("entry_date"),
             F.to_date("l_shipdate").alias("exit_date"),
@@ -92,7 +92,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TRADES_SQL = """trades AS (SELECT l_orderkey * 10 + l_linenumber AS id, p_brand AS symbol, o_orderdate::DATE AS entry_date, l_shipdate::DATE AS exit_date,
+TRADES_SQL = """trades AS (SELECT l_orderkey * 100 + l_linenumber AS id, p_brand AS symbol, o_orderdate::DATE AS entry_date, l_shipdate::DATE AS exit_date,
   l_discount - l_tax AS ret, (l_discount - l_tax) * l_extendedprice AS pnl, o_totalprice / 500000.0 AS score, o_orderpriority AS regime,
   o_orderstatus AS source, [l_returnflag, l_linestatus] AS nodes, datediff('day', o_orderdate::DATE, l_shipdate::DATE) AS horizon_days
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
@@ -193,12 +193,12 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("qty"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.to_date("l_shipdate").alias("d"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
     )
 
 
 FILLS_SQL = """fills AS (SELECT l_suppkey AS account, p_brand AS symbol, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS qty,
-  l_extendedprice / l_quantity AS price, l_shipdate::DATE AS d, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+  l_extendedprice / l_quantity AS price, l_shipdate::DATE AS d, l_orderkey * 100 + l_linenumber AS seq FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 #: Tags of annual statements, in the order in which the fixture deals them.
