@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Listing names and symbols that count, filing headings, sizes of the tiers.
 BAD_NAME = r"(?i)\b(warrants?|rights?|units?|preferred|preference|beneficial interest)\b"
@@ -120,7 +121,7 @@ def coverage(instruments: DataFrame, facts: DataFrame) -> DataFrame:
     return x.agg(F.count(F.lit(1)).alias("issuers"), F.count("has").alias("with_facts")).withColumn("share", F.col("with_facts") / F.col("issuers"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
