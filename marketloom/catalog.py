@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketloom.plans import contracts, evaluation, evidence, indicators, ledger, panel, portfolio, records, signals, stats, streams, universe  # noqa: F401
+from marketloom.plans import contracts, evaluation, evidence, indicators, ledger, options, panel, portfolio, records, signals, stats, streams, universe  # noqa: F401
 from marketloom.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
