@@ -155,7 +155,7 @@ def hypothesis_stances(hypotheses: DataFrame, decisions: DataFrame, prices: Data
     ``hypotheses``: ``activated_at, id, stances``; the last activated one is active, of several
     the one with the largest id. They are reduced to one an hour first, so the sorted stream
     has an hour's row, not a hypothesis's. ``prices``: ``symbol, d, close, atr_pct`` (null: 0.02)."""
-    hour = F.timestamp_seconds(F.ceil(F.unix_timestamp("activated_at") / 3600) * 3600)
+    hour = F.timestamp_seconds(F.ceil(F.col("activated_at").cast("double") / 3600) * 3600)
     h = hypotheses.groupBy(hour.alias("as_of")).agg(F.max_by(F.struct("id", "stances"), F.struct("activated_at", "id")).alias("h")).select("as_of", "h.*", F.lit(0).alias("line"))
     at = decisions.select("as_of").distinct().withColumn("line", F.lit(0))
     s = latest_at(at, h, ["id", "stances"], ["line"], "as_of").select("as_of", "id", F.explode("stances").alias("s")).select("as_of", "id", "s.*", F.to_date("as_of").alias("d"))

@@ -46,8 +46,9 @@ def bootstrap_mean(rows: DataFrame, by: str, value: str, key: str, resamples: in
     blocks = held.groupBy(by, _hex(F.col(key).cast("string"), BLOCK_DIGITS).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
     u = _hex(F.concat_ws(":", "draw", "block"), 8) / 2.0**32
     w = reduce(add, [(u >= step).cast("int") for step in poisson_steps()])
-    x = blocks.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", w).where("w > 0")
-    means = x.groupBy(by, "draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    x = blocks.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", w)
+    drawn = F.sum(F.col("w") * F.col("n"))
+    means = x.groupBy(by, "draw").agg(F.when(drawn > 0, F.sum(F.col("w") * F.col("s")) / drawn).alias("m"))
     sorted_means = means.groupBy(by).agg(F.array_sort(F.collect_list("m")).alias("ms"))
 
     def point(share: float) -> Column:

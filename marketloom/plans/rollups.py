@@ -119,7 +119,8 @@ def _ranked(spark, d):
         "as_of", (F.col("m") / 12).alias("confidence"), F.when(F.col("m") % 2 == 0, F.array(F.lit("MAKER 3"), F.lit("#7"))).otherwise(F.array().cast("array<string>")).alias("favored"),
         F.array(F.lit("brand#1"), F.lit("maker 3")).alias("avoided"), F.create_map(F.lit("Brand#5"), F.lit(0.12)).alias("direct"),
     )
-    return rounded(roll.discovery_ranking(s, PRIORS, m, mandates), "alpha", "liquidity", "mandate", "score")
+    ranked = roll.discovery_ranking(s, PRIORS, m, mandates)
+    return rounded(ranked.withColumns({c: F.col(c) + 1e-10 for c in ("alpha", "score")}), "alpha", "liquidity", "mandate", "score")
 
 
 register(
@@ -129,5 +130,5 @@ register(
 a AS (SELECT as_of, symbol, sum(alpha * ({_PRIOR})) AS alpha FROM s GROUP BY 1, 2), v AS (SELECT symbol, avg(close * volume) AS dv, lower(symbol || ' Maker ' || right(symbol, 1)) AS txt FROM bars GROUP BY 1),
 x AS (SELECT as_of, symbol, alpha, least(log10(greatest(1, dv)) / 10, 1) AS liquidity, CASE WHEN symbol = 'Brand#5' THEN 0.12 ELSE month(as_of) / 12 * 0.15 * CASE WHEN month(as_of) % 2 = 0 AND (txt LIKE '%maker 3%' OR txt LIKE '%#7%') THEN 1 WHEN txt LIKE '%brand#1%' OR txt LIKE '%maker 3%' THEN -1 ELSE 0 END END AS mandate FROM a JOIN v USING (symbol)),
 y AS (SELECT *, 0.9 * alpha + 0.1 * liquidity + mandate AS score FROM x)
-SELECT as_of, symbol, round(alpha, 6) AS alpha, round(liquidity, 6) AS liquidity, round(mandate, 6)::DOUBLE AS mandate, round(score, 6) AS score, row_number() OVER (PARTITION BY as_of ORDER BY score DESC, symbol DESC) AS rank FROM y""",
+SELECT as_of, symbol, round(alpha + 1e-10, 6) AS alpha, round(liquidity, 6) AS liquidity, round(mandate, 6)::DOUBLE AS mandate, round(score + 1e-10, 6) AS score, row_number() OVER (PARTITION BY as_of ORDER BY score DESC, symbol DESC) AS rank FROM y""",
 )
