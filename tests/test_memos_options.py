@@ -59,3 +59,13 @@ def test_marks_of_options(spark):
 def test_delta_at_the_money(spark):
     x = spark.range(1).select(opt.call_delta(F.lit(100.0), F.lit(100.0), F.lit(0.2), F.lit(1.0)).alias("a"), opt.call_delta(F.lit(100.0), F.lit(100.0), F.lit(0.0), F.lit(1.0)).alias("b")).first()
     assert x.a == pytest.approx(0.617911, abs=1e-6) and x.b == 0.0
+
+
+def test_a_hypothesis_acts_from_the_next_whole_hour(spark):
+    at = dt.datetime(2024, 1, 1, 9, 0, 0)
+    stance = [("A", "long", 0.5, 4), ("B", "long", 0.5, 4), ("A", "avoid", 0.0, 4)]
+    h = spark.createDataFrame([(at, 1, stance), (at + dt.timedelta(microseconds=1), 2, [("A", "avoid", 1.0, 9)])], "activated_at timestamp, id int, stances array<struct<symbol:string,direction:string,conviction:double,horizon_days:int>>")
+    decisions = spark.createDataFrame([(at - dt.timedelta(hours=1),), (at,), (at + dt.timedelta(hours=1),)], "as_of timestamp")
+    prices = spark.createDataFrame([("A", dt.date(2023, 12, 1), 10.0, None)], "symbol string, d date, close double, atr_pct double")
+    out = sorted((r.as_of.hour, r.symbol, r.id, r.direction, round(r.expected_return, 6)) for r in memos.hypothesis_stances(h, decisions, prices).collect())
+    assert [x[1:] for x in out] == [("A", 1, "long", 0.01), ("A", 2, "avoid", -0.03)]
