@@ -12,13 +12,17 @@ occur, and taking one backslash out of each such string restores the text.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +42,9 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: f"<{m[1]}|", text)
 
 
+@lru_cache(maxsize=2)
 def _tokenizer(spec: str):
+    """The tokenizer with the template's markers; loaded once a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import AddedToken, Tokenizer
 
@@ -55,6 +61,14 @@ def _byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=2)
+def _pieces(spec: str) -> dict[int, bytes]:
+    """The bytes of every token; an added token stands for its own text."""
+    known, byte = json.loads(spec), _byte_values()
+    own = {t["id"]: t["content"].encode() for t in known.get("added_tokens", ())}
+    return {k: bytes(byte[c] for c in x) for x, k in known["model"]["vocab"].items() if k not in own} | own
+
+
 def token_mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """Which tokens [start, end) meet one of the sorted, disjoint spans [start, end)."""
     if not len(spans) or not len(offsets):
@@ -88,14 +102,18 @@ def format_chats(turns: DataFrame, tokenizer: str = TOKENIZER, role: str = TRAIN
         t = _tokenizer(spec.value)
         for whole in batches:
             for batch in tb.slices(whole, "formatted"):
-                ids, masks = [], []
-                for text in batch.column("formatted").to_pylist():
-                    spans = np.array([m.span(2) for m in _TURN.finditer(text) if unescape(m[1]) == role], np.int64).reshape(-1, 2)
-                    code = t.encode(text, add_special_tokens=False)
-                    ids.append(code.ids)
-                    masks.append(token_mask(np.array(code.offsets, np.int64).reshape(-1, 2), spans))
+                texts = batch.column("formatted").to_pylist()
+                codes = t.encode_batch(texts, add_special_tokens=False)
+                sizes = np.array([len(c) for c in codes], np.int64)
+                ids = np.fromiter(chain.from_iterable(c.ids for c in codes), np.int32, sizes.sum())
+                offsets = np.fromiter(chain.from_iterable(chain.from_iterable(c.offsets for c in codes)), np.int64, 2 * len(ids)).reshape(-1, 2)
+                # One search for the slice: its texts stand behind one another.
+                begin = np.cumsum([0, *map(len, texts[:-1])]) if texts else np.zeros(0, np.int64)
+                own = [(at + m.start(2), at + m.end(2)) for at, text in zip(begin.tolist(), texts, strict=True) for m in _TURN.finditer(text) if unescape(m[1]) == role]
+                mask = token_mask(offsets + np.repeat(begin, sizes)[:, None], np.array(own, np.int64).reshape(-1, 2))
+                cuts = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))],
+                    [*batch.columns, pa.ListArray.from_arrays(cuts, pa.array(ids)), pa.ListArray.from_arrays(cuts, pa.array(mask))],
                     [*batch.schema.names, "token_ids", "loss_mask"],
                 )
 
@@ -109,25 +127,22 @@ def read_back(chats: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     spec = chats.sparkSession.sparkContext.broadcast(open(tokenizer).read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(spec.value)
-        byte = _byte_values()
-        pieces: dict[int, bytes] = {}
+        piece = _pieces(spec.value).__getitem__
         for whole in batches:
             for batch in tb.slices(whole, "formatted"):
                 rows = []
-                for text, ids, mask in zip(*(batch.column(c) for c in ("formatted", "token_ids", "loss_mask")), strict=True):
-                    text, ids, mask = text.as_py(), np.array(ids.as_py(), np.int64), np.array(mask.as_py(), np.int8)
+                sizes = pc.list_value_length(batch.column("token_ids")).to_numpy()
+                ids, mask = batch.column("token_ids").flatten().to_numpy(), batch.column("loss_mask").flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(sizes)
+                for text, start, end in zip(batch.column("formatted").to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
                     turns = sha256()
                     n = 0
                     for m in _TURN.finditer(text):
                         turns.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
                         n += 1
-                    edge = np.diff(np.concatenate(([0], mask, [0])))
-                    loss = ""
-                    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                        for k in set(ids[a:b].tolist()) - pieces.keys():
-                            pieces[k] = bytes(byte[c] for c in t.id_to_token(k))
-                        loss += unescape(b"".join(pieces[k] for k in ids[a:b].tolist()).decode())
+                    edge = np.diff(np.concatenate(([False], mask[start:end], [False])).astype(np.int8))
+                    spans = zip((start + np.flatnonzero(edge == 1)).tolist(), (start + np.flatnonzero(edge == -1)).tolist(), strict=True)
+                    loss = "".join([unescape(b"".join(map(piece, ids[a:b].tolist())).decode()) for a, b in spans])
                     rows.append((n, turns.hexdigest(), len(loss), sha256(loss.encode()).hexdigest(), len(text)))
                 cols = list(zip(*rows, strict=True))
                 types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
