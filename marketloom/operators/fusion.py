@@ -32,17 +32,20 @@ MIN_FINAL = 0.15
 
 def vol_context(bench: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """By symbol and date, with ``carry``: implied-volatility stand-ins ``v9, v21, v63, v126``
-    (per cent a year, 60 at most), their slopes, the five-session change, and ``vvix``."""
+    (per cent a year, 60 at most), their slopes, the five-session change, ``vvix``, the volatility
+    ``realized21`` of the last 21 returns, and the ``spread`` of the implied one over it."""
     x = bench.withColumn("__r", ind.ret(1))
     sd = {n: full(F.stddev_samp, F.col("__r"), n) for n in (9, 21, 63, 126)}
     x = x.withColumns({f"v{n}": F.when(c.isNotNull(), F.least(F.lit(60.0), c * 252**0.5 * SCALE)) for n, c in sd.items()})
+    x = x.withColumn("realized21", sd[21] * 252**0.5 * 100)
     x = x.withColumn("vvix", full(F.stddev_samp, F.col("v21"), 21) * 100)
     return x.select(
         "d", "symbol", "close", "v9", "v21", "v63", "v126", "vvix",
         (F.col("v9") / F.col("v63") - 1).alias("slope_9d_3m"),
         (F.col("v21") / F.col("v63") - 1).alias("slope_1m_3m"),
         (F.col("v63") / F.col("v126") - 1).alias("slope_3m_6m"),
-        (F.col("v21") / F.lag("v21", 5).over(ind.by_date()) - 1).alias("vix_change_5d"), *carry,
+        (F.col("v21") / F.lag("v21", 5).over(ind.by_date()) - 1).alias("vix_change_5d"),
+        "realized21", (F.col("v21") - F.col("realized21")).alias("spread"), *carry,
     )
 
 

@@ -135,6 +135,14 @@ def drawdown(curve: DataFrame) -> DataFrame:
     return out.withColumn("max_drawdown", F.max("drawdown").over(w))
 
 
+def peak_since_reset(curve: DataFrame, reset: Column) -> DataFrame:
+    """``peak`` and ``drawdown`` since the last row, this one included, that ``reset`` marks."""
+    w = Window.partitionBy("source").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    out = curve.withColumn("__part", F.sum(F.coalesce(reset, F.lit(False)).cast("int")).over(w))
+    own = Window.partitionBy("source", "__part").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("peak", F.max("equity").over(own)).withColumn("drawdown", 1 - F.col("equity") / F.col("peak")).drop("__part")
+
+
 def average_rank(col: str, by: str) -> Column:
     """Rank from 1 by value, ties sharing their mean rank."""
     return F.rank().over(Window.partitionBy(by).orderBy(col)) + (F.count(F.lit(1)).over(Window.partitionBy(by, col)) - 1) / 2.0

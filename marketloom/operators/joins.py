@@ -61,6 +61,21 @@ def freshness(bars: DataFrame, as_of: str, limit: int = 4) -> DataFrame:
     return g.withColumn("age_days", age).withColumn("stale", age > limit)
 
 
+def resolve_quotes(quotes: DataFrame, providers: tuple[str, ...], ttl_seconds: int) -> DataFrame:
+    """By symbol: the last quote of the first provider in order that has one no older than the
+    limit, seen from the symbol's newest quote; with its change since the provider's first
+    quote of that day. ``quotes`` has symbol, provider, ts, id, price; other providers are
+    left out."""
+    q = quotes.where(F.col("provider").isin(*providers)).groupBy("symbol", "provider", F.to_date("ts").alias("day")).agg(
+        F.max_by("price", F.struct("ts", "id")).alias("price"), F.min_by("price", F.struct("ts", "id")).alias("open"), F.max("ts").alias("ts")
+    )
+    last = q.groupBy("symbol", "provider").agg(F.max_by(F.struct("provider", "price", "open", "ts"), "day").alias("q"))
+    fresh = last.withColumn("now", F.max("q.ts").over(Window.partitionBy("symbol"))).where(F.unix_micros("now") - F.unix_micros("q.ts") <= ttl_seconds * 1_000_000)
+    rank = F.array_position(F.array(*map(F.lit, providers)), F.col("provider"))
+    x = fresh.groupBy("symbol").agg(F.min_by("q", rank).alias("q")).select("symbol", "q.*")
+    return x.select("symbol", "provider", "price", "ts", F.when(F.col("open") != 0, F.col("price") / F.col("open") - 1).alias("change_pct"))
+
+
 def mismatches(ours: DataFrame, theirs: DataFrame, keys: list[str], qty: str) -> DataFrame:
     """Keys that one side lacks or whose quantities differ: full outer."""
     j = ours.select(*keys, F.col(qty).alias("ours")).join(theirs.select(*keys, F.col(qty).alias("theirs")), keys, "full_outer")
@@ -77,6 +92,23 @@ def within_cooldown(orders: DataFrame, minutes: int = 60) -> DataFrame:
     return x.where(gap <= minutes * 60_000_000)
 
 
+def outside_counts(rows: DataFrame) -> DataFrame:
+    """``outside``: for how many ranked cycles in a row a held symbol has stood outside the
+    target set. ``rows`` has a row for each holding of a cycle: cycle (a running number),
+    symbol, in_target, ranked, version.
+
+    It starts anew when the scoring version changes and after a cycle without the holding; a
+    cycle without a ranking leaves it as it is. A null version is a version of its own.
+    """
+    w = Window.partitionBy("symbol").orderBy("cycle")
+    version = F.coalesce("version", F.lit("unversioned"))
+    anew = F.coalesce((F.lag(version).over(w) != version) | (F.lag("cycle").over(w) != F.col("cycle") - 1), F.lit(False))
+    x = rows.withColumn("__in", F.coalesce(F.col("ranked") & F.col("in_target"), F.lit(False))).withColumn("__out", F.coalesce(F.col("ranked") & ~F.col("in_target"), F.lit(False)))
+    x = x.withColumn("__anew", anew).withColumn("__island", F.sum((F.col("__anew") | F.col("__in")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("symbol", "__island").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("outside", F.sum(F.col("__out").cast("int")).over(run)).drop("__in", "__out", "__anew", "__island")
+
+
 def streaks(rows: DataFrame, key: list[str], order: str, flag: Column) -> DataFrame:
     """``streak``: how many rows in a row, up to this one, have ``flag``; 0 where it fails."""
     w = Window.partitionBy(*key).orderBy(order)

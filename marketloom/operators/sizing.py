@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.indicators import peak_since_reset
+
 #: Risk and name caps as shares of equity, and the smallest order.
 RISK_SHARE, NAME_SHARE, MIN_ORDER = 0.01, 0.08, 5.0
 DAY_LOSS, WEEK_LOSS, PEAK_LOSS = 0.02, 0.05, 0.15
+#: Days for which a switch stays on.
+COOLDOWN = {"daily_loss": 1, "weekly_loss": 7, "drawdown_halt": 10}
 
 
 def vol_target(candidates: DataFrame, equity: float, k: int) -> DataFrame:
-    """``notional`` by volatility, score and coverage; the k best of a cycle of at least
-    MIN_ORDER. Ties by symbol."""
+    """``notional`` by volatility, score, coverage, the scenario's ``scale`` (null: 1) and the
+    ``size_multiplier`` (0 to 1); the k best of a cycle of at least MIN_ORDER. Ties by symbol.
+    What is ``held`` and what a scenario scales to nothing is left out."""
     base = F.least(F.lit(equity * RISK_SHARE) / F.col("atr"), F.lit(equity * NAME_SHARE))
-    sized = candidates.withColumn("notional", base * F.least(F.lit(1.0), 0.5 + F.col("score")) * (0.5 + 0.5 * F.col("coverage"))).where(F.col("notional") >= MIN_ORDER)
+    scale = F.coalesce("scale", F.lit(1.0))
+    sized = candidates.withColumn("notional", base * F.least(F.lit(1.0), 0.5 + F.col("score")) * (0.5 + 0.5 * F.least(F.greatest("coverage", F.lit(0.0)), F.lit(1.0))) * scale * F.greatest(F.least("size_multiplier", F.lit(1.0)), F.lit(0.0)))
+    sized = sized.where(~F.col("held") & (scale > 0)).where(F.col("notional") >= MIN_ORDER)
     w = Window.partitionBy("cycle").orderBy(F.desc("score"), "symbol")
     return sized.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -42,6 +49,21 @@ def breaches(curve: DataFrame) -> DataFrame:
     return x.withColumn("tripped", (F.coalesce(F.col("day_loss") >= DAY_LOSS, F.lit(False))) | (F.coalesce(F.col("week_loss") >= WEEK_LOSS, F.lit(False))) | (F.col("peak_loss") >= PEAK_LOSS))
 
 
+def switches(curve: DataFrame, reset: Column) -> DataFrame:
+    """By day: which loss switches are on. Each trips on a loss over its limit (against the
+    equity on or before one and seven days ago, and the peak since the last ``reset``) and
+    stays on for COOLDOWN days, the day of the trip included."""
+    day = F.datediff("d", F.lit("1970-01-01").cast("date"))
+    x = breaches(curve).drop("tripped", "peak_loss").join(peak_since_reset(curve, reset).select("source", "d", "drawdown"), ["source", "d"])
+    lost = {"daily_loss": F.col("day_loss") > DAY_LOSS, "weekly_loss": F.col("week_loss") > WEEK_LOSS, "drawdown_halt": F.col("drawdown") > PEAK_LOSS}
+
+    def on(name: str) -> Column:
+        w = Window.partitionBy("source").orderBy(day).rangeBetween(1 - COOLDOWN[name], 0)
+        return F.max(F.coalesce(lost[name], F.lit(False))).over(w).alias(name)
+
+    return x.select("source", "d", "day_loss", "week_loss", "drawdown", *(on(c) for c in lost))
+
+
 def block_bootstrap(returns: DataFrame, paths: int, blocks: int, length: int = 5, seed: int = 7) -> DataFrame:
     """By path: the total return of ``blocks`` blocks of ``length`` consecutive sessions drawn
     by hash, and its largest drawdown. ``returns`` (i from 0, r) is the portfolio's own series,

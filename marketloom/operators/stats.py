@@ -10,7 +10,7 @@ from marketloom.functions.columns import ROUND_TRIP, horizon_bucket, normal_cdf,
 #: Trades that weight learning starts from, and how strongly it shrinks.
 MIN_TRADES, MIN_CELL = 50, 30
 SHRINK_N = int(50 * 0.7 / (1 - 0.7))
-FLOOR, CEILING = 0.25, 1.5
+FLOOR, PRODUCTION_FLOOR, CEILING = 0.25, 0.50, 1.5
 
 
 def profit_factor(ret: Column) -> Column:
@@ -32,6 +32,11 @@ def trade_statistics(trades: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def exit_reasons(trades: DataFrame, *by: str) -> DataFrame:
+    """Trades by key and the first word of their ``exit_reason``; none or null: empty."""
+    return trades.groupBy(*by, F.element_at(F.split(F.coalesce("exit_reason", F.lit("")), " "), 1).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def by_node(trades: DataFrame) -> DataFrame:
     """A row for each node of a trade, with the evidence's sign: long for even trade ids."""
     return trades.withColumn("node", F.explode("nodes"))
@@ -55,10 +60,21 @@ def node_scorecard(evidence: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def multipliers(card: DataFrame) -> DataFrame:
-    """``multiplier``: 1 + 2 IR shrunk by n / (n + SHRINK_N), clamped; 1 below MIN_TRADES."""
-    learned = F.least(F.greatest(1 + 2 * F.col("information_ratio") * F.col("n") / (F.col("n") + SHRINK_N), F.lit(FLOOR)), F.lit(CEILING))
-    return card.withColumn("multiplier", F.when(F.col("n") < MIN_TRADES, 1.0).otherwise(learned))
+def multipliers(card: DataFrame, floor: Column | float = FLOOR, least: int = MIN_TRADES) -> DataFrame:
+    """``multiplier``: 1 + 2 IR shrunk by n / (n + SHRINK_N), clamped; 1 below ``least`` trades."""
+    floor = F.lit(floor) if isinstance(floor, float) else floor
+    learned = F.least(F.greatest(1 + 2 * F.col("information_ratio") * F.col("n") / (F.col("n") + SHRINK_N), floor), F.lit(CEILING))
+    return card.withColumn("multiplier", F.when(F.col("n") < least, 1.0).otherwise(learned))
+
+
+def regime_multipliers(evidence: DataFrame) -> DataFrame:
+    """By node, and by (node, regime) where the cell has MIN_CELL trades: ``multiplier`` and what
+    became of it. The floor is that of the node's ``status``; the regime is null for the whole."""
+    floor = F.when(F.col("status") == "experimental", FLOOR).otherwise(PRODUCTION_FLOOR)
+    whole = multipliers(node_scorecard(evidence, "node", "status"), floor).withColumn("regime", F.lit(None).cast("string"))
+    cells = multipliers(node_scorecard(evidence.where("regime is not null"), "node", "status", "regime"), floor, 0).where(F.col("n") >= MIN_CELL)
+    action = F.when(F.col("regime").isNull() & (F.col("n") < MIN_TRADES), "hold").when(F.col("multiplier") <= floor + 1e-9, "deemphasized").otherwise("updated")
+    return whole.unionByName(cells).select("node", "regime", "status", "n", "information_ratio", "multiplier", action.alias("action"))
 
 
 def equity_metrics(curve: DataFrame) -> DataFrame:
@@ -96,6 +112,38 @@ def buy_and_hold(bars: DataFrame) -> DataFrame:
     return g.select("symbol", "sessions", (F.col("last") / F.col("first") - 1 - ROUND_TRIP).alias("net_return"))
 
 
+def exposure_match(curve: DataFrame, bench: DataFrame, filled: DataFrame) -> DataFrame:
+    """By source: the benchmark's return at the exposure that the account had, mean exposure,
+    cash drag, and turnover. ``curve`` has source, d, equity, cash; ``bench`` d, close; ``filled``
+    source, notional. A session without a benchmark close makes no step."""
+    part = F.when(F.col("equity") != 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("cash") / F.col("equity")))).otherwise(0.0)
+    w = Window.partitionBy("source").orderBy("d")
+    x = curve.join(bench.select("d", "close"), "d", "left").withColumn("exposure", part)
+    step = F.lag("exposure").over(w) * (F.col("close") / F.lag("close").over(w) - 1)
+    g = x.withColumn("step", step).groupBy("source").agg((F.exp(F.coalesce(F.sum(F.log1p("step")), F.lit(0.0))) - 1).alias("matched_return"), F.avg("exposure").alias("average_exposure"), F.avg("equity").alias("equity"))
+    t = filled.groupBy("source").agg(F.sum("notional").alias("traded"), F.count(F.lit(1)).alias("n_filled"))
+    return g.join(t, "source", "left").select(
+        "source", "matched_return", "average_exposure", (1 - F.col("average_exposure")).alias("cash_drag"),
+        (F.coalesce("traded", F.lit(0.0)) / F.greatest("equity", F.lit(1.0))).alias("turnover"), (F.coalesce("traded", F.lit(0.0)) / F.greatest(F.coalesce("n_filled", F.lit(0)), F.lit(1))).alias("average_order"),
+    )
+
+
+def pair_statistics(returns: DataFrame, holdings: DataFrame, last: int = 120, least: int = 31) -> DataFrame:
+    """Correlation of every two holdings (``a`` up to ``b``), with mean, deviation and weight of
+    ``a``, over the dates that the last returns of all of them share.
+
+    ``returns`` has symbol, d, r; ``holdings`` symbol, weight: an account's open positions. A
+    holding of fewer than ``least`` returns is left out. A pair of one is its own row.
+    """
+    w = Window.partitionBy("symbol")
+    r = returns.join(holdings, "symbol").withColumn("k", F.row_number().over(w.orderBy(F.desc("d")))).withColumn("n", F.count(F.lit(1)).over(w)).where((F.col("k") <= last) & (F.col("n") >= least))
+    held = r.select(F.count_distinct("symbol").alias("held"))
+    days = r.groupBy("d").agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(held), F.col("m") == F.col("held"), "left_semi").select("d")
+    x = r.join(days, "d", "left_semi").select("d", "symbol", "r", "weight")
+    both = x.withColumnsRenamed({"symbol": "a", "r": "x"}).join(x.select("d", F.col("symbol").alias("b"), F.col("r").alias("y")), "d").where("a <= b")
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.corr("x", "y").alias("correlation"), F.first("weight").alias("weight"))
+
+
 def analog_quantiles(trades: DataFrame, queries: DataFrame, cell: list[str], shares: tuple[float, ...] = (0.10, 0.90)) -> DataFrame:
     """Lower-index order statistics of the returns of a cell that were closed before ``as_of``.
 
@@ -164,6 +212,14 @@ def deterministic_facts(facts: DataFrame) -> DataFrame:
     return g.withColumn("growth", F.col("latest") / F.col("before") - 1)
 
 
-def spend(ledger: DataFrame) -> DataFrame:
-    """Calls and cost by (month, purpose), by month, and in all."""
-    return ledger.rollup("month", "purpose").agg(F.count(F.lit(1)).alias("calls"), F.sum("cost").alias("cost"))
+def spend(ledger: DataFrame, month_budget: float, purpose_cap: float) -> DataFrame:
+    """Calls, cache hits and cost by (month, purpose), by month, and in all; for a month and its
+    purposes what is left of the budget or cap, and whether another call may be made, which
+    takes something left of both."""
+    g = ledger.rollup("month", "purpose").agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("calls"), F.sum(F.col("cache_hit").cast("long")).alias("cache_hits"), F.sum("cost").alias("cost")
+    )
+    cap = F.when(F.col("level") == 0, F.lit(purpose_cap)).when(F.col("level") == 1, F.lit(month_budget))
+    month = F.max(F.when(F.col("level") == 1, F.col("cost"))).over(Window.partitionBy("month"))
+    x = g.withColumn("remaining", F.when(cap.isNotNull(), F.greatest(cap - F.col("cost"), F.lit(0.0)))).withColumn("__month", month)
+    return x.withColumn("allowed", F.when(F.col("level") < 2, (F.col("remaining") > 0) & (F.col("__month") < month_budget))).drop("level", "__month")

@@ -97,39 +97,32 @@ register(
 PROVIDERS = ("purchase", "click", "view", "signup", "error")
 
 
-def _quotes(spark, d):
-    """Of each symbol's last quote of every provider, that of the first provider in order."""
-    q = fx.order_events(spark, d).groupBy("symbol", "provider").agg(F.max_by("notional", F.struct("ts", "id")).alias("price"), F.max("ts").alias("ts"))
-    rank = F.array_position(F.array(*map(F.lit, PROVIDERS)), F.col("provider"))
-    return q.groupBy("symbol").agg(F.min_by(F.struct("provider", "price", "ts"), rank).alias("q")).select("symbol", "q.provider", F.round("q.price", 4).alias("price"), "q.ts")
-
-
 register(
     "src10_resolve_quotes",
-    _quotes,
-    f"""WITH {OE}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol, provider ORDER BY ts DESC, id DESC) AS k FROM oe),
-r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY list_position(['purchase', 'click', 'view', 'signup', 'error'], provider)) AS j FROM l WHERE k = 1)
-SELECT symbol, provider, round(notional, 4) AS price, ts FROM r WHERE j = 1""",
+    lambda spark, d: joins.resolve_quotes(fx.order_events(spark, d).withColumnRenamed("notional", "price"), PROVIDERS, 21_600).withColumns({"price": F.round("price", 4), "change_pct": F.round("change_pct", 6)}),
+    f"""WITH {OE}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol, provider ORDER BY ts DESC, id DESC) AS k, first_value(notional) OVER (PARTITION BY symbol, provider, ts::DATE ORDER BY ts, id) AS o, max(ts) OVER (PARTITION BY symbol) AS now FROM oe),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY list_position(['purchase', 'click', 'view', 'signup', 'error'], provider)) AS j FROM l WHERE k = 1 AND epoch_us(now) - epoch_us(ts) <= 21600000000)
+SELECT symbol, provider, round(notional, 4) AS price, ts, CASE WHEN o <> 0 THEN round(notional / o - 1, 6) END AS change_pct FROM r WHERE j = 1""",
 )
 
 
 def _normalized_news(spark, d):
     n = fx.news(spark, d).where(F.length(F.trim("title")) > 0)
-    stable = F.substring(F.sha2(F.concat_ws("|", "title", F.col("source"), F.col("doc_id").cast("string")), 256), 1, 16)
+    stable = F.substring(F.sha2(F.concat_ws("|", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("doc://"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))), 256), 1, 16)
     return n.select("doc_id", stable.alias("news_id"), F.sha2("body", 256).alias("content_hash"), F.substring("body", 1, 500).alias("summary"))
 
 
 register(
     "src12_normalize_news",
     _normalized_news,
-    f"""WITH {NEWS} SELECT doc_id, substr(sha256(title || '|' || source || '|' || doc_id::VARCHAR), 1, 16) AS news_id, sha256(body) AS content_hash, substr(body, 1, 500) AS summary FROM news WHERE length(trim(title)) > 0""",
+    f"""WITH {NEWS} SELECT doc_id, substr(sha256(title || '|' || strftime(published_at, '%Y-%m-%d %H:%M:%S') || '|doc://' || coalesce(source, '') || '/' || doc_id::VARCHAR), 1, 16) AS news_id, sha256(body) AS content_hash, substr(body, 1, 500) AS summary FROM news WHERE length(trim(title)) > 0""",
 )
 register(
     "src14_missing_history",
     lambda spark, d: fx.table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("symbol")).distinct().join(
         fx.table(spark, d, "lineitem").join(fx.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.concat_ws("/", "p_brand", "p_type").alias("symbol")).agg(F.count_distinct(F.to_date("l_shipdate")).alias("n")), "symbol", "left",
-    ).select("symbol", F.coalesce("n", F.lit(0)).alias("n_bars")).where("n_bars < 400"),
-    "SELECT p_brand || '/' || p_type AS symbol, count(DISTINCT l_shipdate::DATE) AS n_bars FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT l_shipdate::DATE) < 400",
+    ).select("symbol", F.coalesce("n", F.lit(0)).alias("n_bars")).where("n_bars < 400").orderBy(F.desc("n_bars"), "symbol"),
+    "SELECT p_brand || '/' || p_type AS symbol, count(DISTINCT l_shipdate::DATE) AS n_bars FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT l_shipdate::DATE) < 400 ORDER BY 2 DESC, 1",
 )
 register(
     "sc1_signed_alpha",
@@ -156,15 +149,15 @@ register(
 
 def _candidates(spark, d):
     x = ind.atr_pct(fx.bars(spark, d)).where("atr_pct > 0 and symbol <> 'ALL'")
-    return x.select(F.col("d").alias("cycle"), "symbol", F.col("atr_pct").alias("atr"), F.round(F.col("volume") % 97 / 97, 9).alias("score"), F.lit(0.6).alias("coverage"))
+    return x.select(F.col("d").alias("cycle"), "symbol", F.col("atr_pct").alias("atr"), F.round(F.col("volume") % 97 / 97, 9).alias("score"), F.lit(0.6).alias("coverage"), F.when(F.dayofmonth("d") % 7 != 0, F.dayofmonth("d") % 5 / 4).alias("scale"), F.when(F.col("volume") % 3 == 0, 0.5).otherwise(1.2).alias("size_multiplier"), (F.dayofmonth("d") == F.length("symbol")).alias("held"))
 
 
-CAND = f"{B}, {TR}, {ATR}, cand AS (SELECT d AS cycle, symbol, atr_pct AS atr, round(volume % 97 / 97, 9) AS score, 0.6::DOUBLE AS coverage FROM atr WHERE atr_pct > 0 AND symbol <> 'ALL')"
-SIZED = f"{CAND}, s0 AS (SELECT *, least(10000 * 0.01 / atr, 10000 * 0.08) * least(1, 0.5 + score) * (0.5 + 0.5 * coverage) AS notional FROM cand), sized AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY score DESC, symbol) AS rank FROM s0 WHERE notional >= 5) WHERE rank <= 4)"
+CAND = f"{B}, {TR}, {ATR}, cand AS (SELECT d AS cycle, symbol, atr_pct AS atr, round(volume % 97 / 97, 9) AS score, 0.6::DOUBLE AS coverage, CASE WHEN day(d) % 7 <> 0 THEN day(d) % 5 / 4 END AS scale, CASE WHEN volume % 3 = 0 THEN 0.5 ELSE 1.2 END AS size_multiplier, day(d) = length(symbol) AS held FROM atr WHERE atr_pct > 0 AND symbol <> 'ALL')"
+SIZED = f"{CAND}, s0 AS (SELECT *, least(10000 * 0.01 / atr, 10000 * 0.08) * least(1, 0.5 + score) * (0.5 + 0.5 * coverage) * coalesce(scale, 1) * least(size_multiplier, 1) AS notional FROM cand WHERE NOT held AND coalesce(scale, 1) > 0), sized AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY score DESC, symbol) AS rank FROM s0 WHERE notional >= 5) WHERE rank <= 4)"
 register(
     "p1_vol_target",
-    lambda spark, d: rounded(sizing.vol_target(_candidates(spark, d), 10_000, 4), "atr", "notional"),
-    f"WITH {SIZED} SELECT cycle, symbol, round(atr, 6) AS atr, score, coverage, round(notional, 6) AS notional, rank FROM sized",
+    lambda spark, d: rounded(sizing.vol_target(_candidates(spark, d), 10_000, 4).drop("held"), "atr", "notional"),
+    f"WITH {SIZED} SELECT cycle, symbol, round(atr, 6) AS atr, score, coverage, scale, size_multiplier::DOUBLE AS size_multiplier, round(notional, 6) AS notional, rank FROM sized",
 )
 register(
     "p4_fit_capacity",
@@ -202,18 +195,3 @@ def _bootstrap(spark, d):
 
 
 register("a13_block_bootstrap", _bootstrap)
-
-
-def _pair_stats(spark, d):
-    """Correlation of daily returns of every two sectors on their common dates."""
-    r = ind.returns(fx.bars(spark, d, "p_type", False), (1,)).where("r1 is not null").select("d", "symbol", "r1")
-    pairs = r.select("d", F.col("symbol").alias("a"), F.col("r1").alias("x")).join(r.select("d", F.col("symbol").alias("b"), F.col("r1").alias("y")), "d").where("a < b")
-    return rounded(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("correlation")), "correlation")
-
-
-register(
-    "a12_pair_correlations",
-    _pair_stats,
-    f"""WITH {fx.bars_sql('p_type', benchmark=False)}, r AS (SELECT * FROM (SELECT symbol, d, close / lag(close) OVER (PARTITION BY symbol ORDER BY d) - 1 AS r FROM bars) WHERE r IS NOT NULL)
-SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, round(corr(x.r, y.r), 6) AS correlation FROM r x JOIN r y ON x.d = y.d AND x.symbol < y.symbol GROUP BY 1, 2""",
-)

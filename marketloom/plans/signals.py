@@ -74,11 +74,12 @@ vr2 AS (SELECT *, {', '.join(f"least(60, {full('stddev_samp', 'r1', n)} * sqrt(2
 vr2b AS (SELECT *, {', '.join(f"CASE WHEN {full('stddev_samp', 'r1', n)} IS NOT NULL THEN w{n} END AS v{n}" for n in (9, 21, 63, 126))} FROM vr2),
 vols AS (SELECT *, {full('stddev_samp', 'v21', 21)} * 100 AS vvix, v9 / v63 - 1 AS slope_9d_3m, v21 / v63 - 1 AS slope_1m_3m, v63 / v126 - 1 AS slope_3m_6m,
   v21 / {lag('v21', 5)} - 1 AS vix_change_5d FROM vr2b)"""
+SPREAD = ["realized21", "spread"]
 VOL_COLS = ["v9", "v21", "v63", "v126", "vvix", "slope_9d_3m", "slope_1m_3m", "slope_3m_6m", "vix_change_5d"]
 register(
     "w14_vol_context",
-    lambda spark, d: rounded(fusion.vol_context(fx.bars(spark, d).where(F.col("symbol") == fx.BENCHMARK)).select("d", *VOL_COLS), *VOL_COLS),
-    f"WITH {B}, {VOL} SELECT d, {', '.join(f'round({c}, 6) AS {c}' for c in VOL_COLS)} FROM vols",
+    lambda spark, d: rounded(fusion.vol_context(fx.bars(spark, d).where(F.col("symbol") == fx.BENCHMARK)).select("d", *VOL_COLS, *SPREAD), *VOL_COLS, *SPREAD),
+    f"WITH {B}, {VOL}, sp AS (SELECT *, {full('stddev_samp', 'r1', 21)} * sqrt(252) * 100 AS realized21 FROM vols) SELECT d, {', '.join(f'round({c}, 6) AS {c}' for c in [*VOL_COLS, 'realized21'])}, round(v21 - realized21, 6) AS spread FROM sp",
 )
 BR = BRANDS.replace("bars AS (", "stocks AS (", 1)
 REGIME = f"""{VOL},

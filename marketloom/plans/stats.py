@@ -118,13 +118,16 @@ SELECT cik, tag, round(latest, 2) AS latest, round(before, 2) AS before, filed,
 def _ledger(spark, d):
     c = fx.table(spark, d, "conversations")
     month = F.concat(F.lit("m"), F.lpad((F.col("conv_id") % 12).cast("string"), 2, "0"))
-    return c.select(month.alias("month"), F.col("role").alias("purpose"), (F.ceil(F.char_length("text") / 4) * 2).alias("cost"))
+    return c.select(month.alias("month"), F.col("role").alias("purpose"), (F.ceil(F.char_length("text") / 4) * 2).alias("cost"), ((F.col("conv_id") + F.col("turn")) % 4 == 0).alias("cache_hit"))
 
 
 register(
     "a19_spend",
-    lambda spark, d: stats.spend(_ledger(spark, d)),
-    "SELECT 'm' || lpad((conv_id % 12)::VARCHAR, 2, '0') AS month, role AS purpose, count(*) AS calls, sum(ceil(length(text) / 4.0) * 2)::BIGINT AS cost FROM conversations GROUP BY ROLLUP (1, 2)",
+    lambda spark, d: stats.spend(_ledger(spark, d), 9_000.0, 2_500.0),
+    """WITH l AS (SELECT 'm' || lpad((conv_id % 12)::VARCHAR, 2, '0') AS month, role AS purpose, (conv_id + turn) % 4 = 0 AS hit, ceil(length(text) / 4.0) * 2 AS cost FROM conversations),
+g AS (SELECT month, purpose, grouping_id(month, purpose) AS level, count(*) AS calls, sum(hit::INT)::BIGINT AS cache_hits, sum(cost)::BIGINT AS cost FROM l GROUP BY ROLLUP (month, purpose)),
+m AS (SELECT *, max(cost) FILTER (WHERE level = 1) OVER (PARTITION BY month) AS mc, CASE level WHEN 0 THEN 2500.0 WHEN 1 THEN 9000.0 END::DOUBLE AS cap FROM g)
+SELECT month, purpose, calls, cache_hits, cost, CASE WHEN cap IS NOT NULL THEN greatest(cap - cost, 0) END AS remaining, CASE WHEN cap IS NOT NULL THEN cost < cap AND mc < 9000 END AS allowed FROM m""",
 )
 
 
