@@ -92,16 +92,16 @@ y AS (SELECT *, coalesce(lag(version) OVER s <> version OR lag(cycle) OVER s <>
 z AS (SELECT *, sum(anew::INT) OVER (PARTITION BY symbol ORDER BY cycle) AS i FROM y)
 SELECT cycle, symbol, in_target, ranked, (sum((ranked AND NOT in_target)::INT) OVER (PARTITION BY symbol, i ORDER BY cycle))::BIGINT AS outside FROM z""",
 )
-_RESET = (F.dayofmonth("d") == 15) & (F.month("d") % 6 == 1)
+_RESET = "day(d) = 15 AND month(d) % 6 = 1"
 RESET = f"""{EQ}, rs AS (SELECT *, sum((day(d) = 15 AND month(d) % 6 = 1)::INT) OVER (PARTITION BY source ORDER BY d) AS part FROM equity), pk AS (SELECT *, max(equity) OVER (PARTITION BY source, part ORDER BY d) AS peak FROM rs)"""
 register(
     "w16_peak_since_reset",
-    lambda spark, d: rounded(ind.peak_since_reset(fx.equity_curve(spark, d), _RESET), "equity", "peak", "drawdown"),
+    lambda spark, d: rounded(ind.peak_since_reset(fx.equity_curve(spark, d), F.expr(_RESET)), "equity", "peak", "drawdown"),
     f"WITH {RESET} SELECT source, d, round(equity, 6) AS equity, round(peak, 6) AS peak, round(1 - equity / peak, 6) AS drawdown FROM pk",
 )
 register(
     "p7_switches",
-    lambda spark, d: rounded(sizing.switches(fx.equity_curve(spark, d), _RESET), "day_loss", "week_loss", "drawdown"),
+    lambda spark, d: rounded(sizing.switches(fx.equity_curve(spark, d), F.expr(_RESET)), "day_loss", "week_loss", "drawdown"),
     f"""WITH {RESET}, x AS (SELECT source, d, 1 - equity / last(equity) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS dl, 1 - equity / last(equity) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 7 DAY PRECEDING) AS wl, 1 - equity / peak AS pl FROM pk WINDOW w AS (PARTITION BY source ORDER BY d)),
 f AS (SELECT *, coalesce(dl > 0.02, false)::INT AS a, coalesce(wl > 0.05, false)::INT AS b, (pl > 0.15)::INT AS c FROM x)
 SELECT source, d, round(dl, 6) AS day_loss, round(wl, 6) AS week_loss, round(pl, 6) AS drawdown, a = 1 AS daily_loss, max(b) OVER (w RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) = 1 AS weekly_loss,
