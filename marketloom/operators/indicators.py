@@ -128,6 +128,13 @@ def asof_align(left: DataFrame, right: DataFrame, value: str, by: list[str], at:
     return both.where("__side = 1").select(*by, at, *(F.col(f"__row.{c}").alias(c) for c in rest), value)
 
 
+def spread(bars: DataFrame) -> DataFrame:
+    """``bars`` by symbol in as many partitions as a shuffle has. The windows of a symbol use this
+    partitioning as it is; small bars are not merged into a task or two, long windows being
+    work of the processor and not of bytes."""
+    return bars.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol")
+
+
 def drawdown(curve: DataFrame) -> DataFrame:
     """Running ``peak``, ``drawdown`` from it, and the largest so far, by source."""
     w = Window.partitionBy("source").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)

@@ -22,7 +22,7 @@ GAP_MIN, GAP_MAX = 0.015, 0.06
 
 def panel(bars: DataFrame) -> DataFrame:
     """Every indicator that a price signal reads, by (symbol, d)."""
-    x = ind.returns(bars)
+    x = ind.returns(ind.spread(bars))
     x = ind.sma(x)
     x = ind.atr_pct(x)
     x = ind.rsi(x)
