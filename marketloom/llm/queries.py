@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, quality_cnn, quality_rules, token_counts, warc
+from marketloom.llm import chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, quality_cnn, quality_rules, token_counts, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
@@ -19,10 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.query,
     "op9_decontaminate": decontaminate.query,
     "op10_mix_sources": mixing.query,
+    "op11_whitening": whitening.query,
 }
 
-#: Token counts, the classifier and language identification have no SQL: the first is tested
-#: against brute force, the other two on held-out rows.
+#: Token counts, the classifier, language identification and whitening have no SQL: the first and
+#: the last are tested against brute force, the other two on held-out rows.
 SQL: dict[str, str] = {
     "op2_warc": warc.SQL,
     "op3_line_dedup": line_dedup.SQL,
