@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, quality_cnn, quality_rules, spelling, token_counts, warc, whitening
+from marketloom.llm import chat_format, decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, quality_cnn, quality_rules, spelling, token_counts, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontaminate.query,
     "op10_mix_sources": mixing.query,
     "op11_whitening": whitening.query,
+    "op12_html_text": html_text.query,
     "op13_spelling_variants": spelling.query,
 }
 
@@ -33,5 +34,6 @@ SQL: dict[str, str] = {
     "op6_quality_rules": quality_rules.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op12_html_text": html_text.SQL,
     "op13_spelling_variants": spelling.SQL,
 }

@@ -93,8 +93,8 @@ def scatter(rows: DataFrame, vector_col: str, dim: int) -> tuple[int, list[int],
             flat = [n, *sums, *products[upper]]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([dc.Decimal(int(v)) for v in flat], pa.decimal128(38, 0))], ["k", "v"])
 
-    got = rows.select(vector_col).mapInArrow(task, "k int, v decimal(38,0)").groupBy("k").agg(F.sum("v").cast("decimal(38,0)").alias("v")).orderBy("k").collect()
-    flat = [int(r["v"]) for r in got]
+    got = rows.select(vector_col).mapInArrow(task, "k int, v decimal(38,0)").groupBy("k").agg(F.sum("v").cast("decimal(38,0)").alias("v")).collect()
+    flat = [int(r["v"]) for r in sorted(got)]
     products = np.zeros((dim, dim), object)
     products[upper] = flat[1 + dim :]
     return flat[0], flat[1 : 1 + dim], np.triu(products) + np.triu(products, 1).T
@@ -411,7 +411,8 @@ def fit(rows: DataFrame, vector_col: str, dim: int, components: int = COMPONENTS
                 flat = [[x for e in v for x in slices_of(e)] for v in vectors]
                 yield pa.RecordBatch.from_arrays([pa.array([k] * count, pa.int64()), pa.array(range(count), pa.int32()), pa.array(flat, pa.list_(pa.float64()))], ["k", "c", "v"])
 
-    got = spark.range(0, len(roots), 1, min(len(roots), spark.sparkContext.defaultParallelism)).mapInArrow(task, "k long, c int, v array<double>").orderBy("k", "c").collect()[:wanted]
+    got = spark.range(0, len(roots), 1, min(len(roots), spark.sparkContext.defaultParallelism)).mapInArrow(task, "k long, c int, v array<double>").collect()
+    got = sorted(got)[:wanted]
     slices = np.array([r["v"] for r in got]).reshape(len(got), dim, SLICES).transpose(2, 0, 1)
     with dc.localcontext() as ctx:
         ctx.prec = 60
@@ -435,8 +436,8 @@ def identity_error(rows: DataFrame, vector_col: str, dim: int, model: Whitening)
                 total[k] += w.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], ["k", "v"])
 
-    got = rows.select(vector_col).mapInArrow(task, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
-    total = np.array([r["v"] for r in got]).reshape(k + 1, k) / model.n
+    got = rows.select(vector_col).mapInArrow(task, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    total = np.array([r["v"] for r in sorted(got)]).reshape(k + 1, k) / model.n
     return float(np.abs(total[:k] - np.outer(total[k], total[k]) - np.eye(k)).max())
 
 
