@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.columns import SLIPPAGE_BPS, SPREAD_BPS
 from marketloom.operators.joins import next_after
 from marketloom.operators.records import first_exit
+from marketloom.operators.scan import affine_scan, clamped_sum
 from marketloom.operators.sizing import MIN_ORDER, NAME_SHARE
 
 #: How many names, how much is deployed, and what a cycle may do.
@@ -16,6 +17,8 @@ MAX_SELLS, MAX_TURNOVER, MAX_TRIM, HYSTERESIS = 2, 0.30, 0.50, 0.05
 CYCLE_SHARE, CYCLE_CAP = 0.10, 1_000.0
 MAX_DAILY, MAX_OPEN, STALE_DAYS, APPROVAL_SHARE = 3, 12, 4, 0.05
 CLOSED = 1e-9
+#: Days of a key that one task scans.
+BLOCK_DAYS = 90
 ONE_WAY = (SPREAD_BPS + SLIPPAGE_BPS) / 10_000
 
 
@@ -114,27 +117,36 @@ def review_orders(orders: DataFrame) -> DataFrame:
     return g.select("cycle", F.inline(F.aggregate("rows", state, step)["out"]))
 
 
-def average_cost(fills: DataFrame) -> DataFrame:
+def average_cost(fills: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     """Fills with the position after each: ``held``, ``avg_cost``, ``sold`` and ``realized``.
 
-    More is never sold than held. Held is the running sum reflected at zero; the cost is a sum
-    of purchases, each scaled down by the later sales of its holding: running sums and
-    products in one sorted stream by (account, symbol), nothing is collected. A holding under
-    1e-9 is closed.
+    More is never sold than held; a holding under 1e-9 is closed. Both recurrences are scanned
+    (``operators.scan``): held is a sum reflected at zero; a purchase mixes the cost before with
+    its price, weighted by what was held and what is bought, a sale leaves it as it is. Blocks
+    are ``block_days`` of an (account, symbol), so its rows spread over tasks.
     """
-    w = Window.partitionBy("account", "symbol").orderBy("d", "seq")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    signed = F.when(F.col("side") == "sell", -F.col("qty")).otherwise(F.col("qty"))
-    x = fills.withColumn("__s", F.sum(signed).over(run)).withColumn("__q", F.col("__s") - F.least(F.lit(0.0), F.min("__s").over(run)))
-    x = x.withColumn("held", F.when(F.col("__q") > CLOSED, F.col("__q")).otherwise(0.0)).withColumn("__before", F.coalesce(F.lag("held").over(w), F.lit(0.0)))
-    x = x.withColumn("__island", F.coalesce(F.sum((F.col("held") == 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    i = Window.partitionBy("account", "symbol", "__island").orderBy("d", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.when((F.col("side") == "sell") & (F.col("held") > 0), F.log(F.col("held") / F.col("__before"))).otherwise(0.0)
-    x = x.withColumn("__p", F.exp(F.sum(left).over(i)))
-    bought = F.when(F.col("side") == "sell", 0.0).otherwise(F.col("qty") * F.col("price"))
-    x = x.withColumn("__c", F.col("__p") * F.sum(bought / F.col("__p")).over(i)).withColumn("avg_cost", F.when(F.col("held") > 0, F.col("__c") / F.col("held")))
-    x = x.withColumn("__avg", F.lag("avg_cost").over(w)).withColumn("sold", F.when(F.col("side") == "sell", F.col("__before") - F.col("held")).otherwise(0.0))
-    return x.withColumn("realized", F.when(F.col("sold") > 0, (F.col("price") - F.col("__avg")) * F.col("sold")).otherwise(0.0)).withColumn("entry_price", F.when(F.col("sold") > 0, F.col("__avg"))).drop("__s", "__q", "__before", "__island", "__p", "__c", "__avg")
+    key, order = ["__account", "__symbol"], ["d", "seq"]
+    sell = F.col("side") == "sell"
+    x = fills.withColumns({f"__{c}": F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("account", "symbol")})  # null is an account of its own
+    x = x.withColumn("__block", F.floor(F.unix_date("d") / block_days)).withColumn("__change", F.when(sell, -F.col("qty")).otherwise(F.col("qty")))
+    x = clamped_sum(x, key, "__block", order, "__change", "__held")
+    closed = lambda c: F.when(F.col(c) > CLOSED, F.col(c)).otherwise(0.0)
+    x = x.withColumn("held", closed("__held")).withColumn("__before", closed("__held_before"))
+    bought = ~sell & (F.col("held") > 0)
+    x = x.withColumn("__scale", F.when(bought, F.least(F.lit(1.0), F.col("__before") / F.col("held"))).when(sell & (F.col("held") > 0), 1.0).otherwise(0.0))
+    x = x.withColumn("__shift", F.when(bought, (1 - F.col("__scale")) * F.col("price")).otherwise(0.0))
+    block = [*key, "__block"]
+    x = affine_scan(x, block, order, "__scale", "__shift")
+    last = x.groupBy(*block).agg(F.max_by(F.struct("__scale", "__shift"), F.struct(*order)).alias("l")).select(*block, "l.*")
+    v = Window.partitionBy(*key).orderBy("__block")
+    begun = affine_scan(last, key, ["__block"], "__scale", "__shift").select(*block, F.coalesce(F.lag("__shift").over(v), F.lit(0.0)).alias("__start"))
+    x = x.join(begun, block)
+    w = Window.partitionBy(*block).orderBy(*order)
+    cost = F.col("__scale") * F.col("__start") + F.col("__shift")
+    x = x.withColumn("__cost", cost).withColumn("__avg", F.coalesce(F.lag("__cost").over(w), "__start")).withColumn("avg_cost", F.when(F.col("held") > 0, F.col("__cost")))
+    x = x.withColumn("sold", F.when(sell, F.col("__before") - F.col("held")).otherwise(0.0))
+    x = x.withColumn("realized", F.when(F.col("sold") > 0, (F.col("price") - F.col("__avg")) * F.col("sold")).otherwise(0.0)).withColumn("entry_price", F.when(F.col("sold") > 0, F.col("__avg")))
+    return x.drop(*key, "__block", "__change", "__held", "__held_before", "__before", "__scale", "__shift", "__start", "__cost", "__avg")
 
 
 def round_trips(positions: DataFrame) -> DataFrame:

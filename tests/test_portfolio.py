@@ -47,3 +47,53 @@ def test_json_redaction(spark):
     rows = [(json.dumps({"x": [{"api_key": 'a"b'}], "n": 1}),), ("{oops",), (None,)]
     out = [r.v for r in spark.createDataFrame(rows, "b string").select(uni.redact_json(F.col("b")).alias("v")).collect()]
     assert out == ['{"x": [{"api_key": "[redacted]"}], "n": 1}', uni.MALFORMED, uni.MALFORMED]
+
+
+def recurrence(rows):
+    """Position, cost and gain after each fill, one after another."""
+    held, cost, out = 0.0, 0.0, {}
+    for side, q, p, seq in rows:
+        gain = 0.0
+        if side == "sell":
+            sold = min(held, q)
+            gain, held = (p - cost) * sold, held - sold
+        elif held + q > 0:
+            cost, held = (held * cost + q * p) / (held + q), held + q
+        held = held if held > 1e-9 else 0.0
+        out[seq] = (held, cost if held else None, gain)
+    return out
+
+
+FILL = "account string, symbol string, side string, qty double, price double, d date, seq int"
+
+
+def test_ten_thousand_half_sales(spark):
+    """The scales of a holding's cost fade to 0 here; they are never divided by."""
+    held, rows = 0.0, []
+    for k in range(20_000):
+        side = "sell" if k % 2 else "buy"
+        q = held / 2 if k % 2 else 1.0
+        held += -q if k % 2 else q
+        rows.append((side, q, 10.0 + k % 7, k))
+    days = [dt.date(2015, 1, 1) + dt.timedelta(days=k // 8) for k in range(20_000)]
+    df = spark.createDataFrame([("a", "S", s, q, p, d, k) for (s, q, p, k), d in zip(rows, days, strict=True)] + [("b", "S", "buy", 2.0, 3.0, days[5], 1), (None, "S", "sell", 2.0, 3.0, days[5], 1)], FILL)
+    out = pf.average_cost(df.repartition(5)).collect()
+    want = recurrence(rows)
+    assert len(out) == 20_002
+    for r in out:
+        if r.account == "a":
+            assert (r.held, r.realized) == pytest.approx((want[r.seq][0], want[r.seq][2]), abs=1e-8)
+            assert r.avg_cost == pytest.approx(want[r.seq][1], abs=1e-8)
+
+
+def test_a_hot_key_is_cut_into_blocks(spark):
+    """Random fills of one key over 800 days: the same result by blocks of any length."""
+    import random
+
+    r = random.Random(3)
+    rows = [("sell" if r.random() < 0.5 else "buy", float(r.randrange(1, 9)), float(r.randrange(5, 50)), k) for k in range(800)]
+    df = spark.createDataFrame([("a", "S", s, q, p, dt.date(2020, 1, 1) + dt.timedelta(days=k), k) for s, q, p, k in rows], FILL)
+    want = recurrence(rows)
+    for days in (7, 90, 10_000):
+        for x in pf.average_cost(df, days).collect():
+            assert (x.held, x.realized, x.avg_cost) == pytest.approx(tuple(want[x.seq][i] for i in (0, 2, 1)), abs=1e-8)
