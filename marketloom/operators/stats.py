@@ -144,39 +144,80 @@ def pair_statistics(returns: DataFrame, holdings: DataFrame, last: int = 120, le
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.corr("x", "y").alias("correlation"), F.first("weight").alias("weight"))
 
 
-def analog_quantiles(trades: DataFrame, queries: DataFrame, cell: list[str], shares: tuple[float, ...] = (0.10, 0.90)) -> DataFrame:
-    """Lower-index order statistics of the returns of a cell that were closed before ``as_of``.
+#: Children of a bucket, and rows that are read one by one.
+FAN, EXACT_ROWS = 64, 4096
 
-    Returns are counted by (cell, exit date, rounded return). A query needs the return whose
-    running count, in order of return, passes n x share: counts by (query, return) are summed
-    once and run up in a window, so a cell of any size is a row for each of its returns.
+
+def _narrowed(trades: DataFrame, asks: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides one level further: each bucket (``node``) of returns is cut into ``FAN`` by its
+    own quantiles, and each ask goes to the child that holds its rank ``k``.
+
+    The trades of a child are counted by date and run up once, all asks of a child taking their
+    place in that order; so a hot cell is spread over its children, and costs its dates.
+    """
+    node = [*cell, "node"]
+    mine = trades.join(asks.select(*node).distinct(), node, "left_semi")
+    edges = mine.groupBy(*node).agg(F.percentile_approx("ret", [i / FAN for i in range(1, FAN)], F.lit(1000)).alias("edges"))
+    child = F.size(F.filter("edges", lambda e: e < F.col("ret")))
+    t = mine.join(edges, node).withColumn("child", child).drop("edges")
+    days = t.groupBy(*node, "child", "at").agg(F.sum("c").alias("c"), F.lit(1).alias("side"))
+    places = asks.select(*node, F.col("as_of").alias("at")).distinct().select("*", F.lit(0).alias("side"), F.lit(0).cast("long").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("child"))
+    w = Window.partitionBy(*node, "child").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = days.unionByName(places).withColumn("c", F.sum("c").over(w)).where("side = 0").withColumnRenamed("at", "as_of")
+    up = Window.partitionBy(*node, "as_of").orderBy("child").rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumn("upto", F.sum("c").over(up)).where("c > 0").drop("side")
+    picked = asks.join(seen, [*node, "as_of"]).where("k < upto and k >= upto - c")
+    below = (F.col("node") * FAN + F.col("child")).alias("node")
+    return t.select(*cell, "at", "ret", "c", below), picked.select(*cell, "as_of", "share", (F.col("k") - F.col("upto") + F.col("c")).alias("k"), below)
+
+
+def analog_quantiles(trades: DataFrame, queries: DataFrame, cell: list[str], shares: tuple[float, ...] = (0.10, 0.90), exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """Lower-index order statistics of the returns (``ret``) of a cell that were closed (``at``)
+    before ``as_of``; ``queries`` has the cell, ``as_of`` and ``n``, how many those are.
+
+    Counts by bucket of return and date, run up by date, name the bucket that holds a query's
+    rank; it is cut further until its rows are few, and only those are put in order. The work is
+    levels x (trades + queries), not their product.
     """
-    t = trades.select(*cell, "at", F.round("ret", 6).alias("ret")).groupBy(*cell, "ret", "at").agg(F.count(F.lit(1)).alias("c"))
-    x = queries.select(*cell, "as_of").distinct().join(t, cell).where("at < as_of").groupBy(*cell, "as_of", "ret").agg(F.sum("c").alias("c"))
-    by = Window.partitionBy(*cell, "as_of")
-    x = x.withColumn("n", F.sum("c").over(by)).withColumn("run", F.sum("c").over(by.orderBy("ret").rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy(*cell, "as_of").agg(*(F.min(F.when(F.col("run") > F.floor(F.col("n") * s), F.col("ret"))).alias(f"q{int(s * 100)}") for s in shares))
-
-
-def analog_intervals(trades: DataFrame, queries: DataFrame, min_n: int = 25) -> DataFrame:
-    """What comparable past trades returned, for each query row (``as_of``, bucket columns,
-    ``expected``): the blended expectation, an 80 per cent interval, the share of gains.
-
-    Only trades that were closed before ``as_of`` count. Per cell they are numbered by exit
-    date, so what a query sees is a prefix of the cell; its mean and win share are running
-    sums at that prefix, taken by one as-of step instead of a join of all pairs. With fewer
-    than ``min_n`` trades the prior stands: half the expectation, a width of three times it,
-    and a normal share.
+    t = trades.groupBy(*cell, "at", "ret").agg(F.count(F.lit(1)).alias("c")).withColumn("node", F.lit(0).cast("long"))
+    asks = queries.select(*cell, "as_of", F.explode(F.array(*map(F.lit, shares))).alias("share"), "n")
+    asks = asks.select(*cell, "as_of", "share", F.floor(F.col("n") * F.col("share")).alias("k"), F.lit(0).cast("long").alias("node"))
+    largest = t.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0
+    while largest > exact_rows:
+        t, asks = _narrowed(t, asks, cell)
+        largest //= FAN
+    node = [*cell, "node"]
+    rows = asks.join(t, node).where("at < as_of").groupBy(*cell, "as_of", "share", "k", "ret").agg(F.sum("c").alias("c"))
+    up = Window.partitionBy(*cell, "as_of", "share").orderBy("ret").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("run", F.sum("c").over(up)).where("run > k")
+    return rows.groupBy(*cell, "as_of").agg(*(F.min(F.when(F.col("share") == s, F.col("ret"))).alias(f"q{int(s * 100)}") for s in shares))
+
+
+#: What makes trades comparable: buckets of score and horizon, regime, kind of asset, evidence.
+CELL = ("bucket", "regime", "horizon", "asset", "evidence")
+
+
+def analog_intervals(trades: DataFrame, queries: DataFrame, min_n: int = 25, sources: tuple[str, ...] = ("paper", "live", "backtest_validated")) -> DataFrame:
+    """What comparable past trades returned, for each query row (``as_of``, the columns of
+    ``CELL``, ``expected``): the blended expectation, an 80 per cent interval, the share of gains.
+
+    Only qualified trades of ``sources`` that were closed before ``as_of`` count. Per cell they
+    are counted by exit date, so what a query sees is a prefix of the cell; its mean and win share
+    are running sums at that prefix, taken by one as-of step. With fewer than ``min_n`` trades the
+    prior stands: half the expectation, a width of three times it, and a normal share. A null in
+    a cell is a value like any other.
     """
-    cell = ["bucket", "regime", "horizon"]
-    t = trades.select(score_bucket(F.col("score")).alias("bucket"), "regime", horizon_bucket(F.col("horizon_days")).alias("horizon"), F.col("exit_date").alias("at"), "ret")
+    cell = list(CELL)
+    known_ = lambda df: df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cell})
+    t = trades.where("qualified").where(F.col("source").isin(*sources))
+    t = known_(t.select(score_bucket(F.col("score")).alias("bucket"), "regime", horizon_bucket(F.col("horizon_days")).alias("horizon"), F.col("asset_type").alias("asset"), F.col("evidence_version").alias("evidence"), F.col("exit_date").alias("at"), "ret")).where("ret is not null")
     days = t.groupBy(*cell, "at").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("s"), F.sum((F.col("ret") > 0).cast("long")).alias("w"))
     a = days.select(*cell, "at", F.lit(1).alias("side"), "n", "s", "w")
-    b = queries.select(*cell, F.col("as_of").alias("at"), "expected", F.lit(0).alias("side"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("w"))
+    b = known_(queries.select(*cell, F.col("as_of").alias("at"), "expected", F.lit(0).alias("side"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("w")))
     w = Window.partitionBy(*cell).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     run = a.unionByName(b, allowMissingColumns=True).select(*cell, "at", "side", "expected", *(F.sum(c).over(w).alias(c) for c in ("n", "s", "w"))).where("side = 0").withColumnRenamed("at", "as_of")
-    spread = analog_quantiles(t, run.where(F.col("n") >= min_n), cell)
-    x = run.join(spread, [*cell, "as_of"], "left")
+    spread = analog_quantiles(t, run.where(F.col("n") >= min_n).select(*cell, "as_of", "n").distinct(), cell)
+    x = run.join(spread, [*cell, "as_of"], "left").withColumns({c: F.nullif(c, F.lit("\x00")) for c in cell})
     known, e = F.col("n") >= min_n, F.col("expected")
     mean, half, sigma = F.col("s") / F.col("n"), e * 0.5, F.greatest(F.lit(0.02), F.abs(e) * 3)
     return x.select(

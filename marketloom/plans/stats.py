@@ -72,21 +72,27 @@ BUCKET = "CASE WHEN abs(score) < 0.15 THEN 's0' WHEN abs(score) < 0.3 THEN 's1'
 HB = "CASE WHEN horizon_days <= 10 THEN 'short' WHEN horizon_days <= 30 THEN 'medium' ELSE 'long' END"
 
 
+#: Trades as records keep them: kind of asset, version of the evidence, whether they qualify.
+KEPT = "nodes[1] AS evidence_version, CASE nodes[0] WHEN 'R' THEN 'option' ELSE 'stock' END AS asset_type, horizon_days >= 2 AS qualified"
+KEPT_SQL = KEPT.replace("[1]", "[2]").replace("[0]", "[1]")
+
+
 def _analogs(spark, d):
-    t = fx.trades(spark, d)
-    q = t.select(stats.score_bucket(F.col("score")).alias("bucket"), "regime", stats.horizon_bucket(F.col("horizon_days")).alias("horizon"), F.trunc("entry_date", "month").alias("as_of")).distinct()
+    t = fx.stored(fx.trades(spark, d).selectExpr("score", "regime", "horizon_days", "entry_date", "exit_date", "ret", "source", *KEPT.split(", ")), "analog-trades")
+    q = t.select(stats.score_bucket(F.col("score")).alias("bucket"), "regime", stats.horizon_bucket(F.col("horizon_days")).alias("horizon"), F.col("asset_type").alias("asset"), F.col("evidence_version").alias("evidence"), F.trunc("entry_date", "month").alias("as_of")).distinct()
     q = q.withColumn("expected", F.dayofyear("as_of") / 5000 - 0.02)
-    return rounded(stats.analog_intervals(t, q).withColumn("expected", F.col("expected") + 1e-9), "expected", "ci_low", "ci_high", "p_positive", digits=6)
+    return rounded(stats.analog_intervals(t, q, sources=("F", "O")).withColumn("expected", F.col("expected") + 1e-9), "expected", "ci_low", "ci_high", "p_positive", digits=6)
 
 
 register(
     "a9_analog_intervals",
     _analogs,
-    f"""WITH {T}, t AS (SELECT {BUCKET} AS bucket, regime, {HB} AS horizon, exit_date, ret, date_trunc('month', entry_date)::DATE AS as_of FROM trades),
-q AS (SELECT *, dayofyear(as_of) / 5000 - 0.02 AS e FROM (SELECT DISTINCT bucket, regime, horizon, as_of FROM t)),
-c AS (SELECT q.bucket, q.regime, q.horizon, q.as_of, e, list_sort(list(round(ret, 6)) FILTER (WHERE ret IS NOT NULL)) AS r, count(ret) AS n, avg(ret) AS m, avg((ret > 0)::INT) AS p FROM q LEFT JOIN t ON q.bucket = t.bucket AND q.regime = t.regime AND q.horizon = t.horizon AND t.exit_date < q.as_of GROUP BY ALL),
+    f"""WITH {T}, t AS (SELECT {BUCKET} AS bucket, regime, {HB} AS horizon, exit_date, ret, source, date_trunc('month', entry_date)::DATE AS as_of, {KEPT_SQL} FROM trades),
+q AS (SELECT *, dayofyear(as_of) / 5000 - 0.02 AS e FROM (SELECT DISTINCT bucket, regime, horizon, asset_type AS asset, evidence_version AS evidence, as_of FROM t)),
+c AS (SELECT q.bucket, q.regime, q.horizon, q.asset, q.evidence, q.as_of, e, list_sort(list(ret) FILTER (WHERE ret IS NOT NULL)) AS r, count(ret) AS n, avg(ret) AS m, avg((ret > 0)::INT) AS p FROM q
+  LEFT JOIN t ON q.bucket = t.bucket AND q.regime = t.regime AND q.horizon = t.horizon AND q.asset = t.asset_type AND q.evidence = t.evidence_version AND t.qualified AND t.source IN ('F', 'O') AND t.exit_date < q.as_of GROUP BY ALL),
 z AS (SELECT *, e * 0.5 AS h, greatest(0.02, abs(e) * 3) AS g, n >= 25 AS k FROM c)
-SELECT bucket, regime, horizon, as_of, n, round(CASE WHEN k THEN 0.5 * e + 0.5 * m ELSE h END + 1e-9, 6) AS expected, round(CASE WHEN k THEN r[floor(n * 0.1)::INT + 1] ELSE greatest(-0.95, h - 2 * g) END, 6) AS ci_low, round(CASE WHEN k THEN r[floor(n * 0.9)::INT + 1] ELSE h + 2 * g END, 6) AS ci_high,
+SELECT bucket, regime, horizon, asset, evidence, as_of, n, round(CASE WHEN k THEN 0.5 * e + 0.5 * m ELSE h END + 1e-9, 6) AS expected, round(CASE WHEN k THEN r[floor(n * 0.1)::INT + 1] ELSE greatest(-0.95, h - 2 * g) END, 6) AS ci_low, round(CASE WHEN k THEN r[floor(n * 0.9)::INT + 1] ELSE h + 2 * g END, 6) AS ci_high,
   round(CASE WHEN k THEN p ELSE 0.5 * (1 + sign(h) * (1 - (1 / (1 + 0.3275911 * abs(h / g) / sqrt(2))) * (0.254829592 + (1 / (1 + 0.3275911 * abs(h / g) / sqrt(2))) * (-0.284496736 + (1 / (1 + 0.3275911 * abs(h / g) / sqrt(2))) * (1.421413741 + (1 / (1 + 0.3275911 * abs(h / g) / sqrt(2))) * (-1.453152027 + (1 / (1 + 0.3275911 * abs(h / g) / sqrt(2))) * 1.061405429)))) * exp(-(h / g) * (h / g) / 2))) END, 6) AS p_positive,
   CASE WHEN NOT k THEN 'low' WHEN n >= 150 THEN 'high' ELSE 'medium' END AS confidence FROM z""",
 )
