@@ -178,16 +178,3 @@ def tiers(metrics: DataFrame, mandatory: DataFrame, research_dollars: float = RE
     active = both.orderBy("o", "symbol").limit(active_size).withColumn("rank", F.row_number().over(by.orderBy("o", "symbol")))
     reason = F.when(F.col("o.later") == 0, "mandatory").otherwise("liquidity+momentum")
     return research.unionByName(active.select(F.lit("active").alias("tier"), "rank", "symbol", reason.alias("reason")))
-
-
-#: Names under which secrets stand in records.
-SECRET_NAMES = "token|api_key|apikey|secret|password|authorization|access_token|refresh_token|cookie"
-MALFORMED = '{"redacted":"malformed"}'
-
-
-def redact_json(body: Column) -> Column:
-    """JSON with the values of secret-named keys masked, at any depth; anything that isn't
-    JSON becomes MALFORMED. A masked value is a string, a number, a word or a flat list."""
-    value = r'("(?:[^"\\]|\\.)*"|\[[^\[\]{}]*\]|[^,{}\[\]"\s]+)'
-    masked = F.regexp_replace(body, rf'(?i)("[^"]*(?:{SECRET_NAMES})[^"]*"\s*:\s*){value}', '$1"[redacted]"')
-    return F.when(body.isNull() | F.try_parse_json(body).isNull(), F.lit(MALFORMED)).otherwise(masked)

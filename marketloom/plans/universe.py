@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import rounded
+from marketloom.operators import redaction as red
 from marketloom.operators import universe as uni
 from marketloom.registry import register
 from marketloom.sources import fixtures as fx
 from marketloom.sources.fixtures import shared_path
+from marketloom.sources.jsonl_sink import register_sink
 
 BRAND = fx.bars_sql("p_brand", benchmark=False)
 PAIR = fx.bars_sql("p_brand || '/' || p_type", benchmark=False)
@@ -148,20 +150,50 @@ register(
   CASE WHEN p_size % 4 > 0 THEN DATE '2000-01-31' - (p_size % 15)::INT END AS "at" FROM part WHERE p_size % 5 > 0 AND p_size % 7 > 0)
 SELECT * FROM x WHERE x.at IS NULL OR (status = 'completed' AND datediff('day', x.at, DATE '2000-01-31') >= 7) OR (status = 'failed' AND x.at < DATE '2000-01-31')""",
 )
-JSON_ROW = """'{"a": {"api_key": "k\\\\"' || id || '", "n": ' || id || '}, "Password":' || id || ', "tokens": ["x", "y"], "text": "token"}'"""
+
+
+#: Records as they are logged: secrets under names at any depth, as objects, lists and scalars.
+_BODY = """CASE id % 5 WHEN 0 THEN '{broken ' || id
+WHEN 1 THEN '{"a": {"api_key": "k\\\\"' || id || '", "n": ' || id || '}, "Password": ' || id || ', "text": "token"}'
+WHEN 2 THEN '{"token": {"value": "' || id || '", "more": [1, {"x": 2}]}, "list": [{"Secret_2": [["p' || id || '"]]}, ' || id || ']}'
+WHEN 3 THEN '[{"account_number": null, "note": "say \\\\"token\\\\": ' || id || '"}, [[{"cookies": ["' || id || '"], "side": "' || side || '"}]]]'
+ELSE '{"symbol": "' || symbol || '", "refresh_token": true, "tok\\\\u0065n": "' || id || '", "s": 1.50}' END"""
 
 
 def _secrets(spark, d):
-    e = fx.order_events(spark, d)
-    left = [F.lit('{"a": {"api_key": "k\\"'), F.col("id").cast("string"), F.lit('", "n": '), F.col("id").cast("string"), F.lit('}, "Password":'), F.col("id").cast("string"), F.lit(', "tokens": ["x", "y"], "text": "token"}')]
-    body = F.when(F.col("id") % 5 == 0, F.concat(F.lit("{broken "), F.col("id").cast("string"))).otherwise(F.concat(*left))
-    return e.select("id", uni.redact_json(body).alias("body"))
+    e = fx.order_events(spark, d).selectExpr("id", f"{_BODY} AS body")
+    return e.select("id", red.redact_json(F.col("body")).alias("body"))
 
 
 register(
     "src16_redact_json",
     _secrets,
-    """SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN '{"redacted":"malformed"}' ELSE '{"a": {"api_key": "[redacted]", "n": ' || event_id || '}, "Password":"[redacted]", "tokens": "[redacted]", "text": "token"}' END AS body FROM events""",
+    # the masked text, shape by shape
+    f"""WITH {fx.ORDER_EVENTS_SQL} SELECT id, CASE id % 5 WHEN 0 THEN '{{"redacted":"malformed"}}'
+WHEN 1 THEN '{{"a": {{"api_key": "[redacted]", "n": ' || id || '}}, "Password": "[redacted]", "text": "token"}}'
+WHEN 2 THEN '{{"token": "[redacted]", "list": [{{"Secret_2": "[redacted]"}}, ' || id || ']}}'
+WHEN 3 THEN '[{{"account_number": "[redacted]", "note": "say \\"token\\": ' || id || '"}}, [[{{"cookies": "[redacted]", "side": "' || side || '"}}]]]'
+ELSE '{{"symbol": "' || symbol || '", "refresh_token": "[redacted]", "tok\\u0065n": "[redacted]", "s": 1.50}}' END AS body FROM oe""",
+)
+
+
+def _sink(spark, d):
+    """Order records appended to the sink in two goes, and read back as lines."""
+    register_sink(spark)
+    path = fx.shared_path(spark, "audit")
+    e = fx.order_events(spark, d).selectExpr("id", "side", f"{_BODY} AS payload", "concat('order of ', symbol, ' token=abcdef', id) AS note", "symbol AS account_number")
+    for part in (e.where("side = 'buy'"), e.where("side <> 'buy'")):
+        part.write.format("redacted_jsonl").option("json", "payload").option("text", "note").mode("append").save(path)
+    lines = spark.read.text(path, pathGlobFilter="*.jsonl")
+    get = lambda p: F.get_json_object("value", p)
+    return lines.select(get("$.id").cast("long").alias("id"), get("$.side").alias("side"), get("$.note").alias("note"), get("$.account_number").alias("account_number"), F.coalesce(get("$.payload.redacted"), F.lit("ok")).alias("state"), get("$.payload.a.n").cast("long").alias("n"), get("$.payload.token").alias("token"))
+
+
+register(
+    "src16_redacting_sink",
+    _sink,
+    f"""WITH {fx.ORDER_EVENTS_SQL} SELECT id, side, 'order of ' || symbol || ' [redacted]' AS note, '[redacted]' AS account_number, CASE id % 5 WHEN 0 THEN 'malformed' ELSE 'ok' END AS state,
+  CASE id % 5 WHEN 1 THEN id END AS n, CASE id % 5 WHEN 2 THEN '[redacted]' WHEN 4 THEN '[redacted]' END AS token FROM oe""",
 )
 
 

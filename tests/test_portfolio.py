@@ -1,15 +1,11 @@
-"""Order review, average cost, weights and redaction by hand."""
+"""Order review, average cost and weights by hand."""
 
 from __future__ import annotations
 
 import datetime as dt
-import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from marketloom.operators import portfolio as pf
-from marketloom.operators import universe as uni
 
 ORDERS = "cycle string, id long, ts timestamp, symbol string, side string, notional double, switched boolean, age int, repeat boolean, equity double, budget double, open_positions int, held double, deployed double, cash double"
 
@@ -43,12 +39,6 @@ def test_weights_stay_under_the_cap(spark):
     assert len(w) == 12 and max(w) <= 0.08 + 1e-12 and sum(w) == pytest.approx(0.70, abs=1e-5)
 
 
-def test_json_redaction(spark):
-    rows = [(json.dumps({"x": [{"api_key": 'a"b'}], "n": 1}),), ("{oops",), (None,)]
-    out = [r.v for r in spark.createDataFrame(rows, "b string").select(uni.redact_json(F.col("b")).alias("v")).collect()]
-    assert out == ['{"x": [{"api_key": "[redacted]"}], "n": 1}', uni.MALFORMED, uni.MALFORMED]
-
-
 def recurrence(rows):
     """Position, cost and gain after each fill, one after another."""
     held, cost, out = 0.0, 0.0, {}
