@@ -64,6 +64,17 @@ def switches(curve: DataFrame, reset: Column) -> DataFrame:
     return x.select("source", "d", "day_loss", "week_loss", "drawdown", *(on(c) for c in lost))
 
 
+def rejections(orders: DataFrame, most: int = 5) -> DataFrame:
+    """By (mode, day) with a rejected order: the most rejections since a reset of that day, and
+    ``rejected_orders``, the switch that more than ``most`` of them trip. ``orders`` has id, mode,
+    ts, status and ``clears``, true where a person resets the count. A mode's day is one task."""
+    day = Window.partitionBy("mode", F.to_date("ts")).orderBy("ts", "id")
+    x = orders.select("id", "mode", "ts", (F.col("status") == "rejected").cast("long").alias("bad"), F.coalesce("clears", F.lit(False)).alias("clears"))
+    x = x.withColumn("part", F.sum(F.col("clears").cast("int")).over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    g = x.groupBy("mode", F.to_date("ts").alias("d"), "part").agg(F.sum("bad").alias("bad"))
+    return g.groupBy("mode", "d").agg(F.max("bad").alias("rejected")).where("rejected > 0").withColumn("rejected_orders", F.col("rejected") > most)
+
+
 def block_bootstrap(returns: DataFrame, paths: int, blocks: int, length: int = 5, seed: int = 7) -> DataFrame:
     """By path: the total return of ``blocks`` blocks of ``length`` consecutive sessions drawn
     by hash, and its largest drawdown. ``returns`` (i from 0, r) is the portfolio's own series,

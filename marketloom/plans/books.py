@@ -107,6 +107,13 @@ f AS (SELECT *, coalesce(dl > 0.02, false)::INT AS a, coalesce(wl > 0.05, false)
 SELECT source, d, round(dl, 6) AS day_loss, round(wl, 6) AS week_loss, round(pl, 6) AS drawdown, a = 1 AS daily_loss, max(b) OVER (w RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) = 1 AS weekly_loss,
   max(c) OVER (w RANGE BETWEEN INTERVAL 9 DAY PRECEDING AND CURRENT ROW) = 1 AS drawdown_halt FROM f WINDOW w AS (PARTITION BY source ORDER BY d)""",
 )
+register(
+    "p7_rejections",
+    lambda spark, d: sizing.rejections(fx.order_events(spark, d).withColumn("clears", F.expr("status = 'filled' and notional >= 450"))),
+    f"""WITH {fx.ORDER_EVENTS_SQL}, x AS (SELECT mode, ts::DATE AS d, status, sum((status = 'filled' AND notional >= 450)::INT) OVER (PARTITION BY mode, ts::DATE ORDER BY ts, id) AS part FROM oe),
+g AS (SELECT mode, d, part, count(*) FILTER (WHERE status = 'rejected') AS n FROM x GROUP BY 1, 2, 3)
+SELECT mode, d, max(n) AS rejected, max(n) > 5 AS rejected_orders FROM g GROUP BY 1, 2 HAVING max(n) > 0""",
+)
 NODES = ("momentum", "reversal", "gap", "vol_contraction", "sector_rotation")
 
 

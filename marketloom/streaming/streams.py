@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators.joins import last_write
 from marketloom.sources.fixtures import shared_path
+from marketloom.streaming.stateful import rocksdb
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,32 +61,6 @@ def rolling_news(hours: DataFrame, length_hours: int = 168) -> DataFrame:
     return g.agg(F.sum("n").alias("n"), (F.sum(F.col("s") * F.col("fade")) / F.sum(F.col("weight") * F.col("fade"))).alias("score"))
 
 
-MARK = "source string, ts timestamp, equity double"
-
-
-def throttled_marks(marks: DataFrame, minutes: int = 5) -> DataFrame:
-    """Marks (source, ts, equity), one kept for each source per ``minutes`` since the last one
-    that was kept. The state is one timestamp a source. A mark older than the last kept one
-    comes too late and is not kept; a batch's marks are taken in order of time."""
-    gap = minutes * 60
-
-    def keep(key, pdfs, state):
-        import pandas as pd
-
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "equity"])
-        out = []
-        for ts, equity in zip(rows["ts"], rows["equity"], strict=True):
-            if last is None or ts.timestamp() - last >= gap:
-                last = ts.timestamp()
-                out.append((key[0], ts, equity))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["source", "ts", "equity"])
-
-    return marks.select("source", "ts", "equity").groupBy("source").applyInPandasWithState(keep, MARK, "last double", "append", "NoTimeout")
-
-
 def fresh_orders(orders: DataFrame, minutes: int = 60) -> DataFrame:
     """Live orders, the first of each (symbol, side, mode) inside ``minutes``: repeats inside the
     watermark are dropped with state that expires."""
@@ -93,11 +68,6 @@ def fresh_orders(orders: DataFrame, minutes: int = 60) -> DataFrame:
     return alive.withWatermark("ts", f"{minutes} minutes").dropDuplicatesWithinWatermark(["symbol", "side", "mode"])
 
 
-def unique_news(news: DataFrame, retention: str = "30 days") -> DataFrame:
-    """Headlines once by content within the retention."""
-    return news.withWatermark("published_at", retention).dropDuplicatesWithinWatermark(["content_hash"])
-
-
 def latest_bars(ticks: DataFrame) -> DataFrame:
     """By (symbol, day): the last tick, updated by late ones inside the watermark."""
     g = ticks.withWatermark("ts", "3 days").groupBy("symbol", F.window("ts", "1 day"))
@@ -130,6 +100,7 @@ def append_available(stream: DataFrame, label: str) -> DataFrame:
     """Run an appending stream over what is there; everything that came out."""
     spark = stream.sparkSession
     path = shared_path(spark, label)
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    with rocksdb(spark):
+        query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
