@@ -6,27 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_at(events: DataFrame, history: DataFrame, values: list[str], by: list[str], at: str) -> DataFrame:
-    """``events`` with the ``values`` of the last row of ``history`` at or before ``at``.
-
-    One sorted stream by key: union, then the last non-null struct. Nothing is paired, so a
-    long history costs its own length.
-    """
-    v = F.struct(*values)
-    e = events.select("*", F.lit(1).alias("__side"))
-    h = history.select(*by, at, v.alias("__v"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(h, allowMissingColumns=True).withColumn("__v", F.last("__v", ignorenulls=True).over(w))
-    return both.where("__side = 1").select(*events.columns, *(F.col(f"__v.{c}").alias(c) for c in values))
+#: Days of a key that one task of an as-of join takes.
+BUCKET_DAYS = 90
 
 
-def next_after(events: DataFrame, history: DataFrame, values: list[str], by: list[str], at: str) -> DataFrame:
+def _asof(events: DataFrame, history: DataFrame, values: list[str], by: list[str], at: str, forward: bool, days: int) -> DataFrame:
+    """The as-of step in two levels. A key is cut into buckets of time; within one, the rows of
+    both sides are a sorted stream, in which the last non-null struct stands. What a bucket
+    inherits is a row of its own at its beginning: each bucket of the history is reduced to
+    its last struct, and those few rows of a key are run up. So a key with most rows is spread
+    over its buckets, and nothing is paired or joined. ``forward`` runs from the end of time.
+    """
+    bucket = F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / (days * 86_400)).alias("__b")
+    pick = F.min_by if forward else F.max_by
+    e = events.select("*", bucket, F.lit(1).alias("__side"))
+    h = history.where(F.col(at).isNotNull()).select(*by, at, bucket, F.struct(*values).alias("__v"), F.lit(0).alias("__side"))
+    ends = h.groupBy(*by, "__b").agg(pick("__v", at).alias("__v")).unionByName(e.select(*by, "__b").where("__b is not null").distinct(), allowMissingColumns=True)
+    ends = ends.groupBy(*by, "__b").agg(F.first("__v", ignorenulls=True).alias("__v"))
+    order = (lambda c: F.desc(c)) if forward else (lambda c: F.asc(c))
+    past = Window.partitionBy(*by).orderBy(order("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("__v", F.last("__v", ignorenulls=True).over(past)).where("__v is not null").select(*by, "__b", "__v", F.lit(-1).alias("__side"))
+    both = e.unionByName(h, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    # the carried row comes first; of one time, history counts backward-looking and not forward
+    sort = [F.when(F.col("__side") == -1, 0).otherwise(1), order(at), F.desc("__side") if forward else F.asc("__side")]
+    w = Window.partitionBy(*by, "__b").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    return out.select(*events.columns, *(F.col(f"__v.{c}").alias(c) for c in values))
+
+
+def latest_at(events: DataFrame, history: DataFrame, values: list[str], by: list[str], at: str, bucket_days: int = BUCKET_DAYS) -> DataFrame:
+    """``events`` with the ``values`` of the last row of ``history`` at or before ``at``; nulls
+    where there is none or ``at`` is null. See ``_asof``."""
+    return _asof(events, history, values, by, at, False, bucket_days)
+
+
+def next_after(events: DataFrame, history: DataFrame, values: list[str], by: list[str], at: str, bucket_days: int = BUCKET_DAYS) -> DataFrame:
     """``events`` with the ``values`` of the first row of ``history`` strictly after ``at``."""
-    e = events.select("*", F.lit(0).alias("__side"))
-    h = history.select(*by, at, F.struct(*values).alias("__v"), F.lit(-1).alias("__side"))
-    w = Window.partitionBy(*by).orderBy(F.desc(at), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(h, allowMissingColumns=True).withColumn("__v", F.last("__v", ignorenulls=True).over(w))
-    return both.where("__side = 0").select(*events.columns, *(F.col(f"__v.{c}").alias(c) for c in values))
+    return _asof(events, history, values, by, at, True, bucket_days)
 
 
 def within_days(decisions: DataFrame, items: DataFrame, days: int, key: str, at: str, published: str) -> DataFrame:
