@@ -14,7 +14,6 @@ BAD_NAME = r"(?i)\b(warrants?|rights?|units?|preferred|preference|beneficial int
 ADR_NAME = r"(?i)\b(ADR|ADS|depositary)\b"
 SYMBOL = "^[A-Z][A-Z0-9.-]{0,9}$"
 HEADING = r"(?i)\bitem\s+(1a|1b|1c|1|2|3|7a|7|8)\s*[.:-]"
-SECTION_CHARS = 40_000
 MIN_PRICE, RESEARCH_DOLLARS, TRADE_DOLLARS = 5.0, 1e7, 5e7
 MIN_HISTORY, RESEARCH_SIZE, ACTIVE_SIZE = 260, 1500, 250
 
@@ -132,20 +131,21 @@ def plain_text(body: Column) -> Column:
     return F.trim(F.regexp_replace(_unescape(bare), r"[\s ]+", " "))
 
 
-def filing_sections(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
+def filing_sections(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most_chars: int | None = None) -> DataFrame:
     """A row for each item of a filing: the longest text under one of its headings (contents
-    pages repeat them), SECTION_CHARS at most; ``document`` if there is no heading.
+    pages repeat them); ``document`` if there is no heading. ``most_chars`` cuts the result.
 
     A null page counts as empty. Of equally long texts the first in the document stays.
     """
     x = pages.select(id_col, plain_text(F.coalesce(html_col, F.lit(""))).alias("t"))
     cut = F.split("t", f"(?={HEADING})")
     x = x.select(id_col, "t", F.posexplode(cut).alias("p", "part")).withColumn("name", F.lower(F.regexp_extract("part", f"^{HEADING}", 1)))
-    x = x.withColumn("body", F.substring("part", 1, SECTION_CHARS))
+    x = x.withColumn("body", F.col("part"))
     best = x.groupBy(id_col, "name").agg(F.max_by("body", F.struct(F.char_length("body"), -F.col("p"))).alias("body"), F.max("t").alias("t"))
     none = F.max(F.when(F.col("name") != "", 1).otherwise(0)).over(Window.partitionBy(id_col)) == 0
     best = best.withColumn("none", none).where("none or name <> ''")
-    body = F.when(F.col("none"), F.substring("t", 1, SECTION_CHARS)).otherwise(F.col("body"))
+    body = F.when(F.col("none"), F.col("t")).otherwise(F.col("body"))
+    body = body if most_chars is None else F.substring(body, 1, most_chars)
     return best.select(id_col, F.when(F.col("none"), "document").otherwise(F.concat(F.lit("item_"), "name")).alias("section"), body.alias("body"), F.sha2(body, 256).alias("sha256"))
 
 

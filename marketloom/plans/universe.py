@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import rounded
+from marketloom.functions.tables import register_tables
 from marketloom.operators import redaction as red
 from marketloom.operators import universe as uni
 from marketloom.registry import register
@@ -78,10 +79,23 @@ WANTED = ["1-URGENT", "2-HIGH", "5-LOW"]
 register(
     "src4_explode_facts",
     lambda spark, d: uni.explode_facts(_facts_json(spark, d), WANTED).select("cik", "tag", "period_end", "filed", "value", "unit", "form", "accession"),
-    f"WITH {fx.FACTS_SQL} SELECT cik::VARCHAR AS cik, tag, period_end, filed::DATE AS filed, round(value, 2) AS value, 'USD' AS unit, form, 'a' AS accession FROM facts WHERE tag IN ('1-URGENT', '2-HIGH', '5-LOW')",
+    EXPLODED := f"WITH {fx.FACTS_SQL} SELECT cik::VARCHAR AS cik, tag, period_end, filed::DATE AS filed, round(value, 2) AS value, 'USD' AS unit, form, 'a' AS accession FROM facts WHERE tag IN ('1-URGENT', '2-HIGH', '5-LOW')",
 )
 
 
+def _facts_sql(spark, d):
+    """The same through the table function, from SQL."""
+    register_tables(spark)
+    return spark.sql(
+        """SELECT cik, tag, period_end, filed, min_by(value, (accession, value)) AS value, unit, min_by(form, (accession, value)) AS form, min(accession) AS accession
+        FROM (SELECT CAST(d.cik AS STRING) AS cik, f.* FROM {docs} d, LATERAL facts(d.body, array('1-URGENT', '2-HIGH', '5-LOW')) f) GROUP BY cik, tag, period_end, filed, unit""",
+        docs=_facts_json(spark, d),
+    )
+
+
+register("u5_facts", _facts_sql, EXPLODED)
+
+
 def _catalog(spark, d):
     p = fx.table(spark, d, "part")
     before = p.where("p_size < 20").select(F.concat(F.lit("P"), "p_partkey").alias("symbol"), F.lit("0").alias("cik"), F.lit("1999-01-01").cast("date").alias("first_seen"), F.lit("1999-06-01").cast("date").alias("last_seen"))
@@ -103,10 +117,19 @@ register(
 )
 
 
-def _filings(spark, d):
+def _headed(spark, d):
     p = fx.table(spark, d, "pages")
     heads = F.when(F.col("page_id") % 4 > 0, F.concat(F.lit("<p>Item 1. Item 7: Item 1A - short</p><style>item 8. no</style><h2>ITEM&nbsp;7a. risk &amp; rates</h2> Item&#32;1:"), F.coalesce("html", F.lit("")), F.lit("<b>Item 2.</b> end"))).otherwise(F.col("html"))
-    return uni.filing_sections(p.select("page_id", heads.alias("html"))).select("page_id", "section", F.char_length("body").alias("chars"), "sha256")
+    return p.select("page_id", heads.alias("html"))
+
+
+def _filings(spark, d):
+    return uni.filing_sections(_headed(spark, d)).select("page_id", "section", F.char_length("body").alias("chars"), "sha256")
+
+
+def _sections_sql(spark, d):
+    register_tables(spark)
+    return spark.sql("SELECT p.page_id, s.section, char_length(s.body) AS chars, s.sha256 FROM {pages} p, LATERAL sections(p.html) s", pages=_headed(spark, d))
 
 
 ENTITIES = {"&nbsp;": " ", "&#32;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&#x27;": "''", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
@@ -116,17 +139,18 @@ for _k, _v in ENTITIES.items():
 register(
     "src11_filing_sections",
     _filings,
-    rf"""WITH h AS (SELECT page_id, CASE WHEN page_id % 4 > 0 THEN '<p>Item 1. Item 7: Item 1A - short</p><style>item 8. no</style><h2>ITEM&nbsp;7a. risk &amp; rates</h2> Item&#32;1:' || coalesce(html, '') || '<b>Item 2.</b> end' ELSE coalesce(html, '') END AS html FROM pages),
+    SECTIONS := rf"""WITH h AS (SELECT page_id, CASE WHEN page_id % 4 > 0 THEN '<p>Item 1. Item 7: Item 1A - short</p><style>item 8. no</style><h2>ITEM&nbsp;7a. risk &amp; rates</h2> Item&#32;1:' || coalesce(html, '') || '<b>Item 2.</b> end' ELSE coalesce(html, '') END AS html FROM pages),
 a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>', ' ', 'g'), '(?is)<style.*?>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t0 FROM h),
 b AS (SELECT page_id, trim(regexp_replace({_ENT}, '[\s\x{{A0}}]+', ' ', 'g')) AS t FROM a),
 m AS (SELECT page_id, t, regexp_replace(t, '(?i)\b(item\s+(?:1a|1b|1c|1|2|3|7a|7|8)\s*[.:-])', chr(1) || '\1', 'g') AS s FROM b),
 p AS (SELECT page_id, t, unnest(string_split(s, chr(1))) AS part, unnest(range(len(string_split(s, chr(1))))) AS k FROM m),
-q AS (SELECT page_id, t, k, substr(part, 1, 40000) AS body, lower(regexp_extract(part, '^(?i)item\s+(1a|1b|1c|1|2|3|7a|7|8)\s*[.:-]', 1)) AS name FROM p),
+q AS (SELECT page_id, t, k, part AS body, lower(regexp_extract(part, '^(?i)item\s+(1a|1b|1c|1|2|3|7a|7|8)\s*[.:-]', 1)) AS name FROM p),
 r AS (SELECT page_id, name, arg_max(body, (length(body), -k)) AS body, max(t) AS t FROM q GROUP BY 1, 2),
 z AS (SELECT *, max((name <> '')::INT) OVER (PARTITION BY page_id) AS has FROM r),
-o AS (SELECT page_id, CASE WHEN has = 0 THEN 'document' ELSE 'item_' || name END AS section, CASE WHEN has = 0 THEN substr(t, 1, 40000) ELSE body END AS body FROM z WHERE has = 0 OR name <> '')
+o AS (SELECT page_id, CASE WHEN has = 0 THEN 'document' ELSE 'item_' || name END AS section, CASE WHEN has = 0 THEN t ELSE body END AS body FROM z WHERE has = 0 OR name <> '')
 SELECT page_id, section, length(body) AS chars, sha256(body) AS sha256 FROM o""",
 )
+register("u5_sections", _sections_sql, SECTIONS)
 register(
     "src15_coverage",
     lambda spark, d: rounded(uni.coverage(fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("cik")), fx.filing_facts(spark, d).where("tag = '5-LOW' and year(period_end) = 1997")), "share"),
