@@ -33,10 +33,9 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 ADDED = [*COUNTS, "base_failed", "kept"]
 
 
-def _covered(hashes: np.ndarray, n: int, first_too: bool) -> np.ndarray:
+def _covered(grams: np.ndarray, words: int, n: int, first_too: bool) -> np.ndarray:
     """Which words lie in an n-word window that repeats an earlier one (or is repeated)."""
-    grams = tb.windows(hashes, n)
-    cover = np.zeros(len(hashes) + 1, np.int64)
+    cover = np.zeros(words + 1, np.int64)
     if len(grams) > 1:
         order = np.argsort(grams, kind="stable")
         same = grams[order[1:]] == grams[order[:-1]]
@@ -53,14 +52,14 @@ def _covered(hashes: np.ndarray, n: int, first_too: bool) -> np.ndarray:
 def measure(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """The COUNTS of each document, a row each."""
     starts, ends, woff = tb.word_bounds(data, offs)
-    hashes = tb.word_hashes(data, starts, ends, folded=False)
+    rolling = tb.Rolling(tb.word_hashes(data, starts, ends, folded=False))
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     chars = points[ends] - points[starts]
     symbols = np.concatenate(([0], np.cumsum(_SYMBOL[data])))
     out = np.zeros((len(offs) - 1, len(COUNTS)), np.int64)
     for d in range(len(offs) - 1):
         a, b = woff[d], woff[d + 1]
-        h, c = hashes[a:b], chars[a:b]
+        c = chars[a:b]
         seen: set[bytes] = set()
         dup_lines = dup_line_chars = 0
         for line in data[offs[d] : offs[d + 1]].tobytes().split(b"\n"):
@@ -71,7 +70,7 @@ def measure(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
                 seen.add(line)
         out[d] = [
             b - a, c.sum(), symbols[offs[d + 1]] - symbols[offs[d]], dup_lines,
-            _covered(h, 3, True).sum(), dup_line_chars, *(c[_covered(h, n, False)].sum() for n in MAX_NGRAM_PERCENT),
+            _covered(rolling.runs(a, b, 3), b - a, 3, True).sum(), dup_line_chars, *(c[_covered(rolling.runs(a, b, n), b - a, n, False)].sum() for n in MAX_NGRAM_PERCENT),
         ]
     return out
 

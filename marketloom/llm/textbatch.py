@@ -125,6 +125,30 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+class Rolling:
+    """Hashes of all runs of n values, of any n, from one prefix.
+
+    The hash is a polynomial modulo 2**64 in an odd base: ``prefix`` sums value times base to
+    the minus position, so a run is a difference of two entries, shifted back by one product.
+    """
+
+    BASE = 0xD1342543DE82EF95
+
+    def __init__(self, hashes: np.ndarray):
+        down = np.full(len(hashes) + 1, pow(self.BASE, -1, 1 << 64), U)
+        up = np.full(len(hashes) + 1, self.BASE, U)
+        down[0] = up[0] = 1
+        self.up = np.multiply.accumulate(up)
+        self.prefix = np.zeros(len(hashes) + 1, U)
+        np.cumsum(hashes * np.multiply.accumulate(down)[:-1], out=self.prefix[1:])
+
+    def runs(self, a: int, b: int, n: int) -> np.ndarray:
+        """Of the values a to b (not included), every run of n by its start."""
+        if b - a < n:
+            return np.zeros(0, U)
+        return (self.prefix[a + n : b + 1] - self.prefix[a : b - n + 1]) * self.up[a : b - n + 1]
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int = 5) -> list[np.ndarray]:
     """For each document its sorted distinct n-word shingles, words folded.
 
