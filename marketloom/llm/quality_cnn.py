@@ -28,23 +28,34 @@ SAMPLE_ROWS, SAMPLE_BYTES = 600, 32_768
 EPOCHS, RATE, BATCH = 5, 0.01, 16
 THRESHOLD = 0.7
 _BLOCK = 64
+#: Chunks whose bytes are looked up together.
+_STREAM = 2048
 
 
-def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chunks of all documents, padded with 0, and where each document's begin (n + 1). An
+def chunk_starts(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The document and first byte of every chunk, and where each document's begin (n + 1). An
     empty document has one chunk of padding."""
     step = CHUNK - OVERLAP
-    lens = np.diff(offs)
-    many = np.maximum(1, -(-(lens - OVERLAP) // step))
+    many = np.maximum(1, -(-(np.diff(offs) - OVERLAP) // step))
     first = np.concatenate(([0], np.cumsum(many)))
-    doc = np.repeat(np.arange(len(lens)), many)
-    begin = offs[:-1][doc] + (np.arange(first[-1]) - first[:-1][doc]) * step
+    doc = np.repeat(np.arange(len(many)), many)
+    return doc, offs[:-1][doc] + (np.arange(first[-1]) - first[:-1][doc]) * step, first
+
+
+def chunk_bytes(data: np.ndarray, offs: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """These chunks' bytes, padded with 0."""
     at = begin[:, None] + np.arange(CHUNK)
     inside = at < offs[1:][doc][:, None]
     at[~inside] = 0
     out = (data if len(data) else np.zeros(1, np.uint8))[at]
     out[~inside] = 0
-    return out, first
+    return out
+
+
+def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of all documents and where each document's begin: for training samples."""
+    doc, begin, first = chunk_starts(offs)
+    return chunk_bytes(data, offs, doc, begin), first
 
 
 class Network:
@@ -78,8 +89,15 @@ class Network:
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         if len(offs) < 2:
             return np.zeros(0)
-        x, first = chunks(data, offs)
-        z = (self.features(self.pooled(x)[0], first) @ self.v + self.c[0]).astype(float)
+        doc, begin, first = chunk_starts(offs)
+        total, most = np.zeros((len(offs) - 1, FILTERS)), np.zeros((len(offs) - 1, FILTERS), np.float32)  # responses are 0 at least
+        for k in range(0, len(doc), _STREAM):  # sums and maxima are carried along, whatever a text's length
+            own = doc[k : k + _STREAM]
+            pooled = self.pooled(chunk_bytes(data, offs, own, begin[k : k + _STREAM]))[0]
+            cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            total[own[cuts]] += np.add.reduceat(pooled, cuts)
+            most[own[cuts]] = np.maximum(most[own[cuts]], np.maximum.reduceat(pooled, cuts))
+        z = np.concatenate((total / np.diff(first)[:, None], most), axis=1) @ self.v.astype(float) + float(self.c[0])
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, seed: int = 7) -> None:
@@ -131,15 +149,18 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """A network fitted on at most ``rows`` labelled documents of each label.
 
-    Rows without an id, a text or a label 0 or 1 aren't learned from. If a label has no row
-    the network stays as it was made and gives every text 0.5.
+    Rows without an id, a text or a label 0 or 1 aren't learned from, nor ids that are labelled
+    both ways. Of an id's repeated texts the smallest is. If a label has no row the network stays
+    as it was made and gives every text 0.5.
     """
+    label = F.col(label_col)
+    clear = labels.where(label.isin(0, 1)).groupBy(F.col(id_col).alias("i")).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
     named = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") <= max_bytes)
     net = Network()
     texts: list[bytes] = []
     truth: list[int] = []
     for value in (0, 1):
-        ids = labels.where(F.col(label_col) == value).select(F.col(id_col).alias("i")).join(named.select("i"), "i", "left_semi").distinct().orderBy(F.xxhash64("i"), "i").limit(rows)
+        ids = clear.where(F.col("y") == value).select("i").join(named.select("i"), "i", "left_semi").orderBy(F.xxhash64("i"), "i").limit(rows)
         one = named.join(F.broadcast(ids), "i").groupBy("i").agg(F.min("t").alias("t"))  # of repeated ids one text
         for r in one.orderBy("i").collect():  # rows x max_bytes at most
             texts.append(r.t.encode())
