@@ -1,19 +1,23 @@
 """WARC archives as a Spark data source.
 
 ``spark.read.format("warc").load(dir)`` plans one partition for each archive file that the
-last committed write lists (or that the folder holds, if none does). A reader inflates only
-the head of a record, parses the WARC headers, and tests the pushed predicates on record
-type and headers; an unwanted record's payload is skipped by the lengths in its gzip header
-(the ``sl`` extra field of the WARC standard), neither inflated nor decoded. Without that
-field the rest of the member is inflated and thrown away.
-
-Writers give each task attempt a file of its own name; the commit on the driver writes a
-manifest of those files that succeeded, so files of lost or repeated tasks are never read.
-Folders are opened through pyarrow's file systems, so any shared store that has one will do.
+committed writes list (or that the folder holds, if none does), gzip or plain. A reader
+inflates only the head of a record, parses the WARC headers, and tests the pushed predicates
+on record type and headers; an unwanted record's payload is skipped by the lengths in its gzip
+header (the ``sl`` extra field of the WARC standard) or, in a plain file, by its own length,
+neither inflated nor decoded. Without that field the rest of the member is inflated and thrown
+away. Archives of other writers are read too: any record type, header names in any case,
+missing headers as nulls.
+
+Writers give each task attempt a file of its own name; each commit on the driver writes a
+manifest of its files that succeeded, so files of lost or repeated tasks are never read and
+appends add up. Folders are opened through pyarrow's file systems, so any shared store that has
+one will do; reads go through a buffer, so small records share a request.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 import struct
@@ -34,12 +38,15 @@ SCHEMA = "record_type string, page_id long, target_uri string, payload_digest st
 MIN_REVISIT_BYTES = 1000
 #: A writer starts a new file beyond so many bytes.
 FILE_BYTES = 128 << 20
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
+#: Bytes that a reader fetches at once.
+AHEAD = 1 << 20
 _HEAD = 4096
 _BLANKS = {" ": "%20", "\t": "%09"}
 _EDGE = re.compile(r"^(?:%20|%09)+|(?:%20|%09)+$")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_COLUMNS = {"record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest"}
+_COLUMNS = {"record_type": "warc-type", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest"}
+_BASE32 = re.compile(r"[A-Z2-7]{32}")
 
 
 def open_dir(path: str) -> tuple[pafs.FileSystem, str]:
@@ -105,12 +112,97 @@ def _number(urn: str | None) -> int | None:
 
 
 def parse_head(head: bytes) -> dict[str, str]:
-    """WARC header lines by name."""
-    pairs = (line.split(b":", 1) for line in head.split(b"\r\n")[1:] if b":" in line)
-    return {k.decode().strip(): v.strip(b" \t").decode("utf-8", "replace") for k, v in pairs}
+    """Header lines by name in lower case; folded lines are put together, of repeats the first stays."""
+    out: dict[str, str] = {}
+    for line in re.sub(rb"\r?\n[ \t]+", b" ", head).splitlines()[1:]:
+        name, colon, value = line.partition(b":")
+        if colon:
+            out.setdefault(name.decode("latin-1").strip().lower(), value.strip(b" \t\r").decode("utf-8", "replace"))
+    return out
 
 
-def records(f: pa.NativeFile, wanted: dict[str, set], payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
+def digest(value: str | None) -> str | None:
+    """A SHA-1 as lower-case hex, from hex or the usual base 32; others as they stand."""
+    if value is None:
+        return None
+    kind, colon, bare = value.partition(":")
+    if colon and kind.lower() != "sha1":
+        return value
+    bare = bare if colon else value
+    return base64.b32decode(bare.upper()).hex() if _BASE32.fullmatch(bare.upper()) else bare.lower()
+
+
+def digest_forms(value: str) -> set[str]:
+    """The header values that ``digest`` takes to this one."""
+    if not re.fullmatch("[0-9a-f]{40}", value):
+        return {value}
+    forms = {value, value.upper(), base64.b32encode(bytes.fromhex(value)).decode()}
+    return forms | {f"{kind}:{x}" for x in forms for kind in ("sha1", "SHA1")}
+
+
+def whole(text: str | None) -> int | None:
+    """A header's number; null if there is none."""
+    return int(text) if text and re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
+class Ahead:
+    """A file that is read in pieces of ``AHEAD`` bytes; what a seek stays within is kept."""
+
+    def __init__(self, f: pa.NativeFile):
+        self.f, self.length, self.at, self.begin, self.held = f, f.size(), 0, 0, b""
+
+    def size(self) -> int:
+        return self.length
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, n: int) -> bytes:
+        n = max(0, min(n, self.length - self.at))
+        if not self.begin <= self.at <= self.at + n <= self.begin + len(self.held):
+            self.f.seek(self.at)
+            self.begin, self.held = self.at, self.f.read(max(n, AHEAD))
+        out = self.held[self.at - self.begin : self.at - self.begin + n]
+        self.at += len(out)
+        return out
+
+
+def plain_records(f: Ahead, wanted: dict[str, set], payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of a file that isn't compressed; without ``payloads`` a block ends about
+    where its HTTP header does."""
+    at = 0
+    while at < f.size():
+        f.seek(at)
+        text = b""
+        while b"\r\n\r\n" not in text.lstrip(b"\r\n"):
+            more = f.read(_HEAD)
+            if not more:
+                if not text.strip():
+                    return
+                raise ValueError(f"the record at byte {at} has no end of headers")
+            text += more
+        lead = len(text) - len(text.lstrip(b"\r\n"))  # blank lines between records
+        head, _, _ = text[lead:].partition(b"\r\n\r\n")
+        headers = parse_head(head)
+        size = whole(headers.get("content-length"))
+        if not head.startswith(b"WARC/") or size is None:
+            raise ValueError(f"no WARC record at byte {at + lead}")
+        begin = at + lead + len(head) + 4
+        if all(headers.get(k) in v for k, v in wanted.items()):
+            f.seek(begin)
+            block = f.read(size if payloads else min(size, _HEAD))
+            while not payloads and b"\r\n\r\n" not in block and len(block) < size:
+                block += f.read(min(size - len(block), _HEAD))
+            if payloads and len(block) < size:
+                raise ValueError(f"the record at byte {at} is cut off")
+            yield headers, block
+        at = begin + size
+
+
+def records(f: Ahead, wanted: dict[str, set], payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of the records whose headers have the wanted values."""
     size = f.size()
     at = 0
@@ -151,7 +243,7 @@ def records(f: pa.NativeFile, wanted: dict[str, set], payloads: bool = True) ->
                     raise ValueError(f"the record at byte {at} is cut off")
                 parts.append(inflate.decompress(tail))
                 tail = inflate.unconsumed_tail
-            block = b"".join(parts)[: int(headers["Content-Length"])]
+            block = b"".join(parts)[: whole(headers.get("content-length"))]
         if skip is None:
             tail = inflate.unconsumed_tail
             while not inflate.eof:
@@ -174,12 +266,10 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             name = f.attribute[0] if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
-            if name == "record_type" and isinstance(f, IsNotNull):
-                continue
             values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
             if name in _COLUMNS and values is not None:
                 if name == "payload_digest":
-                    values = {f"sha1:{v}" for v in values}
+                    values = {form for v in values for form in digest_forms(v)}
                 elif name == "target_uri":
                     values = {escape_uri(v) for v in values}
                 header = _COLUMNS[name]
@@ -189,32 +279,48 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, root = open_dir(self.path)
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-                names = json.loads(f.read())
+        found = fs.get_file_info(pafs.FileSelector(root))
+        lists = [x.path for x in found if x.base_name.startswith(MANIFEST)]
+        if lists:
+            names = set()
+            for path in lists:
+                with fs.open_input_stream(path) as f:
+                    names.update(json.loads(f.read()))
         else:
-            names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.endswith(".warc.gz"))
-        return [File(f"{self.path}/{x}") for x in names]
+            names = {x.base_name for x in found if x.base_name.endswith((".warc", ".warc.gz"))}
+        return [File(f"{self.path}/{x}") for x in sorted(names)]
 
     def read(self, partition: File | None) -> Iterator[tuple]:
         if partition is None:  # no file: an empty archive
             return
         fs, path = open_dir(partition.path)
-        with fs.open_input_file(path) as f:
-            for h, block in records(f, self.wanted, self.payloads or "response" not in self.wanted.get("WARC-Type", {"response"})):
-                http, _, payload = block.partition(b"\r\n\r\n")
-                kind = h["WARC-Type"]
-                uri = h.get("WARC-Target-URI")
-                yield (
-                    kind, _number(h.get("WARC-Record-ID")), uri and unescape_uri(uri),
-                    h["WARC-Payload-Digest"].removeprefix("sha1:"), int(parse_head(http)["Content-Length"]),
-                    _number(h.get("WARC-Refers-To")), payload if kind == "response" and self.payloads else None,
-                )
+        with fs.open_input_file(path) as raw:
+            f = Ahead(raw)
+            packed = f.read(2) == b"\x1f\x8b"
+            for h, block in (records if packed else plain_records)(f, self.wanted, self.payloads):
+                yield self.row(h, block)
+
+    def row(self, h: dict[str, str], block: bytes) -> tuple:
+        """A row of SCHEMA. A response's payload is what follows its HTTP header, a revisit has
+        none, any other record's is its block; the size is that of the full payload if a
+        header tells it."""
+        kind, uri, size = h.get("warc-type"), h.get("warc-target-uri"), whole(h.get("content-length"))
+        payload: bytes | None = block
+        if kind in ("response", "revisit") and block[:5] == b"HTTP/":
+            head, end, payload = block.partition(b"\r\n\r\n")
+            told = whole(parse_head(head).get("content-length"))
+            size = told if told is not None else None if size is None or kind == "revisit" else size - len(head) - len(end)
+        elif kind == "revisit":
+            size = None
+        return (
+            kind, _number(h.get("warc-record-id")), uri and unescape_uri(uri), digest(h.get("warc-payload-digest")), size,
+            _number(h.get("warc-refers-to")), payload if self.payloads and kind != "revisit" else None,
+        )
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         fs, root = open_dir(self.path)
@@ -235,7 +341,11 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = open_dir(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+        if self.overwrite:
+            for old in fs.get_file_info(pafs.FileSelector(root)):
+                if old.base_name.startswith(MANIFEST):
+                    fs.delete_file(old.path)
+        with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -258,7 +368,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true")
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
