@@ -7,8 +7,10 @@ and runs too short to hold any phrase are left out. The suffix array of that seq
 All phrases are searched backwards together, a step being two ranks; occurrences are located
 from suffix positions sampled every few symbols, and overlapping spans are merged.
 
-Documents never move: only the phrases go to the tasks, in blocks of bounded size. With more
-than one block the blocks are passes one after another in the same tasks.
+Documents never move: only the benchmark goes to the tasks, as word ids and starts of phrases. A
+shard is indexed once, over the vocabulary of all items, and the blocks of the benchmark are
+searched in it one after another by the same worker. A benchmark beyond ``PASS_BYTES`` is searched
+in several passes, each written before the next.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.llm import textbatch as tb
-from marketloom.llm.scratch import table
+from marketloom.llm.scratch import table, write_through
 
 WINDOW = 10
-#: Bytes of benchmark text whose phrases go to the tasks together (some 240 MB on the driver).
-BLOCK_BYTES = 2 << 20
+#: Bytes of benchmark text that are searched together (some 60 MB of phrases in a worker), and
+#: that are sent to the tasks together (some 100 MB on the driver and in a worker).
+BLOCK_BYTES, PASS_BYTES = 1 << 20, 32 << 20
 SAMPLE = 8
 
 _NOT_WORD = np.ones(256, bool)
@@ -45,21 +48,53 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 class Phrases:
-    """Distinct phrases of a block of items, as rows of vocabulary ids padded with 0."""
-
-    def __init__(self, ids: list, texts: list, window: int = WINDOW):
-        *_, woff, hashes = _words(pa.array(texts, pa.string()))
-        self.vocabulary, inverse = np.unique(hashes, return_inverse=True)
-        inverse = inverse.astype(np.int64) + 1
-        found: dict[bytes, set[str]] = {}
-        for item, a, b in zip(ids, woff[:-1], woff[1:], strict=True):
-            for at in range(a, max(b - window, a) + 1) if b > a else ():
-                found.setdefault(inverse[at : min(at + window, b)].tobytes(), set()).add(str(item))
-        self.items = [sorted(x) for x in found.values()]
-        self.length = np.array([len(x) // 8 for x in found], np.int64)
-        self.rows = np.zeros((len(found), window), np.int64)
-        for k, x in enumerate(found):
-            self.rows[k, : self.length[k]] = np.frombuffer(x, np.int64)
+    """Distinct phrases of items, in blocks over one vocabulary.
+
+    A block has the items' words as ids (1 and up) in a row, for every distinct phrase its
+    place and length, and the items that have it.
+    """
+
+    def __init__(self, ids: list, texts: list, window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
+        self.window, self.shortest = window, window
+        groups: list[list[int]] = []
+        size = block_bytes
+        for k, t in enumerate(texts):
+            if size >= block_bytes:
+                groups.append([])
+                size = 0
+            groups[-1].append(k)
+            size += len(t)
+        hashed = []
+        for group in groups:
+            *_, woff, hashes = _words(pa.array([texts[k] for k in group], pa.string()))
+            hashed.append(([str(ids[k]) for k in group], woff, hashes))
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for *_, h in hashed)]))
+        self.blocks = [self._block(names, woff, (np.searchsorted(self.vocabulary, h) + 1).astype(np.int32)) for names, woff, h in hashed]
+
+    def _block(self, names: list[str], woff: np.ndarray, seq: np.ndarray) -> tuple:
+        found: dict[bytes, int] = {}
+        start, length, having = [], [], []
+        for item, (a, b) in enumerate(zip(woff[:-1].tolist(), woff[1:].tolist(), strict=True)):
+            for at in range(a, max(b - self.window, a) + 1) if b > a else ():
+                end = min(at + self.window, b)
+                k = found.setdefault(seq[at:end].tobytes(), len(start))
+                if k == len(start):
+                    start.append(at)
+                    length.append(end - at)
+                    having.append([item])
+                elif having[k][-1] != item:
+                    having[k].append(item)
+        self.shortest = min([self.shortest, *length])
+        many = np.array([len(x) for x in having], np.int64)
+        items = np.array([i for x in having for i in x], np.int32)
+        return names, seq, np.array(start, np.int32), np.array(length, np.int8 if self.window < 128 else np.int64), np.concatenate(([0], np.cumsum(many))), items
+
+    def rows(self, block: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """A block's phrases as rows of ids padded with 0, and their lengths."""
+        _, seq, start, length, *_ = block
+        at = start[:, None].astype(np.int64) + np.arange(self.window)
+        inside = np.arange(self.window) < length[:, None]
+        return np.where(inside, seq[np.minimum(at, max(len(seq) - 1, 0))] if len(seq) else 0, 0).astype(np.int64), length.astype(np.int64)
 
 
 def suffix_array(v: np.ndarray) -> np.ndarray:
@@ -168,20 +203,22 @@ def search_shard(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, list[l
     docs = len(offs) - 1
     items: list[set[str]] = [set() for _ in range(docs)]
     cover = np.zeros(len(starts) + 1, np.int64)
-    if len(phrases.length) and len(starts):
+    if len(phrases.vocabulary) and len(starts):
         at = np.minimum(np.searchsorted(phrases.vocabulary, hashes), len(phrases.vocabulary) - 1)
-        seq, word = _sequence(np.where(phrases.vocabulary[at] == hashes, at + 1, 0), woff, int(phrases.length.min()))
-        if len(seq):
-            index = FMIndex(seq)
-            which, lo, hi = index.search(phrases.rows, phrases.length)
+        seq, word = _sequence(np.where(phrases.vocabulary[at] == hashes, at + 1, 0), woff, phrases.shortest)
+        index = FMIndex(seq) if len(seq) else None
+        for block in phrases.blocks if index else ():
+            table_, length = phrases.rows(block)
+            which, lo, hi = index.search(table_, length)
             many = hi - lo
-            rows = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            place, phrase = word[index.locate(rows)], np.repeat(which, many)
+            ranks = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            place, phrase = word[index.locate(ranks)], np.repeat(which, many)
             np.add.at(cover, place, 1)
-            np.add.at(cover, place + phrases.length[phrase], -1)
+            np.add.at(cover, place + length[phrase], -1)
+            names, *_, first, having = block
             pairs = np.unique(np.stack((np.searchsorted(woff, place, side="right") - 1, phrase), axis=1), axis=0) if len(place) else ()
             for d, p in pairs:
-                items[d].update(phrases.items[p])
+                items[d].update(names[i] for i in having[first[p] : first[p + 1]])
     hit = np.cumsum(cover[:-1]) > 0
     spans = []
     for a, b in zip(woff[:-1], woff[1:], strict=True):
@@ -206,7 +243,7 @@ def _merged(old: list, new: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: list[str] | None = None, clean: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: list[str] | None = None, clean: bool = True, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The columns of ``docs`` (or ``carry`` of them) with what the benchmark items hit.
 
     Added: ``n_words``, ``n_hit`` (words inside any occurrence of a phrase), ``n_items``,
@@ -217,22 +254,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
     * A null or empty text, or one without words, has 0 in all counts and no spans; its
       clean text is as it was. Items without words have no phrase. A null item id counts as
-      an item named ``None``. Repeated items count once by id.
+      an item named ``None``. Repeated items count once by id; equal rows are sent once.
     * Rows are judged alone. Columns of ``docs`` that are named like an added one give way.
       Either table may be empty. A very long text is a shard of its own.
     """
     spark = docs.sparkSession
     keep = [c for c in (carry if carry is not None else docs.columns) if c.lower() not in ADDED]
-    bench = benchmark.select(F.col(item_col).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    bench = benchmark.select(F.col(item_col).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct()
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    passes = max(1, -(-total // pass_bytes))
     hide = tb.free("__text_in", keep)
     out = docs.select(*keep, F.col(text_col).alias(hide))
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "item_ids": F.array().cast("array<string>"), "spans": F.array().cast(_SPANS), "clean_text": F.lit(None).cast("string")})
-    for k in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect() if blocks > 1 else bench.collect()
-        sent = spark.sparkContext.broadcast(Phrases([r.i for r in rows], [r.t for r in rows], window))
-        last = clean and k == blocks - 1
+    for k in range(passes):
+        if k:
+            out = write_through(out, "decontaminate-pass")
+        rows = (bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else bench).collect()
+        sent = spark.sparkContext.broadcast(Phrases([r.i for r in rows], [r.t for r in rows], window, block_bytes))
+        last = clean and k == passes - 1
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, names=tuple(out.columns)) -> Iterator[pa.RecordBatch]:
             for whole in batches:
