@@ -26,8 +26,13 @@
    a similar asker before it (``answers``).
 
 Every pair of similar sets is thus compared, derived, or already connected, so components
-are complete, and no group is ever collected or expanded into its pairs. Sets and shingles
-are told apart by 64-bit hashes: "the same" below always means the same hash.
+are complete, and no group is ever collected or expanded into its pairs.
+
+6. Links are counted (``count_links``) within components, where all of them are: a component's
+   sets are dealt into blocks, a task takes two blocks, and each set's answers over the index
+   lists of a block follow from those of the similar set before it. Only counts come out.
+
+Sets and shingles are told apart by 64-bit hashes: "the same" below always means the same hash.
 """
 
 from __future__ import annotations
@@ -60,8 +65,9 @@ ROUND_LEADERS = 4
 #: Rounds go on while at least one in so many of their pairs is a link, and there is a link
 #: for so many of the sets that stand in lists.
 ROUND_YIELD, ROUND_SHARE = 4, 50
-#: Components of more sets than SMALL are asked in blocks of about BLOCK_SETS sets.
-SMALL, BLOCK_SETS = 4, 512
+#: Components of more sets than SMALL are asked in blocks of about BLOCK_SETS sets; where links
+#: are counted, a block also has about BLOCK_SHINGLES shingles at most.
+SMALL, BLOCK_SETS, BLOCK_SHINGLES = 4, 512, 1 << 21
 
 
 def signature(s: np.ndarray) -> int:
@@ -465,15 +471,15 @@ def _pairs_of(asks: DataFrame, sized: DataFrame, tried: DataFrame) -> DataFrame:
     return some.where("a <> b").distinct().join(_unordered(tried), ["a", "b"], "left_anti")
 
 
-def answers(members: list[np.ndarray], askers: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """(asker, member) for every asker that a member is similar to, with one such member.
+def answers(members: list[np.ndarray], askers: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(asker, members) for every asker that members are similar to, with all of them.
 
     The members' index lists stand in order of set size, so an asker's lists are entered and
     left at the positions of the sizes it can be similar to. Askers that are much alike stand
     together: the overlaps of one follow from those of the one before by the lists of the
     elements in which they differ.
     """
-    by_size = sorted(range(len(members)), key=lambda k: len(members[k]))
+    by_size = np.array(sorted(range(len(members)), key=lambda k: len(members[k])), np.int64)
     n = np.array([len(members[k]) for k in by_size])
     tokens, inverse = np.unique(np.concatenate([members[k] for k in by_size]), return_inverse=True)
     index = np.sort(inverse.astype(np.int64) * len(n) + np.repeat(np.arange(len(n)), n))
@@ -505,7 +511,7 @@ def answers(members: list[np.ndarray], askers: list[np.ndarray], percent: int) -
         similar = np.flatnonzero(count * (100 + percent) >= (n + len(s)) * percent)
         similar = similar[(similar >= lo) & (similar < hi)]
         if len(similar):
-            yield k, by_size[int(similar[0])]
+            yield k, by_size[similar]
 
 
 def _ask_blocks(steps: Steps, asks: DataFrame, sized: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -537,13 +543,58 @@ def _ask_blocks(steps: Steps, asks: DataFrame, sized: DataFrame, docs: DataFrame
             sets = [tb.shingle_sets(*tb.flat(x), words) for x in (left.column("text"), right.column("text_z"))]
             for z, m in answers(*sets, percent):
                 a.append(right.column("sig_z")[z].as_py())
-                b.append(left.column("sig")[m].as_py())
+                b.append(left.column("sig")[int(m[0])].as_py())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     key = ["holder", "mb", "zb"]
     return left.groupBy(*key).cogroup(right.groupBy(*(f"{c}_z" for c in key))).applyInArrow(run, "a long, b long")
 
 
+def weighted_links(first: list[np.ndarray], second: list[np.ndarray] | None, w1: np.ndarray, w2: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """For the sets of two blocks (or of one, against each other) the weight of the sets that
+    they are similar to."""
+    one = np.zeros(len(first), np.int64)
+    if second is None:
+        for k, similar in answers(first, first, percent):
+            one[k] += w1[similar].sum() - w1[k]  # a set is similar to itself
+        return one, None
+    two = np.zeros(len(second), np.int64)
+    for k, similar in answers(first, second, percent):
+        two[k] += w1[similar].sum()
+        one[similar] += w2[k]
+    return one, two
+
+
+def count_links(steps: Steps, comps: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sig, links): for each set of a component of two or more the number of rows with another
+    set that is similar. ``comps`` has node, comp; ``classes`` sig, rep, n_copies, n."""
+    x = comps.join(classes.select(F.col("sig").alias("node"), "n", "n_copies"), "node")
+    size = x.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = steps.write(x.join(size, "comp").select("comp", F.col("node").alias("sig"), "n_copies", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "join-dealt")
+    if not (many := dealt.count()):
+        return _empty(docs, "sig long, links long")
+    texts = _texts(steps, dealt.select("sig"), many, docs, classes)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = dealt.select("comp", "sig", "n_copies", "block", other.alias("other")).join(texts, "sig")
+    rows = rows.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n_copies", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        sets = tb.shingle_sets(*tb.flat(group.column("text")), words)
+        weight, block, i = group.column("n_copies").to_numpy(), group.column("block").to_numpy(), group.column("i")[0].as_py()
+        at, rest = np.flatnonzero(block == i), np.flatnonzero(block != i)
+        links = np.zeros(len(sets), np.int64)
+        if len(at) and (len(rest) or group.column("j")[0].as_py() == i):
+            pair = ([sets[k] for k in rest], weight[rest]) if len(rest) else (None, None)
+            links[at], two = weighted_links([sets[k] for k in at], pair[0], weight[at], pair[1], percent)
+            if two is not None:
+                links[rest] = two
+        return pa.table({"sig": group.column("sig"), "links": pa.array(links)})
+
+    counted = rows.groupBy("comp", "i", "j").applyInArrow(run, "sig long, links long")
+    return counted.groupBy("sig").agg(F.sum("links").alias("links"))
+
+
 def _derived(pairs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """``pairs`` with ``sure``: true or false where a leader's overlaps decide, else null."""
     by = done.select(F.col("a").alias("k"), F.col("b").alias("leader"), "o", F.col("nb").alias("nl"))
@@ -557,9 +608,9 @@ def _derived(pairs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sure, ["a", "b"], "left")
 
 
-def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERCENT, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERCENT, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False, counted: bool = False) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, n_shingles, component_id, n_copies``; with
-    ``keyed`` also ``row_key`` and ``component``, a number that a component has even without ids
+    ``counted`` also ``n_links``, the number of other rows it links with; with ``keyed`` also ``row_key`` and ``component``, a number that a component has even without ids
     (null for a row without shingles).
 
     Texts link when 100 x intersection >= percent x union of their shingle sets;
@@ -579,7 +630,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERC
     rows = rows.withColumn("key", row_key(F.col("id"), F.col("text")))
     first = write_through(_sets_pass(rows, words), "join-sets")
     sets = first.where("block is null").select("id", "key", "n", "sig")
-    classes = write_through(sets.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "join-classes")
+    classes = write_through(sets.where("n > 0").groupBy("sig").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("n").alias("n")), "join-classes")
     counts = _order(first)
     hot = _hot(docs.sparkSession, counts)
     lists = steps.write(_lists(_prefix_rows(rows, counts, words, percent), percent), "join-lists")
@@ -611,10 +662,15 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERC
     comps = write_through(components(steps, links), "join-found")
     steps.drop_all()
     named = classes.join(comps, classes.sig == comps.node, "left").select("sig", "n_copies", F.coalesce("comp", "sig").alias("comp"))
+    if counted:
+        linked = write_through(count_links(steps, comps, classes, rows, words, percent), "join-links-of")
+        steps.drop_all()
+        named = named.join(linked, "sig", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).drop("links")
     low = sets.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("low"))
     tops = named.join(low, "sig", "left").groupBy("comp").agg(F.min("low").alias("component_id"))
-    known = named.join(tops, "comp").select("sig", "n_copies", "component_id", "comp")
-    more = [F.col("key").alias("row_key"), F.col("comp").alias("component")] if keyed else []
+    known = named.join(tops, "comp").select("sig", "n_copies", *(["n_links"] if counted else []), "component_id", "comp")
+    more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []
+    more += [F.col("key").alias("row_key"), F.col("comp").alias("component")] if keyed else []
     return sets.join(known, (sets.sig == known.sig) & (sets.n > 0), "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
@@ -625,8 +681,8 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERC
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``join_components`` over all documents."""
-    return join_components(table(spark, sf_dir, "documents"))
+    """``join_components`` over all documents, with the number of links of each."""
+    return join_components(table(spark, sf_dir, "documents"), counted=True)
 
 
 SQL = r"""
@@ -639,7 +695,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.
 l AS (SELECT a, b, o = x.n AND o = y.n AS equal FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 175 * o >= 75 * (x.n + y.n)),
 r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
-e AS (SELECT a, count(*) AS k FROM l WHERE equal GROUP BY a)
-SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(k, 0)::BIGINT + 1 AS n_copies
+e AS (SELECT a, count(*) FILTER (WHERE equal) AS k, count(*) AS m FROM l GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(k, 0)::BIGINT + 1 AS n_copies, coalesce(m, 0)::BIGINT AS n_links
 FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.a = w.doc_id LEFT JOIN e ON e.a = w.doc_id
 """
