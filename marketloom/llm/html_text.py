@@ -232,7 +232,7 @@ class Tree:
                 if not parts:
                     start, owner = k, element
                 parts.append(value)
-                linked += len(value) if link else 0
+                linked += 0 if not link else len(html.unescape(value)) if "&" in value else len(value)
             elif parts:
                 joined = "".join(parts)
                 whole = " ".join((html.unescape(joined) if "&" in joined else joined).split())
