@@ -115,3 +115,24 @@ def evenly_spaced(x: DataFrame, n: int, by: str, order: str) -> DataFrame:
     y = x.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(size))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("__n") - 1) / (n - 1)))
     return y.where((F.col("__n") <= n) | F.array_contains(wanted, F.col("__i").cast("long"))).drop("__i", "__n")
+
+
+#: A target's scale is never taken as smaller.
+LEAST_SCALE = 0.005
+
+
+def train_scaling(x: DataFrame, days: DataFrame, features: list[str], targets: list[str], horizon: int = 21) -> DataFrame:
+    """``column, mean, scale``: mean and deviation (plus 1e-6) of features, scale of targets, over
+    the rows of training sessions only (``chronological_split`` of ``days``)."""
+    train = chronological_split(days, horizon).where("split = 'train'").select("d")
+    mine = x.join(F.broadcast(train), "d", "left_semi")  # a row a session
+    stats = mine.agg(*(F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c) for c in [*features, *targets]))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c)["mean"].alias("mean"), (F.col(c)["sd"] + 1e-6).alias("scale")) for c in features), *(F.struct(F.lit(c).alias("column"), F.lit(0.0).alias("mean"), F.greatest(F.col(c)["sd"], F.lit(LEAST_SCALE)).alias("scale")) for c in targets))
+    return stats.select(F.inline(rows))
+
+
+def mean_of_days(daily: DataFrame, value: str) -> DataFrame:
+    """One row: how many dates have a value, its mean, deviation, and the mean over it."""
+    x = daily.where(F.col(value).isNotNull() & ~F.isnan(value))
+    g = x.agg(F.count(F.lit(1)).alias("dates"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return g.withColumn("ratio", F.col("mean") / F.nullif("sd", F.lit(0.0)))

@@ -41,6 +41,47 @@ def sector_proxy(stocks: DataFrame, sectors: DataFrame, n: int = 60) -> DataFram
     return both.withColumn("k", F.row_number().over(best)).where("k = 1").select("symbol", "d", "sector", F.col("c").alias("correlation"))
 
 
+def sector_relative(stocks: DataFrame, sectors: DataFrame, n: int = 60, back: int = 21) -> DataFrame:
+    """By (symbol, d): the sector of ``sector_proxy``, its return compounded over ``back`` sessions,
+    and the stock's return over as many less that one. Null until both have the sessions."""
+    w = Window.partitionBy("symbol").orderBy("d")
+    full = w.rowsBetween(-(back - 1), 0)
+    r = sectors.withColumn("r", ind.ret(1)).withColumn("k", F.count("r").over(full))
+    r = r.withColumn("sector_return", F.when(F.col("k") == back, F.exp(F.sum(F.log1p("r")).over(full)) - 1)).select(F.col("symbol").alias("sector"), "d", "sector_return")
+    own = stocks.withColumn("own", ind.ret(back)).select("symbol", "d", "own")
+    x = sector_proxy(stocks, sectors, n).join(own, ["symbol", "d"]).join(r, ["sector", "d"], "left")
+    return x.select("symbol", "d", "sector", "correlation", "sector_return", (F.col("own") - F.col("sector_return")).alias("relative"))
+
+
+def both_ends(x: DataFrame, by: list[str], order: str, tie: str, k: int) -> DataFrame:
+    """The k largest and the k smallest of each group, from one sorted window: ``end`` and ``rank``;
+    what stands at both ends of a small group is given twice."""
+    w = Window.partitionBy(*by)
+    y = x.withColumn("__top", F.row_number().over(w.orderBy(F.desc(order), tie))).withColumn("__low", F.row_number().over(w.orderBy(F.asc(order), F.desc(tie))))
+    ends = F.array(F.when(F.col("__top") <= k, F.struct(F.lit("top").alias("end"), F.col("__top").alias("rank"))), F.when(F.col("__low") <= k, F.struct(F.lit("bottom").alias("end"), F.col("__low").alias("rank"))))
+    return y.where((F.col("__top") <= k) | (F.col("__low") <= k)).withColumn("__e", F.explode(F.array_compact(ends))).select(*x.columns, "__e.end", "__e.rank")
+
+
+def differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of one side that the other lacks, with ``side``: one full comparison."""
+    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    g = sides.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r")).where("l <> r")
+    return g.select(key, F.when(F.col("l") == 1, "left").otherwise("right").alias("side"))
+
+
+def fingerprint(facts: DataFrame, owner: str, as_of: str, feature_hash: str, newest: str = "filed") -> DataFrame:
+    """One row: the hash of a data set, over its distinct owners in order, the date it is as of, how
+    many facts it has and the newest, and the features. Owners are hashed apart, in blocks of
+    their prefix, so that no list of all of them is made."""
+    mine = facts.where(F.col(newest) <= F.lit(as_of).cast("date"))
+    names = mine.select(F.col(owner).cast("string").alias("o")).distinct().withColumn("block", F.substring(F.sha2("o", 256), 1, 3))
+    blocks = names.groupBy("block").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("o")), ","), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    whole = blocks.agg(F.sum("n").alias("owners"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "h"))), lambda b: b["h"]), ""), 256).alias("h"))
+    state = mine.agg(F.count(F.lit(1)).alias("facts"), F.max(newest).cast("string").alias("newest"))
+    text = F.concat_ws("|", "h", F.lit(as_of), F.col("facts").cast("string"), "newest", F.lit(feature_hash))
+    return whole.crossJoin(state).select(F.coalesce("owners", F.lit(0)).alias("owners"), "facts", "newest", F.sha2(text, 256).alias("sha256"))  # one row each
+
+
 def assign_sector(stocks: DataFrame, sectors: DataFrame, last: int = 126, least: int = 60) -> DataFrame:
     """By symbol: the sector that correlates most over common dates of the last sessions."""
     def tail(x: DataFrame) -> DataFrame:

@@ -264,3 +264,43 @@ def spend(ledger: DataFrame, month_budget: float, purpose_cap: float) -> DataFra
     month = F.max(F.when(F.col("level") == 1, F.col("cost"))).over(Window.partitionBy("month"))
     x = g.withColumn("remaining", F.when(cap.isNotNull(), F.greatest(cap - F.col("cost"), F.lit(0.0)))).withColumn("__month", month)
     return x.withColumn("allowed", F.when(F.col("level") < 2, (F.col("remaining") > 0) & (F.col("__month") < month_budget))).drop("level", "__month")
+
+
+#: The tags a fact is read from, the first that is there.
+ALIASES = {
+    "assets": ("Assets",), "equity": ("StockholdersEquity",), "revenue": ("RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues"), "net_income": ("NetIncomeLoss",),
+    "operating_income": ("OperatingIncomeLoss",), "operating_cash_flow": ("NetCashProvidedByUsedInOperatingActivities",), "capex": ("PaymentsToAcquirePropertyPlantAndEquipment",),
+    "cash": ("CashAndCashEquivalentsAtCarryingValue",), "debt_current": ("LongTermDebtCurrent", "ShortTermBorrowings"), "debt_noncurrent": ("LongTermDebtNoncurrent",),
+    "shares": ("CommonStockSharesOutstanding", "WeightedAverageNumberOfDilutedSharesOutstanding"), "current_assets": ("AssetsCurrent",), "current_liabilities": ("LiabilitiesCurrent",),
+    "gross_profit": ("GrossProfit",), "eps": ("EarningsPerShareDiluted",),
+}
+
+
+def issuer_facts(facts: DataFrame) -> DataFrame:
+    """By issuer (``cik``): the latest value behind each of ``ALIASES``, and what follows from them:
+    free cash flow, debt, margins, ratios, growth and dilution between the last two annual
+    reports, accruals, the quality of earnings, and how many of all these are known.
+
+    ``facts`` has cik, tag, value, filed, period_end, form: what had been filed by then. The latest
+    is by filing date, then period. What can't be known is null; a division by 0 is unknown. All
+    latest values come out of one aggregation; annual ones are a row a period.
+    """
+    of = lambda tag: F.expr(f"max_by(value, struct(filed, period_end)) FILTER (WHERE tag = '{tag}')")
+    latest = facts.groupBy("cik").agg(*(of(tag).alias(f"__{tag}") for tags in ALIASES.values() for tag in tags))
+    x = latest.select("cik", *(F.coalesce(*(f"__{tag}" for tag in tags)).alias(name) for name, tags in ALIASES.items()))
+    annual = facts.where(F.col("form").isin("10-K", "10-K/A") & F.col("period_end").isNotNull() & F.col("value").isNotNull())
+    years = annual.groupBy("cik", "period_end").agg(*(F.coalesce(*(of(tag) for tag in ALIASES[name])).alias(name) for name in ("revenue", "shares")))
+    series = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("period_end", c))), asc=False)
+    last = years.groupBy("cik").agg(series("revenue").alias("r"), series("shares").alias("s"))
+    change = lambda a, c: F.get(F.col(a), 0)[c] / F.nullif(F.get(F.col(a), 1)[c], F.lit(0.0)) - 1
+    x = x.join(last.select("cik", change("r", "revenue").alias("revenue_growth"), change("s", "shares").alias("dilution_rate")), "cik", "left")
+    part = lambda a, b: F.col(a) / F.nullif(b, F.lit(0.0))
+    x = x.withColumn("free_cash_flow", F.col("operating_cash_flow") - F.abs("capex"))
+    x = x.withColumn("total_debt", F.when(F.col("debt_current").isNotNull() | F.col("debt_noncurrent").isNotNull(), F.coalesce("debt_current", F.lit(0.0)) + F.coalesce("debt_noncurrent", F.lit(0.0))))
+    x = x.withColumns({
+        "equity_to_assets": part("equity", "assets"), "gross_margin": part("gross_profit", "revenue"), "operating_margin": part("operating_income", "revenue"), "net_margin": part("net_income", "revenue"),
+        "current_ratio": part("current_assets", "current_liabilities"), "accrual_ratio": (F.col("net_income") - F.col("operating_cash_flow")) / F.nullif("assets", F.lit(0.0)),
+        "earnings_quality": F.col("operating_cash_flow") / F.nullif(F.abs("net_income"), F.lit(0.0)),
+    })
+    known = F.size(F.array_compact(F.array(*(F.col(c) for c in x.columns if c != "cik"))))
+    return x.withColumn("available_fields", known)

@@ -101,3 +101,31 @@ register(
     f"""WITH {BRAND}, x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars WHERE symbol <> 'ALL')
 SELECT symbol, d, round(close, 6) AS close FROM x WHERE n <= 40 OR list_contains([floor(k * (n - 1) / 39.0)::BIGINT for k in range(40)], i)""",
 )
+
+_X, _Y = ["q50", "q10", "volume"], ["excess5"]
+
+
+def _scaling(spark, d):
+    return rounded(ev.train_scaling(_panel(spark, d), _brands(spark, d)[1], _X, _Y), "mean", "scale")
+
+
+SPLIT = "ds AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM bars WHERE symbol = 'ALL')), tr AS (SELECT d FROM ds WHERE i < floor(n * 0.7) - 22)"
+register(
+    "m7_train_scaling",
+    _scaling,
+    f"""WITH {PANEL}, {SPLIT}, w AS (SELECT pan.*, b.volume FROM pan JOIN bars b ON b.symbol = pan.symbol AND b.d = pan.d WHERE pan.d IN (SELECT d FROM tr))
+{' UNION ALL '.join(f"SELECT '{c}' AS column, round(avg({c}), 6) AS mean, round(stddev_pop({c}) + 1e-6, 6) AS scale FROM w" for c in _X)} UNION ALL SELECT 'excess5', 0, round(greatest(stddev_pop(excess5), 0.005), 6) FROM w""",
+)
+_MEAN = "count(*) AS dates, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(avg({c}) / stddev_samp({c}), 6) AS ratio"
+register(
+    "m11_mean_ic",
+    lambda spark, d: rounded(ev.mean_of_days(ev.rank_ic(_panel(spark, d), "q50", "excess5"), "ic"), "mean", "sd", "ratio"),
+    f"""WITH {PANEL}, ok AS (SELECT *, count(*) OVER (PARTITION BY d) AS n FROM pan WHERE q50 IS NOT NULL AND excess5 IS NOT NULL),
+rk AS (SELECT d, {RANK.format(c='q50')} AS p, {RANK.format(c='excess5')} AS t FROM ok WHERE n >= 8), ic AS (SELECT d, corr(p, t) AS ic FROM rk GROUP BY d) SELECT {_MEAN.format(c='ic')} FROM ic WHERE ic IS NOT NULL AND NOT isnan(ic)""",
+)
+register(
+    "m12_mean_alpha",
+    lambda spark, d: rounded(ev.mean_of_days(ev.top_decile(_panel(spark, d), "q50", "excess5"), "alpha"), "mean", "sd", "ratio"),
+    f"""WITH {PANEL}, ok AS (SELECT * FROM pan WHERE q50 IS NOT NULL AND excess5 IS NOT NULL), c AS (SELECT d, quantile_cont(q50, 0.9) AS cut FROM ok GROUP BY d HAVING count(*) >= 8),
+al AS (SELECT d, avg(excess5) - 0.0016 AS alpha FROM ok JOIN c USING (d) WHERE q50 >= cut - 1e-12 GROUP BY d) SELECT {_MEAN.format(c='alpha')} FROM al""",
+)

@@ -163,3 +163,42 @@ register(
     _promotions,
     f"WITH {EV}, c AS ({CARD.format(by='node')}), s AS (SELECT *, {STATUS} AS status FROM c) SELECT node, n, status, CASE WHEN status = 'experimental' AND n >= 30 AND expectancy > 0 THEN 'probation' WHEN status = 'probation' AND n >= 100 AND profit_factor > 1.2 THEN 'production' END AS proposed FROM s",
 )
+register(
+    "w11_sector_relative",
+    lambda spark, d: rounded(rec.sector_relative(*_both(spark, d)), "sector_return", "relative"),
+    f"""WITH {STOCKS}, {SECTORS}, {RR}, c AS (SELECT s.symbol, s.d, sector, CASE WHEN count(*) OVER w = 60 THEN round(corr(r, x) OVER w, 6) END AS c FROM s JOIN t ON s.d = t.d WINDOW w AS (PARTITION BY symbol, sector ORDER BY s.d ROWS 59 PRECEDING)),
+p AS (SELECT symbol, d, sector, c AS correlation FROM (SELECT *, row_number() OVER (PARTITION BY symbol, d ORDER BY c DESC, sector) AS k FROM c WHERE c IS NOT NULL AND NOT isnan(c)) WHERE k = 1),
+o AS (SELECT symbol, d, close / {lag('close', 21)} - 1 AS own FROM stocks), q AS (SELECT symbol AS sector, d, close / {lag('close', 21)} - 1 AS sr FROM sectors)
+SELECT p.symbol, p.d, p.sector, correlation, round(sr, 6) AS sector_return, round(own - sr, 6) AS relative FROM p JOIN o ON o.symbol = p.symbol AND o.d = p.d LEFT JOIN q ON q.sector = p.sector AND q.d = p.d""",
+)
+register(
+    "k1_both_ends",
+    lambda spark, d: rec.both_ends(fx.trades(spark, d).select("exit_date", "id", F.round("pnl", 4).alias("pnl")), ["exit_date"], "pnl", "id", 3),
+    f"""WITH {T}, x AS (SELECT exit_date, id, round(pnl, 4) AS pnl FROM trades), y AS (SELECT *, row_number() OVER (PARTITION BY exit_date ORDER BY pnl DESC, id) AS t, row_number() OVER (PARTITION BY exit_date ORDER BY pnl, id DESC) AS b FROM x)
+SELECT exit_date, id, pnl, 'top' AS "end", t AS rank FROM y WHERE t <= 3 UNION ALL SELECT exit_date, id, pnl, 'bottom', b FROM y WHERE b <= 3""",
+)
+register(
+    "k6_both_differences",
+    lambda spark, d: rec.differences(_three(spark, d)[2], _three(spark, d)[1], "id"),
+    f"""WITH {T}, a AS (SELECT DISTINCT id FROM trades WHERE horizon_days < 5), b AS (SELECT DISTINCT id FROM trades WHERE score > 0.9)
+SELECT id, 'left' AS side FROM (SELECT id FROM a EXCEPT SELECT id FROM b) UNION ALL SELECT id, 'right' FROM (SELECT id FROM b EXCEPT SELECT id FROM a)""",
+)
+register(
+    "m27_whole_fingerprint",
+    lambda spark, d: rec.fingerprint(fx.filing_facts(spark, d), "cik", "1997-06-30", "features-1"),
+    f"""WITH {FACTS}, m AS (SELECT * FROM facts WHERE filed <= DATE '1997-06-30'), o AS (SELECT DISTINCT cik::VARCHAR AS o FROM m), b AS (SELECT left(sha256(o), 3) AS block, sha256(string_agg(o, ',' ORDER BY o)) AS h, count(*) AS n FROM o GROUP BY 1),
+w AS (SELECT sum(n)::BIGINT AS owners, sha256(string_agg(h, '' ORDER BY block)) AS h FROM b), s AS (SELECT count(*) AS facts, max(filed)::DATE::VARCHAR AS newest FROM m)
+SELECT owners, facts, newest, sha256(w.h || '|1997-06-30|' || facts || '|' || newest || '|features-1') AS sha256 FROM w, s""",
+)
+register(
+    "j9_approvals_with_orders",
+    # approvals: orders that wait (status P), with each of their lines
+    lambda spark, d: fx.table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("approval"), "o_orderdate").join(fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("approval"), "l_linenumber", "l_quantity"), "approval").select("approval", F.to_date("o_orderdate").alias("asked"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty")),
+    "SELECT o_orderkey AS approval, o_orderdate::DATE AS asked, l_linenumber AS line, l_quantity AS qty FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'",
+)
+register(
+    "j10_without_membership",
+    # documents that no label covers
+    lambda spark, d: fx.table(spark, d, "documents").select("doc_id").join(fx.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti"),
+    "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
+)

@@ -138,3 +138,21 @@ register(
     lambda spark, d: rounded(_fused(spark, d), *FUSED_COLS, digits=9),
     f"WITH {FUSED} SELECT as_of, symbol, {', '.join(f'round({c}, 9) AS {c}' for c in FUSED_COLS)}, round(hz)::INT AS horizon_days FROM fused",
 )
+
+#: Bars that climb, with five sessions of falling prices in every sixty-four: reversals occur.
+_DIP = "(1 + 0.0012 * k) * CASE WHEN k % 64 BETWEEN 50 AND 54 THEN 1 - 0.014 * (k % 64 - 49) WHEN k % 64 BETWEEN 55 AND 62 THEN 1 - 0.00875 * (63 - k % 64) ELSE 1 END"
+_SHAPED = ("open", "high", "low", "close")
+
+
+def _dipping(spark, d):
+    k = fx.bars(spark, d).withColumn("k", F.row_number().over(ind.by_date()))
+    return k.withColumns({c: F.when(F.col("symbol") == fx.BENCHMARK, F.col(c)).otherwise((1000 + F.col(c)) * F.expr(_DIP)) for c in _SHAPED}).drop("k")
+
+
+register(
+    "sg2_reversal_dips",
+    lambda spark, d: signals.shown(signals.price_signals(_dipping(spark, d)).where(F.col("node_id") == "reversal")),
+    "WITH " + SIGNALS.replace("bars AS (", "bars0 AS (", 1).replace(",\np1 AS (", f""",
+bars AS (SELECT symbol, d, {', '.join(f"CASE WHEN symbol = 'ALL' THEN {c} ELSE (1000 + {c}) * {_DIP} END AS {c}" for c in _SHAPED)}, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) AS k FROM bars0)),
+p1 AS (""", 1) + " SELECT * FROM sig WHERE node_id = 'reversal'",
+)

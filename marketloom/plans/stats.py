@@ -158,3 +158,42 @@ register(
     lambda spark, d: fx.trades(spark, d).groupBy("source").agg(F.count_distinct("symbol").alias("symbols"), F.count_distinct("exit_date").alias("sessions"), F.count_distinct("regime").alias("regimes")),
     f"WITH {T} SELECT source, count(DISTINCT symbol) AS symbols, count(DISTINCT exit_date) AS sessions, count(DISTINCT regime) AS regimes FROM trades GROUP BY 1",
 )
+
+
+_TAGS = [tag for tags in stats.ALIASES.values() for tag in tags]
+_RATIOS = ["revenue_growth", "dilution_rate", "equity_to_assets", "gross_margin", "operating_margin", "net_margin", "current_ratio", "accrual_ratio", "earnings_quality"]
+_SUMS = [*stats.ALIASES, "free_cash_flow", "total_debt"]
+
+
+def _tagged(spark, d):
+    """Facts of customers: an order's tag by its key, its value gained or lost, by year."""
+    o = fx.table(spark, d, "orders")
+    tag = F.array(*map(F.lit, _TAGS))[(F.col("o_orderkey") % len(_TAGS)).cast("int")]
+    value = F.when(F.col("o_orderstatus") == "P", 0.0).otherwise(F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(1) * F.col("o_totalprice"))
+    end = F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31))
+    g = o.groupBy((F.col("o_custkey") % 400).alias("cik"), tag.alias("tag"), end.alias("period_end")).agg(F.sum(value).alias("value"))
+    return g.select("*", F.date_add("period_end", F.when(F.length("tag") % 2 == 0, 45).otherwise(80)).alias("filed"), F.when(F.year("period_end") % 4 == 0, "10-Q").otherwise("10-K").alias("form"))
+
+
+def _latest_sql(tag: str) -> str:
+    return f"max_by(value, (filed, period_end)) FILTER (WHERE tag = '{tag}')"
+
+
+def _first_sql(name: str) -> str:
+    return f"coalesce({', '.join(_latest_sql(t) for t in stats.ALIASES[name])})"
+
+
+register(
+    "a17_issuer_facts",
+    lambda spark, d: rounded(rounded(stats.issuer_facts(_tagged(spark, d)), *_SUMS, digits=2), *_RATIOS),
+    f"""WITH t AS (SELECT o_custkey % 400 AS cik, [{', '.join(repr(t) for t in _TAGS)}][o_orderkey % {len(_TAGS)} + 1] AS tag, make_date(year(o_orderdate), 12, 31) AS period_end,
+  CASE WHEN o_orderstatus = 'P' THEN 0 ELSE CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END * o_totalprice END AS v FROM orders),
+f AS (SELECT cik, tag, period_end, sum(v) AS value, period_end + CASE WHEN length(tag) % 2 = 0 THEN 45 ELSE 80 END AS filed, CASE WHEN year(period_end) % 4 = 0 THEN '10-Q' ELSE '10-K' END AS form FROM t GROUP BY 1, 2, 3),
+l AS (SELECT cik, {', '.join(f'{_first_sql(n)} AS {n}' for n in stats.ALIASES)} FROM f GROUP BY 1),
+y AS (SELECT cik, period_end, {_first_sql('revenue')} AS r, {_first_sql('shares')} AS s FROM f WHERE form = '10-K' GROUP BY 1, 2),
+z AS (SELECT cik, list(r ORDER BY period_end DESC) FILTER (WHERE r IS NOT NULL) AS rs, list(s ORDER BY period_end DESC) FILTER (WHERE s IS NOT NULL) AS ss FROM y GROUP BY 1),
+a AS (SELECT l.*, rs[1] / nullif(rs[2], 0) - 1 AS revenue_growth, ss[1] / nullif(ss[2], 0) - 1 AS dilution_rate, operating_cash_flow - abs(capex) AS free_cash_flow, CASE WHEN debt_current IS NOT NULL OR debt_noncurrent IS NOT NULL THEN coalesce(debt_current, 0) + coalesce(debt_noncurrent, 0) END AS total_debt,
+  equity / nullif(assets, 0) AS equity_to_assets, gross_profit / nullif(revenue, 0) AS gross_margin, operating_income / nullif(revenue, 0) AS operating_margin, net_income / nullif(revenue, 0) AS net_margin, current_assets / nullif(current_liabilities, 0) AS current_ratio,
+  (net_income - operating_cash_flow) / nullif(assets, 0) AS accrual_ratio, operating_cash_flow / nullif(abs(net_income), 0) AS earnings_quality FROM l LEFT JOIN z USING (cik))
+SELECT cik, {', '.join(f'round({c}, 2) AS {c}' for c in _SUMS)}, {', '.join(f'round({c}, 6) AS {c}' for c in _RATIOS)}, ({' + '.join(f'({c} IS NOT NULL)::INT' for c in [*_SUMS, *_RATIOS])})::INT AS available_fields FROM a""",
+)

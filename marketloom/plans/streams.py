@@ -88,6 +88,25 @@ z AS (SELECT mode, out FROM r WHERE out[1] IS NOT NULL UNION ALL
 SELECT mode, make_timestamp(out[1]) AS tripped_at, out[2] AS rejected, make_timestamp(out[3]) AS cleared_at, CASE out[4] WHEN 0 THEN 'cooldown' ELSE 'manual' END AS how FROM z""",
 )
 register("st2_fresh_orders", lambda spark, d: streams.append_available(streams.fresh_orders(_orders(spark, d)).select("symbol", "side", "mode", F.col("ts").alias("ts")), "st2").select("symbol", "side", "mode").distinct(), f"WITH {OE} SELECT DISTINCT symbol, side, mode FROM oe WHERE status NOT IN ('rejected', 'cancelled')")
+def _cooldown(spark, d):
+    """Live orders in order of time, in several batches: the first of an hour by what they do."""
+    o = _orders_table(spark, d)
+    return streams.append_available(stateful.once_within(stateful.arriving(o, "ts", 0, "st2-in"), "what", "ts", 1 / 24, "1 minute"), "st2")
+
+
+def _orders_table(spark, d):
+    alive = fx.order_events(spark, d).where("status not in ('rejected', 'cancelled')")
+    return alive.select(F.concat_ws("/", "symbol", "side", "mode").alias("what"), "ts")
+
+
+register(
+    "st2_cooldown_rows",
+    _cooldown,
+    f"""WITH RECURSIVE {OE}, e AS (SELECT symbol || '/' || side || '/' || mode AS what, ts, row_number() OVER (PARTITION BY symbol, side, mode ORDER BY ts) AS k FROM oe WHERE status NOT IN ('rejected', 'cancelled')),
+r(what, k, ts, first, kept) AS (SELECT what, k, ts, ts, true FROM e WHERE k = 1
+  UNION ALL SELECT e.what, e.k, e.ts, CASE WHEN e.ts - r.first >= INTERVAL 1 HOUR THEN e.ts ELSE r.first END, e.ts - r.first >= INTERVAL 1 HOUR FROM r JOIN e ON e.what = r.what AND e.k = r.k + 1)
+SELECT what, ts FROM r WHERE kept""",
+)
 register(
     "st3_latest_bars",
     lambda spark, d: rounded(streams.run_available(streams.latest_bars(_orders(spark, d)), "st3", ["symbol", "day"]), "close", digits=4),

@@ -37,7 +37,7 @@ def arriving(rows: DataFrame, at: str, late_minutes: int, label: str, batches: i
     ``late_minutes`` after its ``at``, by a hash of its content."""
     spark = rows.sparkSession
     path = shared_path(spark, label)
-    delay = F.pmod(F.xxhash64(*rows.columns), F.lit(late_minutes * 60_000_000))
+    delay = F.pmod(F.xxhash64(*rows.columns), F.lit(late_minutes * 60_000_000 + 1))
     x = rows.withColumn("__arrival", F.unix_micros(at) + delay)
     edges = x.agg(F.percentile_approx("__arrival", [k / batches for k in range(1, batches)], F.lit(1000)).alias("e")).first().e or []
     for k, (low, high) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
@@ -184,10 +184,11 @@ def rejection_switches(orders: DataFrame, most: int = 5, cooldown_minutes: int =
     return in_order(orders, "mode", "ts", "clears", delay, RejectionSwitch(most, cooldown_minutes * 60_000_000), "mode string, tripped_at timestamp, rejected long, cleared_at timestamp, how string")
 
 
-def once_within(rows: DataFrame, key: str, at: str, days: int, delay: str) -> DataFrame:
+def once_within(rows: DataFrame, key: str, at: str, days: float, delay: str) -> DataFrame:
     """``key`` and ``at`` of rows whose key was not let through in the ``days`` before. A key's
-    state is one time; it goes when the watermark is ``days`` past it."""
-    span = days * DAY
+    state is one time; it goes when the watermark is ``days`` past it. Rows of a key have to come
+    in order, up to those of one batch."""
+    span = round(days * DAY)
 
     def keep(k, pdfs, state):
         first = state.get[0] if state.exists else None
