@@ -2,12 +2,17 @@
 
 ``spark.checkpoint.dir`` names that folder on a cluster. Where the setting is empty, as in
 tests, a folder under the warehouse directory is used and the setting is filled in.
+
+Results are lazy, so what they read stays until the application ends; then, or by ``clear``, all
+folders that it made are removed.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,9 +25,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+def clear() -> None:
+    """Remove every folder that ``new_path`` named and that is still there. What was computed
+    lazily from them can't be read after that."""
+    while _MADE:
+        remove(*_MADE.pop())
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    try:
+        clear()
+    except (Py4JError, OSError):  # the session's gateway is gone before
+        _MADE.clear()
 
 
 #: Step tables of narrow rows are read in partitions of about so many rows.
