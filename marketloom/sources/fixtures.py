@@ -6,8 +6,10 @@ columns stay unrounded; outputs round once.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that all executors share."""
+    """A fresh path in the folder that all executors share, removed when the application ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+def clear() -> None:
+    """Remove every folder that ``shared_path`` named; lazy results that read one are lost."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    try:
+        clear()
+    except (Py4JError, OSError):  # the session's gateway is gone before
+        _MADE.clear()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
