@@ -148,6 +148,7 @@ class Facts:
         yield from read_facts(body, wanted)
 
 
+#: Fixed value: the headings of a filing that count.
 _HEADING = re.compile(r"\bitem\s+(1a|1b|1c|1|2|3|7a|7|8)\s*[.:-]", re.I | re.A)
 _OPEN = re.compile(r"<(script|style)", re.I)
 _TAG = re.compile(r"<[^>]+>")

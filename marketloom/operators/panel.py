@@ -102,8 +102,8 @@ def linear(weights: list[float], features: list[str]) -> Column:
 
 def apply_calibration(x: DataFrame, offsets: DataFrame, *by: str) -> DataFrame:
     """Quantiles moved by their offsets and put in order; the logit of the probability moved by
-    ``shift``. The offsets have a row a key."""
-    y = x.join(F.broadcast(offsets), list(by), "left").fillna(0.0, ["off10", "off50", "off90", "shift"])
+    ``shift``. The offsets have a row a key; Spark broadcasts them if they are few."""
+    y = x.join(offsets, list(by), "left").fillna(0.0, ["off10", "off50", "off90", "shift"])
     q = F.array_sort(F.array(F.col("q50") + F.col("off10"), F.col("q50") + F.col("off50"), F.col("q50") + F.col("off90")))
     p = clamp(F.col("p"), 1e-6, 1 - 1e-6)
     return y.withColumns({"q10": q[0], "q50": q[1], "q90": q[2], "p": 1 / (1 + F.exp(-(F.log(p / (1 - p)) + F.col("shift"))))}).drop("off10", "off50", "off90", "shift")

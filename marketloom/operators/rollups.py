@@ -15,7 +15,7 @@ from marketloom.operators.stats import SHRINK_N
 #: Resamples and the interval's ends; severities, the mildest first; caps of a catalogue; shares of a rank.
 RESAMPLES, ENDS = 500, (0.10, 0.90)
 SEVERITIES = ("ok", "degraded", "stale", "error")
-CATALOG_FACTS, CATALOG_BARS, CATALOG_NEWS, CATALOG_CHARS = 200, 65, 12, 12_000
+CATALOG = {"most_facts": 200, "most_bars": 65, "most_news": 12, "most_chars": 12_000}
 ALPHA_SHARE, LIQUIDITY_SHARE, MANDATE_CAP = 0.9, 0.1, 0.15
 SCHEMA = "dossier.1"
 #: Hex digits of a hash that name a row's block: 4,096 blocks a group.
@@ -129,26 +129,32 @@ def node_summary(trades: DataFrame, priors: dict[str, float], bad: float) -> Dat
     return run.select("node", "as_of", F.col("n").alias("n_trades"), F.when(some, mean).alias("expectancy"), F.when(some, F.col("wins") / F.col("n")).alias("win_rate"), "signals_7d", "last_bad", (F.coalesce(prior, F.lit(0.0)) * learned).alias("effective_weight"))
 
 
-def source_catalog(sections: DataFrame, facts: DataFrame, news: DataFrame, bars: DataFrame) -> DataFrame:
+def source_catalog(sections: DataFrame, facts: DataFrame, news: DataFrame, bars: DataFrame, most_facts: int | None = None, most_news: int | None = None, most_bars: int | None = None, most_chars: int | None = None) -> DataFrame:
     """A row for each source that a symbol's memos may cite: ``symbol, source_id, kind, at, text``.
 
-    Sections (``symbol, accession, section, filed, body``), the latest 200 facts (``symbol,
-    accession, tag, period_end, filed, value``), 12 headlines (``symbol, news_id, published,
-    title``) and 65 bars. These counts and 12,000 characters a text are what a catalogue is; ties go by id. An id stands once a symbol, in its latest form.
+    Sections (``symbol, accession, section, filed, body``), facts (``symbol, accession, tag,
+    period_end, filed, value``), headlines (``symbol, news_id, published, title``) and bars. A
+    catalogue for a memo has the latest 200 facts, 12 headlines and 65 bars and 12,000
+    characters a text (``CATALOG``); without these limits nothing is left out. Ties go by id. An
+    id stands once a symbol, in its latest form.
     """
 
-    def last(df: DataFrame, n: int) -> DataFrame:
+    cut = lambda c: F.col(c) if most_chars is None else F.substring(c, 1, most_chars)
+
+    def last(df: DataFrame, n: int | None) -> DataFrame:
+        if n is None:
+            return df
         w = Window.partitionBy("symbol").orderBy(F.desc("at"), "source_id", "text")
         return df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
 
     def once(df: DataFrame) -> DataFrame:
         return df.groupBy("symbol", "source_id", "kind").agg(F.max(F.struct("at", "text")).alias("l")).select("symbol", "source_id", "kind", "l.*")
 
-    s = sections.select("symbol", F.concat_ws(":", F.lit("SEC"), "accession", "section").alias("source_id"), F.lit("filing_section").alias("kind"), F.to_date("filed").alias("at"), F.substring("body", 1, CATALOG_CHARS).alias("text"))
+    s = sections.select("symbol", F.concat_ws(":", F.lit("SEC"), "accession", "section").alias("source_id"), F.lit("filing_section").alias("kind"), F.to_date("filed").alias("at"), cut("body").alias("text"))
     f = facts.select("symbol", F.concat_ws(":", F.lit("FACT"), "accession", "tag").alias("source_id"), F.lit("sec_fact").alias("kind"), F.to_date("filed").alias("at"), F.concat_ws(" ", F.col("period_end").cast("string"), F.format_string("%.2f", "value")).alias("text"))
-    h = news.select("symbol", F.concat_ws(":", F.lit("NEWS"), "news_id").alias("source_id"), F.lit("company_news").alias("kind"), F.to_date("published").alias("at"), F.substring("title", 1, CATALOG_CHARS).alias("text"))
+    h = news.select("symbol", F.concat_ws(":", F.lit("NEWS"), "news_id").alias("source_id"), F.lit("company_news").alias("kind"), F.to_date("published").alias("at"), cut("title").alias("text"))
     b = bars.select("symbol", F.concat_ws(":", F.lit("BAR"), F.col("d").cast("string")).alias("source_id"), F.lit("bar").alias("kind"), F.col("d").alias("at"), F.format_string("%.4f", "close").alias("text"))
-    return once(s).unionByName(last(once(f), CATALOG_FACTS)).unionByName(last(once(h), CATALOG_NEWS)).unionByName(last(once(b), CATALOG_BARS))
+    return once(s).unionByName(last(once(f), most_facts)).unionByName(last(once(h), most_news)).unionByName(last(once(b), most_bars))
 
 
 def discovery_ranking(signals: DataFrame, priors: dict[str, float], metrics: DataFrame, mandates: DataFrame) -> DataFrame:

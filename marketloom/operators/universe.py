@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import html
+import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-#: Listing names and symbols that count, filing headings, sizes of the tiers.
+from marketloom.functions.tables import Sections
+
+#: Listing names and symbols that count, sizes of the tiers.
 BAD_NAME = r"(?i)\b(warrants?|rights?|units?|preferred|preference|beneficial interest)\b"
 ADR_NAME = r"(?i)\b(ADR|ADS|depositary)\b"
 SYMBOL = "^[A-Z][A-Z0-9.-]{0,9}$"
-HEADING = r"(?i)\bitem\s+(1a|1b|1c|1|2|3|7a|7|8)\s*[.:-]"
 MIN_PRICE, RESEARCH_DOLLARS, TRADE_DOLLARS = 5.0, 1e7, 5e7
 MIN_HISTORY, RESEARCH_SIZE, ACTIVE_SIZE = 260, 1500, 250
 
@@ -120,33 +121,32 @@ def coverage(instruments: DataFrame, facts: DataFrame) -> DataFrame:
     return x.agg(F.count(F.lit(1)).alias("issuers"), F.count("has").alias("with_facts")).withColumn("share", F.col("with_facts") / F.col("issuers"))
 
 
-@F.pandas_udf(StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
-
-
-def plain_text(body: Column) -> Column:
-    """HTML without scripts, styles and tags; entities resolved, white space collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(body, r"(?is)<(script|style).*?>.*?</\1>", " "), r"(?s)<[^>]+>", " ")
-    return F.trim(F.regexp_replace(_unescape(bare), r"[\s ]+", " "))
-
-
 def filing_sections(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most_chars: int | None = None) -> DataFrame:
     """A row for each item of a filing: the longest text under one of its headings (contents
     pages repeat them); ``document`` if there is no heading. ``most_chars`` cuts the result.
 
-    A null page counts as empty. Of equally long texts the first in the document stays.
+    A null page counts as empty. Of equally long texts the first in the document stays. A page is
+    read once, in Arrow batches, in time linear in its length (``functions.tables.Sections``);
+    entities are far too many for column functions.
     """
-    x = pages.select(id_col, plain_text(F.coalesce(html_col, F.lit(""))).alias("t"))
-    cut = F.split("t", f"(?={HEADING})")
-    x = x.select(id_col, "t", F.posexplode(cut).alias("p", "part")).withColumn("name", F.lower(F.regexp_extract("part", f"^{HEADING}", 1)))
-    x = x.withColumn("body", F.col("part"))
-    best = x.groupBy(id_col, "name").agg(F.max_by("body", F.struct(F.char_length("body"), -F.col("p"))).alias("body"), F.max("t").alias("t"))
-    none = F.max(F.when(F.col("name") != "", 1).otherwise(0)).over(Window.partitionBy(id_col)) == 0
-    best = best.withColumn("none", none).where("none or name <> ''")
-    body = F.when(F.col("none"), F.col("t")).otherwise(F.col("body"))
-    body = body if most_chars is None else F.substring(body, 1, most_chars)
-    return best.select(id_col, F.when(F.col("none"), "document").otherwise(F.concat(F.lit("item_"), "name")).alias("section"), body.alias("body"), F.sha2(body, 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = Sections()
+        for batch in batches:
+            for k, page in enumerate(batch.column(1).to_pylist()):  # one page's sections at a time
+                names, bodies, hashes = [], [], []
+                for name, body, digest in one.eval(page):
+                    if most_chars is not None:
+                        body = body[:most_chars]
+                        digest = hashlib.sha256(body.encode()).hexdigest()
+                    names.append(name)
+                    bodies.append(body)
+                    hashes.append(digest)
+                ids = batch.column(0).take(pa.array([k] * len(names)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(names), pa.array(bodies), pa.array(hashes)], [id_col, "section", "body", "sha256"])
+
+    x = pages.select(F.col(id_col), F.col(html_col).cast("string").alias("__html"))
+    return x.mapInArrow(run, f"{id_col} {x.schema[id_col].dataType.simpleString()}, section string, body string, sha256 string")
 
 
 def liquidity(bars: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def _sources(spark, d):
     sections = n.where("source = 'src1'").select("symbol", F.col("doc_id").alias("accession"), F.lit("document").alias("section"), F.col("published_at").alias("filed"), "body")
     heads = n.where("source is null or source <> 'src1'").select("symbol", F.col("doc_id").alias("news_id"), F.col("published_at").alias("published"), "title")
     facts = fx.statements(spark, d).select(_brand("cik").alias("symbol"), F.concat_ws("-", "cik", F.year("period_end")).alias("accession"), "tag", "period_end", "filed", "value")
-    return roll.source_catalog(sections, facts, heads, fx.bars(spark, d, "p_brand", False).withColumn("close", F.round("close", 4)))
+    return roll.source_catalog(sections, facts, heads, fx.bars(spark, d, "p_brand", False).withColumn("close", F.round("close", 4)), **roll.CATALOG)
 
 
 register(
