@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import ROUND_TRIP, horizon_bucket, normal_cdf, score_bucket
+from marketloom.sources.fixtures import stored
 
 #: Trades that weight learning starts from, and how strongly it shrinks.
 MIN_TRADES, MIN_CELL = 50, 30
@@ -145,14 +148,15 @@ def pair_statistics(returns: DataFrame, holdings: DataFrame, last: int = 120, le
 
 
 #: Children of a bucket, and rows that are read one by one.
-FAN, EXACT_ROWS = 64, 4096
+FAN, EXACT_ROWS = 32, 256
 
 
-def _narrowed(trades: DataFrame, asks: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides one level further: each bucket (``node``) of returns is cut into ``FAN`` by its
-    own quantiles, and each ask goes to the child that holds its rank ``k``.
+def _narrowed(trades: DataFrame, asks: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides one level further, and the asks that are answered: each bucket (``node``) of
+    returns is cut into ``FAN`` by its own quantiles, and each ask goes to the child that holds
+    its rank ``k``; a child of one return is the answer.
 
-    The trades of a child are counted by date and run up once, all asks of a child taking their
+    The trades of a child are counted by date and run up once, all asks of a bucket taking their
     place in that order; so a hot cell is spread over its children, and costs its dates.
     """
     node = [*cell, "node"]
@@ -160,37 +164,44 @@ def _narrowed(trades: DataFrame, asks: DataFrame, cell: list[str]) -> tuple[Data
     edges = mine.groupBy(*node).agg(F.percentile_approx("ret", [i / FAN for i in range(1, FAN)], F.lit(1000)).alias("edges"))
     child = F.size(F.filter("edges", lambda e: e < F.col("ret")))
     t = mine.join(edges, node).withColumn("child", child).drop("edges")
-    days = t.groupBy(*node, "child", "at").agg(F.sum("c").alias("c"), F.lit(1).alias("side"))
+    days = t.groupBy(*node, "child", "at").agg(F.sum("c").alias("c"), F.min("ret").alias("lo"), F.max("ret").alias("hi"), F.lit(1).alias("side"))
     places = asks.select(*node, F.col("as_of").alias("at")).distinct().select("*", F.lit(0).alias("side"), F.lit(0).cast("long").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("child"))
     w = Window.partitionBy(*node, "child").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = days.unionByName(places).withColumn("c", F.sum("c").over(w)).where("side = 0").withColumnRenamed("at", "as_of")
+    seen = days.unionByName(places, allowMissingColumns=True).withColumns({"c": F.sum("c").over(w), "lo": F.min("lo").over(w), "hi": F.max("hi").over(w)}).where("side = 0 and c > 0").withColumnRenamed("at", "as_of")
     up = Window.partitionBy(*node, "as_of").orderBy("child").rowsBetween(Window.unboundedPreceding, 0)
-    seen = seen.withColumn("upto", F.sum("c").over(up)).where("c > 0").drop("side")
-    picked = asks.join(seen, [*node, "as_of"]).where("k < upto and k >= upto - c")
+    seen = seen.withColumn("upto", F.sum("c").over(up)).drop("side")
+    picked = stored(asks.join(seen, [*node, "as_of"]).where("k < upto and k >= upto - c"), "analog-picked")  # a row an ask
     below = (F.col("node") * FAN + F.col("child")).alias("node")
-    return t.select(*cell, "at", "ret", "c", below), picked.select(*cell, "as_of", "share", (F.col("k") - F.col("upto") + F.col("c")).alias("k"), below)
+    left = picked.where("lo < hi").select(*cell, "as_of", "share", (F.col("k") - F.col("upto") + F.col("c")).alias("k"), below)
+    return t.select(*cell, "at", "ret", "c", below), left, picked.where("lo = hi").select(*cell, "as_of", "share", F.col("lo").alias("ret"))
 
 
 def analog_quantiles(trades: DataFrame, queries: DataFrame, cell: list[str], shares: tuple[float, ...] = (0.10, 0.90), exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """Lower-index order statistics of the returns (``ret``) of a cell that were closed (``at``)
-    before ``as_of``; ``queries`` has the cell, ``as_of`` and ``n``, how many those are.
+    """Lower-index order statistics of the returns (``ret``, ``c`` times) of a cell that were closed
+    (``at``) before ``as_of``; ``queries`` has the cell, ``as_of`` and ``n``, how many those are.
 
     Counts by bucket of return and date, run up by date, name the bucket that holds a query's
-    rank; it is cut further until its rows are few, and only those are put in order. The work is
-    levels x (trades + queries), not their product.
+    rank; it is cut further until it holds one return or few rows, and only those are put in
+    order. The work is levels x (trades + queries), not their product.
     """
-    t = trades.groupBy(*cell, "at", "ret").agg(F.count(F.lit(1)).alias("c")).withColumn("node", F.lit(0).cast("long"))
+    t = trades.select(*cell, "at", "ret", "c", F.lit(0).cast("long").alias("node"))
     asks = queries.select(*cell, "as_of", F.explode(F.array(*map(F.lit, shares))).alias("share"), "n")
     asks = asks.select(*cell, "as_of", "share", F.floor(F.col("n") * F.col("share")).alias("k"), F.lit(0).cast("long").alias("node"))
-    largest = t.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0
+    largest, found = trades.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0, []
     while largest > exact_rows:
-        t, asks = _narrowed(t, asks, cell)
+        t, asks, done = _narrowed(t, asks, cell)
+        found.append(done)
+        if asks.isEmpty():
+            break
         largest //= FAN
-    node = [*cell, "node"]
-    rows = asks.join(t, node).where("at < as_of").groupBy(*cell, "as_of", "share", "k", "ret").agg(F.sum("c").alias("c"))
-    up = Window.partitionBy(*cell, "as_of", "share").orderBy("ret").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("run", F.sum("c").over(up)).where("run > k")
-    return rows.groupBy(*cell, "as_of").agg(*(F.min(F.when(F.col("share") == s, F.col("ret"))).alias(f"q{int(s * 100)}") for s in shares))
+    else:
+        node = [*cell, "node"]
+        rows = asks.join(t, node).where("at < as_of").groupBy(*cell, "as_of", "share", "k", "ret").agg(F.sum("c").alias("c"))
+        up = Window.partitionBy(*cell, "as_of", "share").orderBy("ret").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("run", F.sum("c").over(up)).where("run > k")
+        found.append(rows.groupBy(*cell, "as_of", "share").agg(F.min("ret").alias("ret")))
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy(*cell, "as_of").agg(*(F.min(F.when(F.col("share") == s, F.col("ret"))).alias(f"q{int(s * 100)}") for s in shares))
 
 
 #: What makes trades comparable: buckets of score and horizon, regime, kind of asset, evidence.
@@ -211,11 +222,13 @@ def analog_intervals(trades: DataFrame, queries: DataFrame, min_n: int = 25, sou
     known_ = lambda df: df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cell})
     t = trades.where("qualified").where(F.col("source").isin(*sources))
     t = known_(t.select(score_bucket(F.col("score")).alias("bucket"), "regime", horizon_bucket(F.col("horizon_days")).alias("horizon"), F.col("asset_type").alias("asset"), F.col("evidence_version").alias("evidence"), F.col("exit_date").alias("at"), "ret")).where("ret is not null")
-    days = t.groupBy(*cell, "at").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("s"), F.sum((F.col("ret") > 0).cast("long")).alias("w"))
+    t = stored(t.groupBy(*cell, "at", "ret").agg(F.count(F.lit(1)).alias("c")), "analog-trades")
+    days = t.groupBy(*cell, "at").agg(F.sum("c").alias("n"), F.sum(F.col("ret") * F.col("c")).alias("s"), F.sum(F.when(F.col("ret") > 0, F.col("c")).otherwise(0)).alias("w"))
     a = days.select(*cell, "at", F.lit(1).alias("side"), "n", "s", "w")
     b = known_(queries.select(*cell, F.col("as_of").alias("at"), "expected", F.lit(0).alias("side"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("w")))
     w = Window.partitionBy(*cell).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     run = a.unionByName(b, allowMissingColumns=True).select(*cell, "at", "side", "expected", *(F.sum(c).over(w).alias(c) for c in ("n", "s", "w"))).where("side = 0").withColumnRenamed("at", "as_of")
+    run = stored(run, "analog-run")  # a row a query
     spread = analog_quantiles(t, run.where(F.col("n") >= min_n).select(*cell, "as_of", "n").distinct(), cell)
     x = run.join(spread, [*cell, "as_of"], "left").withColumns({c: F.nullif(c, F.lit("\x00")) for c in cell})
     known, e = F.col("n") >= min_n, F.col("expected")

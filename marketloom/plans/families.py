@@ -46,8 +46,8 @@ for _name, _spec in VOTES.items():
 
 def _world(spark, d):
     """Grid with regimes, the panel of what was known, price signals, multipliers."""
-    bars = fx.stored(fx.bars(spark, d), "bars")
-    regime = fusion.regimes(bars, fx.bars(spark, d, "p_brand", False), RISKY, SAFE).select(F.col("d").alias("as_of"), "regime")
+    bars, brands = fx.types_and_brands(spark, d)
+    regime = fusion.regimes(bars, brands, RISKY, SAFE).select(F.col("d").alias("as_of"), "regime")
     rows = bars.where(F.col("symbol") != fx.BENCHMARK).select(F.col("d").alias("as_of"), "symbol", (F.col("symbol") == "PROMO").alias("is_fund"))
     grid = fx.stored(rows.join(F.broadcast(regime), "as_of", "left"), "family-grid")  # a row a session
     months = bars.where(F.col("symbol") != fx.BENCHMARK).groupBy("symbol", F.add_months(F.trunc("d", "month"), 1).alias("at")).agg(F.sum("volume").cast("long").alias("v"), F.count(F.lit(1)).alias("n"))

@@ -94,7 +94,7 @@ rg AS (SELECT *, CASE WHEN coalesce(v21 >= 28, false) OR ((coalesce(slope_9d_3m
 
 
 def _regimes(spark, d):
-    return fusion.regimes(fx.bars(spark, d), fx.bars(spark, d, "p_brand", False), RISKY, SAFE)
+    return fusion.regimes(*fx.types_and_brands(spark, d), RISKY, SAFE)
 
 
 register(
@@ -106,10 +106,10 @@ register(
 
 def _fused(spark, d):
     # Read for the grid, the signals and the regimes: written once.
-    bars = fx.stored(fx.bars(spark, d), "bars")
+    bars, brands = fx.types_and_brands(spark, d)
     grid = bars.where(F.col("symbol") != fx.BENCHMARK).select(F.col("d").alias("as_of"), "symbol", F.row_number().over(ind.by_date()).alias("n_bars"))
     s = signals.price_signals(bars)
-    every = s.unionByName(fusion.macro_signals(fusion.regimes(bars, fx.bars(spark, d, "p_brand", False), RISKY, SAFE), grid.select("as_of", "symbol")), allowMissingColumns=True)
+    every = s.unionByName(fusion.macro_signals(fusion.regimes(bars, brands, RISKY, SAFE), grid.select("as_of", "symbol")), allowMissingColumns=True)
     return fusion.fuse(every, grid)
 
 

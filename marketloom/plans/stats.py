@@ -78,7 +78,7 @@ KEPT_SQL = KEPT.replace("[1]", "[2]").replace("[0]", "[1]")
 
 
 def _analogs(spark, d):
-    t = fx.stored(fx.trades(spark, d).selectExpr("score", "regime", "horizon_days", "entry_date", "exit_date", "ret", "source", *KEPT.split(", ")), "analog-trades")
+    t = fx.trades(spark, d).selectExpr("score", "regime", "horizon_days", "entry_date", "exit_date", "ret", "source", *KEPT.split(", "))
     q = t.select(stats.score_bucket(F.col("score")).alias("bucket"), "regime", stats.horizon_bucket(F.col("horizon_days")).alias("horizon"), F.col("asset_type").alias("asset"), F.col("evidence_version").alias("evidence"), F.trunc("entry_date", "month").alias("as_of")).distinct()
     q = q.withColumn("expected", F.dayofyear("as_of") / 5000 - 0.02)
     return rounded(stats.analog_intervals(t, q, sources=("F", "O")).withColumn("expected", F.col("expected") + 1e-9), "expected", "ci_low", "ci_high", "p_positive", digits=6)
