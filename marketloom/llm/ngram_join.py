@@ -23,7 +23,9 @@
    join key, positions by the bound on what can follow, pairs of one component altogether.
    Small components are expanded and their pairs settled as before. Large components are
    asked in blocks: over a block's index lists the overlaps of an asker follow from those of
-   a similar asker before it (``answers``).
+   a similar asker before it (``answers``). A list of more than CROWD components (texts that
+   recombine common paragraphs are not similar and share whole prefixes) asks no pairs: lists
+   with the same sets are one, its sets are dealt into blocks and answered block by block.
 
 Every pair of similar sets is thus compared, derived, or already connected, so components
 are complete, and no group is ever collected or expanded into its pairs.
@@ -68,6 +70,9 @@ ROUND_YIELD, ROUND_SHARE = 4, 50
 #: Components of more sets than SMALL are asked in blocks of about BLOCK_SETS sets; where links
 #: are counted, a block also has about BLOCK_SHINGLES shingles at most.
 SMALL, BLOCK_SETS, BLOCK_SHINGLES = 4, 512, 1 << 21
+#: Lists of more components are compared in blocks and not asked set by set, so the rows of a
+#: list's asks are at most CROWD times its sets.
+CROWD = 256
 
 
 def signature(s: np.ndarray) -> int:
@@ -450,6 +455,63 @@ def _round_pairs(mixed: DataFrame, tried: DataFrame, number: int, percent: int,
     return fresh.withColumn("r", rank).where(F.col("r") <= ROUND_LEADERS).select("a", "b")
 
 
+def _crowded(steps: Steps, mixed: DataFrame) -> DataFrame:
+    """(token, comps, k, x): the lists of more than CROWD components; x tells their sets apart."""
+    by = mixed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("cid")).alias("x"))
+    lists = by.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("k"), F.bit_xor("x").alias("x"))
+    return steps.write(lists.where(F.col("comps") > CROWD), "join-crowded")
+
+
+def spanning_links(first: list[np.ndarray], second: list[np.ndarray] | None, comps: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets of two blocks (or of one) that join what is not joined yet: sets of
+    one component are, and so is what earlier pairs have joined. ``comps`` has those of the first
+    block and then of the second; so have the numbers of the pairs."""
+    _, group = np.unique(comps, return_inverse=True)
+    up = list(range(int(group.max(initial=-1)) + 1))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    out, shift = [], len(first) if second is not None else 0
+    for k, similar in answers(first, first if second is None else second, percent):
+        for m in similar.tolist():
+            a, b = top(int(group[k + shift])), top(int(group[m]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((k + shift, m))
+    return out
+
+
+def _crowd_links(steps: Steps, mixed: DataFrame, crowded: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, hot: DataFrame) -> DataFrame:
+    """Links (a, b) that join the sets of crowded lists as far as they are similar: a task takes two
+    blocks of a list and gives fewer links than it has sets."""
+    lists = crowded.groupBy("k", "comps", "x").agg(F.min("token").alias("token")).select("token")
+    held = mixed.join(_by_part(lists, hot), ["token", "salt"]).select("token", F.col("cid").alias("sig"), "comp").distinct()
+    x = steps.write(held.join(classes.select("sig", "n"), "sig"), "join-crowd")
+    size = x.groupBy("token").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = x.join(size, "token").withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int"))
+    wanted = steps.write(x.select("sig").distinct(), "join-crowd-sets")
+    texts = _texts(steps, wanted, wanted.count(), docs, classes)
+    rows = dealt.select("token", "sig", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(texts, "sig")
+    rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "comp", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        sets = tb.shingle_sets(*tb.flat(group.column("text")), words)
+        block, i, j = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        at, rest = np.flatnonzero(block == i), np.flatnonzero(block != i)
+        order, pairs = np.concatenate((at, rest)), []
+        if len(at) and (i == j or len(rest)):
+            pairs = spanning_links([sets[k] for k in at], None if i == j else [sets[k] for k in rest], group.column("comp").to_numpy()[order], percent)
+        sigs = group.column("sig").to_numpy()[order]
+        return pa.table({"a": pa.array(sigs[[a for a, _ in pairs]], pa.int64()), "b": pa.array(sigs[[b for _, b in pairs]], pa.int64())})
+
+    return rows.groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _asks(steps: Steps, mixed: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
     """(a, holder, members): sets and the components, no smaller than their own, that may hold
     a set similar to them. A list is taken by component, not by set."""
@@ -653,6 +715,10 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = MIN_PERC
         # Another round pays if this one linked a good share of what it looked at, and of all.
         if linked * ROUND_YIELD < asked or linked * ROUND_SHARE < listed:
             break
+    crowded = _crowded(steps, mixed)
+    if not crowded.isEmpty():
+        links = links.unionAll(steps.write(_crowd_links(steps, mixed, crowded, rows, classes, words, percent, hot), "join-crowd-links"))
+        mixed = steps.write(mixed.join(_by_part(crowded.select("token"), hot), ["token", "salt"], "left_anti"), "join-mixed")
     asks = _asks(steps, mixed, percent, hot)
     pairs, _ = steps.write_narrow(_pairs_of(asks.where(f"members <= {SMALL}"), sized, tried), "join-last")
     found, _, _ = _settle(steps, pairs, prefixes, done, rows, classes, words, percent)
