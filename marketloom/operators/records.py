@@ -150,3 +150,25 @@ def feature_activity(x: DataFrame, features: list[str], least: float = 1e-8) ->
 def trend_features(bars: DataFrame) -> DataFrame:
     """A few panel columns, for activity and fingerprints."""
     return bars.withColumn("r1", ind.ret(1)).withColumn("sma20", full(F.avg, F.col("close"), 20)).withColumn("flat", F.lit(1.0))
+
+
+def day_digest(audit: DataFrame, orders: DataFrame, top: int = 4) -> DataFrame:
+    """By (day, mode): completed scans and their candidates, orders by status, and the ``top`` most
+    frequent veto reasons with their counts, ties by name.
+
+    ``audit`` has ts, mode, event_type, payload (JSON); ``orders`` ts, mode, status. Of a rejection
+    only the first reason counts, without what follows a bracket or colon. Payloads that are not
+    JSON count as empty. Reasons are few names, so a day's are ranked in one small group.
+    """
+    a = audit.select(F.to_date("ts").alias("day"), "mode", "event_type", F.from_json("payload", "candidates long, verdict string, reasons array<string>").alias("p"))
+    scan = F.col("event_type") == "cycle_end"
+    scans = a.where(scan).groupBy("day", "mode").agg(F.count(F.lit(1)).alias("scans"), F.coalesce(F.sum("p.candidates"), F.lit(0)).alias("candidates"))
+    bare = F.substring(F.trim(F.regexp_extract(F.get("p.reasons", F.lit(0)), "^([^(:]*)", 1)), 1, 60)
+    vetoes = a.where((F.col("event_type") == "risk_decision") & (F.col("p.verdict") == "REJECTED")).select("day", "mode", bare.alias("reason")).where("reason is not null")
+    counted = vetoes.groupBy("day", "mode", "reason").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("day", "mode").orderBy(F.desc("k"), "reason")
+    best = counted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).groupBy("day", "mode").agg(F.array_sort(F.collect_list(F.struct("r", "reason", "k"))).alias("v"))
+    best = best.select("day", "mode", F.array_join(F.transform("v", lambda x: F.concat_ws("=", x["reason"], x["k"].cast("string"))), ", ").alias("top_vetoes"))
+    states = orders.groupBy(F.to_date("ts").alias("day"), "mode").agg(*(F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("filled", "placed", "cancelled", "rejected")))
+    out = states.join(scans, ["day", "mode"], "full_outer").join(best, ["day", "mode"], "full_outer")
+    return out.fillna(0, ["filled", "placed", "cancelled", "rejected", "scans", "candidates"]).fillna("", ["top_vetoes"])

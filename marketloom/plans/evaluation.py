@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketloom.functions.aggregates import register_aggregates
 from marketloom.functions.columns import rounded
 from marketloom.operators import evaluation as ev
 from marketloom.plans.indicators import lag
@@ -129,3 +130,22 @@ register(
     f"""WITH {PANEL}, ok AS (SELECT * FROM pan WHERE q50 IS NOT NULL AND excess5 IS NOT NULL), c AS (SELECT d, quantile_cont(q50, 0.9) AS cut FROM ok GROUP BY d HAVING count(*) >= 8),
 al AS (SELECT d, avg(excess5) - 0.0016 AS alpha FROM ok JOIN c USING (d) WHERE q50 >= cut - 1e-12 GROUP BY d) SELECT {_MEAN.format(c='alpha')} FROM al""",
 )
+
+
+def _from_sql(spark, d):
+    """The aggregates by name, in SQL."""
+    register_aggregates(spark)
+    return spark.sql(
+        "SELECT d, round(rank_ic(q50, excess5), 6) AS ic, round(pinball(0.1D, q10, excess5), 6) AS loss10, round(profit_factor(excess5), 6) AS factor FROM {x} GROUP BY d",
+        x=_panel(spark, d).select("d", "q10", "q50", "excess5"),
+    )
+
+
+register(
+    "u4_sql_aggregates",
+    _from_sql,
+    f"""WITH {PANEL}, ok AS (SELECT *, count(*) OVER (PARTITION BY d) AS n FROM pan WHERE q50 IS NOT NULL AND excess5 IS NOT NULL),
+rk AS (SELECT d, {RANK.format(c='q50')} AS p, {RANK.format(c='excess5')} AS t FROM ok WHERE n >= 8), ic AS (SELECT d, CASE WHEN stddev_pop(p) > 0 AND stddev_pop(t) > 0 THEN corr(p, t) END AS ic FROM rk GROUP BY d),
+g AS (SELECT d, avg(greatest(0.1 * (excess5 - q10), -0.9 * (excess5 - q10))) AS loss10, CASE WHEN min(excess5) < 0 THEN sum(greatest(excess5, 0)) / -sum(least(excess5, 0)) END AS factor FROM pan GROUP BY d)
+SELECT d, round(ic, 6) AS ic, round(loss10, 6) AS loss10, round(factor, 6) AS factor FROM g LEFT JOIN ic USING (d)""",
+)

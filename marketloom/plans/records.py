@@ -202,3 +202,24 @@ register(
     lambda spark, d: fx.table(spark, d, "documents").select("doc_id").join(fx.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti"),
     "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
 )
+#: An audit trail from order events: scans with their candidates, decisions with their reasons.
+_AUDIT = """CASE status WHEN 'cancelled' THEN 'cycle_end' ELSE 'risk_decision' END AS event_type, CASE WHEN id % 31 = 0 THEN '{broken' WHEN status = 'cancelled' THEN '{"candidates": ' || id % 9 || '}'
+ WHEN status = 'rejected' THEN '{"verdict": "REJECTED", "reasons": ["' || CASE id % 6 WHEN 0 THEN 'stale (age 5)' WHEN 1 THEN 'duplicate: within 60 min' WHEN 2 THEN ' budget (3.5' WHEN 3 THEN 'stale' WHEN 4 THEN 'open positions' ELSE 'deployment: full' END || '", "second"]}'
+ ELSE '{"verdict": "APPROVED", "reasons": []}' END AS payload"""
+
+
+def _day(spark, d):
+    o = fx.order_events(spark, d)
+    return rec.day_digest(o.selectExpr("ts", "mode", _AUDIT.split(", CASE")[0], "CASE" + _AUDIT.split(", CASE", 1)[1]), o)
+
+
+register(
+    "a20_whole_digest",
+    _day,
+    f"""WITH {OE}, au AS (SELECT ts::DATE AS day, mode, {_AUDIT} FROM oe), js AS (SELECT *, try_cast(payload AS JSON) AS j FROM au),
+s AS (SELECT day, mode, count(*) AS scans, coalesce(sum((j->>'candidates')::BIGINT), 0)::BIGINT AS candidates FROM js WHERE event_type = 'cycle_end' GROUP BY 1, 2),
+v AS (SELECT day, mode, left(trim(regexp_extract(j->'reasons'->>0, '^([^(:]*)', 1)), 60) AS reason, count(*) AS k FROM js WHERE event_type = 'risk_decision' AND j->>'verdict' = 'REJECTED' GROUP BY 1, 2, 3),
+b AS (SELECT day, mode, string_agg(reason || '=' || k, ', ' ORDER BY r) AS top_vetoes FROM (SELECT *, row_number() OVER (PARTITION BY day, mode ORDER BY k DESC, reason) AS r FROM v) WHERE r <= 4 GROUP BY 1, 2),
+g AS (SELECT ts::DATE AS day, mode, {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("filled", "placed", "cancelled", "rejected"))} FROM oe GROUP BY 1, 2)
+SELECT day, mode, filled, placed, cancelled, rejected, coalesce(scans, 0) AS scans, coalesce(candidates, 0) AS candidates, coalesce(top_vetoes, '') AS top_vetoes FROM g LEFT JOIN s USING (day, mode) LEFT JOIN b USING (day, mode)""",
+)
