@@ -78,8 +78,9 @@ def fingerprint(facts: DataFrame, owner: str, as_of: str, feature_hash: str, new
     blocks = names.groupBy("block").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("o")), ","), 256).alias("h"), F.count(F.lit(1)).alias("n"))
     whole = blocks.agg(F.sum("n").alias("owners"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "h"))), lambda b: b["h"]), ""), 256).alias("h"))
     state = mine.agg(F.count(F.lit(1)).alias("facts"), F.max(newest).cast("string").alias("newest"))
+    both = whole.unionByName(state, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in ("owners", "h", "facts", "newest")))  # a row each
     text = F.concat_ws("|", "h", F.lit(as_of), F.col("facts").cast("string"), "newest", F.lit(feature_hash))
-    return whole.crossJoin(state).select(F.coalesce("owners", F.lit(0)).alias("owners"), "facts", "newest", F.sha2(text, 256).alias("sha256"))  # one row each
+    return both.select(F.coalesce("owners", F.lit(0)).alias("owners"), "facts", "newest", F.sha2(text, 256).alias("sha256"))
 
 
 def assign_sector(stocks: DataFrame, sectors: DataFrame, last: int = 126, least: int = 60) -> DataFrame:

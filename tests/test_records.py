@@ -79,3 +79,64 @@ def test_intraday_supersedes_the_day(spark):
     daily = spark.createDataFrame([(dt.date(2024, 1, 1), 1.0), (dt.date(2024, 1, 2), 2.0)], "d date, equity double")
     intraday = spark.createDataFrame([(dt.datetime(2024, 1, 2, 9), 5.0)], "ts timestamp, equity double")
     assert sorted((r.kind, r.equity) for r in records.merge_curves(daily, intraday).collect()) == [("daily", 1.0), ("intraday", 5.0)]
+
+
+def test_day_digest_of_odd_payloads(spark):
+    t = dt.datetime(2024, 1, 2, 9)
+    rows = [(t, "paper", "cycle_end", '{"candidates": 3}'), (t, "paper", "cycle_end", "{broken"), (t, "paper", "cycle_end", None), (t, "live", "risk_decision", '{"verdict": "REJECTED", "reasons": []}')]
+    rows += [(t, "paper", "risk_decision", f'{{"verdict": "REJECTED", "reasons": ["{r}", "other"]}}') for r in ("stale (5)", "stale: x", "a", "b", "c", "d", "e")]
+    audit = spark.createDataFrame(rows, "ts timestamp, mode string, event_type string, payload string")
+    orders = spark.createDataFrame([(t + dt.timedelta(days=1), "paper", "filled")], "ts timestamp, mode string, status string")
+    out = {(r.day.day, r.mode): r for r in records.day_digest(audit, orders).collect()}
+    assert (out[2, "paper"].scans, out[2, "paper"].candidates, out[2, "paper"].top_vetoes) == (3, 3, "stale=2, a=1, b=1, c=1")
+    assert set(out) == {(2, "paper"), (3, "paper")} and (out[3, "paper"].filled, out[3, "paper"].top_vetoes) == (1, "")
+
+
+def test_both_ends_and_differences(spark):
+    df = spark.createDataFrame([("g", k, float(v)) for k, v in enumerate([3, 1, 2, 2])] + [("h", 9, 5.0)], "g string, id int, v double")
+    got = sorted((r.g, r.end, r["rank"], r.id) for r in records.both_ends(df, ["g"], "v", "id", 2).collect())
+    assert got == [("g", "bottom", 1, 1), ("g", "bottom", 2, 3), ("g", "top", 1, 0), ("g", "top", 2, 2), ("h", "bottom", 1, 9), ("h", "top", 1, 9)]
+    a, b = (spark.createDataFrame([(x,) for x in xs], "id int") for xs in ([1, 2, 2, None], [2, 3]))
+    assert sorted(map(tuple, records.differences(a, b, "id").collect()), key=str) == [(1, "left"), (3, "right"), (None, "left")]
+
+
+def test_a_fingerprint_changes_with_what_it_covers(spark):
+    facts = spark.createDataFrame([("1", dt.date(2020, 1, 1)), ("2", dt.date(2020, 2, 1)), ("2", dt.date(2021, 1, 1))], "cik string, filed date")
+    mark = lambda df, day="2020-06-30", h="f1": records.fingerprint(df, "cik", day, h).first()
+    one = mark(facts)
+    assert (one.owners, one.facts, one.newest) == (2, 2, "2020-02-01") and mark(facts.repartition(7)).sha256 == one.sha256
+    assert len({one.sha256, mark(facts, "2021-06-30").sha256, mark(facts, h="f2").sha256, mark(facts.where("cik = '1'")).sha256}) == 4
+    assert mark(facts.limit(0)).facts == 0
+
+
+def test_dual_forecasts_fail_loudly(spark):
+    good = dict(horizon=5, abs_q10=-0.1, abs_q50=0.02, abs_q90=0.1, ex_q10=-0.1, ex_q50=0.01, ex_q90=0.1, p_abs=0.6, p_ex=0.95, model_id="m", manifest_id="d", feature_hash="h", as_of=dt.date(2024, 1, 2))
+    bad = [dict(horizon=7), dict(ex_q90=float("nan")), dict(abs_q10=float("-inf")), dict(ex_q50=-0.2), dict(p_ex=1.1), dict(manifest_id=" "), dict(model_id=None), dict(abs_q50=None)]
+    schema = "horizon int, abs_q10 double, abs_q50 double, abs_q90 double, ex_q10 double, ex_q50 double, ex_q90 double, p_abs double, p_ex double, model_id string, manifest_id string, feature_hash string, as_of date"
+    df = spark.createDataFrame([tuple({**good, **x}.values()) for x in [{}, *bad]], schema)
+    out = [r.reasons for r in contracts.check_dual_forecasts(df).collect()]
+    assert out[0] == [] and all(out[1:]) and out[2] == ["finite_ex_q90"] and out[4] == ["order_ex"]
+    assert contracts.check_dual_forecasts(df.limit(1), strict=True).count() == 1
+    with pytest.raises(Exception, match="forecast refused"):
+        contracts.check_dual_forecasts(df, strict=True).select("reasons").collect()
+    day = F.lit("2024-01-02").cast("date")
+    assert contracts.admitted(df, day, "m", "h").count() == 1
+    assert [contracts.admitted(df, *x).count() for x in ((F.lit("2024-01-03").cast("date"), "m", "h"), (day, "other", "h"), (day, "m", "old"), (day, "", "h"))] == [0] * 4
+    vote = contracts.dual_vote(contracts.admitted(df, day, "m", "h")).first()
+    assert (vote.direction, round(vote.score, 6), vote.confidence) == ("long", round(0.01 / 0.06, 6), 0.9)
+
+
+def test_issuer_facts_from_aliases(spark):
+    from marketloom.operators import stats
+
+    day = dt.date
+    rows = [("1", t, v, f, p, form) for t, v, f, p, form in [
+        ("Revenues", 100.0, day(2020, 2, 1), day(2019, 12, 31), "10-K"), ("Revenues", 150.0, day(2021, 2, 1), day(2020, 12, 31), "10-K"), ("Revenues", 999.0, day(2021, 5, 1), day(2021, 3, 31), "10-Q"),
+        ("NetIncomeLoss", -10.0, day(2021, 2, 1), day(2020, 12, 31), "10-K"), ("NetCashProvidedByUsedInOperatingActivities", 20.0, day(2021, 2, 1), day(2020, 12, 31), "10-K"),
+        ("PaymentsToAcquirePropertyPlantAndEquipment", -5.0, day(2021, 2, 1), day(2020, 12, 31), "10-K"), ("ShortTermBorrowings", 7.0, day(2021, 2, 1), day(2020, 12, 31), "10-K"), ("Assets", 0.0, day(2021, 2, 1), day(2020, 12, 31), "10-K"),
+    ]] + [("2", "Other", 1.0, day(2020, 1, 1), day(2019, 1, 1), "10-K")]
+    out = {r.cik: r for r in stats.issuer_facts(spark.createDataFrame(rows, "cik string, tag string, value double, filed date, period_end date, form string")).collect()}
+    a = out["1"]
+    assert (a.revenue, a.revenue_growth, a.free_cash_flow, a.total_debt, a.earnings_quality) == (999.0, 0.5, 15.0, 7.0, 2.0)
+    assert a.net_margin == -10 / 999 and a.equity_to_assets is None and a.accrual_ratio is None and a.dilution_rate is None
+    assert a.available_fields == 11 and out["2"].available_fields == 0
