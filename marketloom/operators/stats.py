@@ -148,7 +148,7 @@ def pair_statistics(returns: DataFrame, holdings: DataFrame, last: int = 120, le
 
 
 #: Children of a bucket, and rows that are read one by one.
-FAN, EXACT_ROWS = 32, 256
+FAN, EXACT_ROWS = 32, 4096
 
 
 def _narrowed(trades: DataFrame, asks: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -195,11 +195,10 @@ def analog_quantiles(trades: DataFrame, queries: DataFrame, cell: list[str], sha
             break
         largest //= FAN
     else:
-        node = [*cell, "node"]
-        rows = asks.join(t, node).where("at < as_of").groupBy(*cell, "as_of", "share", "k", "ret").agg(F.sum("c").alias("c"))
-        up = Window.partitionBy(*cell, "as_of", "share").orderBy("ret").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("run", F.sum("c").over(up)).where("run > k")
-        found.append(rows.groupBy(*cell, "as_of", "share").agg(F.min("ret").alias("ret")))
+        node, at = [*cell, "node"], [*cell, "as_of", "node"]
+        rows = asks.select(*at).distinct().join(t, node).where("at < as_of").groupBy(*at, "ret").agg(F.sum("c").alias("c"))
+        rows = rows.withColumn("run", F.sum("c").over(Window.partitionBy(*at).orderBy("ret").rowsBetween(Window.unboundedPreceding, 0)))
+        found.append(asks.join(rows, at).where("k < run and k >= run - c").select(*cell, "as_of", "share", "ret"))
     every = reduce(DataFrame.unionByName, found)
     return every.groupBy(*cell, "as_of").agg(*(F.min(F.when(F.col("share") == s, F.col("ret"))).alias(f"q{int(s * 100)}") for s in shares))
 
