@@ -45,23 +45,23 @@ def _orders(spark, d):
     return fx.orders_of(streams.stream_table(spark, d, "events"))
 
 
-#: How late rows come, and how far a watermark lags behind: the last rows do not come out.
+#: How late rows come, and how far a watermark lags behind: the last rows do not come out, unless the stream ends.
 LATE = 30
 PASSED = "(SELECT epoch_ms(max(ts)) - 1800000 FROM {}) * 1000"
 
 
 def _marks(spark, d):
     e = fx.table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("equity"))
-    return streams.append_available(stateful.throttled_marks(stateful.arriving(e, "ts", LATE, "st1-in")), "st1")
+    return streams.append_available(stateful.throttled_marks(stateful.arriving(e, "ts", LATE, "st1-in", ends=True)), "st1")
 
 
 register(
     "st1_throttled_marks",
     _marks,
-    f"""WITH RECURSIVE e AS (SELECT event_type AS source, ts, value AS equity, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) AS k FROM events),
+    """WITH RECURSIVE e AS (SELECT event_type AS source, ts, value AS equity, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) AS k FROM events),
 r(source, k, ts, equity, last, kept) AS (SELECT source, k, ts, equity, epoch_us(ts), true FROM e WHERE k = 1
   UNION ALL SELECT e.source, e.k, e.ts, e.equity, CASE WHEN epoch_us(e.ts) - r.last >= 300000000 THEN epoch_us(e.ts) ELSE r.last END, epoch_us(e.ts) - r.last >= 300000000 FROM r JOIN e ON e.source = r.source AND e.k = r.k + 1)
-SELECT source, ts, equity FROM r WHERE kept AND epoch_us(ts) < {PASSED.format("events")}""",
+SELECT source, ts, equity FROM r WHERE kept""",
 )
 
 

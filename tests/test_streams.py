@@ -81,3 +81,27 @@ def test_rejections_of_a_day_since_the_last_reset(spark):
     assert {r.mode: (r.rejected, r.rejected_orders) for r in out.collect()} == {"paper": (4, False), "live": (1, False)}
     more = out.sparkSession.createDataFrame(rows + [(30 + k, "paper", at(30 + k), "rejected", False) for k in range(2)], "id long, mode string, ts timestamp, status string, clears boolean")
     assert sizing.rejections(more).where(F.col("mode") == "paper").first().rejected_orders
+
+
+def test_a_stream_that_ends_gives_its_last_marks(spark):
+    """The marks of the last half hour come out too, and nothing of the row that ends it; a null
+    source is one like others."""
+    rows = [(s, at(k * 1.7), float(k)) for s in ("a", None) for k in range(60)]
+    df = spark.createDataFrame(rows, "source string, ts timestamp, equity double")
+    out, _ = run(spark, stateful.throttled_marks(stateful.arriving(df, "ts", 30, "t1e", 3, ends=True)), "t1e")
+    for source in ("a", None):
+        assert sorted(r.equity for r in out if r.source == source) == [float(k) for k in range(0, 60, 3)]
+    assert len(out) == 40
+
+
+def test_rows_of_a_stream_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(pdfs):
+        for pdf in pdfs:
+            made.add(len(pdf))
+            yield pdf
+
+    df = spark.createDataFrame([(k, at(k)) for k in range(50)], "k long, ts timestamp")
+    stateful.arriving(df.mapInPandas(count, df.schema), "ts", 30, "once")
+    assert made.value == 50
