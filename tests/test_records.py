@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,14 @@ def test_issuer_facts_from_aliases(spark):
     assert (a.revenue, a.revenue_growth, a.free_cash_flow, a.total_debt, a.earnings_quality) == (999.0, 0.5, 15.0, 7.0, 2.0)
     assert a.net_margin == -10 / 999 and a.equity_to_assets is None and a.accrual_ratio is None and a.dilution_rate is None
     assert a.available_fields == 11 and out["2"].available_fields == 0
+
+
+def test_exits_do_not_compare_prices_made_twice(spark):
+    """Closes that differ in the last bit each time they are made, as sums over a shuffle do."""
+    noisy = F.udf(lambda x: x * (1 + random.choice((-4e-16, 0.0, 4e-16))), "double").asNondeterministic()
+    days = [(f"S{s}", dt.date(2024, 1, 1) + dt.timedelta(days=k), 100.0 + s - (10 if k % 7 == 3 else 0)) for s in range(6) for k in range(60)]
+    bars = spark.createDataFrame(days, "symbol string, d date, close double").withColumn("close", noisy("close"))
+    out = records.first_exit(bars, bars).collect()
+    want = {d: d + dt.timedelta(days=(3 - k) % 7 or 7) for k, d in enumerate(dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(59)) if k % 7 != 3}
+    assert sum(r.reason == "stop_loss" for r in out) == 6 * len(want)
+    assert all(r.exit_d == want[r.entry_d] for r in out if r.reason == "stop_loss")
