@@ -48,3 +48,25 @@ def test_wrong_arguments_are_told_when_the_plan_is_built(spark):
 def test_scripts_that_do_not_close():
     assert plain("<script>" * 20_000 + "a <b>b</b>&amp;") == "a b &" or plain("<script>a</script>b") == "b"
     assert plain("x<style>p{}</style>y <script src=1>z") == "x y z"
+
+
+def test_sections_decode_every_reference_as_their_sql_does(spark):
+    """Names without a semicolon, names that begin with one, numbers that stand for others."""
+    import duckdb
+
+    from marketloom.operators.universe import filing_sections
+    from marketloom.plans.universe import SECTIONS
+
+    texts = [
+        "a&amp</b>c &ampx; &ampamp; &eacute;&eacute &notit; &notin; &nosuch; &n; & &; &&amp;amp;", "&#65;&#65 &#x41;&#X41x &#0;&#128;&#13;&#x80 &#xD800; &#1114112; &#99999999999; &#x1F600; &#1; &#xFFFE; &#xFDD0; &#; &#x;",
+        "x\x0by &lt;b&gt; &#39;&apos;&CounterClockwiseContourIntegral; &" + "q" * 40 + "; &quot&quot &NotEqualTilde; &Tab;&NewLine;", "", None,
+    ]
+    pages = [(4 * k, t) for k, t in enumerate(texts)] + [(101 + 4 * k, t) for k, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", pages)
+    want = {(p, s): (n, h) for p, s, n, h in con.sql(SECTIONS).fetchall()}
+    head = "<p>Item 1. Item 7: Item 1A - short</p><style>item 8. no</style><h2>ITEM&nbsp;7a. risk &amp; rates</h2> Item&#32;1:"
+    whole = [(p, t if p % 4 == 0 else head + (t or "") + "<b>Item 2.</b> end") for p, t in pages]
+    got = filing_sections(spark.createDataFrame(whole, "page_id long, html string")).collect()
+    assert {(r.page_id, r.section): (len(r.body), r.sha256) for r in got} == want
