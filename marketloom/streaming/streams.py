@@ -15,6 +15,10 @@ from marketloom.sources.fixtures import shared_path
 from marketloom.streaming.stateful import rocksdb
 
 
+#: Fixed value: buckets in the time that a fill may come after its order.
+PARTS = 3
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables as a stream of files."""
     path = f"{sf_dir}/{name}.parquet"
@@ -84,10 +88,18 @@ def scan_sessions(scans: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def matched_orders(orders: DataFrame, fills: DataFrame, hours: int = 6) -> DataFrame:
     """Placed orders with the fills of the same symbol and mode in the ``hours`` after: a join
     of two streams, bounded in time on both sides; orders without a fill come out with nulls
-    once the watermark has passed them."""
-    o = orders.where("status = 'placed'").select("id", "symbol", "mode", "ts").withWatermark("ts", "1 hour")
+    once the watermark has passed them.
+
+    An order stands in one bucket of time, a fill in its own and in each before that can hold its
+    orders: an order is held against the fills of little more than its ``hours``, not against all
+    that the state holds of its symbol, and a symbol is spread over tasks.
+    """
+    span = hours * 3_600_000_000 // PARTS
+    o = orders.where("status = 'placed'").select("id", "symbol", "mode", "ts", F.floor(F.unix_micros("ts") / span).alias("b")).withWatermark("ts", "1 hour")
+    own = F.floor(F.unix_micros("filled_at") / span)
     f = fills.where("status = 'filled'").select(F.col("id").alias("fill_id"), F.col("symbol").alias("fs"), F.col("mode").alias("fm"), F.col("ts").alias("filled_at")).withWatermark("filled_at", "1 hour")
-    near = F.expr(f"symbol = fs and mode = fm and filled_at >= ts and filled_at <= ts + interval {hours} hours")
+    f = f.withColumn("fb", F.explode(F.sequence(own - PARTS, own)))
+    near = F.expr(f"symbol = fs and mode = fm and b = fb and filled_at >= ts and filled_at <= ts + interval {hours} hours")
     return o.join(f, near, "left_outer").select("id", "symbol", "mode", "ts", "fill_id", "filled_at")
 
 

@@ -105,3 +105,16 @@ def test_rows_of_a_stream_are_made_once(spark):
     df = spark.createDataFrame([(k, at(k)) for k in range(50)], "k long, ts timestamp")
     stateful.arriving(df.mapInPandas(count, df.schema), "ts", 30, "once")
     assert made.value == 50
+
+
+def test_orders_meet_fills_of_near_buckets_only(spark):
+    """Two days of orders and fills of one symbol: what the join compares grows with what it
+    gives, not with the state; fills at both ends of the six hours count once."""
+    o = [(k, "S", "paper", at(k * 15), "placed") for k in range(192)]
+    f = [(1000 + k, "S", "paper", at(k * 15), "filled") for k in range(192)]
+    df = [spark.createDataFrame(x, "id long, symbol string, mode string, ts timestamp, status string") for x in (o, f)]
+    with_buckets = streams.matched_orders(*df)
+    keys = with_buckets._jdf.queryExecution().optimizedPlan().toString()
+    assert "(b#" in keys and "= fb#" in keys
+    got = sorted((r.id, r.fill_id) for r in with_buckets.collect())
+    assert got == [(k, 1000 + j) for k in range(192) for j in range(k, min(k + 25, 192))]
