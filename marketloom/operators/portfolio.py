@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from marketloom.functions.columns import SLIPPAGE_BPS, SPREAD_BPS
 from marketloom.operators.joins import next_after
@@ -17,8 +21,9 @@ MAX_SELLS, MAX_TURNOVER, MAX_TRIM, HYSTERESIS = 2, 0.30, 0.50, 0.05
 CYCLE_SHARE, CYCLE_CAP = 0.10, 1_000.0
 MAX_DAILY, MAX_OPEN, STALE_DAYS, APPROVAL_SHARE = 3, 12, 4, 0.05
 CLOSED = 1e-9
-#: Days of a key that one task scans.
+#: Days of a key that one task scans, and fills of a slot of keys up to which each key is stepped through as it stands.
 BLOCK_DAYS = 90
+SLOTS, WHOLE_ROWS = 16_384, 500_000
 ONE_WAY = (SPREAD_BPS + SLIPPAGE_BPS) / 10_000
 
 
@@ -117,10 +122,65 @@ def review_orders(orders: DataFrame) -> DataFrame:
     return g.select("cycle", F.inline(F.aggregate("rows", state, step)["out"]))
 
 
-def average_cost(fills: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+#: What a fill is given.
+POSITIONS = ("held", "avg_cost", "sold", "realized", "entry_price")
+
+
+def _stepped(fills: DataFrame) -> DataFrame:
+    """``average_cost`` one fill after another, a key's fills a stream in its order; only the last
+    position is held between Arrow batches."""
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(f"__{c}") for c in ("account", "symbol")]  # null is an account of its own
+    numbers = [F.coalesce(F.col("qty").cast("double"), F.lit(0.0)).alias("__qty"), F.coalesce(F.col("price").cast("double"), F.lit(float("nan"))).alias("__price")]
+    names = fills.columns
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, held, cost = None, 0.0, 0.0
+        for batch in batches:
+            out = [[], [], [], [], []]
+            add = [x.append for x in out]
+            for a, s, side, q, p in zip(*(batch.column(c).to_pylist() for c in ("__account", "__symbol", "side", "__qty", "__price")), strict=True):
+                if who != (a, s):
+                    who, held, cost = (a, s), 0.0, 0.0
+                sold = gain = 0.0
+                entry = None
+                if side == "sell":
+                    after = max(held - q, 0.0)
+                    after = after if after > CLOSED else 0.0
+                    sold = held - after
+                    if sold > 0:
+                        gain, entry = (p - cost) * sold, cost
+                else:
+                    after = held + q
+                    after = after if after > CLOSED else 0.0
+                    if after > 0:
+                        cost = (held * cost + q * p) / (held + q)
+                held = after
+                if not held:
+                    cost = 0.0
+                for put, v in zip(add, (held, cost if held else None, sold, gain, entry), strict=True):
+                    put(v)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x, pa.float64()) for x in out)], [*names, *POSITIONS])
+
+    x = fills.select("*", *key, *numbers).repartition("__account", "__symbol").sortWithinPartitions("__account", "__symbol", "d", "seq")
+    return x.mapInArrow(task, StructType([*fills.schema.fields, *(StructField(c, DoubleType()) for c in POSITIONS)]))
+
+
+def average_cost(fills: DataFrame, block_days: int = BLOCK_DAYS, most: int = WHOLE_ROWS) -> DataFrame:
     """Fills with the position after each: ``held``, ``avg_cost``, ``sold`` and ``realized``.
 
-    More is never sold than held; a holding under 1e-9 is closed. Both recurrences are scanned
+    More is never sold than held; a holding under 1e-9 is closed. A key (account and symbol) of
+    ordinary size is stepped through in one task. Keys in a slot (of ``SLOTS``, by hash) with more
+    than ``most`` fills are cut into blocks (``_scanned``): slots are counted first, few rows a task.
+    """
+    slot = F.pmod(F.xxhash64("account", "symbol"), F.lit(SLOTS))
+    hot = [r.slot for r in fills.groupBy(slot.alias("slot")).count().where(F.col("count") > most).select("slot").collect()]
+    if not hot:
+        return _stepped(fills)
+    return _stepped(fills.where(~slot.isin(hot))).unionByName(_scanned(fills.where(slot.isin(hot)), block_days))
+
+
+def _scanned(fills: DataFrame, block_days: int) -> DataFrame:
+    """``average_cost`` of keys of any size. Both recurrences are scanned
     (``operators.scan``): held is a sum reflected at zero; a purchase mixes the cost before with
     its price, weighted by what was held and what is bought, a sale leaves it as it is. Blocks
     are ``block_days`` of an (account, symbol), so its rows spread over tasks.

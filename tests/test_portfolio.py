@@ -87,3 +87,19 @@ def test_a_hot_key_is_cut_into_blocks(spark):
     for days in (7, 90, 10_000):
         for x in pf.average_cost(df, days).collect():
             assert (x.held, x.realized, x.avg_cost) == pytest.approx(tuple(want[x.seq][i] for i in (0, 2, 1)), abs=1e-8)
+
+
+def test_small_keys_are_stepped_and_hot_ones_scanned_alike(spark):
+    """Positions of many keys, stepped, are those by blocks; few fills a key make one shuffle of them."""
+    import random
+
+    r = random.Random(5)
+    rows = [(r.choice(("a", "b", None)), r.choice("ST"), "sell" if r.random() < 0.5 else "buy", float(r.randrange(0, 9)), float(r.randrange(5, 50)), dt.date(2020, 1, 1) + dt.timedelta(days=r.randrange(400)), k) for k in range(900)]
+    df = spark.createDataFrame(rows, FILL)
+    one, two, mixed = ({x.seq: x for x in pf.average_cost(df, 30, most).collect()} for most in (10**6, 0, 150))
+    assert len(one) == len(two) == len(mixed) == 900
+    for k, x in one.items():
+        for c in ("held", "avg_cost", "sold", "realized", "entry_price"):
+            assert two[k][c] == pytest.approx(x[c], abs=1e-8) and mixed[k][c] == pytest.approx(x[c], abs=1e-8)
+    plan = pf.average_cost(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Join" not in plan
