@@ -91,8 +91,10 @@ def validate_stances(raw: DataFrame, universe: DataFrame, key: str = "id") -> Da
     watch = h.where(~north).select(key, F.posexplode(_at(F.col("v"), "$.watchlist", "array<variant>")).alias("pos", "w")).select(key, "pos", _symbol(_at(F.col("w"), "$", "string")).alias("symbol"))
     watch = watch.where(F.col("symbol").rlike(TICKER)).join(universe.select("symbol"), "symbol", "left_anti").groupBy(key, "symbol").agg(F.min("pos").alias("pos"))
     lists = watch.groupBy(key).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "symbol"))), lambda s: s.symbol), 1, MAX_WATCHLIST).alias("watchlist"))
+    # The texts end here: what is sorted for the join is a few stances a row.
     kept = F.when(north, F.slice(kept, 1, 0)).otherwise(kept)
-    return h.join(lists, key, "left").select(*[c for c in raw.columns if c != "raw"], kept.alias("stances"), F.coalesce("watchlist", F.array().cast("array<string>")).alias("watchlist"))
+    slim = h.select(*[c for c in raw.columns if c != "raw"], kept.alias("stances"))
+    return slim.join(lists, key, "left").withColumn("watchlist", F.coalesce("watchlist", F.array().cast("array<string>")))
 
 
 def validate_mandates(raw: DataFrame, instruments: DataFrame, key: str = "id") -> DataFrame:

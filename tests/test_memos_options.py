@@ -69,3 +69,9 @@ def test_a_hypothesis_acts_from_the_next_whole_hour(spark):
     prices = spark.createDataFrame([("A", dt.date(2023, 12, 1), 10.0, None)], "symbol string, d date, close double, atr_pct double")
     out = sorted((r.as_of.hour, r.symbol, r.id, r.direction, round(r.expected_return, 6)) for r in memos.hypothesis_stances(h, decisions, prices).collect())
     assert [x[1:] for x in out] == [("A", 1, "long", 0.01), ("A", 2, "avoid", -0.03)]
+
+
+def test_texts_end_before_the_watchlists_are_joined(spark):
+    raw = spark.createDataFrame([(1, "short_term", "{}")], "id int, tier string, raw string")
+    plan = memos.validate_stances(raw, spark.createDataFrame([("A",)], "symbol string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant" not in plan.split("Join LeftOuter")[0]
