@@ -131,7 +131,7 @@ sa AS (SELECT ac.d AS as_of, ac.symbol, {', '.join(NODES)}, CASE rg.regime WHEN
 register(
     "m20_graph_samples",
     lambda spark, d: rounded(_samples(spark, d), *NODES, "y5", "y21"),
-    f"WITH {SAMPLES} SELECT as_of, symbol, {', '.join(f'round({c}, 6) AS {c}' for c in (*NODES, 'y5', 'y21'))}, macro_regime FROM sa",
+    fx.settled(f"WITH {SAMPLES} SELECT as_of, symbol, {', '.join(f'round({c}, 6) AS {c}' for c in (*NODES, 'y5', 'y21'))}, macro_regime FROM sa"),
 )
 #: A fixed graph: what each node's activation adds to the score.
 GRAPH = {"momentum": 0.4, "reversal": 0.2, "gap": 0.15, "vol_contraction": 0.25, "sector_rotation": 0.5, "macro_regime": 0.5}

@@ -61,11 +61,11 @@ def _node(name: str):
 
 for number, name in ((1, "momentum"), (2, "reversal"), (3, "sector_rotation"), (5, "gap"), (6, "vol_contraction")):
     register(f"sg{number}_{name}", _node(name), f"WITH {SIGNALS} SELECT * FROM sig WHERE node_id = '{name}'")
-register("k5_all_price_signals", lambda spark, d: signals.shown(signals.price_signals(fx.bars(spark, d))), f"WITH {SIGNALS} SELECT * FROM sig")
+register("k5_all_price_signals", lambda spark, d: signals.shown(signals.price_signals(fx.bars(spark, d))), fx.settled(f"WITH {SIGNALS} SELECT * FROM sig"))
 register(
     "k1_top_signals",
     lambda spark, d: signals.top_k(signals.shown(signals.price_signals(fx.bars(spark, d))), 2),
-    f"WITH {SIGNALS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, node_id ORDER BY score DESC, symbol) AS rank FROM sig) WHERE rank <= 2",
+    fx.settled(f"WITH {SIGNALS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, node_id ORDER BY score DESC, symbol) AS rank FROM sig) WHERE rank <= 2"),
 )
 
 RISKY, SAFE = "ECONOMY", "LARGE"
@@ -136,7 +136,7 @@ fused AS (SELECT *, CASE WHEN raw > 0 AND hz IS NOT NULL THEN production - 0.001
 register(
     "e2_fusion",
     lambda spark, d: rounded(_fused(spark, d), *FUSED_COLS, digits=9),
-    f"WITH {FUSED} SELECT as_of, symbol, {', '.join(f'round({c}, 9) AS {c}' for c in FUSED_COLS)}, round(hz)::INT AS horizon_days FROM fused",
+    fx.settled(f"WITH {FUSED} SELECT as_of, symbol, {', '.join(f'round({c}, 9) AS {c}' for c in FUSED_COLS)}, round(hz)::INT AS horizon_days FROM fused"),
 )
 
 #: Bars that climb, with five sessions of falling prices in every sixty-four: reversals occur.
