@@ -118,3 +118,15 @@ def test_orders_meet_fills_of_near_buckets_only(spark):
     assert "(b#" in keys and "= fb#" in keys
     got = sorted((r.id, r.fill_id) for r in with_buckets.collect())
     assert got == [(k, 1000 + j) for k in range(192) for j in range(k, min(k + 25, 192))]
+
+
+def test_news_is_kept_in_one_row_of_state_a_group(spark):
+    """Many more keys than groups: the state has a row a group, and each key its own times; one
+    comes again before and after its span, one is null."""
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    rows = [(f"h{k}", day(k % 20)) for k in range(3 * stateful.GROUPS)]
+    rows += [("h0", day(29)), ("h0", day(30)), ("h1", day(32)), (None, day(3)), (None, day(4))]
+    stream = stateful.arriving(spark.createDataFrame(rows, "h string, ts timestamp"), "ts", 30, "t4g", batches=5)
+    out, held = run(spark, stateful.once_within(stream, "h", "ts", 30, "30 minutes"), "t4g")
+    assert sorted((str(r.h), r.ts) for r in out) == sorted([(str(h), t) for h, t in rows if (h, t) not in {("h0", day(29)), (None, day(4))}])
+    assert max(held) <= stateful.GROUPS
