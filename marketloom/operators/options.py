@@ -12,7 +12,7 @@ from marketloom.operators.joins import latest_at
 RATE = 0.04
 MIN_DTE, MAX_DTE, MIN_DELTA, MAX_DELTA, MAX_SPREAD, MIN_OPEN_INTEREST = 21, 120, 0.25, 0.70, 0.15, 100
 PICK_DTE, MAX_IV_RV, PREMIUM_RISK = (25, 75), 1.3, 0.015
-OCC = r"(\d{6})([CP])(\d{8})$"
+OCC = r"^\d{6}[CP]\d{8}$"
 CONTRACT = ["symbol", "expiry", "kind", "strike"]
 
 
@@ -26,6 +26,14 @@ def spot_and_vol(bars: DataFrame) -> DataFrame:
     return r.select("symbol", "d", F.col("close").alias("spot"), vol.alias("realized"))
 
 
+def known_at(rows: DataFrame, bars: DataFrame, values: list[str]) -> DataFrame:
+    """``rows`` with the ``values`` of ``spot_and_vol`` at d or the last bar before. Looked up once
+    for each pair of symbol and day that occurs; these do not grow with the rows of a day."""
+    days = latest_at(rows.select("symbol", "d").distinct(), spot_and_vol(bars), values, ["symbol"], "d")
+    days = days.select(F.col("symbol").alias("__symbol"), F.col("d").alias("__d"), *values)
+    return rows.join(days, F.col("symbol").eqNullSafe(F.col("__symbol")) & (F.col("d") == F.col("__d")), "left").drop("__symbol", "__d")
+
+
 def call_delta(spot: Column, strike: Column, iv: Column, years: Column) -> Column:
     """N(d1); 0 without volatility or time."""
     d1 = (F.log(spot / strike) + (RATE + iv * iv / 2) * years) / (iv * F.sqrt(years))
@@ -35,8 +43,8 @@ def call_delta(spot: Column, strike: Column, iv: Column, years: Column) -> Colum
 def add_call_delta(chain: DataFrame, bars: DataFrame) -> DataFrame:
     """The chain (``symbol, d, expiry, kind, strike, bid, ask, open_interest, iv``) with ``spot``
     and ``realized`` known at d, ``dte``, ``delta`` and ``spread_pct``. A put's delta is the
-    call's minus one. Null without a price; one sorted stream by symbol."""
-    x = latest_at(chain, spot_and_vol(bars), ["spot", "realized"], ["symbol"], "d")
+    call's minus one. Null without a price."""
+    x = known_at(chain, bars, ["spot", "realized"])
     x = x.withColumn("dte", F.datediff("expiry", "d"))
     call = call_delta(F.col("spot"), F.col("strike"), F.col("iv"), F.col("dte") / 365)
     delta = F.when(F.col("spot").isNotNull(), call - F.when(F.col("kind") == "P", 1.0).otherwise(0.0))
@@ -49,18 +57,27 @@ def occ_symbol(symbol: Column, expiry: Column, kind: Column, strike: Column) ->
     return F.concat(symbol, F.date_format(expiry, "yyMMdd"), kind, F.lpad(F.round(strike * 1000).cast("long").cast("string"), 8, "0"))
 
 
+def _last_bid(positions: DataFrame, chain: DataFrame) -> DataFrame:
+    """Positions with ``quoted``: the highest bid of the contract's last day with a quote at or
+    before d. A contract's quotes and positions are one sorted stream, after one shuffle: an
+    expiry bounds the days, and bids of a day need no aggregate when sorted. Positions that
+    name no contract have no quote; they are dealt by day."""
+    quotes = chain.where("d is not null").select(*CONTRACT, "d", F.struct(F.col("bid").alias("quoted")).alias("__v"), F.lit(0).alias("__side"))
+    both = positions.withColumn("__side", F.lit(1)).unionByName(quotes, allowMissingColumns=True)
+    w = Window.partitionBy(*CONTRACT, F.when(F.col("expiry").isNull(), F.col("d"))).orderBy("d", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select(*positions.columns, F.col("__v.quoted").alias("quoted"))
+
+
 def mark_options(positions: DataFrame, chain: DataFrame, bars: DataFrame) -> DataFrame:
     """Positions (``symbol, option_symbol, d``) with ``mark``: the contract's last bid known at
     d, or without a positive one the intrinsic value, 0.01 at least, in cents. Null if the
     symbol does not end like an option's, or without bid and price. Of several bids of a day the highest counts."""
 
-    def part(i: int) -> Column:
-        return F.regexp_extract("option_symbol", OCC, i)
-
-    p = positions.withColumns({"expiry": F.try_to_timestamp(F.concat(F.lit("20"), part(1)), F.lit("yyyyMMdd")).cast("date"), "kind": part(2), "strike": part(3).try_cast("double") / 1000})
-    quotes = chain.groupBy(*CONTRACT, "d").agg(F.max("bid").alias("quoted"))
-    p = latest_at(p, quotes, ["quoted"], CONTRACT, "d")
-    p = latest_at(p, spot_and_vol(bars), ["spot"], ["symbol"], "d")
+    end = F.right("option_symbol", F.lit(15))
+    good = end.rlike(OCC)
+    day = F.concat_ws("-", F.concat(F.lit("20"), end.substr(1, 2)), end.substr(3, 2), end.substr(5, 2)).try_cast("date")
+    p = positions.withColumns({"expiry": F.when(good, day), "kind": F.when(good, end.substr(7, 1)), "strike": F.when(good, end.substr(8, 8).try_cast("int") / 1000)})
+    p = _last_bid(known_at(p, bars, ["spot"]), chain)
     inner = F.when(F.col("kind") == "C", F.col("spot") - F.col("strike")).otherwise(F.col("strike") - F.col("spot"))
     inner = F.when(inner.isNotNull(), F.round(F.greatest(inner, F.lit(0.01)), 2))
     known = F.col("expiry").isNotNull() & F.col("strike").isNotNull()

@@ -56,6 +56,22 @@ def test_marks_of_options(spark):
     assert out == {names[0]: 3.0, names[1]: 0.01, names[2]: 1.5, "A": None, None: None}
 
 
+def test_marks_take_one_shuffle_by_contract(spark):
+    """The highest bid of the last day before, also if lower than older ones; a null bid counts as
+    none; of positions without a contract or a day nothing is lost."""
+    day = lambda k: dt.date(2024, 3, k)
+    x = dt.date(2024, 6, 21)
+    bars = spark.createDataFrame([("A", day(1), 12.5), ("A", day(3), 13.5)], "symbol string, d date, close double")
+    quotes = [(1, 9.0), (2, 3.0), (2, 4.0), (2, None), (4, None), (None, 7.0)]
+    chain = spark.createDataFrame([("A", k and day(k), x, "C", 10.0, b) for k, b in quotes], "symbol string, d date, expiry date, kind string, strike double, bid double")
+    name = "A240621C00010000"
+    rows = [(0, "A", name, None)] + [(k, "A", name, day(k)) for k in range(1, 6)] + [(6, "A", "A240231C00010000", day(2)), (7, "A", "A", None), (8, None, name, day(3)), (9, "A", None, day(2))]
+    marked = opt.mark_options(spark.createDataFrame(rows, "id int, symbol string, option_symbol string, d date"), chain, bars)
+    assert {r.id: r.mark for r in marked.collect()} == {0: None, 1: 9.0, 2: 4.0, 3: 4.0, 4: 3.5, 5: 3.5, 6: None, 7: None, 8: None, 9: None}
+    plan = marked._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window") == 3 and "max(bid" not in plan  # contracts, and two levels for the prices
+
+
 def test_delta_at_the_money(spark):
     x = spark.range(1).select(opt.call_delta(F.lit(100.0), F.lit(100.0), F.lit(0.2), F.lit(1.0)).alias("a"), opt.call_delta(F.lit(100.0), F.lit(100.0), F.lit(0.0), F.lit(1.0)).alias("b")).first()
     assert x.a == pytest.approx(0.617911, abs=1e-6) and x.b == 0.0
