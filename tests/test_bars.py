@@ -28,3 +28,14 @@ def test_first_trades_of_one_number_open_at_the_lowest_price(spark, tmp_path, tu
     got = sorted(map(tuple, out.collect()))
     assert len(got) == 40 and {r[2] for r in got} == {23.978953} and {r[3] for r in got} == {6.931472}
     assert got == sorted(sql)
+
+
+def test_trades_of_large_tables_are_dealt_into_bounded_tasks(spark, data, monkeypatch):
+    """A task of the join sorts a bounded number of rows, however large the table is."""
+    whole = sorted(map(str, fx.trades(spark, data).collect()))
+    monkeypatch.setattr(fx, "ROWS_A_TASK", 40)
+    n = -(-fx.table(spark, data, "lineitem").count() // 40)
+    small = fx.trades(spark, data)
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert n > fx.FEW_TASKS and all(f"RepartitionByExpression [{k}" in plan for k in ("l_orderkey", "o_orderkey", "l_partkey", "p_partkey"))
+    assert sorted(map(str, small.collect())) == whole and len(whole) > 5000
