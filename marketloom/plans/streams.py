@@ -142,7 +142,7 @@ SELECT * FROM z WHERE stale_at < (SELECT max(ts) FROM oe WHERE status = 'filled'
 def _matched(spark, d):
     o = fx.order_events(spark, d)
     one = lambda status: stateful.arriving(o.where(F.col("status") == status), "ts", LATE, "st8-in")
-    return streams.append_available(streams.matched_orders(one("placed"), one("filled")), "st8")
+    return streams.pairs(streams.append_available(stateful.matched_blocks(one("placed"), one("filled")), "st8"))
 
 
 register(

@@ -17,6 +17,8 @@ from marketloom.streaming.stateful import rocksdb
 
 #: Fixed value: buckets in the time that a fill may come after its order.
 PARTS = 3
+#: Fixed value: matched orders that a task makes of blocks, on average.
+TASK_PAIRS = 4_000_000
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +105,16 @@ def matched_orders(orders: DataFrame, fills: DataFrame, hours: int = 6) -> DataF
     return o.join(f, near, "left_outer").select("id", "symbol", "mode", "ts", "fill_id", "filled_at")
 
 
+def pairs(blocks: DataFrame, hours: int = 6) -> DataFrame:
+    """The rows of ``matched_orders`` from what ``stateful.matched_blocks`` gave. Blocks are dealt
+    into tasks by what comes out of them; rows are made only where they are read."""
+    total = blocks.agg(F.sum("pairs")).first()[0] or 0
+    x = blocks.repartition(total // TASK_PAIRS + 1) if total > TASK_PAIRS else blocks
+    x = x.select("symbol", "mode", "fills", F.inline("orders")).select("id", "symbol", "mode", "us", F.inline("fills"))
+    near = F.col("fill_us").isNull() | F.col("fill_us").between(F.col("us"), F.col("us") + hours * 3_600_000_000)
+    return x.where(near).select("id", "symbol", "mode", F.timestamp_micros("us").alias("ts"), "fill_id", F.timestamp_micros("fill_us").alias("filled_at"))
+
+
 def latest_quotes(quotes: DataFrame) -> DataFrame:
     """By symbol: the last quote; what reads it drops quotes older than their time to live."""
     return quotes.groupBy("symbol").agg(F.max_by("notional", F.struct("ts", "id")).alias("price"), F.max("ts").alias("at"))

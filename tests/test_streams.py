@@ -130,3 +130,25 @@ def test_news_is_kept_in_one_row_of_state_a_group(spark):
     out, held = run(spark, stateful.once_within(stream, "h", "ts", 30, "30 minutes"), "t4g")
     assert sorted((str(r.h), r.ts) for r in out) == sorted([(str(h), t) for h, t in rows if (h, t) not in {("h0", day(29)), (None, day(4))}])
     assert max(held) <= stateful.GROUPS
+
+
+def test_matched_orders_come_in_blocks(spark, monkeypatch):
+    """What a stream keeps and writes of matched orders grows with the rows, not with the matches;
+    rows made of blocks are those of the join, with ids and symbols that are null or come twice."""
+    big = 1 << 60  # beyond what a double holds
+    o = [(big + k, "S", "paper", at(k), "placed") for k in range(600)] + [(big, "S", "paper", at(0), "placed"), (None, "S", "live", at(0), "placed"), (7, None, "paper", at(3), "placed"), (8, "S", "paper", None, "placed")]
+    f = [(k, "S", "paper", at(k), "filled") for k in range(600)] + [(None, "S", "paper", at(10), "filled"), (1, None, "paper", at(4), "filled"), (2, "S", "paper", None, "filled")]
+    schema = "id long, symbol string, mode string, ts timestamp, status string"
+    sides = [spark.createDataFrame(x, schema) for x in (o, f)]
+    blocks = streams.append_available(stateful.matched_blocks(*(stateful.arriving(x, "ts", 30, "t8b", batches=3, files=1) for x in sides), hours=2), "t8b")
+    written = blocks.agg(F.sum(F.size("orders") + F.size("fills"))).first()[0]
+    rows = lambda df: sorted(map(str, (r[:] for r in df.collect())))
+    plain = streams.matched_orders(*sides, hours=2)
+    passed = (F.col("fill_id").isNotNull() | F.col("filled_at").isNotNull()) | (F.col("ts") < F.lit(at(599 - 180)))
+    want = rows(plain.where(passed))
+    assert rows(streams.pairs(blocks, hours=2)) == want and len(want) > 60_000
+    assert blocks.agg(F.sum("pairs")).first()[0] == len(want)
+    assert written < 10 * (len(o) + len(f))
+    monkeypatch.setattr(streams, "TASK_PAIRS", 5_000)
+    dealt = streams.pairs(blocks, hours=2)
+    assert rows(dealt) == want and dealt.rdd.getNumPartitions() == len(want) // 5_000 + 1
