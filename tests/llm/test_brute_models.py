@@ -83,6 +83,38 @@ def test_kneser_ney_equals_plain_loops(rows, spark):
         assert out[k].bits == pytest.approx(min(want.values()), rel=1e-9) and out[k].lang_pred == min(want, key=lambda x: (want[x], x))
 
 
+@pytest.mark.parametrize("rows", [10**9, 0])
+@pytest.mark.parametrize("limit", [1, 1 << 19])
+def test_calibration_on_all_rows_equals_plain_loops(rows, limit, spark, monkeypatch):
+    """Every row is counted, and every text calibrates once, against the others of its language: its
+    copies don't count for it. A text that is alone in its language says nothing."""
+    monkeypatch.setattr(language_id, "MEASURED_BYTES", limit)  # one text after another, or all at once
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    training = {**TEXTS, "z": [letters, letters[::-1], letters[::2] + letters[1::2]], "one": ["solo", "solo"]}
+    training["en"] = training["en"] + training["en"][:1] * 2
+    made = [(t, lang) for lang, ts in training.items() for t in ts] + [("12 !", "en"), ("", "de"), (None, "de"), ("no one's", None)]
+    model = language_id.train(spark.createDataFrame(made, "text string, lang string").repartition(3), model_rows=rows, every=True)
+    assert isinstance(model, language_id.Stored) == (rows == 0)
+    names, whole = sorted(training), {t: plain_bits(training, t) for ts in training.values() for t in ts}
+    bits, truth = [], []
+    for lang in set(names) - {"one"}:
+        for t in sorted(set(training[lang])):
+            without = plain_bits({**training, lang: [x for x in training[lang] if x != t]}, t)[lang]
+            bits.append([without if x == lang else whole[t][x] for x in names])
+            truth.append(names.index(lang))
+    bits, truth = np.array(bits), np.array(truth)
+    for k, lang in enumerate(names):
+        own = bits[truth == k, k]
+        want = own.mean() + language_id.REJECT_SD * own.std() if len(own) else np.inf
+        assert model.limits[k] == pytest.approx(want, rel=1e-6), lang
+
+    def fit(t):
+        e = np.exp(-(bits - bits.min(axis=1, keepdims=True)) * t)
+        return np.log(np.maximum((e / e.sum(axis=1, keepdims=True))[np.arange(len(truth)), truth], 1e-12)).sum()
+
+    assert model.temperature == max(language_id.GRID, key=fit)
+
+
 def test_a_model_in_the_shared_folder_gives_the_same(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     odd = spark.createDataFrame([(10**6 + k, t, None, None, None) for k, t in enumerate([None, "", "12 !", "é", "x" * 100_000])], docs.schema)

@@ -41,3 +41,20 @@ def test_calibration_rows_are_left_out_of_the_counts(spark, monkeypatch):
     assert sorted(found) == [0.0] * 10 + [1.0] * 50
     assert (model._find(model.tables["fr"]["tri"], language_id.key(language_id.trigrams("mot deux")))[0] > 0).all()
     assert np.isfinite(model.limits).all()
+
+
+def test_the_query_learns_from_every_row(spark, tmp_path, monkeypatch):
+    """Nothing is set apart for calibration and no number of rows bounds it."""
+    monkeypatch.setattr(language_id, "CALIBRATION_ROWS", 20)
+    monkeypatch.setattr(language_id, "LEAST_ROWS", 10)
+    models, fitted, train, fit = [], [], language_id.train, language_id.Verdicts.fit
+    monkeypatch.setattr(language_id, "train", lambda *a, **k: models.append(train(*a, **k)) or models[0])
+    monkeypatch.setattr(language_id.Verdicts, "fit", lambda self, sums: fitted.append(sums.where("k = 0").groupBy().sum("value").first()[0]) or fit(self, sums))
+    text = lambda k: f"{chr(0x4E00 + 3 * k)}{chr(0x4E01 + 3 * k)}{chr(0x4E02 + 3 * k)}"
+    docs = spark.createDataFrame([(k, text(k), "zh") for k in range(200)], "doc_id long, text string, lang string").withColumn("held_out", language_id.held_out())
+    docs.drop("held_out").write.parquet(f"{tmp_path}/documents.parquet")
+    assert language_id.query(spark, str(tmp_path)).count() == 200
+    learned = [r.text for r in docs.where("not held_out").collect()]
+    tri = models[0].tables["zh"]["tri"]
+    assert len(learned) > 100 and all((models[0]._find(tri, language_id.key(language_id.trigrams(t)))[0] > 0).all() for t in learned)
+    assert fitted == [len(learned) * language_id.UNIT] and np.isfinite(models[0].limits).all()
