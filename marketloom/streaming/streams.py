@@ -110,9 +110,11 @@ def pairs(blocks: DataFrame, hours: int = 6) -> DataFrame:
     into tasks by what comes out of them; rows are made only where they are read."""
     total = blocks.agg(F.sum("pairs")).first()[0] or 0
     x = blocks.repartition(total // TASK_PAIRS + 1) if total > TASK_PAIRS else blocks
-    x = x.select("symbol", "mode", "fills", F.inline("orders")).select("id", "symbol", "mode", "us", F.inline("fills"))
-    near = F.col("fill_us").isNull() | F.col("fill_us").between(F.col("us"), F.col("us") + hours * 3_600_000_000)
-    return x.where(near).select("id", "symbol", "mode", F.timestamp_micros("us").alias("ts"), "fill_id", F.timestamp_micros("fill_us").alias("filled_at"))
+    x = x.select("symbol", "mode", "fills", F.inline("orders"))
+    # An order's own fills first: the rows of one order, not of a block, wait to be taken. Each order of a block has some.
+    near = lambda f: f["fill_us"].isNull() | f["fill_us"].between(F.col("us"), F.col("us") + hours * 3_600_000_000)
+    x = x.select("id", "symbol", "mode", "us", F.filter("fills", near).alias("fills")).select("id", "symbol", "mode", "us", F.inline_outer("fills"))
+    return x.select("id", "symbol", "mode", F.timestamp_micros("us").alias("ts"), "fill_id", F.timestamp_micros("fill_us").alias("filled_at"))
 
 
 def latest_quotes(quotes: DataFrame) -> DataFrame:
